@@ -1 +1 @@
-
+"""Column expressions: all run in the JVM."""

@@ -1 +1 @@
-
+"""Readers and writers with explicit schemas."""

@@ -1 +1 @@
-
+"""Resumable streams."""
