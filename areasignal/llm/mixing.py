@@ -153,11 +153,11 @@ def copies(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 11) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns of df. Rows alike in id and text are taken
-    together: one of them as often as all."""
+    together: one of them as often as all. Counts grow with the texts, so both sides are dealt by key at every size."""
     by = copies(df, id_col, source_col, text_col, seed).groupBy(F.col("id").alias("__id"), F.col("body").alias("__body"))
     counts = written(by.agg(F.sum("n").cast("int").alias("__n"), F.count("*").alias("__rows")).where("__n > 0"))
     rows = df.withColumn("__key", body_of(text_col))
-    found = rows.join(counts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body")))
+    found = rows.join(counts.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body")))
     if counts.where("__rows > 1").take(1):
         found = found.where("__rows = 1").union(found.where("__rows > 1").dropDuplicates([id_col, "__key"]))
     return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*df.columns)
