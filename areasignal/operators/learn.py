@@ -189,17 +189,21 @@ def pca_oof(df: DataFrame, unit: str, fold: str, features: Sequence[str], n: int
 
 
 def boosted_oof(df: DataFrame, unit: str, fold: str, features: Sequence[str], targets: Sequence[str], folds: Sequence[int], rounds: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 42) -> DataFrame:
-    """unit, fold and pred_<target> by boosted trees, a seventh of the training rows deciding when to stop."""
+    """unit, fold and pred_<target> by boosted trees, a seventh of the training rows deciding when to stop (all rounds are
+    made if there are none of them, or no others)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
     rows = rows.withColumn("_v", F.pmod(F.xxhash64(unit), F.lit(20)) < 3).select(unit, fold, "_x", "_v", *targets).cache()
+    stops = {r[0]: (r[1], r[2]) for r in rows.groupBy(fold).agg(F.count_if("_v"), F.count_if(~F.col("_v"))).collect()}
     out = None
     for k in folds:
         part = rows.where(F.col(fold) == k)
+        early = all(sum(n[i] for j, n in stops.items() if j != k) for i in (0, 1))
         for t in targets:
-            model = GBTRegressor(featuresCol="_x", labelCol=t, predictionCol=f"pred_{t}", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, validationIndicatorCol="_v").fit(rows.where(F.col(fold) != k))
+            trees = GBTRegressor(featuresCol="_x", labelCol=t, predictionCol=f"pred_{t}", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
+            model = (trees.setValidationIndicatorCol("_v") if early else trees).fit(rows.where(F.col(fold) != k))
             part = model.transform(part)
         part = part.select(unit, fold, *(f"pred_{t}" for t in targets))
         out = part if out is None else out.union(part)
