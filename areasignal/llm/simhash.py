@@ -14,6 +14,8 @@ from areasignal.llm.common import arrow_map, kind_of, written
 
 #: Words of a shingle, differing bits of a link, seed of the hash.
 WORDS, BITS, SEED = 4, 4, 42
+#: Of wide fingerprints: words of a shingle, 64-bit parts, and differing bits of the first 128 at which texts are similar.
+WIDE_WORDS, PARTS, WIDE_BITS = 2, 4, 20
 #: Runs of fingerprints at one anchor up to this length are compared pair by pair, longer ones by a search from member to member.
 SHORT_RUN = 32
 _BIT = np.array([[v >> (7 - b) & 1 for b in range(8)] for v in range(256)], np.int64)
@@ -49,6 +51,59 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return arrow_map(df.select(id_col, text_col), run, f"`{id_col}` {kind_of(df, id_col)}, fp long")
 
 
+def wide_fingerprint(text: str | None, words: int = WIDE_WORDS, parts: int = PARTS) -> np.ndarray:
+    """`parts` times 64 bits over the distinct shingles, each bit set if it is set in over half of their hashes.
+
+    A replaced word changes two pairs of words, but five runs of five: fingerprints over pairs are nearer for copies whose
+    words were edited, and as far for texts that share few pairs.
+    """
+    parts_of = (text or "").encode().lower().split()
+    if not parts_of:
+        return np.zeros(parts, np.uint64)
+    h = np.fromiter(map(_SEEN.__getitem__, parts_of), np.uint64, len(parts_of))
+    n, k = max(1, len(h) - words + 1), min(words, len(h))
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = (out ^ out >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    out = np.unique(out)
+    made = np.empty(parts, np.uint64)
+    for i in range(parts):
+        x = out * np.uint64(0xD1B54A32D192ED03 + 2 * i) + np.uint64((i + 1) * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(x), 1 << 14):
+            ones += np.unpackbits(x[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        made[i] = int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big")
+    return made
+
+
+class _Words(dict):
+    """Hashes of words seen lately; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_SEEN = _Words()
+
+
+def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, fp and p1 to p3: the parts of each row's wide fingerprint."""
+    names = ["fp", *(f"p{i}" for i in range(1, PARTS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([wide_fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).reshape(-1, PARTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, i]) for i in range(PARTS))], [id_col, *names])
+
+    return arrow_map(df.select(id_col, text_col), run, ", ".join([f"`{id_col}` {kind_of(df, id_col)}", *(f"{n} long" for n in names)]))
+
+
 def _syndrome(x: np.ndarray) -> np.ndarray:
     """Of the Hamming code of length 31 (bit i-1 has position i): 0 for a code word, else the position of the bit to flip."""
     out = np.zeros(len(x), np.int64)
@@ -59,17 +114,18 @@ def _syndrome(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors of each fingerprint, and the index of its fingerprint for each anchor.
+    """The anchors of each fingerprint (a row of 64-bit parts), and the index of its fingerprint for each anchor.
 
-    A link of at most 4 differing bits leaves at most 2 in one 32-bit half. Anchors of a half are the words of the
-    code [31, 26] with each value of the 32nd bit: every half lies within its covering radius of 1 from one. Two halves
-    at distance 2 or less have a point midway, within 1 of both, whose anchor is within 1 + 1 of both. So each half goes
-    to all anchors that are nearest to a point within 1 of it: 17 at most, and every link meets at one.
+    Anchors of a 32-bit half are the words of the code [31, 26] with each value of the 32nd bit: every half lies within its
+    covering radius of 1 from one. Two halves at distance 2 or less have a point midway, within 1 of both, whose anchor is
+    within 1 + 1 of both. So each half goes to all anchors that are nearest to a point within 1 of it, 17 at most, and
+    fingerprints meet if any half differs in at most 2 bits: all of one part that differ in at most 4.
     """
+    fps = fps.reshape(len(fps), -1).view(np.uint64)
     keys, owners = [], []
     index = np.arange(len(fps))
-    for half in (0, 1):
-        bits = (fps.view(np.uint64) >> np.uint64(32 * half)).astype(np.int64) & 0xFFFFFFFF
+    for half in range(2 * fps.shape[1]):
+        bits = (fps[:, half // 2] >> np.uint64(32 * (half % 2))).astype(np.int64) & 0xFFFFFFFF
         x, last = bits & 0x7FFFFFFF, bits >> 31
         s = _syndrome(x)
         home = np.where(s > 0, x ^ (1 << np.maximum(s - 1, 0)), x)
@@ -86,58 +142,66 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of two parts."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def _search(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that join all fingerprints of a run that chains of links connect: each new member, found from another one."""
     out, left = [], fps
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue[0]) <= bits
+            near = _apart(left, queue[0]) <= bits
             found = left[near]
-            out.append((np.full(len(found), queue.pop(0)), found))
+            out.append((np.repeat(queue.pop(0)[None, :], len(found), axis=0), found))
             queue.extend(found)
             left = left[~near]
     return out
 
 
 def _links(anchor: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
-    """Pairs of fingerprints at one anchor, in sorted runs, that connect what lies within so many bits."""
+    """Pairs of fingerprints (by their first part) at one anchor, in sorted runs, that connect what lies within so many bits."""
     bounds = np.flatnonzero(np.diff(anchor)) + 1
     starts, lengths = np.r_[0, bounds], np.diff(np.r_[0, bounds, len(anchor)])
     pairs = []
     for s, n in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN]):
-        pairs += _search(np.unique(fps[s : s + n]), bits)
+        pairs += _search(fps[s : s + n], bits)
     keep = np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths)
     a, f = anchor[keep], fps[keep]
     for k in range(1, SHORT_RUN):
         if len(a) <= k or not (same := a[k:] == a[:-k]).any():
             break
         at = np.flatnonzero(same)
-        x, y = f[at], f[at + k]
-        near = np.bitwise_count(x ^ y) <= bits
-        pairs.append((x[near], y[near]))
+        near = _apart(f[at], f[at + k]) <= bits
+        pairs.append((f[at][near], f[at + k][near]))
     if not pairs:
         return np.empty((0, 2), np.int64)
-    x, y = (np.concatenate([p[i] for p in pairs]).astype(np.uint64).view(np.int64) for i in (0, 1))
+    x, y = (np.ascontiguousarray(np.concatenate([p[i] for p in pairs])[:, 0]).view(np.int64) for i in (0, 1))
     both = np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
     return np.unique(both[both[:, 0] < both[:, 1]], axis=0)
 
 
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Pairs (u < v) of the distinct fingerprints in nodes.fp that connect all that differ in at most `bits` (up to 4) bits.
+    """Pairs (u < v) of the distinct nodes.fp that connect fingerprints which differ in at most `bits` bits.
 
-    Each fingerprint goes to at most 34 anchors whatever its group's size; what meets at an anchor is streamed in
-    order and compared there, so no task emits all pairs of a large group.
+    With fp alone, all links of up to 4 differing bits of 64 are found. With the further parts p1 to p3, `bits` is of the
+    first 128, and links are found of those that differ in at most 2 bits in any of the eight 32-bit halves. Each
+    fingerprint goes to at most 17 anchors a half whatever its group's size; what meets at an anchor is streamed in order
+    and compared there, so no task emits all pairs of a large group.
     """
-    if bits > BITS:
+    parts = [c for c in ("fp", *(f"p{i}" for i in range(1, PARTS))) if c in nodes.columns]
+    if len(parts) == 1 and bits > BITS:
         raise ValueError("the covering is of 4 differing bits")
+    compared = parts[:2]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 4096):
-                keys, owner = anchors(part := fps[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[owner])], ["anchor", "fp"])
+            fps = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(parts))], axis=1)
+            for at in range(0, len(fps), 2048):
+                keys, owner = anchors(part := fps[at : at + 2048])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(part[owner, i]) for i in range(len(compared)))], ["anchor", *compared])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -148,7 +212,8 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
         for batch in batches:
-            a, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            a = batch.column(0).to_numpy(zero_copy_only=False)
+            f = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(compared))], axis=1)
             if not len(a):
                 continue
             cut = np.searchsorted(a, a[-1])
@@ -163,7 +228,7 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
         if held:
             yield from out(*(np.concatenate(x) for x in zip(*held)))
 
-    spread_out = arrow_map(nodes.select("fp"), spread, "anchor long, fp long")
+    spread_out = arrow_map(nodes.select(*parts), spread, ", ".join(f"{c} long" for c in ("anchor", *compared)))
     return arrow_map(spread_out.repartition("anchor").sortWithinPartitions("anchor"), meet, "u long, v long").distinct()
 
 
@@ -194,8 +259,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows and texts have one fingerprint and so one component. A null or empty text has fingerprint 0 and is
     linked like any other. A null id is never a component's name unless all its ids are null. Other columns don't matter.
     """
-    docs = written(fingerprints(df, id_col, text_col, words))
-    nodes = written(docs.groupBy("fp").agg(F.min(id_col).alias("least")))
+    return _grouped(fingerprints(df, id_col, text_col, words), id_col, bits)
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = WIDE_BITS) -> DataFrame:
+    """id_col, fp and component_id as near_duplicates, for similarity from about 0.8 of five-word shingles on.
+
+    Wide fingerprints link at `bits` of 128 differing bits. Of copies with replaced words all of similarity 0.8 and some of
+    less lie within that, and over 99 in 100 of them meet at an anchor; of texts of which a part was cut off or put on,
+    which differ more at the same similarity, about half do.
+    """
+    return _grouped(wide_fingerprints(df, id_col, text_col), id_col, bits)
+
+
+def _grouped(fps: DataFrame, id_col: str, bits: int) -> DataFrame:
+    docs = written(fps)
+    parts = [c for c in docs.columns if c not in (id_col, "fp")]
+    nodes = written(docs.groupBy("fp").agg(F.min(id_col).alias("least"), *(F.min(p).alias(p) for p in parts)))
     roots = components(links(nodes, bits))
     rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -204,17 +284,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, one of each group of near duplicates: that of the least id (nulls last, then by a hash of the text).
+    """The rows of df, one of each group of similar_groups: that of the least id (nulls last, then by a hash of the text).
 
-    Only fingerprints and names move but for one shuffle of df by id and hash.
+    Only fingerprints and names move but for one shuffle of df by id and hash. Names that start with two underscores are
+    taken.
     """
     body = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), body.alias("body"))
-    groups = near_duplicates(df.select(name.alias("__name"), F.col(text_col).alias("__text")), "__name", "__text")
+    groups = similar_groups(df.select(name.alias("__name"), F.col(text_col).alias("__text")), "__name", "__text")
     chosen = written(groups.select("component_id").distinct().select(F.col("component_id.id").alias("__id"), F.col("component_id.body").alias("__body")))
     rows = df.withColumn("__key", body)
-    found = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body")))
-    if rows.groupBy(id_col, "__key").count().where("count > 1").join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body")), "left_semi").take(1):
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body"))
+    found = rows.join(chosen.hint("merge"), on)
+    if rows.groupBy(id_col, "__key").count().where("count > 1").join(chosen, on, "left_semi").take(1):
         found = found.dropDuplicates([id_col, "__key"])
     return found.select(*df.columns)
 

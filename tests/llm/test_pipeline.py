@@ -19,7 +19,7 @@ def test_stages_against_their_operators(spark):
     want = {r.doc_id for r in quality.score_quality(docs, model).collect() if r.predicted == 1}
     assert {r.doc_id for r in one.collect()} == want and sorted(one.columns) == sorted(start)
     two = steps["near-dedup"](spark, one, DATA).cache()
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(one).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(one).collect()}
     assert {r.doc_id for r in two.collect()} == set(groups.values())
     three = steps["secret scan"](spark, two, DATA).cache()
     before, after = ({r.doc_id: r for r in d.collect()} for d in (two, three))

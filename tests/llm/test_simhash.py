@@ -48,7 +48,7 @@ def test_every_link_meets_at_an_anchor():
     b = [x ^ sum(1 << i for i in rnd.sample(range(64), k % 5)) for k, x in enumerate(a)]
     sets = []
     for side in (a, b):
-        keys, owner = simhash.anchors(np.array(side, np.uint64).view(np.int64))
+        keys, owner = simhash.anchors(np.array(side, np.uint64))
         sets.append([set(keys[owner == i].tolist()) for i in range(len(side))])
     assert all(x & y for x, y in zip(*sets))
     assert max(map(len, sets[0])) <= 34
@@ -87,9 +87,49 @@ def test_edge_rows(docs, none):
     kept = simhash.without_duplicates(docs)
     assert kept.columns == docs.columns
     texts = [r.text for r in kept.collect()]
-    assert len(texts) == len({f for f in fps}) and "short" in texts and texts.count("short") == 1
+    assert len(texts) == 7 and texts.count("short") == 1  # of nine texts, two are copies and three empty
     assert simhash.without_duplicates(none).collect() == []
 
 
-def test_hex():
-    assert simhash.hex64(F.lit(1)) is not None
+def shingles5(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_edited_copies_are_grouped_and_others_left_alone(spark):
+    rnd = random.Random(8)
+    words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(5000)]
+    rows, likeness = [], {}
+    for i in range(150):
+        text = [rnd.choice(words) for _ in range(rnd.randrange(60, 500))]
+        rows.append((10 * i, " ".join(text)))
+        copy = list(text)
+        for _ in range(rnd.randrange(0, 1 + len(text) // 50)):
+            copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(10**6)}"
+        rows.append((10 * i + 1, " ".join(copy)))
+        a, b = shingles5(rows[-2][1]), shingles5(rows[-1][1])
+        likeness[10 * i + 1] = len(a & b) / len(a | b)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    near = [i for i, x in likeness.items() if x >= 0.8]
+    assert len(near) > 60 and sum(got[i] == i - 1 for i in near) >= 0.98 * len(near)
+    assert all(got[i] == i for i, _ in rows if i % 10 == 0)  # no text is taken for a copy of an earlier one
+    kept = {r.doc_id for r in simhash.without_duplicates(df).collect()}
+    assert kept == set(got.values())
+
+
+def test_large_group_of_edited_copies(spark):
+    rnd = random.Random(9)
+    text = [f"w{rnd.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for i in range(400):
+        copy = list(text)
+        for _ in range(4):
+            copy[rnd.randrange(300)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in simhash.similar_groups(df).collect()} == {0}
+
+
+def test_hex(spark):
+    assert spark.range(1).select(simhash.hex64(F.lit(-2))).first()[0] == "fffffffffffffffe"
