@@ -112,3 +112,61 @@ def tier(ratio: Column, free: float = 6.0, some: float = 3.5, most: int = 8) ->
 def hashed_unit(*parts: Column) -> Column:
     """A number in [0, 1) from the MD5 of the parts: the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("_", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def half_step_grid(box: Column, dx: Column, dy: Column) -> Column:
+    """Centres (x, y) of tiles of dx by dy that fit into a box, half a tile apart."""
+    steps = lambda low, high, d: F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0.0), (high - low) / d) * 2).cast("int")), lambda i: low + d / 2 + i * d / 2 <= high - d / 2), lambda i: low + d / 2 + i * d / 2)
+    xs, ys = steps(box["min_x"], box["max_x"], dx), steps(box["min_y"], box["max_y"], dy)
+    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def random_points(rings: Column, key: Column, n: int, tries: int = 400) -> Column:
+    """The first n of hashed points in a polygon's box that lie in it, the same for the same key; fewer if tries run out."""
+    box = box_of(rings[0])
+    at = lambda low, high, i, axis: low + (high - low) * hashed_unit(key, i, F.lit(axis))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: F.struct(at(box["min_x"], box["max_x"], i, "x").alias("x"), at(box["min_y"], box["max_y"], i, "y").alias("y")))
+    return F.slice(F.filter(drawn, lambda p: in_polygon(p["x"], p["y"], rings)), 1, n)
+
+
+# The national grid's ellipsoid, scale, origin, and the shift from WGS84 (metres, parts per million, seconds).
+GRID = {"a": 6377563.396, "b": 6356256.909, "f0": 0.9996012717, "lat0": 49.0, "lon0": -2.0, "n0": -100000.0, "e0": 400000.0}
+SHIFT = {"tx": -446.448, "ty": 125.157, "tz": -542.060, "s": 20.4894e-6, "rx": -0.1502, "ry": -0.2470, "rz": -0.8421}
+
+
+def national_grid(lat: Column, lon: Column) -> Column:
+    """Easting x and northing y in metres (EPSG:27700, within some metres) of WGS84 degrees."""
+    sin, cos, lit = F.sin, F.cos, F.lit
+    a, e2 = 6378137.0, 0.00669437999014
+    la, lo = F.radians(lat), F.radians(lon)
+    nu = lit(a) / F.sqrt(1 - e2 * sin(la) * sin(la))
+    x, y, z = nu * cos(la) * cos(lo), nu * cos(la) * sin(lo), nu * (1 - e2) * sin(la)
+    turn = lambda s: SHIFT[s] / 3600 * 3.141592653589793 / 180
+    k = 1 + SHIFT["s"]
+    x2 = SHIFT["tx"] + x * k - y * turn("rz") + z * turn("ry")
+    y2 = SHIFT["ty"] + x * turn("rz") + y * k - z * turn("rx")
+    z2 = SHIFT["tz"] - x * turn("ry") + y * turn("rx") + z * k
+    b2 = GRID["b"] ** 2
+    e = 1 - b2 / GRID["a"] ** 2
+    p = F.sqrt(x2 * x2 + y2 * y2)
+    phi = F.atan2(z2, p * (1 - e))
+    for _ in range(3):
+        v = GRID["a"] / F.sqrt(1 - e * sin(phi) * sin(phi))
+        phi = F.atan2(z2 + e * v * sin(phi), p)
+    lam, n = F.atan2(y2, x2), (GRID["a"] - GRID["b"]) / (GRID["a"] + GRID["b"])
+    p0 = GRID["lat0"] * 3.141592653589793 / 180
+    d, s = phi - p0, phi + p0
+    arc = GRID["b"] * GRID["f0"] * ((1 + n + 1.25 * n**2 + 1.25 * n**3) * d - (3 * n + 3 * n**2 + 21 / 8 * n**3) * sin(d) * cos(s) + (15 / 8 * n**2 + 15 / 8 * n**3) * sin(2 * d) * cos(2 * s) - 35 / 24 * n**3 * sin(3 * d) * cos(3 * s))
+    v = GRID["a"] * GRID["f0"] / F.sqrt(1 - e * sin(phi) * sin(phi))
+    rho = GRID["a"] * GRID["f0"] * (1 - e) / F.pow(1 - e * sin(phi) * sin(phi), 1.5)
+    eta, t, c = v / rho - 1, F.tan(phi), cos(phi)
+    w = lam - GRID["lon0"] * 3.141592653589793 / 180
+    north = arc + GRID["n0"] + v / 2 * sin(phi) * c * F.pow(w, 2) + v / 24 * sin(phi) * F.pow(c, 3) * (5 - t * t + 9 * eta) * F.pow(w, 4) + v / 720 * sin(phi) * F.pow(c, 5) * (61 - 58 * t * t + F.pow(t, 4)) * F.pow(w, 6)
+    east = GRID["e0"] + v * c * w + v / 6 * F.pow(c, 3) * (v / rho - t * t) * F.pow(w, 3) + v / 120 * F.pow(c, 5) * (5 - 18 * t * t + F.pow(t, 4) + 14 * eta - 58 * t * t * eta) * F.pow(w, 5)
+    return F.struct(east.alias("x"), north.alias("y"))
+
+
+def pixel(x: Column, y: Column, left: float, top: float, size_x: float, size_y: float, width: int, height: int) -> Column:
+    """col, row and whether they are inside a raster."""
+    col, row = F.floor((x - left) / size_x).cast("int"), F.floor((top - y) / size_y).cast("int")
+    return F.struct(col.alias("col"), row.alias("row"), (col.between(0, width - 1) & row.between(0, height - 1)).alias("inside"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,3 +141,46 @@ def moran_p(values: DataFrame, unit: str, value: str, edges: DataFrame, times: i
     drawn = i.where("b > 0").crossJoin(F.broadcast(real))  # one row
     above = F.count_if(F.col("i") >= F.col("moran_i"))
     return drawn.agg(F.first("moran_i").alias("moran_i"), ((F.least(above, F.count("*") - above) + 1) / (F.count("*") + 1)).alias("p"), ((F.first("moran_i") - F.avg("i")) / F.stddev_pop("i")).alias("z_sim"))
+
+
+def placed_boxes(areas: DataFrame, unit: str, existing: DataFrame, size: float, most: str = "most", margin: float = 0.0) -> DataFrame:
+    """unit, place, x, y of further boxes in areas (rings, cx, cy, ord and the column `most`; below 0: no limit).
+
+    Candidates on a half-step grid lie in the area and farther than the margin from its edge. They are made and tested in
+    parallel, and those that meet an existing box (x, y) drop out at grid cells. What then follows is serial by its nature,
+    as each area's boxes block later ones': the candidates left of all areas are gone through in order by one task.
+    """
+    box = geo.box_of(F.col("rings")[0])
+    grid = areas.select(unit, "ord", "cx", "cy", "rings", F.col(most).alias("_most"), F.explode(geo.half_step_grid(box, F.lit(size), F.lit(size))).alias("p"))
+    inside = geo.in_polygon(F.col("p.x"), F.col("p.y"), F.col("rings")) & (geo.boundary_distance(F.col("p.x"), F.col("p.y"), F.col("rings")) > margin)
+    fine = grid.where(inside).select(unit, "ord", "_most", "p.x", "p.y", F.hypot(F.col("p.x") - F.col("cx"), F.col("p.y") - F.col("cy")).alias("far"))
+    around = existing.select(F.col("x").alias("ex"), F.col("y").alias("ey")).withColumn("gx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("ex") / size) + d))).withColumn("gy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("ey") / size) + d)))
+    meets = (F.abs(F.col("x") - F.col("ex")) <= size) & (F.abs(F.col("y") - F.col("ey")) <= size)
+    free = _free(fine, around, size, meets)
+    kind = areas.schema[unit].dataType.simpleString()
+
+    def run(batches):
+        taken: dict[tuple[int, int], list[tuple[float, float]]] = {}
+        count: dict = {}
+        for batch in batches:
+            out = []
+            for u, limit, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if 0 <= limit <= count.get(u, 0):
+                    continue
+                gx, gy = math.floor(x / size), math.floor(y / size)
+                near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in taken.get((gx + i, gy + j), ()))
+                if all(abs(x - a) > size or abs(y - b) > size for a, b in near):
+                    taken.setdefault((gx, gy), []).append((x, y))
+                    count[u] = count.get(u, 0) + 1
+                    out.append((u, count[u], x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.column(0).type), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.float64())], [unit, "place", "x", "y"])
+
+    ordered = free.repartition(1).sortWithinPartitions("ord", "far", "y", "x").select(unit, "_most", "x", "y")
+    return ordered.mapInArrow(run, f"`{unit}` {kind}, place int, x double, y double")
+
+
+def _free(fine: DataFrame, around: DataFrame, size: float, meets: Column) -> DataFrame:
+    """Candidates that meet none of the boxes around their cell."""
+    at = fine.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
+    hit = at.join(around, ["gx", "gy"]).where(meets).select("ord", "x", "y").distinct()
+    return fine.join(hit, ["ord", "x", "y"], "left_anti")
