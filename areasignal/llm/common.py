@@ -38,15 +38,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, narrow: bool = False) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
 
-    The files are marked for deletion when the application ends.
+    narrow: rows are few bytes of what was read, so they are dealt into files of the planner's advisory size first; else a
+    scan of texts in many tasks would leave as many tiny files. The files are marked for deletion when the application ends.
     """
     spark = df.sparkSession
     to = f"{shared_folder(spark).rstrip('/')}/areasignal/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(to)
+    (df.hint("rebalance") if narrow else df).write.parquet(to)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(schema).parquet(to)

@@ -127,7 +127,7 @@ def copies(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     copies only. An empty table gives no rows.
     """
     ship(df.sparkSession)
-    rows = written(sizes(df, id_col, source_col, text_col))
+    rows = written(sizes(df, id_col, source_col, text_col), narrow=True)
     goal = written(targets(rows, cycle, most))
     deal = F.broadcast(goal) if goal.count() <= 50_000 else goal  # a few MB; more sources are joined by a shuffle
     joined = rows.join(deal.withColumnRenamed("source", "of"), rows.source.eqNullSafe(F.col("of"))).drop("of", "weight")

@@ -36,7 +36,7 @@ def candidates(df: DataFrame, key: list[Column], text_col: str, source_col: str)
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = "array<struct<kind:int,gap:int,size:int,value:string>>"
     matches = F.when(text.rlike(ANY), F.concat(*(_matches(text, k) for k in PATTERNS)).cast(none)).otherwise(F.array().cast(none))
-    return written(df.select(*key, F.col(source_col).cast("string").alias("__source"), matches.alias("__matches")).withColumn("__row", F.monotonically_increasing_id()))
+    return written(df.select(*key, F.col(source_col).cast("string").alias("__source"), matches.alias("__matches")).withColumn("__row", F.monotonically_increasing_id()), narrow=True)
 
 
 def judged(rows: DataFrame, max_owners: int = 2) -> DataFrame:

@@ -273,7 +273,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _grouped(fps: DataFrame, id_col: str, bits: int) -> DataFrame:
-    docs = written(fps)
+    docs = written(fps, narrow=True)
     parts = [c for c in docs.columns if c not in (id_col, "fp")]
     nodes = written(docs.groupBy("fp").agg(F.min(id_col).alias("least"), *(F.min(p).alias(p) for p in parts)))
     roots = components(links(nodes, bits))
