@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +16,7 @@ from areasignal.llm.common import arrow_map, in_fold, kind_of
 
 #: Longest context in bytes, kinds of bytes told apart, contexts kept, units of a bit, bytes scored at once.
 ORDER, SYMBOLS, CONTEXTS, UNITS, AT_ONCE = 3, 128, 16_384, 256, 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
 _FOLD[[9, 10, 11, 12, 13]] = 32
