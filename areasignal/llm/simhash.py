@@ -180,7 +180,24 @@ def _links(anchor: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
         return np.empty((0, 2), np.int64)
     x, y = (np.ascontiguousarray(np.concatenate([p[i] for p in pairs])[:, 0]).view(np.int64) for i in (0, 1))
     both = np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
-    return np.unique(both[both[:, 0] < both[:, 1]], axis=0)
+    return _forest(np.unique(both[both[:, 0] < both[:, 1]], axis=0))
+
+
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs that connect what the given ones connect: each node but the least of its component with that one."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for u, v in pairs.tolist():
+        u, v = find(u), find(v)
+        if u != v:
+            root[max(u, v)] = min(u, v)
+    found = [(r, x) for x in root if (r := find(x)) != x]
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
