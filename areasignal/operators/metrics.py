@@ -45,18 +45,26 @@ def r_squared(y: Column, p: Column) -> Column:
     return 1 - F.try_divide(F.sum((y - p) * (y - p)), F.nullif(F.var_pop(F.when(both, y)) * F.count_if(both), F.lit(0.0)))
 
 
-def spearman(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, n and rho of pairs without nulls."""
-    pairs = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p2"))
+def _pairs(df: DataFrame, y: str, p: str, keys: Sequence[str]) -> DataFrame:
+    """keys, _y and _p2 of the pairs without nulls, written once: what is ranked and scored is read several times."""
+    return written(df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p2")))
+
+
+def _rho(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     ranked = average_rank(average_rank(pairs, "_y", keys, "_ry"), "_p2", keys, "_rp")
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("_ry"), F.col("_rp")).alias("rho"))
 
 
+def spearman(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, n and rho of pairs without nulls."""
+    return _rho(_pairs(df, y, p, keys), keys)
+
+
 def scores(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, n, rho, r2, pearson, mae and rmse."""
-    c = F.col
-    plain = df.where(c(y).isNotNull() & c(p).isNotNull()).groupBy(*keys).agg(r_squared(c(y), c(p)).alias("r2"), correlation(c(y), c(p)).alias("pearson"), F.avg(F.abs(c(y) - c(p))).alias("mae"), F.sqrt(F.avg((c(y) - c(p)) ** 2)).alias("rmse"))
-    rho = spearman(df, y, p, keys)
+    pairs, a, b = _pairs(df, y, p, keys), F.col("_y"), F.col("_p2")
+    plain = pairs.groupBy(*keys).agg(r_squared(a, b).alias("r2"), correlation(a, b).alias("pearson"), F.avg(F.abs(a - b)).alias("mae"), F.sqrt(F.avg((a - b) ** 2)).alias("rmse"))
+    rho = _rho(pairs, keys)
     return rho.join(plain, list(keys)) if keys else rho.crossJoin(plain)  # one row each
 
 

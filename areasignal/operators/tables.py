@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areasignal.functions.text import phrase_key, tidy
+from areasignal.functions.text import groups_of, phrase_key, tidy
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -106,6 +106,13 @@ def top_phrases_by(df: DataFrame, unit: str, phrase: str, order: Sequence[str],
     return lists.select(unit, F.posexplode("_l").alias("at", "r")).select(unit, (F.col("at") + 1).alias("place"), "r.phrase", (-F.col("r.m")).alias("n"))
 
 
+def group_counts(df: DataFrame, unit: str, phrase: str) -> DataFrame:
+    """unit, grp and n: how many phrases of each unit are in each keyword group. Patterns are matched once for each phrase
+    that a unit has, however often."""
+    distinct = df.groupBy(unit, F.col(phrase).alias("_p")).agg(F.count("*").alias("_n"))
+    return distinct.select(unit, F.explode(groups_of(tidy(F.col("_p")))).alias("grp"), "_n").groupBy(unit, "grp").agg(F.sum("_n").alias("n"))
+
+
 def first_phrases(df: DataFrame, keys: Sequence[str], phrase: str, order: Sequence[str]) -> DataFrame:
     """keys and phrases: distinct phrases in the order in which each came first, trimmed."""
     named = df.withColumn("_k", phrase_key(F.col(phrase))).where(F.coalesce("_k", F.lit("")) != "")

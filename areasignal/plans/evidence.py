@@ -64,8 +64,7 @@ def _groups_sql() -> str:
 SELECT unit_id, grp, count(*) AS n FROM e GROUP BY ALL"""
 )
 def phrase_keyword_groups(spark, sf_dir):
-    rows = frame(spark, sf_dir, "phrases")
-    return rows.select("unit_id", F.explode(text.groups_of(text.tidy(F.col("phrase")))).alias("grp")).groupBy("unit_id", "grp").agg(F.count("*").alias("n"))
+    return tables.group_counts(frame(spark, sf_dir, "phrases"), "unit_id", "phrase")
 
 
 COUNTS = ", counts AS (SELECT unit_id, kind, count(*) AS n FROM poi GROUP BY ALL)"

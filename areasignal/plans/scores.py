@@ -8,6 +8,7 @@ from areasignal.functions import vectors
 from areasignal.operators import folds, learn, metrics, resample, spatial, tables
 from areasignal.plans.areas import EDGES, UNIT_VALUES, edges, unit_values
 from areasignal.plans.base import DOMAINS, ctes, frame, query, table
+from areasignal.session import written
 
 OOF = """, oof AS (SELECT unit_id, max(fold) AS fold, count(*) AS n_rows, """ + ", ".join(f"avg({s}_{d}) AS {s}_{d}" for s in ("target", "pred") for d in DOMAINS) + """ FROM obs GROUP BY unit_id)"""
 LONG = OOF + ", long AS (" + " UNION ALL ".join(f"SELECT unit_id, '{d}' AS domain, target_{d} AS y, pred_{d} AS p FROM oof" for d in DOMAINS) + ")"
@@ -291,6 +292,6 @@ def leak_safe_lag_quality(spark, sf_dir):
     scale = held.groupBy(F.col("held_out").alias("fold")).agg(*(x for c in names for x in (mean[c].alias(f"mean_{c}"), F.sqrt(F.sum(F.col("n") * (F.col(f"v_{c}") + F.col(f"m_{c}") * F.col(f"m_{c}"))) / total - mean[c] * mean[c]).alias(f"sd_{c}"))))
     z = lambda x, c: (F.col(x) - F.col(f"mean_{c}")) / F.col(f"sd_{c}")
     wide = rows.join(lag, "unit_id").join(F.broadcast(scale), "fold").select("unit_id", *(x for c in names for x in (z(c, c).alias(f"target_{c}"), z(f"{c}_lag", c).alias(f"pred_{c}"))))
-    stacked = metrics.unpivoted(wide, ["unit_id"], names)
+    stacked = written(metrics.unpivoted(wide, ["unit_id"], names))
     one = metrics.scores(stacked, "y", "p", ["domain"]).select("domain", "n", "rho", "r2")
     return rounded(one.union(metrics.scores(stacked, "y", "p").select(F.lit("pooled"), "n", "rho", "r2")), "rho", "r2", digits=5)
