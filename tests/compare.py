@@ -6,6 +6,8 @@ import math
 
 import duckdb
 
+#: The tables that tests use.
+DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -8,7 +8,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
-DATA = "/root/testdata/sf0.001"
+
 
 
 @pytest.fixture(scope="session")
@@ -25,6 +25,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def con():
-    from compare import oracle
+    from compare import DATA, oracle
 
     return oracle(DATA)

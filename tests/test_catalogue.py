@@ -3,8 +3,7 @@
 import pytest
 
 import areasignal.plans as plans
-from compare import difference
-from conftest import DATA
+from compare import DATA, difference
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
