@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,10 @@ from areasignal.llm.common import arrow_map, kind_of, written
 
 #: Words of a shingle, differing bits of a link, seed of the hash.
 WORDS, BITS, SEED = 4, 4, 42
-#: Of wide fingerprints: words of a shingle, 64-bit parts, and differing bits of the first 128 at which texts are similar.
-WIDE_WORDS, PARTS, WIDE_BITS = 2, 4, 20
+#: Of similar texts: words of a shingle; bands of so many permutations each, of which one must agree for a pair to be compared.
+NEAR_WORDS, BANDS, ROWS = 5, 60, 7
+#: Of runs over SHORT_RUN: members after each one that are compared before what is left between components is.
+AFTER = 2
 #: Runs of fingerprints at one anchor up to this length are compared pair by pair, longer ones by a search from member to member.
 SHORT_RUN = 32
 _BIT = np.array([[v >> (7 - b) & 1 for b in range(8)] for v in range(256)], np.int64)
@@ -51,32 +53,38 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return arrow_map(df.select(id_col, text_col), run, f"`{id_col}` {kind_of(df, id_col)}, fp long")
 
 
-def wide_fingerprint(text: str | None, words: int = WIDE_WORDS, parts: int = PARTS) -> np.ndarray:
-    """`parts` times 64 bits over the distinct shingles, each bit set if it is set in over half of their hashes.
-
-    A replaced word changes two pairs of words, but five runs of five: fingerprints over pairs are nearer for copies whose
-    words were edited, and as far for texts that share few pairs.
-    """
+def shingles(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's runs of so many words (one of all words if there are fewer)."""
     parts_of = (text or "").encode().lower().split()
     if not parts_of:
-        return np.zeros(parts, np.uint64)
+        return np.empty(0, np.uint64)
     h = np.fromiter(map(_SEEN.__getitem__, parts_of), np.uint64, len(parts_of))
     n, k = max(1, len(h) - words + 1), min(words, len(h))
     out = np.full(n, k, np.uint64)
     for j in range(k):
         out = (out ^ out >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
-    out = np.unique(out)
-    made = np.empty(parts, np.uint64)
-    for i in range(parts):
-        x = out * np.uint64(0xD1B54A32D192ED03 + 2 * i) + np.uint64((i + 1) * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(32)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(x), 1 << 14):
-            ones += np.unpackbits(x[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        made[i] = int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big")
-    return made
+    out = (out ^ out >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ out >> np.uint64(29))
+
+
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band: of the least values of its ROWS permutations over the shingles."""
+    if not len(found):
+        return np.empty(0, np.int64)
+    x, least = (found >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 512):
+        y = (x[at : at + 512] ^ _DRAWN[0]) * (_DRAWN[1] | np.uint32(1))
+        y ^= y >> np.uint32(15)
+        y *= np.uint32(0x2C1B3C6D)
+        y ^= y >> np.uint32(13)
+        np.minimum(least, y.min(axis=1), out=least)
+    made = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+        made = (made ^ made >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + column
+    return (made ^ made >> np.uint64(32)).view(np.int64)
 
 
 class _Words(dict):
@@ -92,18 +100,6 @@ class _Words(dict):
 _SEEN = _Words()
 
 
-def wide_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, fp and p1 to p3: the parts of each row's wide fingerprint."""
-    names = ["fp", *(f"p{i}" for i in range(1, PARTS))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.array([wide_fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).reshape(-1, PARTS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[:, i]) for i in range(PARTS))], [id_col, *names])
-
-    return arrow_map(df.select(id_col, text_col), run, ", ".join([f"`{id_col}` {kind_of(df, id_col)}", *(f"{n} long" for n in names)]))
-
-
 def _syndrome(x: np.ndarray) -> np.ndarray:
     """Of the Hamming code of length 31 (bit i-1 has position i): 0 for a code word, else the position of the bit to flip."""
     out = np.zeros(len(x), np.int64)
@@ -203,15 +199,12 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs (u < v) of the distinct nodes.fp that connect fingerprints which differ in at most `bits` bits.
 
-    With fp alone, all links of up to 4 differing bits of 64 are found. With the further parts p1 to p3, `bits` is of the
-    first 128, and links are found of those that differ in at most 2 bits in any of the eight 32-bit halves. Each
-    fingerprint goes to at most 17 anchors a half whatever its group's size; what meets at an anchor is streamed in order
-    and compared there, so no task emits all pairs of a large group.
+    All links of up to 4 differing bits are found. Each fingerprint goes to at most 17 anchors a half whatever its group's
+    size; what meets at an anchor is streamed in order and compared there, so no task emits all pairs of a large group.
     """
-    parts = [c for c in ("fp", *(f"p{i}" for i in range(1, PARTS))) if c in nodes.columns]
-    if len(parts) == 1 and bits > BITS:
+    if bits > BITS:
         raise ValueError("the covering is of 4 differing bits")
-    compared = parts[:2]
+    parts = compared = ["fp"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,21 +272,160 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _grouped(fingerprints(df, id_col, text_col, words), id_col, bits)
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = WIDE_BITS) -> DataFrame:
-    """id_col, fp and component_id as near_duplicates, for similarity from about 0.8 of five-word shingles on.
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, fp and component_id as near_duplicates, over links of similarity 0.8 or more of five-word shingles.
 
-    Wide fingerprints link at `bits` of 128 differing bits. Of copies with replaced words all of similarity 0.8 and some of
-    less lie within that, and over 99 in 100 of them meet at an anchor; of texts of which a part was cut off or put on,
-    which differ more at the same similarity, about half do.
+    fp is of the set of shingles. Pairs that agree in a band are candidates: a pair of similarity 0.8 is one but for
+    (1 - 0.8 ** ROWS) ** BANDS, 7 in 10 million, and the more alike the surer, whatever was edited, cut off or put on.
+    Only candidates whose texts have that similarity, counted exactly, are links.
     """
-    return _grouped(wide_fingerprints(df, id_col, text_col), id_col, bits)
+    docs = written(_sketched(df, id_col, text_col), narrow=True)
+    pick = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "body"))
+    nodes = written(docs.groupBy("fp").agg(pick.alias("pick"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")).select("fp", F.col("pick.id").alias("least"), "pick.body", "n", "keys"))
+    met = written(_met(nodes.select(F.explode("keys").alias("key"), "fp", "n"), _first_pairs, "key long, u long, v long, n long"))
+    pairs = written(met.where("v IS NOT NULL").select("u", "v").distinct())
+    edges = _alike(df, id_col, text_col, nodes, pairs)
+    roots, open_ = components(edges), met.where("v IS NULL")
+    if open_.take(1):
+        rest = open_.join(roots.withColumnRenamed("node", "u"), "u", "left").select("key", F.col("u").alias("fp"), "n", F.coalesce("root", "u").alias("root"))
+        rest = written(_met(rest, _pairs_across, "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"))
+        if rest.take(1):
+            edges = written(edges.union(_alike(df, id_col, text_col, nodes, rest)))
+            roots = components(edges)
+    return _named(docs, nodes, roots, id_col)
+
+
+def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, body (a hash of the text), fp (of the set of shingles; 0 without words), n (its size) and keys of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, n, keys = [], [], []
+            for x in batch.column(1):
+                found = shingles(x.as_py())
+                fps.append(xxhash.xxh3_64_intdigest(found.tobytes()) if len(found) else 0)
+                n.append(len(found))
+                keys.append(band_keys(found))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists], [id_col, "body", "fp", "n", "keys"])
+
+    rows = df.select(id_col, text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
+    return arrow_map(rows, run, f"`{id_col}` {kind_of(df, id_col)}, body long, fp long, n long, keys array<long>")
+
+
+def _met(rows: DataFrame, fn: Callable[[list[np.ndarray]], Iterator[list]], schema: str) -> DataFrame:
+    """What fn yields (columns of longs) of the rows of whole keys, sorted by key and fp."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for found in fn([np.concatenate(x) for x in zip(*held)]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not batch.num_rows:
+                continue
+            cut = np.searchsorted(columns[0], columns[0][-1])
+            if held and (cut or held[-1][0][-1] != columns[0][-1]):  # what is held and comes before the batch's last key is whole
+                held.append([c[:cut] for c in columns])
+                yield from out()
+                held = []
+            elif cut:
+                held = [[c[:cut] for c in columns]]
+                yield from out()
+                held = []
+            held.append([c[cut:] for c in columns])
+        if held:
+            yield from out()
+
+    return arrow_map(rows.repartition("key").sortWithinPartitions("key", "fp"), run, schema)
+
+
+def _first_pairs(columns: list[np.ndarray]) -> Iterator[list]:
+    """Pairs (no key) whose sizes allow the similarity: all of short runs; of longer ones each member with the first and the
+    AFTER next ones in an order of the run's own, and the members (no v) with the run's key."""
+    key, fp, n = columns
+    bounds = np.flatnonzero(np.diff(key)) + 1
+    starts, lengths = np.r_[0, bounds], np.diff(np.r_[0, bounds, len(key)])
+    us, vs = [], []
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (fp[i] != fp[j])
+        us.append(np.minimum(fp[i], fp[j])[ok])
+        vs.append(np.maximum(fp[i], fp[j])[ok])
+
+    short = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths))
+    for k in range(1, SHORT_RUN):
+        if len(short) <= k or not (same := key[short[k:]] == key[short[:-k]]).any():
+            break
+        add(short[:-k][same], short[k:][same])
+    for s, m in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN]):
+        run = np.arange(s, s + m)
+        yield [key[run], fp[run], [None] * m, n[run]]
+        run = run[np.argsort(fp[run].view(np.uint64) * (key[s : s + 1].view(np.uint64) | np.uint64(1)))]
+        add(np.full(m, s), run)
+        for k in range(1, AFTER + 1):
+            add(run, np.roll(run, k))
+    if us:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        yield [[None] * len(u), u, v, [None] * len(u)]
+
+
+def _pairs_across(columns: list[np.ndarray]) -> Iterator[list]:
+    """All pairs of members of a run that are of different components and whose sizes allow the similarity."""
+    key, fp, n, root = columns
+    bounds = np.flatnonzero(np.diff(key)) + 1
+    for s, e in zip(np.r_[0, bounds], np.r_[bounds, len(key)]):
+        us, vs, held = [], [], 0
+        names, counts = np.unique(root[s:e], return_counts=True)
+        main = names[counts.argmax()]
+        for i in s + np.flatnonzero(root[s:e] != main):  # of each pair one is outside the largest component
+            other = s + np.flatnonzero((root[s:e] != root[i]) & (5 * np.minimum(n[s:e], n[i]) >= 4 * np.maximum(n[s:e], n[i])))
+            us.append(np.minimum(fp[other], fp[i]))
+            vs.append(np.maximum(fp[other], fp[i]))
+            if (held := held + len(other)) > 1 << 16:
+                yield [np.concatenate(us), np.concatenate(vs)]
+                us, vs, held = [], [], 0
+        if held:
+            yield [np.concatenate(us), np.concatenate(vs)]
+
+
+def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose texts share at least 0.8 of the shingles of both."""
+    needed = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    names = written(nodes.join(needed, "fp").select("fp", F.col("least").alias("__least"), F.col("body").alias("__body")))
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__body"))
+    found = rows.join(names, (rows["__body"] == names["__body"]) & F.col("__id").eqNullSafe(F.col("__least")))
+    texts = written(found.groupBy("fp").agg(F.any_value("__text").alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a = None, np.empty(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for i, u in enumerate(batch.column(0).to_pylist()):
+                if u != last:
+                    last, a = u, shingles(batch.column(2)[i].as_py())
+                b = shingles(batch.column(3)[i].as_py())
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 5 * both >= 4 * (len(a) + len(b) - both):
+                    keep.append(i)
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    of = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"t{c}"))
+    return written(arrow_map(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "tu", "tv"), run, "u long, v long"))
 
 
 def _grouped(fps: DataFrame, id_col: str, bits: int) -> DataFrame:
     docs = written(fps, narrow=True)
-    parts = [c for c in docs.columns if c not in (id_col, "fp")]
-    nodes = written(docs.groupBy("fp").agg(F.min(id_col).alias("least"), *(F.min(p).alias(p) for p in parts)))
-    roots = components(links(nodes, bits))
+    nodes = written(docs.groupBy("fp").agg(F.min(id_col).alias("least")))
+    return _named(docs, nodes, components(links(nodes, bits)), id_col)
+
+
+def _named(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = written(rooted.join(named, "root").select("fp", "component_id"))

@@ -133,3 +133,18 @@ def test_large_group_of_edited_copies(spark):
 
 def test_hex(spark):
     assert spark.range(1).select(simhash.hex64(F.lit(-2))).first()[0] == "fffffffffffffffe"
+
+
+def test_cut_and_extended_copies_by_exact_similarity(spark):
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for i in range(0, 1200, 2):
+        text = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(20, 300))]
+        share = rnd.uniform(0.5, 0.98)  # below 0.8 the two aren't near duplicates, from there on they are
+        cut = text[: int(len(text) * share)] if i % 4 else text + [f"y{rnd.randrange(10**6)}" for _ in range(int(len(text) * (1 / share - 1)))]
+        rows += [(i, " ".join(text)), (i + 1, " ".join(cut))]
+        a, b = shingles5(rows[-2][1]), shingles5(rows[-1][1])
+        want[i], want[i + 1] = i, i if len(a & b) >= 0.8 * len(a | b) else i + 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
+    assert {r.doc_id for r in simhash.without_duplicates(df).collect()} == set(want.values())
