@@ -148,3 +148,24 @@ def test_cut_and_extended_copies_by_exact_similarity(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
     assert {r.doc_id for r in simhash.without_duplicates(df).collect()} == set(want.values())
+
+
+def test_large_groups_against_brute_force(spark):
+    rnd = random.Random(12)
+    texts = []
+    for size, edits in ((120, 2), (120, 5), (60, 9)):  # near copies of which many pairs lie below 0.8
+        base = [f"w{rnd.randrange(3000)}" for _ in range(200)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rnd.randrange(200)] = f"x{rnd.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [shingles5(t) for t in texts]
+    least = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if least[i] != least[j] and len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((least[i], least[j]))
+                least = [x if z == y else z for z in least]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == dict(enumerate(least))
