@@ -15,7 +15,7 @@ from areasignal.llm.common import arrow_map, kind_of
 # Element names by how they are parsed and shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = set("head script style template noscript title iframe noembed noframes object audio video canvas svg datalist area base link meta param source track col colgroup select textarea".split())
+HIDDEN = set("head script style template noscript title iframe noembed noframes object audio video canvas datalist area base link meta param source track col colgroup".split())
 PARAGRAPH = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCK = PARAGRAPH | set("address article aside body center dd details dialog div dt figcaption footer form header hgroup html legend li main menu nav section summary caption tr thead tbody tfoot optgroup option search".split())
 CELL, HEAD_ONLY = {"td", "th"}, set("base link meta script style title template noscript".split())
@@ -31,17 +31,34 @@ ENDS_P = (PARAGRAPH | set("address article aside center details dialog dir div d
 WALL = {"table", "td", "th", "caption", "body", "html"}
 
 _MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_HIDES = re.compile(r"(?:^|[\s\"'/])hidden(?:[\s=/]|$)|style\s*=\s*[\"']?[^\"'>]*?(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_SHOWS = re.compile(r"style\s*=\s*[\"']?[^\"'>]*?visibility\s*:\s*visible", re.I)
-_HIDDEN_BUT_UNTIL = re.compile(r"hidden\s*=\s*[\"']?until-found", re.I)
-_START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d+)", re.I)
-_ALT = re.compile(r"\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TYPE_HIDDEN = re.compile(r"\btype\s*=\s*[\"']?(hidden|checkbox|radio|password|file|image)\b", re.I)
-_VALUE = re.compile(r"\bvalue\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPAN = re.compile(r"\bcolspan\s*=\s*[\"']?(\d+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_WHOLE = re.compile(r"\s*(-?\d+)")
+UNSHOWN_INPUTS = set("hidden checkbox radio password file image".split())
+#: Of svg: what is drawn only where it is referred to, or not at all.
+UNDRAWN = set("defs symbol clippath mask pattern marker lineargradient radialgradient metadata title desc script style".split())
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names in lower case and values of an element's attributes' text; of a name given twice, the first."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        value = m[2] or m[3] or m[4] or ""
+        out.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+    return out
+
+
+def _style(text: str) -> dict[str, str]:
+    """The properties of a style attribute; of one given twice, the last."""
+    pairs = (x.partition(":") for x in text.lower().split(";"))
+    return {name.strip(): value.replace("!important", "").strip() for name, _, value in pairs}
+
+
+def _number(text: str | None) -> int | None:
+    m = _WHOLE.match(text or "")
+    return int(m[1]) if m else None
+
+
 class Node:
     """An element with its attributes' text and its children: nodes and texts."""
 
@@ -133,7 +150,7 @@ def parse(html: str) -> Node:
                 stack[-1].children.append(html[at:text_end])
             at = end.end() if end else n
             stack.pop()
-        elif attrs.rstrip().endswith("/") and stack[-1].name == name and name in ("svg", "path", "use"):
+        elif attrs.rstrip().endswith("/") and stack[-1].name == name and any(x.name == "svg" for x in stack):
             stack.pop()
     return root
 
@@ -202,18 +219,61 @@ class _Flow:
 
 def _visible(node: Node, seen: bool) -> tuple[bool, bool]:
     """Whether the node is rendered at all, and whether its own text is seen."""
-    a = node.attrs
-    if node.name in HIDDEN or (node.name == "dialog" and not re.search(r"\bopen\b", a, re.I)):
+    if node.name in HIDDEN:
         return False, False
-    if a and _HIDES.search(a) and not _HIDDEN_BUT_UNTIL.search(a):
-        if "visibility" in a.lower() and not re.search(r"display\s*:\s*none", a, re.I):
-            return True, False
+    a = attributes(node.attrs) if node.attrs else {}
+    if node.name == "dialog" and "open" not in a:
         return False, False
-    if not seen and a and _SHOWS.search(a):
-        seen = True
+    if "hidden" in a and a["hidden"].lower() != "until-found":
+        return False, False
+    if style := a.get("style"):
+        found = _style(style)
+        if found.get("display") == "none":
+            return False, False
+        if (kind := found.get("visibility")) in ("hidden", "collapse", "visible"):
+            return True, kind == "visible"
     return True, seen
 
 
+def _below(node: Node, names: set[str], without: set[str]) -> list[Node]:
+    """The outermost elements of these names in a node, in order, but those in elements that are left out."""
+    out, todo = [], list(reversed(node.children))
+    while todo:
+        item = todo.pop()
+        if isinstance(item, Node) and item.name not in without:
+            if item.name in names:
+                out.append(item)
+            else:
+                todo.extend(reversed(item.children))
+    return out
+
+
+def _contents(node: Node) -> list:
+    """What is shown of a node's children: of a select the chosen option, or all of a list box; of svg the drawn text."""
+    if node.name == "svg":
+        return [y for x in _below(node, {"text", "foreignobject"}, UNDRAWN) for y in (" ", x, " ")]
+    if node.name != "select":
+        return node.children
+    a, options = attributes(node.attrs), _below(node, {"option"}, set())
+    if "multiple" not in a and (_number(a.get("size")) or 1) <= 1:
+        of = [(x, attributes(x.attrs)) for x in options]
+        chosen = [x for x, y in of if "selected" in y][-1:] or [x for x, y in of if "disabled" not in y][:1]
+        return [" ", *(y for x in chosen for y in _option(x)), " "]
+    out: list = []
+    for item in _below(node, {"option", "optgroup"}, set()):
+        inner = [item] if item.name == "option" else _below(item, {"option"}, set())
+        if _visible(item, True)[0]:
+            for line in ([] if item.name == "option" else [[attributes(item.attrs).get("label", "")]]) + [_option(x) for x in inner if _visible(x, True)[0]]:
+                out.append(holder := Node("div"))
+                holder.children = line
+    return out
+
+
+def _option(node: Node) -> list:
+    label = attributes(node.attrs).get("label")
+    return [label] if label else node.children
+
+
 def _lines(node: Node, seen: bool, list_gap: int = 2) -> list[str]:
     """The lines that a node's contents take, without the spacing of the node itself; list_gap: of lists in it. It loops
     instead of recursing but for lists, tables and quotes."""
@@ -237,11 +297,14 @@ def _lines(node: Node, seen: bool, list_gap: int = 2) -> list[str]:
         elif name == "hr":
             flow.lines(["---"], 2)
         elif name == "img":
-            if shown and (m := _ALT.search(item.attrs)) and (alt := next(filter(None, m.groups()), "")):
-                flow.add(unescape(alt))
+            if shown and (alt := attributes(item.attrs).get("alt")):
+                flow.add(alt)
         elif name == "input":
-            if shown and not _TYPE_HIDDEN.search(item.attrs) and (m := _VALUE.search(item.attrs)):
-                flow.add(f" {unescape(next(filter(None, m.groups()), ''))} ")
+            a = attributes(item.attrs)
+            if shown and a.get("type", "").lower() not in UNSHOWN_INPUTS and "value" in a:
+                flow.add(f" {a['value']} ")
+        elif name == "textarea":
+            flow.lines(_preformatted(item, shown), 1)
         elif name in ("ul", "ol", "menu", "dir"):
             flow.lines(_list(item, shown), list_gap)
         elif name == "table":
@@ -258,15 +321,15 @@ def _lines(node: Node, seen: bool, list_gap: int = 2) -> list[str]:
             todo.append((gap, True))
             todo.extend((x, shown) for x in reversed(item.children))
         else:
-            todo.extend((x, shown) for x in reversed(item.children))
+            todo.extend((x, shown) for x in reversed(_contents(item)))
     return flow.done()
 
 
 def _list(node: Node, seen: bool) -> list[str]:
     """Items with a dash or a number, what follows in an item indented under it."""
     out: list[str] = []
-    start = _START.search(node.attrs) if node.name == "ol" else None
-    number = int(start[1]) if start else 1
+    start = _number(attributes(node.attrs).get("start")) if node.name == "ol" else None
+    number = 1 if start is None else start
     for item in node.children:
         holder = item if isinstance(item, Node) and item.name == "li" else None
         if holder is None:
@@ -311,8 +374,8 @@ def _table(node: Node, seen: bool) -> list[str]:
                 if isinstance(cell, Node) and cell.name in CELL:
                     here, cell_shown = _visible(cell, shown)
                     if here:
-                        span = _SPAN.search(cell.attrs)
-                        row.append((_lines(cell, cell_shown), max(1, min(1000, int(span[1]))) if span else 1))
+                        span = _number(attributes(cell.attrs).get("colspan"))
+                        row.append((_lines(cell, cell_shown), 1 if span is None else max(1, min(1000, span))))
                 elif not isinstance(cell, str) or cell.strip():
                     loose.children.append(cell)
             rows.append(row)
@@ -358,7 +421,7 @@ def _preformatted(node: Node, seen: bool) -> list[str]:
         else:
             there, shown = _visible(item, shown)
             if there:
-                todo.extend((x, shown) for x in reversed(item.children))
+                todo.extend((x, shown) for x in reversed(_contents(item)))
     lines = "".join(parts).replace("\r\n", "\n").removeprefix("\n").split("\n")
     lines = [x.rstrip() for x in lines]
     while lines and not lines[-1]:
@@ -385,7 +448,7 @@ def render(html: str | None) -> str:
             if there:
                 if item.name in BLOCK or item.name == "br":
                     flow.end(1)
-                todo.extend((x, shown) for x in reversed(item.children))
+                todo.extend((x, shown) for x in reversed(_contents(item)))
         return "\n".join(flow.done())
 
 

@@ -53,3 +53,16 @@ def test_edge_rows(spark):
     got = h.extract_text(df).collect()
     assert sorted(len(r.text) for r in got) == [0, 0, 1, 999_999]
     assert h.extract_text(df.limit(0)).collect() == []
+
+
+def test_hidden_is_an_attribute_of_its_own():
+    page = '<p><a href="/hidden/gems">one</a> <i class="hidden md:block">two</i> <b title="a hidden gem">three</b> <u data-x="style=display:none">four</u><p HIDDEN="">gone<p class=x hidden=hidden>gone<p style="color:red; DISPLAY : none !important">gone<p hidden=until-found>five'
+    assert h.render(page) == "one two three four\n\nfive"
+
+
+def test_text_of_forms_and_drawings_is_shown():
+    assert h.render("a<textarea>\nb &amp; c\n d</textarea>e") == "a\nb & c\n d\ne"
+    assert h.render("a<select><option>b<option selected>c<option>d</select>e") == "a c e"
+    assert h.render("<select><option disabled>a<option>b</select>") == "b"
+    assert h.render("<select multiple><optgroup label=G><option>a<option hidden>x<option>b</select>") == "G\na\nb"
+    assert h.render("<svg><title>x</title><defs><text>x</text></defs><rect width=1 /><g><text>a<tspan>b</tspan></text></g><text>c</text></svg>d") == "ab c d"
