@@ -98,12 +98,33 @@ def target_lag(targets: DataFrame, unit: str, fold: str, columns: list[str], edg
 def spaced(points: DataFrame, unit: str, order: str, metres: float, most: int) -> DataFrame:
     """unit and accepted: an array of the points (lat, lon) taken in order that are at least so far from those before.
 
-    A unit's candidates are a bounded list (what was asked for it), folded in one expression.
+    A unit's candidates are streamed in order, and only the accepted ones are held. Points without a place are left out.
     """
-    lists = points.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(order, "lat", "lon"))).alias("_c"))
-    none = F.array().cast(lists.schema["_c"].dataType)
-    apart = lambda a, p: ~F.exists(a, lambda q: geo.haversine(q["lat"], q["lon"], p["lat"], p["lon"]) < metres)
-    return lists.select(unit, F.aggregate("_c", none, lambda a, p: F.when((F.size(a) < most) & apart(a, p), F.concat(a, F.array(p))).otherwise(a)).alias("accepted"))
+    rows = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(unit, order, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (unit, order)}
+    radius = geo.RADIUS
+
+    def far(a: tuple, p: tuple) -> bool:
+        h = math.sin(math.radians(p[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(p[1])) * math.sin(math.radians(p[2] - a[2]) / 2) ** 2
+        return not 2 * radius * math.asin(math.sqrt(min(1.0, h))) < metres
+
+    def run(batches):
+        now, taken, none = None, [], True
+        for batch in batches:
+            us, orders, lats, lons = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for i, u in enumerate(us):
+                if none or u != now:
+                    now, taken, none = u, [], False
+                if len(taken) < most:
+                    p = (orders[i], lats[i], lons[i])
+                    if all(far(a, p) for a in taken):
+                        taken.append(p)
+                        keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    found = rows.repartition(unit).sortWithinPartitions(unit, order, "lat", "lon").mapInArrow(run, f"`{unit}` {kinds[unit]}, `{order}` {kinds[order]}, lat double, lon double")
+    return found.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(order, "lat", "lon"))).alias("accepted"))
 
 
 def moran(values: DataFrame, unit: str, value: str, edges: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def bbox_centre_radius(spark, sf_dir):
 @query()
 def min_spacing_greedy(spark, sf_dir):
     p = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("unit_id"), F.col("c_custkey").alias("at"), F.expr(_LAT).cast("double").alias("lat"), F.expr(_LON).cast("double").alias("lon"))
-    found = spatial.spaced(p.where("at < 100000"), "unit_id", "at", 2000.0, 15)
+    found = spatial.spaced(p, "unit_id", "at", 2000.0, 15)
     return found.select("unit_id", F.posexplode("accepted").alias("place", "p")).select("unit_id", "place", "p.at", "p.lat", "p.lon")
 
 

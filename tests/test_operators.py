@@ -227,3 +227,22 @@ def test_config():
     assert columns == ["e0", "e1", "g"] and parts == [("embedding", 0, 2), ("ego_gap", 2, 3)]
     assert [r.name for r in config.chosen([config.RunConfig(name="a"), config.RunConfig(name="b")], ["b"])] == ["b"]
     assert metrics.markdown([{"a": 1}], ["a", "b"]).count("|") == 9
+
+
+def test_greedy_spacing_takes_all_keys(spark, tmp_path):
+    from areasignal import plans
+
+    rng = np.random.default_rng(4)
+    keys = [int(k) for k in rng.permutation(np.r_[1:300, 99_990:100_400])]
+    rows = [(k, k % 3 if k < 99_990 else 3 + k % 3) for k in keys]  # units whose keys are all small, and all large
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    want = set()
+    for unit in range(6):
+        taken = []
+        for k in sorted(k for k, u in rows if u == unit):
+            lat, lon = np.radians(55.8 + k % 100 / 1000), np.radians(-4.3 + k % 77 / 500)
+            far = lambda q: 2 * 6371000 * np.arcsin(np.sqrt(np.sin((lat - q[1]) / 2) ** 2 + np.cos(lat) * np.cos(q[1]) * np.sin((lon - q[2]) / 2) ** 2))  # noqa: B023, E731
+            if len(taken) < 15 and all(far(q) >= 2000 for q in taken):
+                want.add((unit, len(taken), k))
+                taken.append((k, lat, lon))
+    assert {(r.unit_id, r.place, r.at) for r in plans.QUERIES["min_spacing_greedy"](spark, str(tmp_path)).collect()} == want
