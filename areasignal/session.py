@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,19 +22,25 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Puts the package's folder on the Python path of the workers that start from now on."""
-    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    """Sends the package to the Python workers, once an application: they need not find it where the driver did."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_areasignal", None) is None:
+        to = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{root.name}.zip")
+        with zipfile.ZipFile(to, "w") as made:
+            for path in sorted(root.rglob("*.py")):
+                made.write(path, path.relative_to(root.parent))
+        context.addPyFile(to)
+        context._areasignal = to
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, but only if all of Spark runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not (found := spark.sparkContext.getCheckpointDir()):
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-            found = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 
