@@ -11,97 +11,105 @@ from pyspark.sql import functions as F
 
 from areasignal.llm.common import arrow_map, written
 
-#: Vectors in a block of the index, queries in a block, blocks of a shard, quantised impacts.
-BLOCK, QUERIES, SHARD, LEVELS = 4096, 256, 16, 6
-#: Products and sums below this are exact in doubles.
-EXACT = float(1 << 53)
+#: Components of a shard's vectors, queries scored together, quantised impacts.
+SHARD, QUERIES, LEVELS = 1 << 20, 64, 8
+#: Sums of products below this are exact in doubles; what a score may be.
+EXACT, LONG = float(1 << 53), (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component as a long; null for a vector that is null or has a null or non-finite component."""
+    """floor(scale * x) of each component as a whole double; null for a vector that is null or has a null or non-finite component."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    whole = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)  # noqa: E731  (larger doubles are whole)
+    return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, lambda x: whole(x.cast("double") * scale)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of longs; shorter ones end in zeros."""
-    rows = [np.asarray(x, np.int64) for x in column.to_pylist()]
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    """Rows of doubles; shorter ones end in zeros."""
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(ends) and (ends == ends[0]).all():
+        return values.reshape(len(ends), -1)
+    out = np.zeros((len(ends), ends.max(initial=0)))
+    out[np.arange(out.shape[1]) < ends[:, None]] = values
     return out
 
 
-def _blocks(df: DataFrame, size: int) -> DataFrame:
-    """Rows (id, q) packed into blocks of at most `size`: n, d, ids, q (bytes of longs)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def pack(last: bool) -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate([h[0] for h in held])
-            d = max(h[1].shape[1] for h in held)
-            q = np.concatenate([np.pad(h[1], ((0, 0), (0, d - h[1].shape[1]))) for h in held])
-            whole = len(ids) if last else len(ids) // size * size
-            for at in range(0, whole, size):
-                i, m = ids[at : at + size], q[at : at + size]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array([len(i)], pa.int32()), pa.array([d], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m).tobytes()], pa.binary())], ["n", "d", "ids", "q"])
-            held[:] = [(ids[whole:], q[whole:])]
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append((batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))))
-                if sum(len(h[0]) for h in held) >= size:
-                    yield from pack(False)
-        if held:
-            yield from pack(True)
-
-    return arrow_map(df, run, "n int, d int, ids binary, q binary")
+def _stacked(parts: list[np.ndarray]) -> np.ndarray:
+    width = max((p.shape[1] for p in parts), default=0)
+    return np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts]) if parts else np.zeros((0, 0))
 
 
 class Index:
-    """A block's postings in segments by quantised impact.
+    """Posting lists of one shard: for each quantised impact, largest first, and each dimension, the vectors whose component
+    there has that impact, with it.
 
-    A segment holds the components, of all vectors and dimensions, whose size lies between two bounds; the largest come
-    first. rest[l] has for each vector the length of what the segments after l hold of it: by Cauchy and Schwarz, a query's
-    length times that bounds what they can still add.
+    rest[l] has for each vector the length of what the segments after l hold of it: by Cauchy and Schwarz, a query's length
+    times that bounds what they can still add. Sums run in single precision over components divided by the largest one;
+    what rounding can take off or add is in rest as well, and members are scored exactly from the components themselves.
     """
 
     def __init__(self, ids: np.ndarray, q: np.ndarray) -> None:
-        self.ids, self.q = ids, q.astype(np.float64)
-        size = np.abs(self.q)
-        bounds = np.unique(np.quantile(size, np.linspace(0, 1, LEVELS + 1)[1:-1])) if size.size else np.zeros(0)
-        level = np.searchsorted(bounds, size)
-        self.segments = [np.where(level == l, self.q, 0.0).T.copy() for l in range(len(bounds), -1, -1)]
-        squares = [np.where(level < l, self.q**2, 0.0).sum(axis=1) for l in range(len(bounds), -1, -1)]
-        self.rest = [np.sqrt(s) * (1 + 1e-9) for s in squares]
-
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the ids and exact scores of all that can be among its k best, given that k of other blocks reach
-        `least`. Segments are added until the bounds prove every other vector out, or none is left."""
-        lengths = np.sqrt((queries**2).sum(axis=1)) * (1 + 1e-9)
-        score = np.zeros((len(queries), len(self.ids)))
-        own = query_ids[:, None] == self.ids[None, :]
-        kth = min(k, len(self.ids)) - 1
-        for segment, rest in zip(self.segments, self.rest):
-            score += queries @ segment
-            slack = lengths[:, None] * rest[None, :]
+        self.ids, self.q = ids, q
+        self.top = float(np.abs(q).max(initial=0)) or 1.0
+        x = q / self.top
+        size = np.abs(x)
+        some = size[size > 0]
+        bounds = np.unique(np.quantile(some, np.linspace(0, 1, LEVELS + 1)[1:-1])) if some.size else np.zeros(0)
+        level = np.where(size > 0, np.searchsorted(bounds, size), -1).T
+        wide = np.ascontiguousarray(x.T, dtype=np.float32)
+        self.segments: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+        self.rest = []
+        rounding = np.sqrt((x**2).sum(axis=1)) * (q.shape[1] + 2) * 2.0**-22
+        for l in range(len(bounds), -1, -1):
+            self.segments.append([(d, at.astype(np.int32), wide[d, at]) for d in range(len(wide)) if len(at := np.flatnonzero(level[d] == l))])
+            self.rest.append((np.sqrt(np.where(level.T < l, x**2, 0.0).sum(axis=1)) * (1 + 1e-9) + rounding).astype(np.float32))
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, list[int]]]:
+        """For each query its k best of the shard by exact score, ties to the smaller id: ids and scores.
+
+        Segments are added in falling order of impact. A query is done as soon as the bounds prove all but a few vectors
+        out of its k best, or no segment is left; then its possible members are scored exactly.
+        """
+        out: list[tuple[np.ndarray, list[int]]] = [(self.ids[:0], [])] * len(queries)
+        width = max(queries.shape[1], self.q.shape[1])
+        exact = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+        top = np.maximum(np.abs(exact).max(axis=1, initial=0), 1e-300)
+        scaled = (exact / top[:, None]).astype(np.float32)
+        lengths = (np.sqrt((scaled.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-6)).astype(np.float32)
+        open_ = np.arange(len(queries))
+        score = np.zeros((len(self.ids), len(queries)), np.float32)
+        own = self.ids[:, None] == query_ids[None, :]
+        for at, (segment, rest) in enumerate(zip(self.segments, self.rest)):
+            weights = scaled[open_]
+            for d, vectors, impacts in segment:
+                score[vectors] += impacts[:, None] * weights[:, d]
+            slack = rest[:, None] * lengths[open_]
+            low = np.where(own[:, open_], -np.inf, score - slack)
             if len(self.ids) > k:
-                low = np.where(own, -np.inf, score - slack)
-                least = np.maximum(least, -np.partition(-low, kth, axis=1)[:, kth])
-            member = (score + slack >= least[:, None]) & ~own
-            if member.sum() <= 4 * k * len(queries):
+                least = np.partition(low, len(low) - k, axis=0)[len(low) - k]
+            else:
+                least = np.full(len(open_), -np.inf, np.float32)
+            member = (score + slack >= least) & ~own[:, open_]
+            done = np.full(len(open_), True) if at == len(self.segments) - 1 else member.sum(axis=0) <= 4 * k
+            for j in np.flatnonzero(done):
+                rows = np.flatnonzero(member[:, j])
+                out[open_[j]] = self._best(rows, exact[open_[j]], k)
+            if done.all():
                 break
-        rows, cols = np.nonzero(member)
-        exact = np.einsum("ij,ij->i", queries[rows], self.q[cols])
-        ends = np.searchsorted(rows, np.arange(len(queries) + 1))
-        return [(self.ids[cols[a:b]], exact[a:b]) for a, b in zip(ends, ends[1:])]
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+            if done.any():
+                open_, score = open_[~done], np.ascontiguousarray(score[:, ~done])
+        return out
+
+    def _best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        width = self.q.shape[1]
+        if self.top * float(np.abs(query).max(initial=0)) * max(1, width) < EXACT:
+            scores = [int(s) for s in self.q[rows] @ query[:width]]
+        else:  # whole numbers of any size
+            of = [int(x) for x in query[:width]]
+            scores = [sum(int(a) * b for a, b in zip(self.q[r].tolist(), of)) for r in rows]
+        scores, ids = [max(-LONG - 1, min(LONG, s)) for s in scores], self.ids[rows].tolist()
+        order = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[i]))[:k]
+        return self.ids[rows[order]], [scores[i] for i in order]
 
 
 def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -110,55 +118,48 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", v
 
     Vectors that are null or hold a null or non-finite component, and null ids, take no part; shorter vectors count as ending
     in zeros. Rows with the query's id are its own and never its candidates; rows alike in id and vector ask once, and each
-    is a candidate. Queries, in blocks, meet every block of the index; a shard of blocks gives its k best for each query.
-    Components may be so large that sums of products stay below 2 ** 53; beyond, it raises an error.
+    is a candidate. Scores are exact for all finite components; one outside a long's range is the nearest long.
+
+    Each row goes to one shard, whose index one task builds and holds; the queries, which alone are repeated, stream past
+    every shard in blocks. A shard gives its k best for each query. An empty table gives no rows.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("q")).where("id is not null and q is not null")
-    blocks = written(_blocks(rows, BLOCK))
-    shards = -(-blocks.count() // SHARD)
-    blocks = blocks.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(max(1, shards))))
-    queries = written(_blocks(rows.where(F.col("id") % every == 0).distinct(), QUERIES).withColumn("asking", F.monotonically_increasing_id()))
-    asked = queries.select("asking", F.col("n").alias("qn"), F.col("d").alias("qd"), F.col("ids").alias("qids"), F.col("q").alias("qq"))
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(1, shards) - 1)).cast("array<bigint>"))).join(blocks, "shard")
-    pairs = pairs.repartition("shard", "asking").sortWithinPartitions("shard", "asking")
+    rows = written(df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("q")).where("id IS NOT NULL AND q IS NOT NULL"))
+    shards = max(1, -(-(rows.agg(F.sum(F.size("q").cast("long"))).first()[0] or 0) // SHARD))
+    indexed = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "q")
+    asked = rows.where(F.col("id") % every == 0).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "q")
+    dealt = indexed.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, found, asks = None, [], np.zeros(0, np.int64)
-        index: dict[bytes, Index] = {}
+        shard, index = None, None
+        ids: list[np.ndarray] = []
+        vectors: list[np.ndarray] = []
 
-        def out() -> pa.RecordBatch:
-            n = [len(f[0]) for f in found]
-            ids, scores = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(asks, n)), pa.array(ids.astype(np.int64)), pa.array(scores.astype(np.int64))], ["query_id", "id", "score"])
+        def answered(asks: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(asks), QUERIES):
+                found = index.search(queries[at : at + QUERIES], asks[at : at + QUERIES], k)
+                n = [len(f[0]) for f in found]
+                scores = pa.array([s for f in found for s in f[1]], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks[at : at + QUERIES], n)), pa.array(np.concatenate([f[0] for f in found])), scores], ["query_id", "id", "score"])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["shard"], r["asking"]) != key:
-                    if key is not None:
-                        yield out()
-                    if key is None or key[0] != r["shard"]:
-                        index.clear()
-                    key = (r["shard"], r["asking"])
-                    asks = np.frombuffer(r["qids"], np.int64)
-                    q = np.frombuffer(r["qq"], np.int64).reshape(r["qn"], r["qd"]).astype(np.float64)
-                    found = [(np.zeros(0, np.int64), np.zeros(0))] * len(asks)
-                if (name := r["ids"]) not in index:
-                    if len(index) > SHARD:
-                        index.clear()
-                    index[name] = Index(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q"], np.int64).reshape(r["n"], r["d"]))
-                block = index[name]
-                d = max(q.shape[1], block.q.shape[1])
-                if block.q.shape[1] < d:
-                    block = index[name] = Index(block.ids, np.pad(block.q, ((0, 0), (0, d - block.q.shape[1]))))
-                wide = np.pad(q, ((0, 0), (0, d - q.shape[1])))
-                if d and np.abs(wide).max(initial=0) * np.abs(block.q).max(initial=0) * d >= EXACT:
-                    raise ValueError("components are too large for exact scores")
-                least = np.array([f[1][-1] if len(f[1]) == k else -np.inf for f in found])
-                new = block.search(wide, asks, k, least)
-                found = [_best(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), k) for a, b in zip(found, new)]
-        if key is not None:
-            yield out()
-
-    best = arrow_map(pairs, run, "query_id long, id long, score long")
+            if not batch.num_rows:
+                continue
+            kinds = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]])
+            bounds = [0, *(np.flatnonzero(np.diff(kinds).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:]):
+                here, asks = kinds[:, a].tolist()
+                part, q = batch.column(2)[a:b].to_numpy(zero_copy_only=False), _matrix(batch.column(3)[a:b])
+                if here != shard:
+                    shard, index, ids, vectors = here, None, [], []
+                if not asks:
+                    ids.append(part)
+                    vectors.append(q)
+                else:
+                    if index is None:
+                        index = Index(np.concatenate(ids), _stacked(vectors)) if ids else Index(np.zeros(0, np.int64), np.zeros((0, 0)))
+                        ids, vectors = [], []
+                    yield from answered(part, q)
+
+    best = arrow_map(dealt, run, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

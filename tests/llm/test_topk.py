@@ -30,9 +30,8 @@ def test_against_brute_force(spark, monkeypatch):
     rows = [(i, [float(x) for x in (centres[i % 5] + rng.normal(size=8))]) for i in range(400)]
     rows += [(1000 + i, [1.0] * 8) for i in range(60)]  # ties
     assert run(spark, rows) == brute(rows, 20, 20)
-    monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "QUERIES", 7)
-    monkeypatch.setattr(topk, "SHARD", 2)
+    monkeypatch.setattr(topk, "SHARD", 512)  # several shards of about 64 vectors
     assert run(spark, rows) == brute(rows, 20, 20)
 
 
@@ -42,3 +41,28 @@ def test_edge_rows(spark):
     assert run(spark, rows) == brute(rows, 20, 20)
     assert run(spark, []) == [] and run(spark, [(20, [1.0])]) == []
     assert run(spark, [(20, [1.0]), (1, [2.0])]) == [(20, 1, 1, 8192)]
+
+
+def test_components_of_any_size(spark):
+    big = [(0, [1e30, -1e20, 3.0]), (20, [1e30, 2.0, -1e9]), (1, [1e-30, 7.0, 2.0]), (2, [3e12, 1e12, 5.0]), (3, [-1e38, 1.0, 1.0])]
+    most = (1 << 63) - 1
+    near = {(q, i): max(-most - 1, min(most, s)) for q, _, i, s in brute(big, 20, 20)}
+    want = [(q, r + 1, i, -s) for q in (0, 20) for r, (s, i) in enumerate(sorted((-s, i) for (a, i), s in near.items() if a == q))]
+    assert run(spark, big) == want
+
+
+def test_stops_on_proof():
+    """A vector ahead of all others by its largest components is proven before the small ones are added."""
+    rng = np.random.default_rng(3)
+    q = np.rint(rng.normal(size=(4000, 16)))
+    q[:30] *= 50
+    index, seen = topk.Index(np.arange(4000), q), []
+    best = topk.Index._best
+    query = q[:1].copy()
+    index._best = lambda rows, x, k: seen.append(len(rows)) or best(index, rows, x, k)
+    (ids, scores), = index.search(query, np.array([0]), 5)
+    exact = q @ query[0]
+    exact[0] = -np.inf
+    assert scores == sorted(exact.tolist(), reverse=True)[:5] and seen[0] < 40
+    lists = [v for segment in index.segments for v in segment]
+    assert sum(len(at) for _, at, _ in lists) == np.count_nonzero(q)
