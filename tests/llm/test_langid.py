@@ -33,19 +33,30 @@ def brute(train, text):
     return total
 
 
+def built(texts, docs):
+    rows = [(lang, g, n) for lang, grams, times in langid._grams(texts) for g, n in zip(grams.tolist(), times.tolist())]
+    return langid.build([r[0] for r in rows], *(np.array([r[i] for r in rows], np.int64) for i in (1, 2)), docs)
+
+
 def test_code_lengths_against_brute_force():
-    train = {"a": ["the cat sat on the mat", "the hat and the cat"] * 2, "b": ["le chat est sur le tapis", "la tête du chat"] * 2}  # contexts seen once are pruned
-    grams = [(lang, g, n) for lang in train for (_, g), n in langid._grams([(lang, t) for t in train[lang]]).items()]
-    trees = langid.build(grams, {"a": 2, "b": 2})
-    for text in ("the cat", "le chat la", "zzz", "", "Cat THE 42"):
+    train = {"a": ["the cat sat on the mat", "the hat and the cat", "once"], "b": ["le chat est sur le tapis", "la tête du chat", "кот сидит", "猫は座る"]}
+    trees = built([(lang, t) for lang in train for t in train[lang]], {"a": 2, "b": 2})
+    for text in ("the cat", "le chat la", "zzz", "", "Cat THE 42", "кот и пёс", "\x00\x7f", "on the on the mat"):
         got = (trees.lengths([text])[0] - trees.prior) / langid.UNITS
         want = [brute(train[x], text) for x in ("a", "b")]
-        assert np.allclose(got, want, atol=0.02 * max(1, len(text))), (text, got, want)
+        assert np.allclose(got, want, atol=0.01 * max(1, len(text.encode()))), (text, got, want)
+
+
+def test_places_of_numbers():
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 32, 5000))
+    places = langid._Places(keys)
+    asked = np.concatenate([keys, keys + 1])
+    want = [int(np.searchsorted(keys, x)) if x in set(keys.tolist()) else len(keys) for x in asked.tolist()]
+    assert places.of(asked).tolist() == want and langid._Places(keys[:0]).of(asked[:2]).tolist() == [0, 0]
 
 
 def test_long_texts_go_on_with_their_context(monkeypatch):
-    grams = [("a", g, n) for (_, g), n in langid._grams([("a", "one two three four " * 9)]).items()]
-    trees = langid.build(grams, {"a": 1})
+    trees = built([("a", "one two three four " * 9)], {"a": 1})
     text = "one three two five " * 50
     whole = trees.lengths([text, "x", text])
     monkeypatch.setattr(langid, "AT_ONCE", 64)
