@@ -49,6 +49,25 @@ def test_copied_examples_and_live_values(spark):
     assert hidden[9] == "my token = <SECRET> end" and hidden[3] == rows[3][1] and hidden[11] == rows[-1][1]
 
 
+def test_repositories_of_one_owner(spark):
+    """A value in more repositories than max_repos is a copied template's, though one owner has them all."""
+    value, other = "9f8e7d6c5b4a39281706f5e4", "1a2b3c4d5e6f708192a3b4c5"
+    rows = [(i, f"token = {value}", f"one/repo{i}") for i in range(6)] + [(10 + i, f"token = {other}", f"two/repo{i % 3}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    assert got[0].n_live == 0 and got[0].n_example == 2 and {(s.owners, s.repos) for s in got[0].ownership} == {(1, 6)}
+    assert got[10].n_live == 2 and {(s.owners, s.repos, s.live) for s in got[10].ownership} == {(1, 3, True)}
+    assert {r.n_live for r in secrets.scan_secrets(df, max_repos=2).collect()} == {0}
+
+
+def test_no_value_is_written(spark, monkeypatch):
+    tables, write = [], secrets.written
+    monkeypatch.setattr(secrets, "written", lambda df, **more: tables.append(write(df, **more)) or tables[-1])
+    value = "9f8e7d6c5b4a39281706f5e4"
+    secrets.scan_secrets(spark.createDataFrame([(1, f"token = {value}", "a/b")], "doc_id long, text string, source string")).collect()
+    assert tables and not any(value in str(r) for t in tables for r in t.collect())
+
+
 def test_edge_rows(docs, none):
     got = secrets.scan_secrets(docs).collect()
     assert len(got) == 11
@@ -57,6 +76,8 @@ def test_edge_rows(docs, none):
     assert secrets.scan_secrets(none).collect() == [] and secrets.redacted(none).collect() == []
     out = secrets.redacted(docs)
     assert out.columns == docs.columns and out.count() == 11
+    clash = docs.select("doc_id", "text", "source", *(F.lit("mine").alias(c) for c in ("__id", "__body", "__spans", "__row", "__source")))
+    assert {tuple(r)[3:] for r in secrets.redacted(clash).collect()} == {("mine",) * 5}
     assert out.where("doc_id = 9").first().text == 'token = "<SECRET>" and more'
     assert hashlib.sha256(b"").hexdigest() == secrets.scan_secrets(docs).where("doc_id = 8").select(F.sha2(secrets.spans_text(F.col("base")), 256).alias("h")).first().h
 
