@@ -84,20 +84,22 @@ def to_postfix(text: str) -> list[str] | None:
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], bool] | None:
-    """The licences named, and whether some choice allowed by the expression has permissive licences alone."""
-    stack: list[tuple[set[str], bool, str]] = []
+    """The licences named, and whether some choice allowed by the expression has permissive licences alone. What stands
+    after `with` is the name of an exception; None if more than one name stands there."""
+    stack: list[tuple[set[str], bool]] = []
     for token in postfix:
         if token not in BINDS:
-            stack.append(({token.rstrip("+")}, token.rstrip("+") in PERMISSIVE, token))
+            name = token.rstrip("+")
+            stack.append(({name}, name in PERMISSIVE))
             continue
-        (right, right_ok, name), (left, left_ok, _) = stack.pop(), stack.pop()
+        (right, right_ok), (left, left_ok) = stack.pop(), stack.pop()
         if token == "with":
             if len(right) != 1:
                 return None
-            stack.append(({f"{x} with {name}" for x in left}, left_ok, ""))
+            stack.append(({f"{x} with {y}" for x in left for y in right}, left_ok))
         else:
-            stack.append((left | right, left_ok or right_ok if token == "or" else left_ok and right_ok, ""))
-    return stack[0][:2]
+            stack.append((left | right, left_ok or right_ok if token == "or" else left_ok and right_ok))
+    return stack[0]
 
 
 def automaton() -> ahocorasick.Automaton:

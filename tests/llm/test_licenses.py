@@ -1,3 +1,4 @@
+import random
 import re
 
 from areasignal.llm import licenses as lic
@@ -38,6 +39,29 @@ def test_shunting_yard():
     assert got["expressions"] == ["mit apache-2.0 or"] and got["permissive"] and got["score"] == 1.0 and got["labels"] == ["apache-2.0", "mit"]
 
 
+def expression(rng, depth):
+    """A random expression as text, its licences and whether a choice of permissive ones is allowed, by recursion."""
+    kind = rng.choice(["name", "or", "and", "with"]) if depth else "name"
+    if kind == "name":
+        name = rng.choice(["MIT", "GPL-3.0", "Apache-2.0", "ISC", "AGPL-3.0", "LGPL-2.1+"])
+        plain = name.lower().rstrip("+")
+        return name, {plain}, plain in lic.PERMISSIVE
+    left = expression(rng, depth - 1)
+    if kind == "with":
+        return f"({left[0]}) WITH an-exception", {f"{x} with an-exception" for x in left[1]}, left[2]
+    right = expression(rng, depth - 1)
+    return f"({left[0]}) {kind.upper()} ({right[0]})", left[1] | right[1], left[2] or right[2] if kind == "or" else left[2] and right[2]
+
+
+def test_expressions_against_recursion():
+    rng = random.Random(4)
+    for _ in range(300):
+        text, names, permissive = expression(rng, 4)
+        assert lic.evaluate(lic.to_postfix(text)) == (names, permissive), text
+    assert lic.evaluate(lic.to_postfix("a WITH (b WITH c)")) == ({"a with b with c"}, False)
+    assert lic.evaluate(lic.to_postfix("a WITH (b OR c)")) is None
+
+
 def test_edge_rows(docs, none):
     got = lic.scan_licenses(docs).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
