@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from html import unescape
 from unicodedata import east_asian_width
 
@@ -77,6 +78,7 @@ def parse(html: str) -> Node:
     """
     root = Node("html")
     stack = [root]
+    open_: Counter[str] = Counter()  # of the stack: a search for a name that isn't there is left out
     at, n = 0, len(html)
 
     def text(s: str) -> None:
@@ -88,12 +90,19 @@ def parse(html: str) -> Node:
         stack[-1].children.append(node)
         if name not in VOID:
             stack.append(node)
+            open_[name] += 1
+
+    def cut(k: int) -> None:
+        open_.subtract(x.name for x in stack[k:])
+        del stack[k:]
 
     def close(names: set[str], walls: set[str]) -> bool:
         """Closes the nearest open element of these names, with all in it, unless a wall comes before it."""
+        if not any(open_[x] for x in names):
+            return False
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
-                del stack[k:]
+                cut(k)
                 return True
             if stack[k].name in walls:
                 return False
@@ -114,7 +123,7 @@ def parse(html: str) -> Node:
                 push("br")
             elif name == "p" and not close({"p"}, WALL):
                 push("p")
-                stack.pop()
+                cut(len(stack) - 1)
             elif name in CELL or name in ("tr", "tbody", "thead", "tfoot", "caption"):
                 close({name}, {"table"})
             elif name in ("table", "html", "body"):
@@ -128,7 +137,7 @@ def parse(html: str) -> Node:
         if name == "body":
             close({"head"}, set())
         elif stack[-1].name == "head" and name not in HEAD_ONLY:
-            stack.pop()
+            cut(len(stack) - 1)
         if name in ENDS_P:
             close({"p"}, WALL | {"button"})
         if name in CLOSES:
@@ -149,9 +158,9 @@ def parse(html: str) -> Node:
             elif text_end > at:
                 stack[-1].children.append(html[at:text_end])
             at = end.end() if end else n
-            stack.pop()
-        elif attrs.rstrip().endswith("/") and stack[-1].name == name and any(x.name == "svg" for x in stack):
-            stack.pop()
+            cut(len(stack) - 1)
+        elif attrs.rstrip().endswith("/") and stack[-1].name == name and open_["svg"]:
+            cut(len(stack) - 1)
     return root
 
 
@@ -274,9 +283,25 @@ def _option(node: Node) -> list:
     return [label] if label else node.children
 
 
-def _lines(node: Node, seen: bool, list_gap: int = 2) -> list[str]:
-    """The lines that a node's contents take, without the spacing of the node itself; list_gap: of lists in it. It loops
-    instead of recursing but for lists, tables and quotes."""
+#: What asks for other nodes' lines while it lays out its own: `_laid_out` keeps those that wait, so depth isn't bounded.
+Layout = Generator["Layout", list[str], list[str]]
+
+
+def _laid_out(first: Layout) -> list[str]:
+    """What a layout returns, with each layout that it yields run before it goes on."""
+    waiting, given = [first], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(given))
+            given = None
+        except StopIteration as done:
+            given = done.value
+            waiting.pop()
+    return given
+
+
+def _lines(node: Node, seen: bool, list_gap: int = 2) -> Layout:
+    """The lines that a node's contents take, without the spacing of the node itself; list_gap: of lists in it."""
     flow = _Flow()
     todo: list[tuple] = [(x, seen) for x in reversed(node.children)]
     while todo:
@@ -306,15 +331,15 @@ def _lines(node: Node, seen: bool, list_gap: int = 2) -> list[str]:
         elif name == "textarea":
             flow.lines(_preformatted(item, shown), 1)
         elif name in ("ul", "ol", "menu", "dir"):
-            flow.lines(_list(item, shown), list_gap)
+            flow.lines((yield _list(item, shown)), list_gap)
         elif name == "table":
-            flow.lines(_table(item, shown), 2)
+            flow.lines((yield _table(item, shown)), 2)
         elif name == "pre":
             flow.lines(_preformatted(item, shown), 2)
         elif name == "blockquote":
-            flow.lines([f"> {x}".rstrip() for x in _lines(item, shown)], 2)
+            flow.lines([f"> {x}".rstrip() for x in (yield _lines(item, shown))], 2)
         elif name == "dd":
-            flow.lines([f"  {x}".rstrip() for x in _lines(item, shown)], 1)
+            flow.lines([f"  {x}".rstrip() for x in (yield _lines(item, shown))], 1)
         elif name in BLOCK:
             gap = 2 if name in PARAGRAPH else 1
             flow.end(gap)
@@ -325,7 +350,7 @@ def _lines(node: Node, seen: bool, list_gap: int = 2) -> list[str]:
     return flow.done()
 
 
-def _list(node: Node, seen: bool) -> list[str]:
+def _list(node: Node, seen: bool) -> Layout:
     """Items with a dash or a number, what follows in an item indented under it."""
     out: list[str] = []
     start = _number(attributes(node.attrs).get("start")) if node.name == "ol" else None
@@ -337,10 +362,10 @@ def _list(node: Node, seen: bool) -> list[str]:
             holder.children = [item]
             if isinstance(item, Node) and item.name in ("ul", "ol", "menu"):
                 there, shown = _visible(item, seen)
-                out += [f"  {x}".rstrip() for x in _list(item, shown)] if there else []
+                out += [f"  {x}".rstrip() for x in (yield _list(item, shown))] if there else []
                 continue
         there, shown = _visible(holder, seen)
-        lines = _lines(holder, shown, 1) if there else []
+        lines = (yield _lines(holder, shown, 1)) if there else []
         if holder is item and there:
             mark = f"{number}. " if node.name == "ol" else "- "
             number += 1
@@ -350,7 +375,7 @@ def _list(node: Node, seen: bool) -> list[str]:
     return out
 
 
-def _table(node: Node, seen: bool) -> list[str]:
+def _table(node: Node, seen: bool) -> Layout:
     """Rows with cells padded to the width of their column; a cell's lines stay in it. Captions come first. A table in
     a cell, or one of a single column, is laid out as blocks."""
     captions: list[str] = []
@@ -367,7 +392,7 @@ def _table(node: Node, seen: bool) -> list[str]:
         if not there:
             continue
         if item.name == "caption":
-            captions += _lines(item, shown)
+            captions += yield _lines(item, shown)
         elif item.name == "tr":
             row = []
             for cell in item.children:
@@ -375,7 +400,7 @@ def _table(node: Node, seen: bool) -> list[str]:
                     here, cell_shown = _visible(cell, shown)
                     if here:
                         span = _number(attributes(cell.attrs).get("colspan"))
-                        row.append((_lines(cell, cell_shown), 1 if span is None else max(1, min(1000, span))))
+                        row.append(((yield _lines(cell, cell_shown)), 1 if span is None else max(1, min(1000, span))))
                 elif not isinstance(cell, str) or cell.strip():
                     loose.children.append(cell)
             rows.append(row)
@@ -383,7 +408,7 @@ def _table(node: Node, seen: bool) -> list[str]:
             todo.extend((x, shown) for x in reversed(item.children))
         else:
             loose.children.append(item)
-    out = [*captions, *_lines(loose, seen)]  # text outside cells is shown before the table
+    out = [*captions, *(yield _lines(loose, seen))]  # text outside cells is shown before the table
     rows = [r for r in rows if any(c for c, _ in r)]
     if rows and max(len(r) for r in rows) == 1:
         for r in rows:
@@ -430,26 +455,8 @@ def _preformatted(node: Node, seen: bool) -> list[str]:
 
 
 def render(html: str | None) -> str:
-    """All visible text of a page; of null, an empty text. Elements nested deeper than Python's calls allow are shown as
-    one flow of text."""
-    if not html:
-        return ""
-    root = parse(html)
-    try:
-        return "\n".join(_lines(root, True))
-    except RecursionError:
-        flow, todo = _Flow(), [(root, True)]
-        while todo:
-            item, shown = todo.pop()
-            if isinstance(item, str):
-                flow.add(item if shown else "")
-                continue
-            there, shown = _visible(item, shown)
-            if there:
-                if item.name in BLOCK or item.name == "br":
-                    flow.end(1)
-                todo.extend((x, shown) for x in reversed(_contents(item)))
-        return "\n".join(flow.done())
+    """All visible text of a page, however deep its elements are nested; of null, an empty text."""
+    return "\n".join(_laid_out(_lines(parse(html), True))) if html else ""
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
