@@ -93,23 +93,23 @@ class RuleEnsemble:
 def _tree(bins: np.ndarray, cuts: list[np.ndarray], target: np.ndarray, features: np.ndarray, depth: int, least: int) -> list[tuple[tuple[int, bool, float], ...]]:
     """The paths to all nodes of a regression tree with least squares, and its fit by way of `target`, which it reduces."""
     paths, todo = [], [((), np.arange(len(target)))]
+    k = max(len(c) for c in cuts) + 1
+    cell = bins[:, features] + np.arange(len(features)) * k  # all features' bins side by side
     while todo:
         path, rows = todo.pop()
-        y, best = target[rows], (1e-9, None)
+        y, best = target[rows], None
         if len(path) < depth and len(rows) >= 2 * least:
-            for j in features:
-                k = len(cuts[j]) + 1
-                n = np.cumsum(np.bincount(bins[rows, j], minlength=k))[:-1]
-                s = np.cumsum(np.bincount(bins[rows, j], y, minlength=k))[:-1]
-                ok = (n >= least) & (len(rows) - n >= least)
-                if ok.any():
-                    gain = np.where(ok, s**2 / np.maximum(n, 1) + (y.sum() - s) ** 2 / np.maximum(len(rows) - n, 1) - y.sum() ** 2 / len(rows), 0)
-                    if gain.max() > best[0]:
-                        best = (gain.max(), (j, int(gain.argmax())))
-        if best[1] is None:
+            at = cell[rows].ravel()
+            n = np.cumsum(np.bincount(at, minlength=len(features) * k).reshape(-1, k), axis=1)[:, :-1]
+            s = np.cumsum(np.bincount(at, np.repeat(y, len(features)), minlength=len(features) * k).reshape(-1, k), axis=1)[:, :-1]
+            ok = (n >= least) & (len(rows) - n >= least)
+            gain = np.where(ok, s**2 / np.maximum(n, 1) + (y.sum() - s) ** 2 / np.maximum(len(rows) - n, 1) - y.sum() ** 2 / len(rows), 0)
+            if gain.max(initial=0.0) > 1e-9:
+                best = np.unravel_index(int(gain.argmax()), gain.shape)
+        if best is None:
             target[rows] -= 0.3 * y.mean()
             continue
-        j, c = best[1]
+        j, c = features[best[0]], best[1]
         low = bins[rows, j] <= c
         for above, part in ((False, rows[low]), (True, rows[~low])):
             paths.append((*path, (int(j), above, float(cuts[j][c]))))
@@ -144,19 +144,22 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, mos
 
     def lasso(chosen: list, weight: float, steps: int = 400) -> tuple[np.ndarray, float]:
         """FISTA; the bias has no penalty."""
-        a = np.stack([f for _, f in chosen], axis=1).astype(np.float64)
-        mean = a.mean(axis=0)
-        a -= mean
-        rate = 4 * len(y) / np.linalg.norm(a, 2) ** 2
+        a = np.stack([f for _, f in chosen], axis=1).astype(np.float32)
+        mean = a.mean(axis=0, dtype=np.float64)
+        a -= mean.astype(np.float32)
+        rate = 4 * len(y) / (float(np.linalg.eigvalsh((a.T @ a).astype(np.float64))[-1]) + 1e-9)
         w = v = np.zeros(a.shape[1])
         b, t = bias, 1.0
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-(a @ v + b)))
+            p = 1 / (1 + np.exp(-(a @ v.astype(np.float32) + b)))
             b -= 2.0 * float((p - y).mean())
-            new = v - rate * (a.T @ (p - y)) / len(y)
+            new = v - rate * (a.T @ (p - y).astype(np.float32)) / len(y)
             new = np.sign(new) * np.maximum(np.abs(new) - rate * weight, 0)
             t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            moved = float(np.abs(new - w).max())
             w, v, t = new, new + (t - 1) / t2 * (new - w), t2
+            if moved < 1e-5:
+                break
         return w, b - float(mean @ w)
 
     w, _ = lasso(rules, penalty)
