@@ -122,22 +122,23 @@ def copies(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     Each document has target / source_size expected copies; the whole ones are given, the fraction is rounded. Documents
     of a source are dealt by hash into groups of about LEAF, each of which leaves at most one residual; residuals of FAN
     groups meet on each level above, and the last one of a source is rounded by its own draw: a source's words miss the
-    target by less than one document. Draws and groups are hashes of id, text and seed, so reruns agree, and repeated rows
-    differ only in which of them takes a copy. Null sources are one source. Empty texts weigh nothing and get the whole
-    copies only. An empty table gives no rows.
+    target by less than one document. Draws and groups are hashes of id, text and seed, so reruns agree. Repeated rows (of
+    one id, text and source) are one item of all their copies, dealt to them as evenly as whole copies go; so is what has no
+    fraction to round, empty texts among it: it meets in no group. Null sources are one source. An empty table gives no rows.
     """
     ship(df.sparkSession)
     rows = written(sizes(df, id_col, source_col, text_col), narrow=True)
     goal = written(targets(rows, cycle, most))
-    deal = F.broadcast(goal) if goal.count() <= 50_000 else goal  # a few MB; more sources are joined by a shuffle
-    joined = rows.join(deal.withColumnRenamed("source", "of"), rows.source.eqNullSafe(F.col("of"))).drop("of", "weight")
-    want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.least(F.floor(want + 1e-12), F.lit(int(most)))
+    items = rows.groupBy("id", "body", "source", "size").agg(F.count("*").alias("rows"))
+    joined = items.join(goal.withColumnRenamed("source", "of"), items.source.eqNullSafe(F.col("of"))).drop("of", "weight")
+    want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("rows")).otherwise(0.0)
+    whole = F.least(F.floor(want + 1e-12), F.lit(int(most)) * F.col("rows"))
     rate = F.when(F.col("size") > 0, F.greatest(want - whole, F.lit(0.0))).otherwise(0.0)
     groups = F.ceil(F.col("n_docs") / LEAF)
-    open_ = joined.withColumns({"n": whole.cast("long"), "mass": rate, "node": F.pmod(F.xxhash64("id", "body", F.lit(seed)), groups)}).drop("n_docs")
-    nodes, depth, done = goal.agg(F.max(groups)).first()[0] or 1, 0, []
-    schema = open_.schema.simpleString()[len("struct<") : -1] + ",open:boolean"
+    ready = joined.withColumns({"n": whole.cast("long"), "mass": rate, "node": F.pmod(F.xxhash64("id", "body", F.lit(seed)), groups)}).drop("n_docs")
+    ready = written(ready)
+    open_, nodes, depth, done = ready.where("mass > 0"), goal.agg(F.max(groups)).first()[0] or 1, 0, [ready.where("mass <= 0").withColumn("open", F.lit(False))]
+    schema = ready.schema.simpleString()[len("struct<") : -1] + ",open:boolean"
     while True:
         level = written(open_.groupBy("source", "node").applyInArrow(_rounded(seed, depth, nodes == 1), schema))
         done.append(level.where("not open"))
@@ -148,16 +149,21 @@ def copies(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
-    return out.select("id", "body", "source", "size", "source_size", "target", "n", (F.col("n") * F.col("size")).alias("taken"))
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.col("rows")), lambda i: F.floor(F.col("n") / F.col("rows")) + (i <= F.col("n") % F.col("rows")).cast("long"))).alias("n")
+    return out.select("id", "body", "source", "size", "source_size", "target", each).withColumn("taken", F.col("n") * F.col("size"))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with the columns of df. Rows alike in id and text are taken
-    together: one of them as often as all. Counts grow with the texts, so both sides are dealt by key at every size."""
-    by = copies(df, id_col, source_col, text_col, seed).groupBy(F.col("id").alias("__id"), F.col("body").alias("__body"))
+    """The mix itself: every row as often as it is taken, with the columns of df, told apart by their place. Rows alike in id
+    and text are taken together: one of them as often as all. Counts grow with the texts, so both sides are dealt by key at
+    every size."""
+    names = [f"__{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    key, source, text = (names[df.columns.index(c)] for c in (id_col, source_col, text_col))
+    by = copies(plain, key, source, text, seed).groupBy(F.col("id").alias("__id"), F.col("body").alias("__body"))
     counts = written(by.agg(F.sum("n").cast("int").alias("__n"), F.count("*").alias("__rows")).where("__n > 0"))
-    rows = df.withColumn("__key", body_of(text_col))
-    found = rows.join(counts.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body")))
+    rows = plain.withColumn("__key", body_of(text))
+    found = rows.join(counts.hint("merge"), F.col(key).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body")))
     if counts.where("__rows > 1").take(1):
-        found = found.where("__rows = 1").union(found.where("__rows > 1").dropDuplicates([id_col, "__key"]))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*df.columns)
+        found = found.where("__rows = 1").union(found.where("__rows > 1").dropDuplicates([key, "__key"]))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*names).toDF(*df.columns)
