@@ -1,25 +1,14 @@
-"""What the operators of this subpackage share: shipping, lineage cuts and hashes."""
+"""What the operators of this subpackage share: lineage cuts and hashes."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The folder that holds the package; Python workers need it on their path.
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ship(spark: SparkSession) -> None:
-    """Puts the package's folder on the Python path of the workers that start from now on."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
+from areasignal.session import shared_folder, ship
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
@@ -28,16 +17,6 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
     return df.mapInArrow(fn, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not (found := spark.sparkContext.getCheckpointDir()):
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-            found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 def written(df: DataFrame, narrow: bool = False) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
 

@@ -103,7 +103,7 @@ def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     a copy of the row that comes after it (tail = 1): bucket, tail, id, text.
 
     The bounds of the buckets are quantiles of the ids (numbers; null comes first); bounds and first ids, of which there
-    are as many as buckets, are all that the driver collects. One shuffle moves the texts.
+    are as many as buckets, are all that the driver collects. One shuffle moves the texts, buckets of one range to one task.
     """
     spark = df.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -117,7 +117,7 @@ def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     joined = rows.join(F.broadcast(starts), F.col("id").eqNullSafe(F.col("start")), "left")
     place = lambda b, t: F.struct(b.cast("int").alias("bucket"), F.lit(t).alias("tail"))
     places = F.when(F.col("to").isNull(), F.array(place(F.col("bucket"), 0))).otherwise(F.array(place(F.col("bucket"), 0), place(F.col("to"), 1)))
-    return joined.select("id", "text", F.explode(places).alias("p")).select("p.bucket", "p.tail", "id", "text").repartition("bucket").sortWithinPartitions("bucket", "tail", "id", "text")
+    return joined.select("id", "text", F.explode(places).alias("p")).select("p.bucket", "p.tail", "id", "text").repartitionByRange("bucket").sortWithinPartitions("bucket", "tail", "id", "text")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

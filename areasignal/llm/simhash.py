@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,10 @@ from areasignal.llm.common import arrow_map, kind_of, written
 #: Words of a shingle, differing bits of a link, seed of the hash.
 WORDS, BITS, SEED = 4, 4, 42
 #: Of similar texts: words of a shingle; bands of so many permutations each, of which one must agree for a pair to be compared.
-NEAR_WORDS, BANDS, ROWS = 5, 60, 7
-#: Of runs over SHORT_RUN: members after each one that are compared before what is left between components is.
-AFTER = 2
-#: Runs of fingerprints at one anchor up to this length are compared pair by pair, longer ones by a search from member to member.
+NEAR_WORDS, BANDS, ROWS = 5, 42, 7
+#: Members of a part of a long run.
+PART = 4096
+#: Runs of fingerprints at one anchor up to this length are compared pair by pair, longer ones by blocks of bits.
 SHORT_RUN = 32
 _BIT = np.array([[v >> (7 - b) & 1 for b in range(8)] for v in range(256)], np.int64)
 
@@ -157,21 +158,45 @@ def _search(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _short(key: np.ndarray, fps: np.ndarray, most: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links among the members of each run of equal keys of at most so many members."""
+    out = []
+    for k in range(1, most):
+        if len(key) <= k or not (same := key[k:] == key[:-k]).any():
+            break
+        at = np.flatnonzero(same)
+        near = _apart(fps[at], fps[at + k]) <= bits
+        out.append((fps[at][near], fps[at + k][near]))
+    return out
+
+
+def _long(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what lies within so many bits in a long run: cut into one block of bits more than may differ, two
+    such fingerprints agree in a whole block, so only those are compared; by search where many agree in that too."""
+    out, blocks = [], bits + 1
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    for low, high in zip(edges, edges[1:]):
+        key = fps[:, 0] >> np.uint64(low) & np.uint64((1 << high - low) - 1)
+        order = np.argsort(key, kind="stable")
+        key, part = key[order], fps[order]
+        bounds = np.flatnonzero(np.diff(key)) + 1
+        starts, lengths = np.r_[0, bounds], np.diff(np.r_[0, bounds, len(key)])
+        for s, n in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN]):
+            out += _search(part[s : s + n], bits)
+        keep = np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths)
+        out += _short(key[keep], part[keep], SHORT_RUN, bits)
+    return out
+
+
 def _links(anchor: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
     """Pairs of fingerprints (by their first part) at one anchor, in sorted runs, that connect what lies within so many bits."""
     bounds = np.flatnonzero(np.diff(anchor)) + 1
     starts, lengths = np.r_[0, bounds], np.diff(np.r_[0, bounds, len(anchor)])
     pairs = []
     for s, n in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN]):
-        pairs += _search(fps[s : s + n], bits)
+        pairs += _long(fps[s : s + n], bits)
     keep = np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths)
-    a, f = anchor[keep], fps[keep]
-    for k in range(1, SHORT_RUN):
-        if len(a) <= k or not (same := a[k:] == a[:-k]).any():
-            break
-        at = np.flatnonzero(same)
-        near = _apart(f[at], f[at + k]) <= bits
-        pairs.append((f[at][near], f[at + k][near]))
+    pairs += _short(anchor[keep], fps[keep], SHORT_RUN, bits)
     if not pairs:
         return np.empty((0, 2), np.int64)
     x, y = (np.ascontiguousarray(np.concatenate([p[i] for p in pairs])[:, 0]).view(np.int64) for i in (0, 1))
@@ -275,131 +300,260 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fp and component_id as near_duplicates, over links of similarity 0.8 or more of five-word shingles.
 
-    fp is of the set of shingles. Pairs that agree in a band are candidates: a pair of similarity 0.8 is one but for
-    (1 - 0.8 ** ROWS) ** BANDS, 7 in 10 million, and the more alike the surer, whatever was edited, cut off or put on.
-    Only candidates whose texts have that similarity, counted exactly, are links.
+    fp is of the set of shingles. Candidates are what `links` finds at the anchors of the texts' SimHash, and, as texts of that
+    similarity differ in more bits than the covering reaches, pairs that agree in a band of MinHash: a pair of similarity
+    0.8 is missed by (1 - 0.8 ** ROWS) ** BANDS, 8 in 100,000, whatever was edited, cut off or put on, more alike ones more
+    rarely. Only candidates whose texts have that similarity, counted exactly, are links.
+
+    Runs of more than SHORT_RUN texts in a band are split into parts of about PART. There, texts are linked with a hub in the
+    middle of the part, and hubs of all parts with each other; then what is still outside a run's largest component streams
+    past every part, and what bitmaps can't prove to be less similar is compared by text. So no task holds a large run or
+    makes all its pairs, and no link is left out.
     """
     docs = written(_sketched(df, id_col, text_col), narrow=True)
     pick = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "body"))
-    nodes = written(docs.groupBy("fp").agg(pick.alias("pick"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")).select("fp", F.col("pick.id").alias("least"), "pick.body", "n", "keys"))
-    met = written(_met(nodes.select(F.explode("keys").alias("key"), "fp", "n"), _first_pairs, "key long, u long, v long, n long"))
-    pairs = written(met.where("v IS NOT NULL").select("u", "v").distinct())
+    first = docs.groupBy("fp").agg(pick.alias("pick"), *(F.any_value(c).alias(c) for c in ("n", "keys", "sim", "bits")))
+    nodes = written(first.select("fp", F.col("pick.id").alias("least"), "pick.body", "n", "keys", "sim", "bits"))
+    met = written(arrow_map(nodes.select(F.explode("keys").alias("key"), "fp", "n").repartition("key").sortWithinPartitions("key", "fp"), _runs, "key long, u long, v long"))
+    sized, pairs = nodes.select("fp", "n", "bits"), met.where("v IS NOT NULL").select("u", "v").union(_by_simhash(nodes))
+    members = met.where("v IS NULL").select("key", F.col("u").alias("fp"))
+    parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    long = written(members.join(parts, "key").join(sized, "fp").select("key", "parts", part.alias("part"), "fp", "n", "bits"))
+    some = bool(long.take(1))
+    if some:
+        stars = written(_by_group(long, F.xxhash64("key", "part"), _stars, "key long, u long, v long"))
+        hubs = stars.select("key", F.col("u").alias("fp")).distinct().join(sized, "fp")
+        pairs = pairs.union(stars.select("u", "v")).union(_by_group(hubs, F.col("key"), _stars, "key long, u long, v long").select("u", "v"))
+    pairs = written(pairs.distinct())
     edges = _alike(df, id_col, text_col, nodes, pairs)
-    roots, open_ = components(edges), met.where("v IS NULL")
-    if open_.take(1):
-        rest = open_.join(roots.withColumnRenamed("node", "u"), "u", "left").select("key", F.col("u").alias("fp"), "n", F.coalesce("root", "u").alias("root"))
-        rest = written(_met(rest, _pairs_across, "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"))
+    roots = components(edges)
+    if some:
+        rooted = written(long.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        main = rooted.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
+        outside = rooted.join(main, "key").where("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = rooted.withColumn("asks", F.lit(0)).unionByName(outside.drop("main").withColumn("asks", F.lit(1)))
+        rest = written(_by_group(both, F.xxhash64("key", "part"), _across, "u long, v long", ("asks", "root")).distinct().join(pairs, ["u", "v"], "left_anti"))
         if rest.take(1):
             edges = written(edges.union(_alike(df, id_col, text_col, nodes, rest)))
             roots = components(edges)
     return _named(docs, nodes, roots, id_col)
 
 
+def _simhash(found: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes; 0 without any."""
+    if not len(found):
+        return 0
+    octets = found.astype(">u8").view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BIT for j in range(8)])
+    return int.from_bytes(np.packbits(2 * ones > len(octets)).tobytes(), "big")
+
+
+def parities(found: np.ndarray) -> bytes:
+    """A bitmap of a set of hashes: whether an odd number of them falls on each place. It has 256 bits or four a hash and
+    more, a power of two. Two sets differ in at least as many hashes as their bitmaps, folded to one width, in bits."""
+    size = max(256, 1 << (4 * len(found)).bit_length())
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Rows of bitmaps (of 64-bit words) at half their width."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
 def _sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, body (a hash of the text), fp (of the set of shingles; 0 without words), n (its size) and keys of each row."""
+    """id_col, body (a hash of the text), fp (of the set of shingles; 0 without words), n (its size), sim (its SimHash), bits
+    (its parities) and keys (of its bands) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, n, keys = [], [], []
-            for x in batch.column(1):
-                found = shingles(x.as_py())
-                fps.append(xxhash.xxh3_64_intdigest(found.tobytes()) if len(found) else 0)
-                n.append(len(found))
-                keys.append(band_keys(found))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists], [id_col, "body", "fp", "n", "keys"])
+            sets = [shingles(x.as_py()) for x in batch.column(1)]
+            keys = [band_keys(x) for x in sets]
+            longs = [np.array([f(x) for x in sets], np.uint64).view(np.int64) for f in (lambda x: xxhash.xxh3_64_intdigest(x.tobytes()) if len(x) else 0, len, _simhash)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, longs), pa.array(map(parities, sets), pa.binary()), lists], [id_col, "body", "fp", "n", "sim", "bits", "keys"])
 
     rows = df.select(id_col, text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
-    return arrow_map(rows, run, f"`{id_col}` {kind_of(df, id_col)}, body long, fp long, n long, keys array<long>")
-
-
-def _met(rows: DataFrame, fn: Callable[[list[np.ndarray]], Iterator[list]], schema: str) -> DataFrame:
-    """What fn yields (columns of longs) of the rows of whole keys, sorted by key and fp."""
+    return arrow_map(rows, run, f"`{id_col}` {kind_of(df, id_col)}, body long, fp long, n long, sim long, bits binary, keys array<long>")
+
+
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes whose SimHash is one or linked at the anchors: the least node of each value stands for the others."""
+    least = nodes.where("n > 0").groupBy("sim").agg(F.min("fp").alias("u"))
+    same = nodes.where("n > 0").join(least, "sim").where("fp <> u").select("u", F.col("fp").alias("v"))
+    near = links(least.select(F.col("sim").alias("fp")))
+    of = lambda c: least.select(F.col("sim").alias(c), F.col("u").alias(f"of_{c}"))
+    found = near.join(of("u"), "u").join(of("v"), "v").select(F.least("of_u", "of_v").alias("u"), F.greatest("of_u", "of_v").alias("v"))
+    return same.union(found)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows key, fp and n sorted by key: all pairs of short runs whose sizes allow the similarity (no key), and the members
+    of longer ones (no v), which are passed on as they come."""
+
+    def pairs(key: np.ndarray, fp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        us, vs = [], []
+        for k in range(1, SHORT_RUN):
+            if len(key) <= k or not (same := key[k:] == key[:-k]).any():
+                break
+            i = np.flatnonzero(same)
+            i = i[(5 * np.minimum(n[i], n[i + k]) >= 4 * np.maximum(n[i], n[i + k])) & (fp[i] != fp[i + k])]
+            us.append(np.minimum(fp[i], fp[i + k]))
+            vs.append(np.maximum(fp[i], fp[i + k]))
+        u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (us, vs))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v)], ["key", "u", "v"])
+
+    def members(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.nulls(len(key), pa.int64())], ["key", "u", "v"])
+
+    held, long = [np.empty(0, np.int64)] * 3, None  # the last key's rows that were not passed on; the key that is known as long
+    for batch in batches:
+        rows = [np.concatenate([a, c.to_numpy(zero_copy_only=False)]) for a, c in zip(held, batch.columns)]
+        if not len(rows[0]):
+            continue
+        last = len(rows[0]) - int(np.searchsorted(rows[0], rows[0][-1]))
+        starts = np.r_[0, np.flatnonzero(np.diff(rows[0])) + 1]
+        lengths = np.diff(np.r_[starts, len(rows[0])])
+        many = np.repeat((lengths > SHORT_RUN) | (rows[0][starts] == long), lengths) if long is not None else np.repeat(lengths > SHORT_RUN, lengths)
+        wait = np.zeros(len(many), bool) if many[-1] else np.arange(len(many)) >= len(many) - last
+        yield members(rows[0][many], rows[1][many])
+        yield pairs(*(c[~many & ~wait] for c in rows))
+        long = int(rows[0][-1]) if many[-1] else None
+        held = [c[wait] for c in rows]
+    yield pairs(*held)
+
+
+def _by_group(rows: DataFrame, group: Column, fn: Callable[[Iterator[dict]], Iterator[list]], schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """What fn yields (columns of longs) of the rows of each group, which come in batches: columns by name, in order of the
+    columns in more."""
     names = [x.split()[0] for x in schema.split(", ")]
+    columns = ["group", *more, "key", "fp", "n", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for found in fn([np.concatenate(x) for x in zip(*held)]):
+        def parts() -> Iterator[dict]:
+            for batch in batches:
+                key = batch.column(0).to_numpy(zero_copy_only=False)
+                bounds = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+                for a, b in zip(bounds, bounds[1:]):
+                    if a < b:
+                        yield {c: batch.column(i)[a:b].to_numpy(zero_copy_only=False) for i, c in enumerate(columns)}
+
+        for _, group_parts in groupby(parts(), key=lambda p: int(p["group"][0])):
+            for found in fn(group_parts):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
 
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not batch.num_rows:
-                continue
-            cut = np.searchsorted(columns[0], columns[0][-1])
-            if held and (cut or held[-1][0][-1] != columns[0][-1]):  # what is held and comes before the batch's last key is whole
-                held.append([c[:cut] for c in columns])
-                yield from out()
-                held = []
-            elif cut:
-                held = [[c[:cut] for c in columns]]
-                yield from out()
-                held = []
-            held.append([c[cut:] for c in columns])
-        if held:
-            yield from out()
-
-    return arrow_map(rows.repartition("key").sortWithinPartitions("key", "fp"), run, schema)
+    chosen = rows.select(group.alias("group"), *more, "key", "fp", "n", "bits")
+    return arrow_map(chosen.repartition("group").sortWithinPartitions("group", *more[:1]), run, schema)
+
+
+def _joined(parts: Iterator[dict]) -> dict:
+    held = list(parts)
+    return {c: np.concatenate([p[c] for p in held]) for c in held[0]}
+
+
+class _Bitmaps:
+    """Members of a part by the width of their bitmaps, which are compared with those of that width or twice that."""
+
+    def __init__(self, rows: dict) -> None:
+        self.rows, widths = rows, np.array([len(x) for x in rows["bits"]])
+        self.own = {w: (at := np.flatnonzero(widths == w), np.frombuffer(b"".join(rows["bits"][at]), np.uint64).reshape(-1, w // 8)) for w in np.unique(widths).tolist()}
+
+    def at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and bitmaps of this width of the members that have it or twice that."""
+        places, bits = self.own.get(width, (np.empty(0, np.int64), np.empty((0, width // 8), np.uint64)))
+        if 2 * width in self.own:
+            more, wide = self.own[2 * width]
+            return np.r_[places, more], np.vstack([bits, _folded(wide)])
+        return places, bits
+
+
+def _may(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes whose bitmaps differ so may share 0.8 of their union: 9 * shared >= 4 * (n + m)."""
+    return 9 * apart <= n + m
+
+
+def _stars(parts: Iterator[dict]) -> Iterator[list]:
+    """key, hub and member: each member that may be similar with the one nearest to what most bitmaps have; then what is left
+    in the same way, until a hub finds none."""
+    rows = _joined(parts)
+    bitmaps, fp, n = _Bitmaps(rows), rows["fp"], rows["n"]
+    for width in bitmaps.own:
+        places, bits = bitmaps.at(width)
+        while len(places) > 1:
+            most = np.zeros(bits.shape[1] * 64, np.int64)
+            for i in range(0, len(bits), 1024):
+                most += np.unpackbits(bits[i : i + 1024].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+            middle = np.packbits(2 * most > len(bits)).view(np.uint64)
+            hub = int(_apart(bits, middle[None, :]).argmin())
+            near = _may(n[places], n[places[hub]], _apart(bits, bits[hub][None, :]))
+            near[hub] = False
+            if not near.any():
+                break
+            u, v = fp[places[hub]], fp[places[near]]
+            yield [np.full(len(v), rows["key"][0]), np.full(len(v), u), v]
+            near[hub] = True
+            places, bits = places[~near], bits[~near]
+
+
+def _across(parts: Iterator[dict]) -> Iterator[list]:
+    """Pairs of the part's own members (asks 0, which come first) and those outside the run's largest component (asks 1), of
+    different components, that may be similar."""
+    own: list[dict] = []
+    bitmaps = None
+    for part in parts:
+        asks = part["asks"] == 1
+        if not asks.all():
+            own.append({c: v[~asks] for c, v in part.items()})
+        if not asks.any() or not own:
+            continue
+        if bitmaps is None:
+            rows = _joined(own)
+            bitmaps, fp, n, root = _Bitmaps(rows), rows["fp"], rows["n"], rows["root"]
+            at = {w: bitmaps.at(w) for w in {x for w in bitmaps.own for x in (w // 2, w)} if w >= 32}
+        us, vs = [], []
+        for i in np.flatnonzero(asks):
+            mine = np.frombuffer(part["bits"][i], np.uint64)[None, :]
+            for width, bits in ((8 * mine.shape[1], mine), (4 * mine.shape[1], _folded(mine))):
+                if width == 8 * mine.shape[1]:
+                    places, others = at.get(width, (np.empty(0, np.int64), np.empty((0, 1), np.uint64)))
+                else:
+                    places, others = bitmaps.own.get(width, (np.empty(0, np.int64), np.empty((0, 1), np.uint64)))
+                if len(places):
+                    ok = places[_may(n[places], part["n"][i], _apart(others, bits)) & (root[places] != part["root"][i])]
+                    us.append(np.minimum(fp[ok], part["fp"][i]))
+                    vs.append(np.maximum(fp[ok], part["fp"][i]))
+        if us:
+            yield [np.concatenate(us), np.concatenate(vs)]
 
 
-def _first_pairs(columns: list[np.ndarray]) -> Iterator[list]:
-    """Pairs (no key) whose sizes allow the similarity: all of short runs; of longer ones each member with the first and the
-    AFTER next ones in an order of the run's own, and the members (no v) with the run's key."""
-    key, fp, n = columns
-    bounds = np.flatnonzero(np.diff(key)) + 1
-    starts, lengths = np.r_[0, bounds], np.diff(np.r_[0, bounds, len(key)])
-    us, vs = [], []
+def _bounded(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that bitmaps can't prove to be less similar."""
 
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (fp[i] != fp[j])
-        us.append(np.minimum(fp[i], fp[j])[ok])
-        vs.append(np.maximum(fp[i], fp[j])[ok])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            apart = np.zeros(len(n), np.int64)
+            for i, (a, b) in enumerate(zip(*(batch.column(j).to_pylist() for j in (4, 5)))):
+                a, b = (np.frombuffer(x, np.uint64)[None, :] for x in (a, b))
+                while a.shape[1] != b.shape[1]:
+                    a, b = (a, _folded(b)) if a.shape[1] < b.shape[1] else (_folded(a), b)
+                apart[i] = int(np.bitwise_count(a ^ b).sum())
+            yield batch.select([0, 1]).filter(pa.array(_may(n, m, apart)))
 
-    short = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths))
-    for k in range(1, SHORT_RUN):
-        if len(short) <= k or not (same := key[short[k:]] == key[short[:-k]]).any():
-            break
-        add(short[:-k][same], short[k:][same])
-    for s, m in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN]):
-        run = np.arange(s, s + m)
-        yield [key[run], fp[run], [None] * m, n[run]]
-        run = run[np.argsort(fp[run].view(np.uint64) * (key[s : s + 1].view(np.uint64) | np.uint64(1)))]
-        add(np.full(m, s), run)
-        for k in range(1, AFTER + 1):
-            add(run, np.roll(run, k))
-    if us:
-        u, v = np.concatenate(us), np.concatenate(vs)
-        yield [[None] * len(u), u, v, [None] * len(u)]
-
-
-def _pairs_across(columns: list[np.ndarray]) -> Iterator[list]:
-    """All pairs of members of a run that are of different components and whose sizes allow the similarity."""
-    key, fp, n, root = columns
-    bounds = np.flatnonzero(np.diff(key)) + 1
-    for s, e in zip(np.r_[0, bounds], np.r_[bounds, len(key)]):
-        us, vs, held = [], [], 0
-        names, counts = np.unique(root[s:e], return_counts=True)
-        main = names[counts.argmax()]
-        for i in s + np.flatnonzero(root[s:e] != main):  # of each pair one is outside the largest component
-            other = s + np.flatnonzero((root[s:e] != root[i]) & (5 * np.minimum(n[s:e], n[i]) >= 4 * np.maximum(n[s:e], n[i])))
-            us.append(np.minimum(fp[other], fp[i]))
-            vs.append(np.maximum(fp[other], fp[i]))
-            if (held := held + len(other)) > 1 << 16:
-                yield [np.concatenate(us), np.concatenate(vs)]
-                us, vs, held = [], [], 0
-        if held:
-            yield [np.concatenate(us), np.concatenate(vs)]
+    of = lambda c: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+    both = pairs.join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v")
+    return arrow_map(both.select("u", "v", "nu", "nv", "bu", "bv"), run, "u long, v long")
 
 
 def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose texts share at least 0.8 of the shingles of both."""
+    pairs = written(_bounded(nodes, pairs))
     needed = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
     names = written(nodes.join(needed, "fp").select("fp", F.col("least").alias("__least"), F.col("body").alias("__body")))
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__body"))
-    found = rows.join(names, (rows["__body"] == names["__body"]) & F.col("__id").eqNullSafe(F.col("__least")))
+    found = rows.join(names.hint("merge"), (rows["__body"] == names["__body"]) & F.col("__id").eqNullSafe(F.col("__least")))
     texts = written(found.groupBy("fp").agg(F.any_value("__text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +569,7 @@ def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: D
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    of = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"t{c}"))
+    of = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"t{c}")).hint("merge")
     return written(arrow_map(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "tu", "tv"), run, "u long, v long"))
 
 
@@ -435,19 +589,22 @@ def _named(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str) ->
 def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, one of each group of similar_groups: that of the least id (nulls last, then by a hash of the text).
 
-    Only fingerprints and names move but for one shuffle of df by id and hash. Names that start with two underscores are
-    taken.
+    Only fingerprints and names move but for one shuffle of df by id and hash. Columns are told apart by their place, so any
+    names may stand in df. Repeated rows leave one; an empty table gives no rows.
     """
-    body = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), body.alias("body"))
-    groups = similar_groups(df.select(name.alias("__name"), F.col(text_col).alias("__text")), "__name", "__text")
+    names = [f"__{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    key, text = (names[df.columns.index(c)] for c in (id_col, text_col))
+    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), body.alias("body"))
+    groups = similar_groups(plain.select(name.alias("__name"), F.col(text).alias("__text")), "__name", "__text")
     chosen = written(groups.select("component_id").distinct().select(F.col("component_id.id").alias("__id"), F.col("component_id.body").alias("__body")))
-    rows = df.withColumn("__key", body)
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body"))
+    rows = plain.withColumn("__key", body)
+    on = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body"))
     found = rows.join(chosen.hint("merge"), on)
-    if rows.groupBy(id_col, "__key").count().where("count > 1").join(chosen, on, "left_semi").take(1):
-        found = found.dropDuplicates([id_col, "__key"])
-    return found.select(*df.columns)
+    if rows.groupBy(key, "__key").count().where("count > 1").join(chosen, on, "left_semi").take(1):
+        found = found.dropDuplicates([key, "__key"])
+    return found.select(*names).toDF(*df.columns)
 
 
 def hex64(fp: Column) -> Column:
