@@ -28,7 +28,7 @@ def run(config: RunConfig, units: DataFrame, unit: str, targets: Sequence[str],
         rows = rows.withColumn(column, masked(F.col(column), width, config.ablate, config.keep))
         rows, blocks["embedding"] = widened(rows, column, 4 * width)
         if config.pca_components:
-            parts = learn.pca_oof(rows, unit, "fold", blocks["embedding"], config.pca_components, folds)
+            parts = learn.pca_oof(rows, unit, "fold", blocks["embedding"], config.pca_components)
             names = [c for c in parts.columns if c not in (unit, "fold")]
             rows, blocks["embedding"] = rows.drop(*blocks["embedding"]).join(parts.drop("fold"), unit), names
     base = blocks.get("embedding") or blocks.get("poi") or []
@@ -50,7 +50,7 @@ def run(config: RunConfig, units: DataFrame, unit: str, targets: Sequence[str],
     if config.logit_target:
         rows = rows.withColumns({t: to_logit(F.col(t)) for t in targets})
     if config.regressor == "boosted":
-        out = learn.boosted_oof(rows, unit, "fold", features, targets, folds)
+        out = learn.boosted_oof(rows, unit, "fold", features, targets)
     elif config.regressor in ("ridge", "lasso", "elastic"):
         out = learn.linear_oof(rows, unit, "fold", features, targets, config.regressor)
     else:

@@ -1,232 +1,411 @@
-"""Regressions under grouped folds. Linear fits need the rows twice whatever the number of folds, penalties and targets:
-once for moments by fold, once for products by fold; all else is done on these, which are as large as the features squared."""
+"""Regressors under grouped folds. Rows are read twice whatever the number of folds, penalties and targets: for moments by
+fold, and for products of features, scaled as each held-out fold's training rows ask for. Products are dealt in tiles, added
+up by tile and solved where they lie, one held-out fold a task; the driver gets moments and weights, never the products."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Penalties tried for ridge and for its stacked form, shares of the first norm, bound of scaled values.
+from areasignal.functions.geo import hashed_unit
+from areasignal.session import written
+
+# Penalties tried for ridge and for its stacked form, shares of the first norm, bound of scaled values; parts
+# that the training rows are split into to choose among penalties, penalties of a path, the least of it against the first.
 RIDGE = np.logspace(-2, 6, 25)
 STACKED = np.logspace(-2, 4, 13)
 L1_SHARES = (0.1, 0.3, 0.5, 0.7, 0.9)
 CLIP = 30.0
+INNER, PATH, LEAST = 5, 100, 1e-3
+#: Rows whose products one task adds up, features of a tile, steps of a descent at most.
+PART, TILE, STEPS = 8192, 512, 20_000
+
+Features = Sequence[str] | str
 
 
 @dataclass
 class Fold:
-    """What holding out one fold leaves: scaling, and for each other fold the products of [1, x] and of them with y."""
+    """A model that hasn't seen one fold: scaling, weights ([bias, w] by target), and the penalty chosen for each target."""
 
     mean: np.ndarray
     sd: np.ndarray
-    gram: dict[int, np.ndarray]
-    cross: dict[int, np.ndarray]
-    square: dict[int, np.ndarray]
+    weights: np.ndarray
+    alpha: np.ndarray
+    share: np.ndarray
+    clip: float | None
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.mean) / self.sd
+        return np.clip(z, -self.clip, self.clip) if self.clip else z
 
-def _matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
-    return np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.float64) for c in names], axis=1)
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.weights[0] + self.scaled(x) @ self.weights[1:]
 
 
-def _summed(df: DataFrame, run, width: int) -> list[tuple[int, int, np.ndarray]]:
-    """Adds arrays by (held, fold) and place: partial sums of each task meet by key; the totals reach the driver."""
-    parts = df.mapInArrow(run, "held int, fold int, at int, v double")
-    by: dict[tuple[int, int], np.ndarray] = {}
-    for r in parts.groupBy("held", "fold", "at").agg(F.sum("v").alias("v")).collect():
-        by.setdefault((r.held, r.fold), np.zeros(width))[r.at] = r.v
-    return [(h, f, v) for (h, f), v in sorted(by.items())]
+def _rows(df: DataFrame, unit: str, fold: str, features: Features, targets: Sequence[str]) -> DataFrame:
+    """unit, fold, inner (a fifth by a hash of the unit), x and y: arrays of doubles. features: columns, or one array column."""
+    x = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*(F.col(c).cast("double") for c in features))
+    inner = F.floor(hashed_unit(F.lit("inner"), F.col(unit)) * INNER).cast("int")
+    return df.select(F.col(unit).alias("unit"), F.col(fold).cast("int").alias("fold"), inner.alias("inner"), x.alias("x"), F.array(*(F.col(c).cast("double") for c in targets)).cast("array<double>").alias("y"))
 
 
-def _emit(sums: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for (h, f), v in sums.items():
-        n = len(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h, np.int32)), pa.array(np.full(n, f, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(v)], ["held", "fold", "at", "v"])
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
-def folds_of(df: DataFrame, fold: str, features: Sequence[str], targets: Sequence[str], clip: float | None = CLIP) -> dict[int, Fold]:
-    """Products by held-out fold, features scaled by the moments of the other folds (deviation 0: 1) and clipped.
+def _moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Number of rows, means and sums of squares about them of x, by fold."""
 
-    Rows with nulls must have been imputed or dropped. Fold numbers are small integers.
-    """
-    d, t = len(features), len(targets)
-    m = df.groupBy(fold).agg(F.count("*").alias("n"), *(f(c).alias(f"{i}_{j}") for j, c in enumerate(features) for i, f in enumerate((F.sum, F.avg, F.var_pop)))).collect()
-    stats = {r[fold]: (r.n, np.array([r[f"1_{j}"] for j in range(d)]), np.array([r[f"2_{j}"] for j in range(d)])) for r in m}
-    scaling = {}
+    def merged(parts: list[tuple]) -> tuple:
+        n = sum(p[0] for p in parts)
+        mean = sum(p[0] * p[1] for p in parts) / n
+        return n, mean, sum(p[2] + p[0] * (p[1] - mean) ** 2 for p in parts)
+
+    def table(found: dict[int, tuple]) -> pa.RecordBatch:
+        keys = list(found)
+        arrays = [pa.array([found[k][j].tolist() for k in keys], pa.list_(pa.float64())) for j in (1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([found[k][0] for k in keys], pa.int64()), *arrays], ["fold", "n", "mean", "squares"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple] = {}
+        for batch in batches:
+            x, f = _matrix(batch.column(1), batch.num_rows), batch.column(0).to_numpy(zero_copy_only=False)
+            for k in np.unique(f).tolist():
+                part = x[f == k]
+                mean = part.mean(axis=0)
+                now = (len(part), mean, ((part - mean) ** 2).sum(axis=0))
+                found[k] = merged([found[k], now]) if k in found else now
+        yield table(found)
+
+    def merge(key: tuple, parts: pa.Table) -> pa.Table:
+        found = merged([(n, np.array(m), np.array(s)) for n, m, s in zip(*(parts[c].to_pylist() for c in ("n", "mean", "squares")))])
+        return pa.Table.from_batches([table({key[0].as_py(): found})])
+
+    schema = "fold int, n long, mean array<double>, squares array<double>"
+    merged_rows = rows.select("fold", "x").mapInArrow(run, schema).groupBy("fold").applyInArrow(merge, schema)
+    return {r.fold: (r.n, np.array(r.mean), np.array(r.squares)) for r in merged_rows.collect()}
+
+
+def _scaling(stats: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation (where it is 0, 1) of the rows outside each fold; of the only fold, its own."""
+    out = {}
     for k in stats:
         rest = [stats[j] for j in stats if j != k] or [stats[k]]
         n = sum(s[0] for s in rest)
         mean = sum(s[0] * s[1] for s in rest) / n
-        var = sum(s[0] * (s[2] + (s[1] - mean) ** 2) for s in rest) / n
-        scaling[k] = (mean, np.where(var > 1e-24, np.sqrt(np.maximum(var, 0)), 1.0))
+        var = sum(s[2] + s[0] * (s[1] - mean) ** 2 for s in rest) / n
+        out[k] = mean, np.where(var > 1e-24, np.sqrt(np.maximum(var, 0)), 1.0)
+    return out
+
+
+def _solved(rows: DataFrame, scaling: dict, clip: float | None, solve: Callable[[list[np.ndarray]], tuple], schema: str) -> list:
+    """What solve makes of the products of [1, z, y] of each held-out fold's training rows, one matrix for each inner part."""
+    n = rows.count()
+    parts = max(1, -(-n // (PART * INNER * len(scaling))))
+    only = len(scaling) == 1
+    dealt = rows.withColumn("part", F.floor(hashed_unit(F.lit("part"), F.col("unit")) * parts).cast("int")).select("fold", "inner", "part", "x", "y")
+    dealt = dealt.repartition("fold", "inner", "part").sortWithinPartitions("fold", "inner", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            x, y, f = _matrix(batch, features), _matrix(batch, targets), batch.column(batch.schema.get_field_index(fold)).to_numpy(zero_copy_only=False)
-            for k, (mean, sd) in scaling.items():
-                z = (x - mean) / sd
-                z = np.column_stack([np.ones(len(z)), np.clip(z, -clip, clip) if clip else z, y])
-                for j in np.unique(f):
-                    p = z[f == j]
-                    sums[k, int(j)] = sums.get((k, int(j)), 0) + (p.T @ p).ravel()
-        yield from _emit(sums)
-
-    w = 1 + d + t
-    out = {k: Fold(*scaling[k], {}, {}, {}) for k in scaling}
-    for k, j, v in _summed(df.select(fold, *features, *targets), run, w * w):
-        p = v.reshape(w, w)
-        out[k].gram[j], out[k].cross[j], out[k].square[j] = p[: 1 + d, : 1 + d], p[: 1 + d, 1 + d :], np.diag(p)[1 + d :]
-    return out
+        key, sums = None, {}
 
+        def tiles() -> Iterator[pa.RecordBatch]:
+            for k, p in sums.items():
+                for i, j in product(range(0, len(p), TILE), repeat=2):
+                    if i <= j:
+                        at = [pa.array([v], pa.int32()) for v in (k, key[1], i, j)]
+                        yield pa.RecordBatch.from_arrays([*at, pa.array([np.ascontiguousarray(p[i : i + TILE, j : j + TILE]).tobytes()], pa.binary())], ["held", "inner", "i", "j", "v"])
 
-def ridge_solution(gram: np.ndarray, cross: np.ndarray, alpha: float) -> np.ndarray:
-    """Weights [bias, w] of least squares with alpha times the square of w."""
-    penalty = np.eye(len(gram)) * alpha
-    penalty[0, 0] = 0
-    return np.linalg.lstsq(gram + penalty, cross, rcond=None)[0]
-
-
-def elastic_solution(gram: np.ndarray, cross: np.ndarray, alpha: float, share: float, steps: int = 500) -> np.ndarray:
-    """Weights of half the mean squared error with alpha * (share * |w| + (1 - share) / 2 * w^2), by coordinate descent."""
-    n = gram[0, 0]
-    mx, my = gram[0, 1:] / n, cross[0] / n
-    a, b = gram[1:, 1:] / n - np.outer(mx, mx), cross[1:] / n - np.outer(mx, my)
-    w = np.zeros_like(b)
-    for _ in range(steps):
-        last = w.copy()
-        for j in range(len(a)):
-            r = b[j] - a[j] @ w + a[j, j] * w[j]
-            w[j] = np.sign(r) * np.maximum(np.abs(r) - alpha * share, 0) / (a[j, j] + alpha * (1 - share) + 1e-300)
-        if np.abs(w - last).max() < 1e-10:
-            break
-    return np.vstack([my - mx @ w, w])
-
-
-def _error(w: np.ndarray, gram: np.ndarray, cross: np.ndarray, square: np.ndarray) -> np.ndarray:
-    return square - 2 * (w * cross).sum(axis=0) + np.einsum("it,ij,jt->t", w, gram, w)
-
-
-def fit(f: Fold, k: int | None, penalties: Sequence[tuple[float, float | None]]) -> np.ndarray:
-    """Weights for each target with the penalty (alpha, share or None for ridge) of least error, each fold but the held-out
-    one left out in turn; all folds but k are fitted."""
-    inner = [j for j in f.gram if j != k]
-    solve = lambda g, c, p: ridge_solution(g, c, p[0]) if p[1] is None else elastic_solution(g, c, *p)
-    gram, cross = (sum(x[j] for j in inner) for x in (f.gram, f.cross))
-    if len(inner) < 2:
-        return solve(gram, cross, penalties[0])
-    errors = np.array([sum(_error(solve(gram - f.gram[j], cross - f.cross[j], p), f.gram[j], f.cross[j], f.square[j]) for j in inner) for p in penalties])
-    best = errors.argmin(axis=0)
-    made = {i: solve(gram, cross, penalties[i]) for i in set(best.tolist())}
-    return np.column_stack([made[i][:, t] for t, i in enumerate(best)])
-
-
-def linear_oof(df: DataFrame, unit: str, fold: str, features: Sequence[str], targets: Sequence[str], kind: str = "ridge", clip: float | None = CLIP, alphas: Sequence[float] | None = None) -> DataFrame:
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1)
+            bounds = [0, *(np.flatnonzero(np.diff(keys, axis=0).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(bounds, bounds[1:]):
+                if a == b:
+                    continue
+                if (now := tuple(keys[a].tolist())) != key:
+                    yield from tiles()
+                    key, sums = now, {}
+                x, y = (_matrix(batch.column(c)[a:b], b - a) for c in (3, 4))
+                for k, (mean, sd) in scaling.items():
+                    if k != key[0] or only:
+                        z = (x - mean) / sd
+                        z = np.column_stack([np.ones(b - a), np.clip(z, -clip, clip) if clip else z, y])
+                        sums[k] = sums[k] + z.T @ z if k in sums else z.T @ z
+        yield from tiles()
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v, np.float64) for v in table["v"].to_pylist())
+        return table.slice(0, 1).set_column(4, "v", pa.array([total.tobytes()], pa.binary()))
+
+    def end(key: tuple, table: pa.Table) -> pa.Table:
+        rows_of = table.to_pylist()
+        last = max(r["i"] for r in rows_of)
+        w = last + int(round((len(next(r["v"] for r in rows_of if r["i"] == r["j"] == last)) / 8) ** 0.5))
+        found = {m: np.zeros((w, w)) for m in sorted({r["inner"] for r in rows_of})}
+        for r in rows_of:
+            p, h = found[r["inner"]], min(TILE, w - r["i"])
+            tile = np.frombuffer(r["v"], np.float64).reshape(h, -1)
+            p[r["i"] : r["i"] + h, r["j"] : r["j"] + tile.shape[1]] = tile
+            p[r["j"] : r["j"] + tile.shape[1], r["i"] : r["i"] + h] = tile.T
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in solve(list(found.values())))], names=["held", *(f.split()[0] for f in schema.split(", "))])
+
+    tile = "held int, inner int, i int, j int, v binary"
+    summed = dealt.mapInArrow(run, tile).groupBy("held", "inner", "i", "j").applyInArrow(add, tile)
+    return summed.groupBy("held").applyInArrow(end, f"held int, {schema}").collect()
+
+
+def _centred(p: np.ndarray, d: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, means of z and y, products of z with z and with y about the means."""
+    n = p[0, 0]
+    mx, my = p[0, 1 : 1 + d] / n, p[0, 1 + d :] / n
+    return n, mx, my, p[1 : 1 + d, 1 : 1 + d] - n * np.outer(mx, mx), p[1 : 1 + d, 1 + d :] - n * np.outer(mx, my)
+
+
+def _misses(p: np.ndarray, d: int, bias: np.ndarray, w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Sums of squared errors over a part's rows of models (columns of w), each for its target t."""
+    full = np.vstack([bias, w])
+    return np.diag(p)[1 + d :][t] - 2 * (full * p[: 1 + d, 1 + d :][:, t]).sum(axis=0) + (full * (p[: 1 + d, : 1 + d] @ full)).sum(axis=0)
+
+
+def ridge_path(a: np.ndarray, b: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Weights of least squares with alpha times the square of w, for all alphas of each target in turn (columns)."""
+    values, vectors = np.linalg.eigh(a)
+    turned = vectors.T @ b
+    return np.concatenate([vectors @ (turned[:, t, None] / (np.maximum(values, 0)[:, None] + alphas)) for t in range(b.shape[1])], axis=1)
+
+
+def elastic_path(a: np.ndarray, b: np.ndarray, alphas: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Columns of weights of half the mean squared error with alpha * (share * |w| + (1 - share) / 2 * w^2); a and b are mean
+    products about the means. One column for each of b, alphas and shares, whose alphas fall along the columns of a path.
+
+    Accelerated descent over the features that some column may use: those whose slope is over the column's bound, until
+    none is found outside. Columns that have come to rest take part no more.
+    """
+    out = np.zeros((len(a), b.shape[1]))
+    l1, l2 = alphas * shares, alphas * (1 - shares)
+    use = (np.abs(b) > l1).any(axis=1)
+    while True:
+        at = np.flatnonzero(use)
+        sub = a[np.ix_(at, at)]
+        top = float(np.linalg.eigvalsh(sub)[-1]) if len(at) else 0.0
+        w = v = out[at]
+        open_, t = np.arange(b.shape[1]), 1.0
+        for _ in range(STEPS if len(at) else 0):
+            rate = 1 / (top + l2[open_] + 1e-12)
+            new = v - rate * (sub @ v - b[np.ix_(at, open_)] + l2[open_] * v)
+            new = np.sign(new) * np.maximum(np.abs(new) - rate * l1[open_], 0)
+            moved = np.abs(new - w)
+            t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            back = ((v - new) * (new - w)).sum(axis=0) > 0  # going the wrong way: begin anew from here
+            v = np.where(back, new, new + (t - 1) / t2 * (new - w))
+            w, t = new, t2
+            rest = moved.max(axis=0) <= 1e-9 * np.maximum(1e-3, np.abs(new).max(axis=0))
+            if rest.any():
+                out[np.ix_(at, open_[rest])] = w[:, rest]
+                open_, w, v = open_[~rest], w[:, ~rest], v[:, ~rest]
+                if not len(open_):
+                    break
+        if len(open_) and len(at):
+            out[np.ix_(at, open_)] = w
+        over = (np.abs(b - a @ out) > l1 * (1 + 1e-6) + 1e-9).any(axis=1) & ~use
+        if not over.any():
+            return out
+        use |= over
+
+
+def _chosen(parts: list[np.ndarray], d: int, kind: str, alphas: np.ndarray | None, shares: Sequence[float]) -> tuple[np.ndarray, ...]:
+    """Weights, and the alpha and share of each target, of the best mean over the parts, each left out in turn: of the share
+    of variance explained for ridge, of the mean squared error for lasso and elastic net. The first of equals wins."""
+    whole = sum(parts)
+    t = whole.shape[0] - 1 - d
+    n, mx, my, a, b = _centred(whole, d)
+    if kind == "ridge":
+        grid = np.tile(RIDGE if alphas is None else np.asarray(alphas, float), t)
+        share, of = np.full(len(grid), np.nan), np.repeat(np.arange(t), len(grid) // t)
+        path = lambda n, a, b: ridge_path(a, b, grid[: len(grid) // t])
+    else:
+        first = np.abs(b).max(axis=0, initial=0.0) / n
+        lists = [[(x, s) for s in shares for x in (first[k] / s * np.logspace(0, np.log10(LEAST), PATH) if alphas is None else alphas)] for k in range(t)]
+        grid, share = (np.array([p[i] for of_k in lists for p in of_k]) for i in (0, 1))
+        of = np.repeat(np.arange(t), len(grid) // t)
+        path = lambda n, a, b: elastic_path(a / n, b[:, of] / n, grid, share)
+    size = len(grid) // t
+    if len(parts) > 1 and size > 1:
+        marks = np.zeros(len(grid))
+        for p in parts:
+            m, cx, cy, ca, cb = _centred(whole - p, d)
+            w = path(m, ca, cb)
+            miss = _misses(p, d, cy[of] - cx @ w, w, of)
+            if kind == "ridge":
+                about = (np.diag(p)[1 + d :] - p[0, 1 + d :] ** 2 / p[0, 0])[of]
+                marks -= np.where(about > 1e-12, 1 - miss / np.where(about > 1e-12, about, 1), 0) / len(parts)
+            else:
+                marks += miss / p[0, 0] / len(parts)
+        best = marks.reshape(t, size).argmin(axis=1) + np.arange(t) * size
+    else:
+        best = np.arange(t) * size
+    w = path(n, a, b)[:, best]
+    return np.vstack([my - mx @ w, w]).ravel(), grid[best], share[best]
+
+
+def fitted(df: DataFrame, unit: str, fold: str, features: Features, targets: Sequence[str], kind: str = "ridge", clip: float | None = CLIP, alphas: Sequence[float] | None = None, scale: bool = True) -> dict[int, Fold]:
+    """A model for each held-out fold. kind: ridge, lasso or elastic (which scale and don't clip).
+
+    The training rows of a fold are scaled by their own moments (deviation 0: 1), unless scale is off. Each target has a penalty of its own, chosen
+    over INNER parts of the training rows: of RIDGE, or of a path of PATH from the least that leaves no weight down to LEAST
+    of it, for each of L1_SHARES. Rows with nulls must have been imputed or dropped. Fold numbers are small integers. Without
+    rows there are no models.
+    """
+    if kind not in ("ridge", "lasso", "elastic"):
+        raise ValueError(f"unknown regressor {kind!r}")
+    bound = clip if kind == "ridge" else None
+    rows = written(_rows(df, unit, fold, features, targets))
+    scaling = _scaling(_moments(rows))
+    if not scaling:
+        return {}
+    d = len(next(iter(scaling.values()))[0])
+    if not scale:
+        scaling = {k: (np.zeros(d), np.ones(d)) for k in scaling}
+    grid, shares = None if alphas is None else np.asarray(alphas, float), (1.0,) if kind == "lasso" else L1_SHARES
+    found = _solved(rows, scaling, bound, lambda parts: _chosen(parts, d, kind, grid, shares), "weights array<double>, alpha array<double>, share array<double>")
+    return {r.held: Fold(*scaling[r.held], np.array(r.weights).reshape(1 + d, len(targets)), np.array(r.alpha), np.array(r.share), bound) for r in found}
+
+
+def linear_oof(df: DataFrame, unit: str, fold: str, features: Features, targets: Sequence[str], kind: str = "ridge", clip: float | None = CLIP, alphas: Sequence[float] | None = None, scale: bool = True) -> DataFrame:
     """unit, fold and pred_<target>: each row predicted by the model that didn't see its fold. kind: ridge, lasso, elastic."""
-    made = folds_of(df, fold, features, targets, clip if kind == "ridge" else None)
-    grid = [(a, None) for a in (RIDGE if alphas is None else alphas)] if kind == "ridge" else [(a, s) for s in ((1.0,) if kind == "lasso" else L1_SHARES) for a in (np.logspace(-3, 1, 9) if alphas is None else alphas)]
-    weights = {k: (f.mean, f.sd, fit(f, k, grid)) for k, f in made.items()}
-    return apply_linear(df, unit, fold, features, targets, weights, clip if kind == "ridge" else None)
+    return apply_linear(df, unit, fold, features, targets, fitted(df, unit, fold, features, targets, kind, clip, alphas, scale))
 
 
-def apply_linear(df: DataFrame, unit: str, fold: str, features: Sequence[str], targets: Sequence[str], weights: dict, clip: float | None) -> DataFrame:
-    """pred_<target> of each row by its fold's scaling and weights."""
-    kind = df.schema[unit].dataType.simpleString()
+def _mapped(df: DataFrame, unit: str, fold: str, features: Features, names: Sequence[str], fn: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+    """unit, fold and columns of doubles: what fn makes of a fold's rows."""
+    kind, rows = df.schema[unit].dataType.simpleString(), _rows(df, unit, fold, features, ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, f = _matrix(batch, features), batch.column(1).to_numpy(zero_copy_only=False)
-            out = np.full((len(x), len(targets)), np.nan)
-            for k, (mean, sd, w) in weights.items():
-                z = (x[f == k] - mean) / sd
-                out[f == k] = w[0] + (np.clip(z, -clip, clip) if clip else z) @ w[1:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(out[:, t]) for t in range(len(targets)))], [unit, fold, *(f"pred_{t}" for t in targets)])
+            x, f = _matrix(batch.column(2), batch.num_rows), batch.column(1).to_numpy(zero_copy_only=False)
+            out = np.full((len(x), len(names)), np.nan)
+            for k in np.unique(f).tolist():
+                out[f == k] = fn(k, x[f == k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(out[:, t]) for t in range(len(names)))], [unit, fold, *names])
 
-    return df.select(unit, F.col(fold).cast("int").alias(fold), *features).mapInArrow(run, ", ".join([f"`{unit}` {kind}, `{fold}` int", *(f"pred_{t} double" for t in targets)]))
+    return rows.select("unit", "fold", "x").mapInArrow(run, ", ".join([f"`{unit}` {kind}, `{fold}` int", *(f"`{c}` double" for c in names)]))
 
 
-def pca(df: DataFrame, features: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, components (rows, sign by their largest entry) and variances of centred features, from one pass of products."""
-    d = len(features)
-    means = df.agg(*(F.avg(c).alias(f"m{j}") for j, c in enumerate(features))).first()
-    mean = np.array([means[j] or 0.0 for j in range(d)])
+def apply_linear(df: DataFrame, unit: str, fold: str, features: Features, targets: Sequence[str], models: dict[int, Fold]) -> DataFrame:
+    """pred_<target> of each row by its fold's model; NaN where a fold has none."""
+    return _mapped(df, unit, fold, features, [f"pred_{t}" for t in targets], lambda k, x: models[k].predict(x) if k in models else np.nan)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((d + 1, d + 1))
-        for batch in batches:
-            z = _matrix(batch, features) - mean
-            z = np.column_stack([np.ones(len(z)), z])
-            total += z.T @ z
-        yield from _emit({(0, 0): total.ravel()})
-
-    p = _summed(df.select(*features), run, (d + 1) ** 2)[0][2].reshape(d + 1, d + 1)
-    rows = max(1.0, p[0, 0])
-    values, vectors = np.linalg.eigh(p[1:, 1:] / rows)
+
+def save(models: dict[int, Fold], spark: SparkSession, path: str) -> None:
+    """Models as a table: a row for each fold, in the folder, which is replaced."""
+    rows = [(k, m.mean.tolist(), m.sd.tolist(), m.weights.ravel().tolist(), m.alpha.tolist(), m.share.tolist(), m.clip) for k, m in models.items()]
+    schema = "fold int, mean array<double>, sd array<double>, weights array<double>, alpha array<double>, share array<double>, clip double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> dict[int, Fold]:
+    """What `save` wrote."""
+    of = {r.fold: r for r in spark.read.parquet(path).collect()}
+    return {k: Fold(np.array(r.mean), np.array(r.sd), np.array(r.weights).reshape(1 + len(r.mean), -1), np.array(r.alpha), np.array(r.share), r.clip) for k, r in of.items()}
+
+
+def _axes(parts: list[np.ndarray], d: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n axes of the largest variance (rows, sign by their largest entry) and the variances."""
+    whole = sum(parts)
+    rows = max(1.0, whole[0, 0])
+    values, vectors = np.linalg.eigh(whole[1 : 1 + d, 1 : 1 + d] / rows)
     order = np.argsort(-values, kind="stable")[: min(n, d, int(rows))]
-    parts = vectors[:, order].T
-    parts *= np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(axis=1)])[:, None]
-    return mean, parts, values[order]
+    axes = vectors[:, order].T
+    axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+    return axes.ravel(), values[order]
+
 
+def axes_by_fold(df: DataFrame, unit: str, fold: str, features: Features, n: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each held-out fold the mean, the axes (rows) and the variances of the other folds' centred features."""
+    rows = written(_rows(df, unit, fold, features, ()))
+    scaling = {k: (mean, np.ones_like(mean)) for k, (mean, _) in _scaling(_moments(rows)).items()}
+    d = len(next(iter(scaling.values()))[0]) if scaling else 0
+    found = _solved(rows, scaling, None, lambda parts: _axes(parts, d, n), "axes array<double>, variances array<double>") if scaling else []
+    return {r.held: (scaling[r.held][0], np.array(r.axes).reshape(-1, d), np.array(r.variances)) for r in found}
 
-def apply_pca(df: DataFrame, features: Sequence[str], mean: np.ndarray, parts: np.ndarray, prefix: str = "pc") -> DataFrame:
-    """df with a column for each component, as sums of columns."""
-    made = {f"{prefix}{i}": sum((F.lit(float(w)) * (F.col(c) - F.lit(float(m))) for w, c, m in zip(p, features, mean)), F.lit(0.0)) for i, p in enumerate(parts)}
-    return df.withColumns(made)
 
+def pca(df: DataFrame, unit: str, features: Features, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, axes (rows) and variances of all rows' centred features."""
+    return axes_by_fold(df.withColumn("_one", F.lit(0)), unit, "_one", features, n)[0]
 
-def pca_oof(df: DataFrame, unit: str, fold: str, features: Sequence[str], n: int, folds: Sequence[int]) -> DataFrame:
+
+def pca_oof(df: DataFrame, unit: str, fold: str, features: Features, n: int, prefix: str = "pc") -> DataFrame:
     """unit, fold and the components of each row by the axes of the other folds."""
-    out = None
-    for k in folds:
-        mean, parts, _ = pca(df.where(F.col(fold) != k), features, n)
-        part = apply_pca(df.where(F.col(fold) == k), features, mean, parts).select(unit, fold, *(f"pc{i}" for i in range(len(parts))))
-        out = part if out is None else out.union(part)
+    axes = axes_by_fold(df, unit, fold, features, n)
+    width = min((len(a) for _, a, _ in axes.values()), default=n)
+    return _mapped(df, unit, fold, features, [f"{prefix}{i}" for i in range(width)], lambda k, x: (x - axes[k][0]) @ axes[k][1][:width].T)
+
+
+def reduced(df: DataFrame, unit: str, fold: str, blocks: dict[str, Features], n: int) -> DataFrame:
+    """df with the components of each block of features (<block>_pc0 ...) in place of the block, by the axes of the other
+    folds; all other columns stay as they are."""
+    out = df
+    for name, features in blocks.items():
+        made = pca_oof(df, unit, fold, features, n, f"{name}_pc")
+        out = out.drop(*([features] if isinstance(features, str) else features)).join(made.drop(fold), unit)
     return out
 
 
-def boosted_oof(df: DataFrame, unit: str, fold: str, features: Sequence[str], targets: Sequence[str], folds: Sequence[int], rounds: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 42) -> DataFrame:
+def boosted_oof(df: DataFrame, unit: str, fold: str, features: Sequence[str], targets: Sequence[str], rounds: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 42, at_once: int = 4) -> DataFrame:
     """unit, fold and pred_<target> by boosted trees, a seventh of the training rows deciding when to stop (all rounds are
-    made if there are none of them, or no others)."""
+    made if there are none of them, or no others). Fits run `at_once` side by side."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
-    rows = rows.withColumn("_v", F.pmod(F.xxhash64(unit), F.lit(20)) < 3).select(unit, fold, "_x", "_v", *targets).cache()
-    stops = {r[0]: (r[1], r[2]) for r in rows.groupBy(fold).agg(F.count_if("_v"), F.count_if(~F.col("_v"))).collect()}
+    plain = df.select(F.col(unit).alias("unit"), F.col(fold).cast("int").alias("fold"), *(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)), *(F.col(c).cast("double").alias(f"y{j}") for j, c in enumerate(targets)))
+    plain = written(plain.withColumn("v", F.floor(hashed_unit(F.lit("early"), F.col("unit")) * 20) < 3))
+    rows = VectorAssembler(inputCols=[f"x{j}" for j in range(len(features))], outputCol="x").transform(plain).select("unit", "fold", "v", "x", *(f"y{j}" for j in range(len(targets))))
+    stops = {r[0]: (r[1], r[2]) for r in plain.groupBy("fold").agg(F.count_if("v"), F.count_if(~F.col("v"))).collect()}
+
+    def fit(at: tuple[int, int]):
+        k, j = at
+        early = all(sum(n[i] for f, n in stops.items() if f != k) for i in (0, 1))
+        trees = GBTRegressor(featuresCol="x", labelCol=f"y{j}", predictionCol=f"p{j}", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
+        return (trees.setValidationIndicatorCol("v") if early else trees).fit(rows.where(F.col("fold") != k))
+
+    at = [(k, j) for k in sorted(stops) for j in range(len(targets))]
+    with ThreadPool(at_once) as pool:
+        models = dict(zip(at, pool.map(fit, at)))
     out = None
-    for k in folds:
-        part = rows.where(F.col(fold) == k)
-        early = all(sum(n[i] for j, n in stops.items() if j != k) for i in (0, 1))
-        for t in targets:
-            trees = GBTRegressor(featuresCol="_x", labelCol=t, predictionCol=f"pred_{t}", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-            model = (trees.setValidationIndicatorCol("_v") if early else trees).fit(rows.where(F.col(fold) != k))
-            part = model.transform(part)
-        part = part.select(unit, fold, *(f"pred_{t}" for t in targets))
+    for k in sorted(stops):
+        part = rows.where(F.col("fold") == k)
+        for j in range(len(targets)):
+            part = models[k, j].transform(part)
+        part = part.select(F.col("unit").alias(unit), F.col("fold").alias(fold), *(F.col(f"p{j}").alias(f"pred_{t}") for j, t in enumerate(targets)))
         out = part if out is None else out.union(part)
     return out
 
 
-def residual_oof(df: DataFrame, unit: str, fold: str, first: Sequence[str], second: Sequence[str], targets: Sequence[str]) -> DataFrame:
+def residual_oof(df: DataFrame, unit: str, fold: str, first: Features, second: Features, targets: Sequence[str]) -> DataFrame:
     """Two stages: ridge on the first features, ridge of what it leaves on the second, summed: pred_<target>."""
-    a = linear_oof(df, unit, fold, first, targets)
+    a = written(linear_oof(df, unit, fold, first, targets))
     left = df.join(a.drop(fold), unit).withColumns({f"_r_{t}": F.col(t) - F.col(f"pred_{t}") for t in targets})
     b = linear_oof(left, unit, fold, second, [f"_r_{t}" for t in targets])
     return a.join(b.drop(fold), unit).select(unit, fold, *((F.col(f"pred_{t}") + F.col(f"pred__r_{t}")).alias(f"pred_{t}") for t in targets))
 
 
-def stacked_oof(df: DataFrame, unit: str, fold: str, oofs: Sequence[DataFrame], targets: Sequence[str]) -> DataFrame:
-    """Ridge over the predictions of several models, in log odds of scores 1 to 10. Units that a model doesn't predict go."""
-    from areasignal.functions.vectors import clipped, from_logit, to_logit
+def stacked_oof(df: DataFrame, unit: str, fold: str, oofs: Sequence[DataFrame], targets: Sequence[str], default: float = 0.0) -> DataFrame:
+    """Ridge of targets in log odds of scores 1 to 10 over the unscaled predictions of several models; of a unit that a model
+    doesn't predict, that model's prediction is the default."""
+    from areasignal.functions.vectors import from_logit, to_logit
 
     joined = df.select(unit, fold, *(to_logit(F.col(t)).alias(t) for t in targets))
     names = []
     for i, oof in enumerate(oofs):
-        cols = {f"l{i}_{t}": to_logit(clipped(F.col(f"pred_{t}"), 1.0, 10.0)) for t in targets}
-        joined = joined.join(oof.select(unit, *(c.alias(n) for n, c in cols.items())), unit)
-        names += list(cols)
-    out = linear_oof(joined, unit, fold, names, targets, alphas=STACKED)
+        cols = [f"p{i}_{t}" for t in targets]
+        joined = joined.join(oof.select(unit, *(F.col(f"pred_{t}").alias(c) for t, c in zip(targets, cols))), unit, "left").fillna(default, cols)
+        names += cols
+    out = linear_oof(written(joined), unit, fold, names, targets, clip=None, alphas=STACKED, scale=False)
     return out.select(unit, fold, *(from_logit(F.col(f"pred_{t}")).alias(f"pred_{t}") for t in targets))

@@ -255,13 +255,13 @@ def lasso_oof(spark, sf_dir):
 @query()
 def gbt_oof(spark, sf_dir):
     rows = features(spark, sf_dir).withColumns({t: vectors.to_logit(F.col(t)) for t in Y})
-    made = learn.boosted_oof(rows, "unit_id", "fold", X, Y, range(5), rounds=8)
+    made = learn.boosted_oof(rows, "unit_id", "fold", X, Y)
     return made.select("unit_id", "fold", *(vectors.from_logit(F.col(f"pred_{t}")).alias(f"pred_{t}") for t in Y))
 
 
 @query()
 def pca_blocks(spark, sf_dir):
-    return learn.pca_oof(features(spark, sf_dir), "unit_id", "fold", X, 4, range(5))
+    return learn.pca_oof(features(spark, sf_dir), "unit_id", "fold", X, 4)
 
 
 @query()

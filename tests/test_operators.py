@@ -1,5 +1,6 @@
 """Tables, geometry, scores, folds, fits and sources by hand or by numpy."""
 
+import hashlib
 import json
 import struct
 
@@ -139,25 +140,83 @@ def test_ridge_against_numpy(spark):
         assert np.allclose(got[fold == k], zt @ w + yk.mean(), atol=1e-6)
 
 
-def test_lasso_pca_and_stack(spark):
+def inner_of(units):
+    """The part of the training rows that each unit is in, as the hash says."""
+    return np.array([int(int(hashlib.md5(f"inner_{u}".encode()).hexdigest()[:8], 16) / 2**32 * learn.INNER) for u in units])
+
+
+def test_ridge_penalty_is_chosen_as_by_numpy(spark):
+    df, x, y, fold = folded(spark)
+    names, inner = [f"x{j}" for j in range(5)], inner_of(range(len(x)))
+    models = learn.fitted(df, "u", "fold", names, ["t"])
+    for k, made in models.items():
+        rest = fold != k
+        z = (x[rest] - x[rest].mean(0)) / np.where(x[rest].std(0) > 1e-12, x[rest].std(0), 1)
+        yk, part = y[rest], inner[rest]
+        marks = []
+        for alpha in learn.RIDGE:
+            found = []
+            for j in np.unique(part):
+                a, b = part != j, part == j
+                m, c = z[a].mean(0), yk[a].mean()
+                w = np.linalg.solve((z[a] - m).T @ (z[a] - m) + alpha * np.eye(5), (z[a] - m).T @ (yk[a] - c))
+                left = yk[b] - (z[b] - m) @ w - c
+                found.append(1 - (left**2).sum() / ((yk[b] - yk[b].mean()) ** 2).sum())
+            marks.append(np.mean(found))
+        assert made.alpha[0] == learn.RIDGE[int(np.argmax(marks))]
+
+
+def test_lasso_and_elastic_net_are_optimal(spark):
+    df, x, y, fold = folded(spark)
+    names = [f"x{j}" for j in range(5)]
+    for kind in ("lasso", "elastic"):
+        for k, m in learn.fitted(df, "u", "fold", names, ["t"], kind).items():
+            z, n = (x[fold != k] - m.mean) / m.sd, (fold != k).sum()
+            w, l1, l2 = m.weights[1:, 0], m.alpha[0] * m.share[0], m.alpha[0] * (1 - m.share[0])
+            slope = z.T @ (y[fold != k] - m.weights[0] - z @ w) / n - l2 * w
+            assert all(abs(g - l1 * np.sign(c)) < 1e-5 if c else abs(g) <= l1 + 1e-6 for g, c in zip(slope, w))
+            assert kind == "lasso" and m.share[0] == 1.0 or m.share[0] in learn.L1_SHARES
+            assert m.alpha[0] <= np.abs(z.T @ (y[fold != k] - y[fold != k].mean())).max() / n / m.share[0] * (1 + 1e-9)
+
+
+def test_pca_and_stack(spark):
     df, x, y, fold = folded(spark)
     names = [f"x{j}" for j in range(5)]
-    made = learn.folds_of(df, "fold", names, ["t"], None)
-    f = made[0]
-    gram, cross = sum(f.gram[j] for j in (1, 2, 3)), sum(f.cross[j] for j in (1, 2, 3))
-    w = learn.elastic_solution(gram, cross, 0.2, 1.0)[1:, 0]
-    z, n = (x[fold != 0] - f.mean) / f.sd, (fold != 0).sum()
-    r = y[fold != 0] - y[fold != 0].mean() - z @ w
-    slope = z.T @ r / n
-    assert all(abs(g - 0.2 * np.sign(c)) < 1e-6 if c else abs(g) <= 0.2 + 1e-9 for g, c in zip(slope, w))
-    mean, parts, var = learn.pca(df, names, 3)
+    mean, parts, var = learn.pca(df, "u", names, 3)
     _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
-    assert np.allclose(np.abs(parts @ vt[:3].T), np.eye(3), atol=1e-6) and np.allclose(var, s[:3] ** 2 / len(x))
-    assert np.allclose(learn.linear_oof(df, "u", "fold", names, ["t"]).agg(F.corr("pred_t", "pred_t")).first()[0], 1)
+    assert np.allclose(np.abs(parts @ vt[:3].T), np.eye(3), atol=1e-6) and np.allclose(var, s[:3] ** 2 / len(x)) and np.allclose(mean, x.mean(0))
+    got = np.array([[r.a_pc0, r.a_pc1, r.x4] for r in learn.reduced(df, "u", "fold", {"a": names[:2], "b": names[2:4]}, 2).orderBy("u").collect()])
+    for k in range(4):
+        part = x[fold != k][:, :2]
+        _, _, vt = np.linalg.svd(part - part.mean(0), full_matrices=False)
+        assert np.allclose(np.abs(got[fold == k][:, :2]), np.abs((x[fold == k][:, :2] - part.mean(0)) @ vt.T), atol=1e-6)
+    assert np.allclose(got[:, 2], x[:, 4])
     rows = df.withColumn("t", vectors.clipped(F.col("t") / 4 + 5, 1.0, 10.0))
     oofs = [learn.linear_oof(rows, "u", "fold", names, ["t"], kind) for kind in ("ridge", "elastic")]
-    stacked = learn.stacked_oof(rows, "u", "fold", oofs, ["t"]).join(rows.select("u", "t"), "u")
-    assert stacked.count() == 120 and stacked.agg(F.corr("pred_t", "t")).first()[0] > 0.95
+    stacked = learn.stacked_oof(rows, "u", "fold", [oofs[0], oofs[1].where("u > 3")], ["t"]).join(rows.select("u", "t"), "u")
+    assert stacked.count() == 120 and stacked.agg(F.corr("pred_t", "t")).first()[0] > 0.9
+
+
+def test_wide_features_against_numpy(spark, tmp_path):
+    """An array of 1,100 features, over several tiles, with values that the clip bounds; models are saved and loaded."""
+    rng = np.random.default_rng(7)
+    n, d = 400, 1100
+    x = rng.normal(size=(n, d))
+    x[:, 0] = np.where(np.arange(n) % 397 == 0, 1e6, x[:, 0])
+    y = np.stack([x[:, 1:30].sum(axis=1) + rng.normal(size=n), x[:, 5] * 3], axis=1)
+    fold = np.arange(n) % 3
+    df = spark.createDataFrame([(i, int(fold[i]), x[i].tolist(), *map(float, y[i])) for i in range(n)], "u int, fold int, x array<double>, t double, s double")
+    models = learn.fitted(df, "u", "fold", "x", ["t", "s"], clip=10.0, alphas=[50.0])
+    learn.save(models, spark, str(tmp_path / "models"))
+    models = learn.load(spark, str(tmp_path / "models"))
+    got = np.array([[r.pred_t, r.pred_s] for r in learn.apply_linear(df, "u", "fold", "x", ["t", "s"], models).orderBy("u").collect()])
+    for k in range(3):
+        rest = fold != k
+        m, s = x[rest].mean(0), x[rest].std(0)
+        z, zt = (np.clip((x[a] - m) / s, -10, 10) for a in (rest, fold == k))
+        c = z.mean(0)
+        w = np.linalg.solve((z - c).T @ (z - c) + 50 * np.eye(d), (z - c).T @ (y[rest] - y[rest].mean(0)))
+        assert np.allclose(got[fold == k], (zt - c) @ w + y[rest].mean(0), atol=1e-6)
 
 
 def test_json_sources(spark, tmp_path):
