@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from areasignal.functions.geo import hashed_unit
 
 
-def group_folds(df: DataFrame, group: str, stratum: str, n: int = 5, seed: int = 42) -> DataFrame:
+def group_folds(df: DataFrame, group: str, stratum: str, n: int = 5) -> DataFrame:
     """group and fold: every group in one fold, strata as even over folds as greedy assignment makes them.
 
     What reaches the driver is a count for each group and stratum (groups are areas: hundreds to some hundred thousands).
-    Groups go in falling order of their spread over strata to the fold whose strata then differ least.
+    Groups go in falling order of their spread over strata to the fold whose strata then differ least; ties go by the size
+    and the name of a group, and to the fold that has least.
     """
     counts: dict[object, dict[object, int]] = defaultdict(dict)
     for r in df.groupBy(group, stratum).agg(F.count("*").alias("n")).collect():
@@ -23,12 +24,12 @@ def group_folds(df: DataFrame, group: str, stratum: str, n: int = 5, seed: int =
     total = {s: sum(c.get(s, 0) for c in counts.values()) for s in strata}
     filled = [{s: 0 for s in strata} for _ in range(n)]
     mean = {g: sum(c.values()) / max(1, len(strata)) for g, c in counts.items()}
-    spread = {g: sum((c.get(s, 0) - mean[g]) ** 2 for s in strata) for g, c in counts.items()}
+    spread = {g: round(sum((c.get(s, 0) - mean[g]) ** 2 for s in strata), 6) for g, c in counts.items()}
     out = []
     for g in sorted(counts, key=lambda g: (-spread[g], -sum(counts[g].values()), str(g))):
         def cost(k: int) -> tuple[float, int, int]:
             worse = sum(((filled[k][s] + counts[g].get(s, 0)) ** 2 - filled[k][s] ** 2) / total[s] ** 2 for s in strata if total[s])
-            return worse, sum(filled[k].values()), k
+            return round(worse, 9), sum(filled[k].values()), k
         k = min(range(n), key=cost)
         for s, c in counts[g].items():
             filled[k][s] += c
@@ -37,17 +38,26 @@ def group_folds(df: DataFrame, group: str, stratum: str, n: int = 5, seed: int =
     return df.sparkSession.createDataFrame(out, f"`{group}` {kind}, fold int")
 
 
-def stratified_split(df: DataFrame, unit: str, label: str, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
-    """df with split: train, val or test, each label dealt by hashed order up to rounded cut-offs (half to even).
+def stratified_split(df: DataFrame, unit: str, label: str, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42, group: str | None = None) -> DataFrame:
+    """df with split: train, val or test, each label dealt by hashed order; train and val get their rounded shares (half to
+    even), test the rest.
 
-    Rows take their place within a label from counts of hash ranges, so no task sorts a whole label.
+    With a group, all its rows go the same way: groups are dealt, by the label of their last unit. Rows or groups take their
+    place within a label from counts of hash ranges, so no task sorts a whole label.
     """
+    if abs(sum(shares) - 1) > 1e-6:
+        raise ValueError("shares must add up to 1")
+    if group is not None:
+        labels = df.groupBy(F.col(group).alias("_g")).agg(F.max_by(label, unit).alias("_l"))
+        split = stratified_split(labels, "_g", "_l", shares, seed).select(F.col("_g").alias(group), "split")
+        return df.join(split, group).select(*df.columns, "split")
     u = hashed_unit(F.lit(seed), F.col(unit))
     rows = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * 1024).cast("int"))
     sums = rows.groupBy(label, "_b").agg(F.count("*").alias("_c"))
     before = sums.withColumn("_before", F.sum("_c").over(Window.partitionBy(label).orderBy("_b")) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(label)))
     place = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", unit)) + F.col("_before")
-    first, second = F.bround(F.col("_n") * shares[0]), F.bround(F.col("_n") * (shares[0] + shares[1]))
+    first = F.bround(F.col("_n") * shares[0])
+    second = first + F.bround(F.col("_n") * shares[1])
     out = rows.join(before, [label, "_b"]).withColumn("_i", place)
     return out.withColumn("split", F.when(F.col("_i") <= first, "train").when(F.col("_i") <= second, "val").otherwise("test")).select(*df.columns, "split")
 

@@ -31,10 +31,46 @@ def resamples(units: DataFrame, unit: str, times: int, seed: int = 42) -> DataFr
     return draws.join(numbered, "i").select("b", unit)
 
 
+def drawn_rows(long: DataFrame, draws: DataFrame, unit: str) -> DataFrame:
+    """b, the columns of long and w: each row of a unit once for each resample that draws it, with how often."""
+    return draws.groupBy("b", unit).agg(F.count("*").alias("w")).join(long, unit)
+
+
 def bootstrap(long: DataFrame, unit: str, times: int, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """b, keys, pooled_rho and pooled_r2 of each resample of the units of long (unit, domain, y, p)."""
-    again = resamples(long, unit, times, seed).join(long, unit)
-    return metrics.pooled(again, ["b", *keys]).drop("n")
+    rows = drawn_rows(long, resamples(long, unit, times, seed), unit)
+    return metrics.weighted_scores(rows, "y", "p", "w", ["b", *keys]).select("b", *keys, F.col("rho").alias("pooled_rho"), F.col("r2").alias("pooled_r2"))
+
+
+#: Columns of a report in their order.
+SCORES = ("rmse", "mae", "accuracy", "within_one", "pearson", "rho", "r2", "qwk")
+
+
+def report(long: DataFrame, unit: str, times: int = 500, seed: int = 42, by: str = "domain", source: str = "model") -> DataFrame:
+    """by, source, n and, for each of SCORES, its value and the ends of its interval over resamples of the units; a last row
+    `macro` has the means of the values over all rows of `by`."""
+    from areasignal.functions.vectors import ordinal
+
+    rows = written(long.select(unit, by, "y", "p"))
+    real = rows.select(F.lit(-1).alias("b"), unit, F.lit(1).cast("bigint").alias("w"), by, "y", "p")
+    again = drawn_rows(rows, resamples(rows, unit, times, seed), unit).select("b", unit, "w", by, "y", "p")
+    both = real.union(again).withColumns({"t": ordinal(F.col("y")), "q": ordinal(F.col("p"))})
+    found = metrics.weighted_scores(both, "y", "p", "w", ["b", by]).join(metrics.kappa_of_labels(both, "t", "q", ["b", by], "w"), ["b", by])
+    found = written(found.select("b", by, "n", *SCORES))
+    point = found.where("b = -1").drop("b")
+    wide = point.join(interval(found.where("b >= 0"), SCORES, [by]), by)
+    columns = [x for c in SCORES for x in (c, f"{c}_lo", f"{c}_hi")]
+    macro = point.agg(F.sum("n").alias("n"), *(F.avg(c).alias(c) for c in SCORES), *(F.lit(None).cast("double").alias(f"{c}_{e}") for c in SCORES for e in ("lo", "hi")))
+    return wide.select(by, F.lit(source).alias("source"), "n", *columns).union(macro.select(F.lit("macro"), F.lit(source), "n", *columns))
+
+
+def bars(long: DataFrame, unit: str, times: int = 500, seed: int = 42, by: str = "domain") -> DataFrame:
+    """by, rmse, mae and for each how far its bar reaches either way: 1.96 deviations over resamples of the units."""
+    rows = written(long.select(unit, by, "y", "p"))
+    again = metrics.weighted_scores(drawn_rows(rows, resamples(rows, unit, times, seed), unit), "y", "p", "w", ["b", by])
+    spread = again.groupBy(by).agg(*((1.96 * F.stddev_pop(c)).alias(f"{c}_bar") for c in ("rmse", "mae")))
+    e = F.col("y") - F.col("p")
+    return rows.groupBy(by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")).join(spread, by)
 
 
 def interval(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), level: float = 0.95) -> DataFrame:
@@ -46,7 +82,8 @@ def interval(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), le
 def paired(a: DataFrame, b: DataFrame, unit: str, times: int, seed: int = 42) -> DataFrame:
     """b, delta_rho and delta_r2 of b over a, over the units of both and the same draws."""
     shared = a.select(unit).distinct().join(b.select(unit).distinct(), unit)
-    draws = written(resamples(shared, unit, times, seed))
-    x, y = (metrics.pooled(draws.join(long, unit), ["b"]) for long in (a, b))
-    y = y.withColumnsRenamed({"pooled_rho": "rho2", "pooled_r2": "r22"})
-    return x.join(y, "b").select("b", (F.col("rho2") - F.col("pooled_rho")).alias("delta_rho"), (F.col("r22") - F.col("pooled_r2")).alias("delta_r2"))
+    draws = resamples(shared, unit, times, seed)
+    both = a.select(unit, "y", "p", F.lit(0).alias("run")).union(b.select(unit, "y", "p", F.lit(1)))
+    found = metrics.weighted_scores(drawn_rows(both, draws, unit), "y", "p", "w", ["b", "run"])
+    of = lambda c, run: F.max(F.when(F.col("run") == run, F.col(c)))
+    return found.groupBy("b").agg(*((of(c, 1) - of(c, 0)).alias(f"delta_{c}") for c in ("rho", "r2")))

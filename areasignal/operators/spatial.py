@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areasignal.functions import geo
-from areasignal.operators.metrics import moments
+from areasignal.session import written
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -127,41 +128,81 @@ def spaced(points: DataFrame, unit: str, order: str, metres: float, most: int) -
     return found.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(order, "lat", "lon"))).alias("accepted"))
 
 
-def moran(values: DataFrame, unit: str, value: str, edges: DataFrame) -> DataFrame:
-    """n, moran_i and expected of a value on the neighbour graph, weights of each unit adding up to 1; null for a constant."""
-    m = moments(values, value)
-    z = values.select(F.col(unit).alias("src"), (F.col(value) - m["mean"]).alias("z"))
-    pairs = edges.join(z, "src").join(z.select(F.col("src").alias("dst"), F.col("z").alias("zn")), "dst")
-    by = pairs.groupBy("src").agg(F.first("z").alias("z"), F.avg("zn").alias("lag"))
-    r = by.agg(F.sum(F.col("z") * F.col("lag")).alias("up"), F.count("*").alias("s0"))
-    i = F.try_divide(F.lit(float(m["n"])) * F.col("up"), F.col("s0") * F.lit(m["squares"]))
-    return r.select(F.lit(m["n"]).cast("long").alias("n"), F.when(F.lit(m["squares"] > 0), i).alias("moran_i"), F.try_divide(F.lit(-1.0), F.lit(m["n"] - 1.0)).alias("expected"))
-
-
-def lisa(values: DataFrame, unit: str, value: str, edges: DataFrame) -> DataFrame:
-    """unit, z (of the value), lag (of z) and quadrant: 1 high among high, 2 low among high, 3 low among low, 4 high among low."""
-    m = moments(values, value)
-    z = values.select(F.col(unit), F.try_divide(F.col(value) - m["mean"], F.lit(m["sd"])).alias("z"))
-    lag = edges.join(z.select(F.col(unit).alias("dst"), "z"), "dst").groupBy(F.col("src").alias(unit)).agg(F.avg("z").alias("lag"))
-    out = z.join(lag, unit)
-    return out.withColumn("quadrant", F.when((F.col("z") > 0) & (F.col("lag") > 0), 1).when((F.col("z") <= 0) & (F.col("lag") > 0), 2).when((F.col("z") <= 0), 3).otherwise(4))
-
-
-def moran_p(values: DataFrame, unit: str, value: str, edges: DataFrame, times: int = 999, seed: int = 42) -> DataFrame:
-    """moran_i with a pseudo p value: values are dealt anew by hashed order `times` times, in one plan."""
-    m = moments(values, value)
-    z = values.select(unit, (F.col(value) - m["mean"]).alias("z"))
-    place = lambda df, key, name: df.withColumn(name, F.row_number().over(Window.partitionBy("b").orderBy(key, unit)))
-    again = z.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times))))
-    dealt = place(again, F.when(F.col("b") == 0, F.col(unit).cast("double")).otherwise(geo.hashed_unit(F.lit(seed), F.col("b"), F.col(unit))), "at").select("b", "at", "z")
-    own = place(again.drop("z"), F.col(unit).cast("double"), "at").join(dealt, ["b", "at"]).select("b", F.col(unit).alias("src"), "z")
-    pairs = edges.join(own, "src").join(own.select("b", F.col("src").alias("dst"), F.col("z").alias("zn")), ["b", "dst"])
-    by = pairs.groupBy("b", "src").agg(F.first("z").alias("z"), F.avg("zn").alias("lag")).groupBy("b").agg(F.sum(F.col("z") * F.col("lag")).alias("up"), F.count("*").alias("s0"))
-    i = by.select("b", F.try_divide(F.lit(float(m["n"])) * F.col("up"), F.col("s0") * F.lit(m["squares"])).alias("i"))
-    real = i.where("b = 0").select(F.col("i").alias("moran_i"))
-    drawn = i.where("b > 0").crossJoin(F.broadcast(real))  # one row
-    above = F.count_if(F.col("i") >= F.col("moran_i"))
-    return drawn.agg(F.first("moran_i").alias("moran_i"), ((F.least(above, F.count("*") - above) + 1) / (F.count("*") + 1)).alias("p"), ((F.first("moran_i") - F.avg("i")) / F.stddev_pop("i")).alias("z_sim"))
+def _centred(values: DataFrame, unit: str, value: str, by: Sequence[str]) -> DataFrame:
+    """by, unit, z (the value less its mean), sd and n (of all units of a `by`), written once. Nulls are left out."""
+    v = written(values.where(F.col(value).isNotNull()).select(*by, unit, F.col(value).cast("double").alias("z")))
+    m = v.groupBy(*by).agg(F.avg("z").alias("mean"), F.stddev_pop("z").alias("sd"), F.count("*").alias("n"))
+    joined = v.join(m, list(by)) if by else v.crossJoin(F.broadcast(m))  # without keys one row
+    return written(joined.select(*by, unit, (F.col("z") - F.col("mean")).alias("z"), "sd", "n"))
+
+
+def _lagged(z: DataFrame, unit: str, edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, unit, z, sd, n, lag (the mean of the neighbours' z) and k (their number); units without neighbours are left out."""
+    lag = edges.join(z.select(*by, F.col(unit).alias("dst"), "z"), "dst").groupBy(*by, F.col("src").alias(unit)).agg(F.avg("z").alias("lag"), F.count("*").alias("k"))
+    return z.join(lag, [*by, unit])
+
+
+def moran(values: DataFrame, unit: str, value: str, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, n, moran_i and expected of a value on the neighbour graph, weights of each unit adding up to 1; null for a constant."""
+    r = _lagged(_centred(values, unit, value, by), unit, edges, by).groupBy(*by).agg(F.first("n").alias("n"), F.first("sd").alias("sd"), F.sum(F.col("z") * F.col("lag")).alias("up"), F.count("*").alias("s0"))
+    i = F.when(F.col("sd") > 0, F.try_divide(F.col("up"), F.col("s0") * F.col("sd") * F.col("sd")))
+    return r.select(*by, "n", i.alias("moran_i"), F.try_divide(F.lit(-1.0), F.col("n") - 1.0).alias("expected"))
+
+
+def _quadrant(z: Column, lag: Column) -> Column:
+    return F.when((z > 0) & (lag > 0), 1).when((z <= 0) & (lag > 0), 2).when(z <= 0, 3).otherwise(4)
+
+
+def lisa(values: DataFrame, unit: str, value: str, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, unit, z (of the value), lag (of z) and quadrant: 1 high among high, 2 low among high, 3 low among low, 4 high among low."""
+    found = _lagged(_centred(values, unit, value, by), unit, edges, by)
+    out = found.select(*by, unit, F.try_divide("z", "sd").alias("z"), F.try_divide("lag", "sd").alias("lag"))
+    return out.withColumn("quadrant", _quadrant(F.col("z"), F.col("lag")))
+
+
+def _dealt(z: DataFrame, unit: str, by: Sequence[str], times: int, seed: int) -> DataFrame:
+    """by, b (1 to times), unit, z, sd, n and at (from 0): the units in `times` orders by hash. An order's units are numbered in
+    one task; they are areas, and the task sorts them outside its memory if need be."""
+    again = z.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    key = geo.hashed_unit(F.lit(seed), F.col("b"), F.col(unit))
+    return again.withColumn("at", F.row_number().over(Window.partitionBy(*by, "b").orderBy(key, unit)) - 1)
+
+
+def lisa_significance(values: DataFrame, unit: str, value: str, edges: DataFrame, by: Sequence[str] = (), times: int = 999, seed: int = 42, level: float = 0.05) -> DataFrame:
+    """by, unit, local_i, quadrant, p_sim and cluster: the quadrant where p_sim is below the level, else 0.
+
+    Conditional permutations: a unit of k neighbours gets in each of `times` orders by hash the k units that follow it, round
+    the end: others than itself, each at most once. p_sim is the share of orders whose local I is at least (or at most, if
+    those are fewer) the unit's own. Values are compared to nine digits, so equal neighbourhoods count as equal.
+    """
+    found = written(_lagged(_centred(values, unit, value, by), unit, edges, by).withColumn("w", F.greatest(F.col("sd") * F.col("sd"), F.lit(1e-300))))
+    centred = found.select(*by, unit, "k", "w", F.round(F.col("z") * F.col("lag") / F.col("w"), 9).alias("local_i"), _quadrant(F.col("z"), F.col("lag")).alias("quadrant"))
+    order = _dealt(_centred(values, unit, value, by), unit, by, times, seed)
+    upto = Window.partitionBy(*by, "b").orderBy("at")
+    sums = order.withColumn("upto", F.sum("z").over(upto)).select(*by, "b", "at", unit, "z", "n", "upto")
+    last = F.pmod(F.col("at") + F.col("k"), F.col("n"))
+    ends = sums.select(*by, "b", F.col("at").alias("end"), F.col("upto").alias("to"))
+    drawn = sums.join(centred, [*by, unit]).withColumn("end", last).join(ends, [*by, "b", "end"])
+    mean = (F.col("to") - F.col("upto")) / F.col("k")  # round the end too, as all z add up to nothing
+    above = F.count_if(F.round(F.col("z") * mean / F.col("w"), 9) >= F.col("local_i"))
+    p = (F.least(above, F.count("*") - above) + 1) / (F.count("*") + 1)
+    out = drawn.groupBy(*by, unit, "local_i", "quadrant").agg(p.alias("p_sim"))
+    return out.withColumn("cluster", F.when(F.col("p_sim") < level, F.col("quadrant")).otherwise(0))
+
+
+def moran_p(values: DataFrame, unit: str, value: str, edges: DataFrame, times: int = 999, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """by, moran_i, p and z_sim: values are dealt anew by hashed order `times` times, in one plan. p is the share of deals whose
+    I is at least (or at most) the real one, to nine digits."""
+    z = _centred(values, unit, value, by)
+    real = moran(values, unit, value, edges, by).select(*by, "moran_i")
+    own = z.select(*by, unit, (F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1).alias("at"))
+    dealt = written(_dealt(z, unit, by, times, seed).select(*by, "b", "at", "z", "sd").join(own, [*by, "at"]).select(*by, "b", unit, "z", "sd"))
+    lag = edges.join(dealt.select(*by, "b", F.col(unit).alias("dst"), F.col("z").alias("zn")), "dst").groupBy(*by, "b", F.col("src").alias(unit)).agg(F.avg("zn").alias("lag"))
+    sums = dealt.join(lag, [*by, "b", unit]).groupBy(*by, "b").agg(F.sum(F.col("z") * F.col("lag")).alias("up"), F.count("*").alias("s0"), F.first("sd").alias("sd"))
+    i = sums.select(*by, "b", F.try_divide(F.col("up"), F.col("s0") * F.col("sd") * F.col("sd")).alias("i"))
+    both = i.join(real, list(by)) if by else i.crossJoin(F.broadcast(real))  # without keys one row
+    above = F.count_if(F.round("i", 9) >= F.round("moran_i", 9))
+    return both.groupBy(*by).agg(F.first("moran_i").alias("moran_i"), ((F.least(above, F.count("*") - above) + 1) / (F.count("*") + 1)).alias("p"), F.try_divide(F.first("moran_i") - F.avg("i"), F.stddev_pop("i")).alias("z_sim"))
 
 
 def placed_boxes(areas: DataFrame, unit: str, existing: DataFrame, size: float, most: str = "most", margin: float = 0.0) -> DataFrame:

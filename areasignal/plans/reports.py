@@ -9,7 +9,7 @@ from areasignal.functions import geo
 from areasignal.operators import crossval, encode, metrics, perceive, resample, spatial, tables
 from areasignal.plans.areas import EDGES, edges, polygons
 from areasignal.plans.base import DOMAINS, ctes, frame, query, table
-from areasignal.plans.scores import BANDS, CROSS, DRAWS, LONG, TIMES, X, Y, Z, cross_domain_corr, features, long, oof, rho, rounded
+from areasignal.plans.scores import BANDS, LISA, LONG, OOF, REPORT_TIMES, X, Y, cross_domain_corr, draws, features, long, oof, rho, rounded, significant
 from areasignal.session import written
 
 
@@ -21,27 +21,60 @@ def error_by_band(spark, sf_dir):
     return rounded(banded.groupBy("domain", "band").agg(F.count("*").alias("n"), *(F.percentile(e, F.lit(q)).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))), "q1", "median", "q3")
 
 
-@query(ctes("obs") + CROSS + ", s AS (SELECT string_split(pair, '/')[1] AS a, string_split(pair, '/')[2] AS b, round(rho, 6) AS rho FROM rho) SELECT a AS domain, round(max(CASE WHEN a = b THEN rho END), 5) AS own, round(avg(CASE WHEN a <> b THEN rho END), 5) AS others FROM s GROUP BY a")
+#: Every pair of a prediction's and a target's, and of two targets.
+SQUARE = OOF + ", crossed AS (" + " UNION ALL ".join(f"SELECT '{kind}/{a}/{b}' AS pair, {kind}_{a} AS y, target_{b} AS p FROM oof" for kind in ("pred", "target") for a in DOMAINS for b in DOMAINS) + ")" + rho("pair", "crossed")
+
+
+@query(ctes("obs") + SQUARE + ", s AS (SELECT string_split(pair, '/') AS s, round(rho, 6) AS rho FROM rho) SELECT s[2] AS domain, round(max(CASE WHEN s[1] = 'pred' AND s[2] = s[3] THEN rho END), 5) AS own, round(avg(CASE WHEN s[1] = 'target' AND s[2] <> s[3] THEN rho END), 5) AS others FROM s GROUP BY s[2]")
 def own_and_other_domains(spark, sf_dir):
+    """How a domain's prediction goes with its own target, and how its target goes with the other ones on the whole."""
     c = cross_domain_corr(spark, sf_dir)
-    same = F.col("pred") == F.col("target")
-    return rounded(c.groupBy(F.col("pred").alias("domain")).agg(F.max(F.when(same, F.col("rho"))).alias("own"), F.avg(F.when(~same, F.col("rho"))).alias("others")), "own", "others", digits=5)
+    own = c.where("pred = target").select(F.col("pred").alias("domain"), F.col("rho").alias("own"))
+    rows = oof(spark, sf_dir)
+    names = [f"target_{d}" for d in DOMAINS]
+    between = metrics.cross_correlation(rows, rows, "unit_id", names, names).where("left <> right")
+    others = between.groupBy(F.substring("left", 8, 99).alias("domain")).agg(F.avg(F.round("rho", 6)).alias("others"))
+    return rounded(own.join(others, "domain"), "own", "others", digits=5)
 
 
-@query(ctes("units") + Z + ", q AS (SELECT CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant FROM z JOIN lag USING (unit_id)) SELECT quadrant, count(*) AS n, round(count(*) / (SELECT count(*) FROM q), 6) AS share FROM q GROUP BY quadrant")
+@query(ctes("units") + LISA + ", q AS (SELECT CASE WHEN p_sim < 0.05 THEN quadrant ELSE 0 END AS cluster FROM lisa) SELECT cluster, count(*) AS n, round(count(*) / (SELECT count(*) FROM q), 6) AS share FROM q GROUP BY cluster")
 def lisa_cluster_counts(spark, sf_dir):
-    from areasignal.plans.areas import unit_values
+    """Units of each cluster and their share of all; cluster 0 are those that aren't significant."""
+    q = written(significant(spark, sf_dir))
+    n = q.groupBy("cluster").agg(F.count("*").alias("n"))
+    return rounded(n.crossJoin(F.broadcast(q.agg(F.count("*").alias("all")))).select("cluster", "n", (F.col("n") / F.col("all")).alias("share")), "share")  # one row
+
+
+def _report_sql() -> str:
+    """Scores of the rows as they are (b = -1) and of each resample, by domain; QWK over the labels seen in each."""
+    clip = lambda c: f"greatest(1, least(10, round_even({c}, 0)))::INTEGER"
+    of = {"rmse": "rmse", "mae": "mae", "accuracy": "acc", "within_one": "w1", "pearson": "pearson", "rho": "rho", "r2": "r2", "qwk": "qwk"}
+    cells = ", ".join(f"round(any_value(s.{v}) FILTER (b = -1), 4) AS {k}, round(quantile_cont(s.{v}, 0.025) FILTER (b >= 0), 4) AS {k}_lo, round(quantile_cont(s.{v}, 0.975) FILTER (b >= 0), 4) AS {k}_hi" for k, v in of.items())
+    mean = ", ".join(f"round(avg(s.{v}), 4), NULL, NULL" for v in of.values())
+    return ctes("obs") + LONG + draws(REPORT_TIMES) + f""", x AS (SELECT domain || '/' || b AS db, y, p FROM (SELECT b, unit_id FROM drawn UNION ALL SELECT -1, unit_id FROM oof) JOIN long USING (unit_id)){rho("db", "x")},
+l AS (SELECT db, y, p, {clip("y")} AS t, {clip("p")} AS q FROM x), labels AS (SELECT db, t AS label FROM l UNION SELECT db, q FROM l), place AS (SELECT db, label, dense_rank() OVER (PARTITION BY db ORDER BY label) AS i FROM labels),
+j AS (SELECT l.db, y, p, t, q, a.i AS a, b.i AS b FROM l JOIN place AS a ON a.db = l.db AND a.label = t JOIN place AS b ON b.db = l.db AND b.label = q),
+k AS (SELECT db, avg(CASE WHEN t = q THEN 1.0 ELSE 0 END) AS acc, avg(CASE WHEN abs(y - p) <= 1 THEN 1.0 ELSE 0 END) AS w1, coalesce(1 - avg((a - b) ** 2) / nullif(avg(a * a) + avg(b * b) - 2 * avg(a) * avg(b), 0), 0) AS qwk FROM j GROUP BY db),
+s AS (SELECT string_split(db, '/')[1] AS domain, string_split(db, '/')[2]::INTEGER AS b, * FROM rho JOIN k USING (db))
+SELECT domain, 'model' AS source, any_value(n) FILTER (b = -1) AS n, {cells} FROM s GROUP BY domain UNION ALL SELECT 'macro', 'model', sum(n)::BIGINT, {mean} FROM s WHERE b = -1"""
+
+
+@query(_report_sql())
+def domain_report_full(spark, sf_dir):
+    """Eight scores by domain with intervals over 500 resamples, and their means."""
+    found = resample.report(long(spark, sf_dir), "unit_id", REPORT_TIMES)
+    return rounded(found, *found.columns[3:], digits=4)
+
 
-    q = spatial.lisa(unit_values(spark, sf_dir), "unit_id", "quantity", edges(spark, sf_dir))
-    n = q.groupBy("quadrant").agg(F.count("*").alias("n"))
-    return rounded(n.crossJoin(F.broadcast(q.agg(F.count("*").alias("all")))).select("quadrant", "n", (F.col("n") / F.col("all")).alias("share")), "share")  # one row
+@query(ctes("obs") + LONG + draws(REPORT_TIMES) + ", x AS (SELECT b, domain, y, p FROM drawn JOIN long USING (unit_id)), e AS (SELECT b, domain, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae FROM x GROUP BY b, domain), s AS (SELECT domain, 1.96 * stddev_pop(rmse) AS r, 1.96 * stddev_pop(mae) AS m FROM e GROUP BY domain) SELECT domain, round(sqrt(avg((y - p) ** 2)), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae, round(any_value(r), 6) AS rmse_bar, round(any_value(m), 6) AS mae_bar FROM long JOIN s USING (domain) GROUP BY domain")
+def rmse_bars(spark, sf_dir):
+    return rounded(resample.bars(long(spark, sf_dir), "unit_id", REPORT_TIMES), "rmse", "mae", "rmse_bar", "mae_bar")
 
 
-@query(ctes("obs") + LONG + DRAWS + ", x AS (SELECT domain || '/' || b AS db, y, p FROM drawn JOIN long USING (unit_id))" + rho("db", "x") + " SELECT string_split(db, '/')[1] AS domain, round(quantile_cont(r2, 0.025), 6) AS r2_lo, round(quantile_cont(r2, 0.975), 6) AS r2_hi, round(quantile_cont(mae, 0.025), 6) AS mae_lo, round(quantile_cont(mae, 0.975), 6) AS mae_hi FROM rho GROUP BY 1")
+@query(ctes("obs") + LONG + draws(REPORT_TIMES) + ", x AS (SELECT domain || '/' || b AS db, y, p FROM drawn JOIN long USING (unit_id))" + rho("db", "x") + " SELECT string_split(db, '/')[1] AS domain, round(quantile_cont(r2, 0.025), 6) AS r2_lo, round(quantile_cont(r2, 0.975), 6) AS r2_hi, round(quantile_cont(mae, 0.025), 6) AS mae_lo, round(quantile_cont(mae, 0.975), 6) AS mae_hi FROM rho GROUP BY 1")
 def domain_report_ci(spark, sf_dir):
-    draws = resample.resamples(oof(spark, sf_dir).select("unit_id"), "unit_id", TIMES).join(long(spark, sf_dir), "unit_id")
-    y, p = F.col("y"), F.col("p")
-    by = draws.groupBy("domain", "b").agg(metrics.r_squared(y, p).alias("r2"), F.avg(F.abs(y - p)).alias("mae"))
+    rows = long(spark, sf_dir)
+    by = metrics.weighted_scores(resample.drawn_rows(rows, resample.resamples(rows, "unit_id", REPORT_TIMES), "unit_id"), "y", "p", "w", ["domain", "b"])
     found = resample.interval(by, ["r2", "mae"], ["domain"])
     return rounded(found, "r2_lo", "r2_hi", "mae_lo", "mae_hi")
 

@@ -151,27 +151,31 @@ def cross_domain_corr(spark, sf_dir):
     return rounded(found.select(F.substring("left", 6, 99).alias("pred"), F.substring("right", 8, 99).alias("target"), "n", "rho"), "rho")
 
 
-@query(ctes("obs") + CROSS + " SELECT pair, round(rho, 6) AS rho FROM rho WHERE rho IS NOT NULL ORDER BY abs(rho) DESC, pair LIMIT 4")
+@query(ctes("obs") + CROSS + " SELECT pair, round(rho, 6) AS rho FROM rho WHERE rho IS NOT NULL ORDER BY abs(round(rho, 6)) DESC, pair LIMIT 4")
 def top_corr_pairs(spark, sf_dir):
     found = cross_domain_corr(spark, sf_dir).where("rho is not null").select(F.concat_ws("/", "pred", "target").alias("pair"), "rho")
     return found.orderBy(F.desc(F.abs("rho")), "pair").limit(4)
 
 
-TIMES = 40
-DRAWS = """, ids AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT unit_id FROM oof)),
+#: Resamples of the intervals, and of the report by domain.
+TIMES, REPORT_TIMES = 1000, 500
+
+
+def draws(times: int) -> str:
+    return """, ids AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT unit_id FROM oof)),
 draws AS (SELECT b, ('0x' || substr(md5('42_' || b || '_' || i), 1, 8))::BIGINT % n AS j FROM ids, range(TIMES) AS t(b)),
-drawn AS (SELECT b, unit_id FROM draws JOIN ids ON i = j)""".replace("TIMES", str(TIMES))
+drawn AS (SELECT b, unit_id FROM draws JOIN ids ON i = j)""".replace("TIMES", str(times))
 
 
-@query(ctes("obs") + LONG + DRAWS + ", x AS (SELECT b, y, p FROM drawn JOIN long USING (unit_id))" + rho("b", "x") + " SELECT round(quantile_cont(rho, 0.025), 6) AS pooled_rho_lo, round(quantile_cont(rho, 0.975), 6) AS pooled_rho_hi, round(quantile_cont(r2, 0.025), 6) AS pooled_r2_lo, round(quantile_cont(r2, 0.975), 6) AS pooled_r2_hi FROM rho")
+@query(ctes("obs") + LONG + draws(TIMES) + ", x AS (SELECT b, y, p FROM drawn JOIN long USING (unit_id))" + rho("b", "x") + " SELECT round(quantile_cont(rho, 0.025), 6) AS pooled_rho_lo, round(quantile_cont(rho, 0.975), 6) AS pooled_rho_hi, round(quantile_cont(r2, 0.025), 6) AS pooled_r2_lo, round(quantile_cont(r2, 0.975), 6) AS pooled_r2_hi FROM rho")
 def bootstrap_ci(spark, sf_dir):
     found = resample.interval(resample.bootstrap(long(spark, sf_dir), "unit_id", TIMES), ["pooled_rho", "pooled_r2"])
     return rounded(found, *found.columns)
 
 
 @query(
-    ctes("obs") + RUNS + DRAWS + ", x AS (SELECT run * 1000 + b AS rb, y, p FROM drawn JOIN runs USING (unit_id) WHERE run < 2)" + rho("rb", "x")
-    + " SELECT (b.rb % 1000)::BIGINT AS b, round(b.rho - a.rho, 6) AS delta_rho, round(b.r2 - a.r2, 6) AS delta_r2 FROM rho AS a JOIN rho AS b ON a.rb + 1000 = b.rb"
+    ctes("obs") + RUNS + draws(TIMES) + ", x AS (SELECT run * 10000 + b AS rb, y, p FROM drawn JOIN runs USING (unit_id) WHERE run < 2)" + rho("rb", "x")
+    + " SELECT (b.rb % 10000)::BIGINT AS b, round(b.rho - a.rho, 6) AS delta_rho, round(b.r2 - a.r2, 6) AS delta_r2 FROM rho AS a JOIN rho AS b ON a.rb + 10000 = b.rb"
 )
 def paired_bootstrap_delta(spark, sf_dir):
     rows = runs(spark, sf_dir)
@@ -192,25 +196,82 @@ def lisa_quadrants(spark, sf_dir):
     return rounded(spatial.lisa(unit_values(spark, sf_dir), "unit_id", "quantity", edges(spark, sf_dir)), "z", "lag")
 
 
-@query()
+#: The units of Z in 999 orders by hash, from 0.
+ORDERS = """, h AS (SELECT b::INTEGER AS b, unit_id, z, ('0x' || substr(md5('42_' || b || '_' || unit_id), 1, 8))::BIGINT AS h FROM z, range(1, 1000) AS t(b)),
+dealt AS (SELECT b, unit_id, z, row_number() OVER (PARTITION BY b ORDER BY h, unit_id) - 1 AS pos FROM h)"""
+
+
+@query(
+    ctes("units") + Z + ORDERS + """, own AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS pos FROM z),
+again AS (SELECT b, own.unit_id, z FROM dealt JOIN own USING (pos)), lags AS (SELECT b, src AS unit_id, avg(z) AS lag FROM edges JOIN again ON unit_id = dst GROUP BY b, src),
+v AS (SELECT (SELECT sum(z * z) FROM z) AS ss, (SELECT count(*) FROM z) AS n), i AS (SELECT b, sum(z * lag) / count(*) * any_value(n) / any_value(ss) AS i FROM again JOIN lags USING (b, unit_id) CROSS JOIN v GROUP BY b),
+r AS (SELECT sum(z.z * lag) / count(*) * any_value(n) / any_value(ss) AS real FROM z JOIN lag USING (unit_id) CROSS JOIN v),
+c AS (SELECT count(*) AS n, count(*) FILTER (round(i, 9) >= round(real, 9)) AS above, any_value(real) AS real, avg(i) AS mean, stddev_pop(i) AS sd FROM i CROSS JOIN r)
+SELECT round(real, 6) AS moran_i, round((least(above, n - above) + 1) / (n + 1), 6) AS p, round((real - mean) / sd, 5) AS z_sim FROM c"""
+)
 def moran_pseudo_p(spark, sf_dir):
-    return spatial.moran_p(unit_values(spark, sf_dir), "unit_id", "quantity", edges(spark, sf_dir), times=99)
+    found = spatial.moran_p(unit_values(spark, sf_dir), "unit_id", "quantity", written(edges(spark, sf_dir)))
+    return rounded(rounded(found, "moran_i", "p"), "z_sim", digits=5)
+
+
+#: Local I of each unit of Z, and its share of orders, by drawing the units that follow it.
+LISA = Z + ORDERS + """, k AS (SELECT unit_id, z.z, lag.lag, sd, (SELECT count(*) FROM edges JOIN z AS n ON n.unit_id = dst WHERE src = z.unit_id) AS k FROM z JOIN lag USING (unit_id)),
+n AS (SELECT count(*) AS n FROM z), d AS (SELECT k.unit_id, dealt.b, avg(o.z) AS drawn FROM k JOIN dealt USING (unit_id) CROSS JOIN n JOIN dealt AS o ON o.b = dealt.b AND (o.pos - dealt.pos + n.n) % n.n BETWEEN 1 AND k GROUP BY k.unit_id, dealt.b),
+own AS (SELECT unit_id, z, sd, round(z * lag / (sd * sd), 9) AS local_i, CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant FROM k),
+c AS (SELECT unit_id, any_value(local_i) AS local_i, any_value(quadrant) AS quadrant, count(*) AS n, count(*) FILTER (round(z * drawn / (sd * sd), 9) >= local_i) AS above FROM own JOIN d USING (unit_id) GROUP BY unit_id),
+lisa AS (SELECT unit_id, local_i, quadrant, (least(above, n - above) + 1) / (n + 1) AS p_sim FROM c)"""
+
+
+def significant(spark, sf_dir):
+    return spatial.lisa_significance(unit_values(spark, sf_dir), "unit_id", "quantity", written(edges(spark, sf_dir)))
+
+
+@query(ctes("units") + LISA + " SELECT unit_id, round(local_i, 6) AS local_i, quadrant, round(p_sim, 6) AS p_sim, CASE WHEN p_sim < 0.05 THEN quadrant ELSE 0 END AS cluster FROM lisa")
+def lisa_significant(spark, sf_dir):
+    return rounded(significant(spark, sf_dir), "local_i", "p_sim")
+
+
+#: Residuals of the predictions as values on the grid, by domain.
+RESIDUALS = OOF + EDGES + ", res AS (" + " UNION ALL ".join(f"SELECT unit_id, '{d}' AS domain, pred_{d} - target_{d} AS e FROM oof" for d in DOMAINS) + "), z AS (SELECT domain, unit_id, e - avg(e) OVER (PARTITION BY domain) AS z, count(*) OVER (PARTITION BY domain) AS n FROM res)"
+
+
+@query(ctes("obs", "units") + RESIDUALS + ", lag AS (SELECT domain, src AS unit_id, avg(z) AS lag FROM edges JOIN z ON unit_id = dst GROUP BY domain, src), s AS (SELECT domain, sum(z * z) AS ss FROM z GROUP BY domain) SELECT domain, any_value(n) AS n, round(any_value(n) * sum(z * lag) / count(*) / any_value(ss), 6) AS moran_i, round(-1.0 / (any_value(n) - 1), 6) AS expected FROM z JOIN lag USING (domain, unit_id) JOIN s USING (domain) GROUP BY domain")
+def moran_by_domain(spark, sf_dir):
+    rows = long(spark, sf_dir).select("domain", "unit_id", (F.col("p") - F.col("y")).alias("e"))
+    return rounded(spatial.moran(rows, "unit_id", "e", edges(spark, sf_dir), ["domain"]), "moran_i", "expected")
+
+
+@query(
+    """WITH u AS (SELECT s_nationkey AS g, s_suppkey % 3 AS label, s_suppkey AS id FROM supplier), l AS (SELECT g, max_by(label, id) AS label, ('0x' || substr(md5('42_' || g), 1, 8))::BIGINT AS h FROM u GROUP BY g),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, g) AS i, count(*) OVER (PARTITION BY label) AS n FROM l)
+SELECT id, g AS group_id, CASE WHEN i <= round_even(n * 0.8::DOUBLE, 0) THEN 'train' WHEN i <= round_even(n * 0.8::DOUBLE, 0) + round_even(n * 0.1::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM u JOIN r USING (g)"""
+)
+def stratified_split_of_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("group_id"), (F.col("s_suppkey") % 3).alias("label"))
+    return folds.stratified_split(rows, "id", "label", group="group_id").select("id", "group_id", "split")
+
+
+#: Groups by strata, and folds by the greedy rule: groups in falling order of their spread, each to the fold whose strata then
+#: are most even. A recursion over the groups with the folds' counts so far as lists.
+KFOLD = """WITH RECURSIVE u AS (SELECT s_suppkey AS unit_id, s_nationkey AS g, s_suppkey % 5 AS s FROM supplier), c AS (SELECT g, s, count(*) AS n FROM u GROUP BY g, s), strata AS (SELECT s, sum(n) AS total, row_number() OVER (ORDER BY s::VARCHAR) AS i FROM c GROUP BY s),
+m AS (SELECT g, list(coalesce(n, 0)::BIGINT ORDER BY i) AS ns, list(total::BIGINT ORDER BY i) AS totals FROM (SELECT DISTINCT g FROM c) CROSS JOIN strata LEFT JOIN c USING (g, s) GROUP BY g),
+o AS (SELECT g, ns, totals, row_number() OVER (ORDER BY -round(list_sum(list_transform(ns, lambda x: (x - list_avg(ns)) ** 2)), 6), -list_sum(ns), g::VARCHAR) AS at FROM m),
+f AS (SELECT 0::BIGINT AS at, NULL::INTEGER AS g, NULL::BIGINT AS fold, (SELECT list_transform(range(5), lambda k: list_transform(ns, lambda x: 0::BIGINT)) FROM o WHERE o.at = 1) AS filled
+UNION ALL SELECT o.at, o.g, p.k, list_transform(f.filled, lambda x, i: CASE WHEN i = p.k + 1 THEN list_transform(x, lambda y, j: y + o.ns[j]) ELSE x END)
+FROM f JOIN o ON o.at = f.at + 1, LATERAL (SELECT k FROM range(5) AS r(k) ORDER BY round(list_sum(list_transform(o.ns, lambda n, j: ((f.filled[k + 1][j] + n) ** 2 - f.filled[k + 1][j] ** 2) / o.totals[j] ** 2)), 9), list_sum(f.filled[k + 1]), k LIMIT 1) AS p)"""
 
 
-@query(ctes("units") + " SELECT count(*) AS n_units, count(DISTINCT group_id) AS n_groups, 1 AS most_folds_of_a_group, 5 AS n_folds, TRUE AS even FROM units")
+@query(KFOLD + " SELECT unit_id, u.g AS group_id, f.fold::INTEGER AS fold FROM u JOIN f ON f.g = u.g")
 def group_kfold(spark, sf_dir):
-    """What must hold of the folds: each group in one, all used, none over twice its share."""
-    units = frame(spark, sf_dir, "units").withColumn("stratum", F.col("unit_id") % 5)
-    made = units.drop("fold").join(F.broadcast(folds.group_folds(units, "group_id", "stratum")), "group_id")
-    by = made.groupBy("group_id").agg(F.count_distinct("fold").cast("int").alias("k")).agg(F.max("k").alias("most_folds_of_a_group"), F.count("*").alias("n_groups"))
-    size = made.groupBy("fold").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_units"), F.count("*").cast("int").alias("n_folds"), (F.max("n") <= 2 * F.sum("n") / 5).alias("even"))
-    return by.crossJoin(size)  # one row each
+    """Every unit's fold: groups stay together, strata are even."""
+    units = frame(spark, sf_dir, "units").select("unit_id", "group_id", (F.col("unit_id") % 5).alias("stratum"))
+    return units.join(folds.group_folds(units, "group_id", "stratum"), "group_id").select("unit_id", "group_id", "fold")
 
 
 @query(
     """WITH u AS (SELECT c_custkey AS id, c_mktsegment AS label, ('0x' || substr(md5('42_' || c_custkey), 1, 8))::BIGINT AS h FROM customer),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, id) AS i, count(*) OVER (PARTITION BY label) AS n FROM u)
-SELECT id, label, CASE WHEN i <= round_even(n * 0.8::DOUBLE, 0) THEN 'train' WHEN i <= round_even(n * 0.9::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM r"""
+SELECT id, label, CASE WHEN i <= round_even(n * 0.8::DOUBLE, 0) THEN 'train' WHEN i <= round_even(n * 0.8::DOUBLE, 0) + round_even(n * 0.1::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM r"""
 )
 def stratified_group_split(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
