@@ -17,12 +17,19 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
     return df.mapInArrow(fn, schema)
 
 
-def written(df: DataFrame, narrow: bool = False) -> DataFrame:
+#: Rows that a file of a table of known size has at least, where tasks don't have more.
+ROWS_A_FILE = 4096
+
+
+def written(df: DataFrame, narrow: bool = False, rows: int | None = None) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
 
     narrow: rows are few bytes of what was read, so they are dealt into files of the planner's advisory size first; else a
-    scan of texts in many tasks would leave as many tiny files. The files are marked for deletion when the application ends.
+    scan of texts in many tasks would leave as many tiny files. rows: no more than so many are written, so shuffles into many
+    partitions leave no more files than that needs. The files are marked for deletion when the application ends.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     spark = df.sparkSession
     to = f"{shared_folder(spark).rstrip('/')}/areasignal/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     schema = df.schema

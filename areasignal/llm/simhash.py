@@ -268,23 +268,23 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root, one root for each connected component of the edges (u, v), for every node of an edge.
+    """node and root, one root for each connected component of the edges (u, v; a written table), for every node of an edge.
 
     Contraction: every node is replaced by the least of itself and its neighbours, until no edge is left. Node
     numbers are hashes, so a constant share of the nodes goes in each round, whatever the shape of the component.
     Each round's tables are written to the shared folder; nothing is collected.
     """
-    edges, roots = written(edges), None
-    while edges.take(1):
+    roots = None
+    while n := edges.count():
         both = edges.union(edges.select("v", "u"))
-        to = written(both.groupBy(F.col("u").alias("node")).agg(F.least("u", F.min("v")).alias("to")))
+        to = written(both.groupBy(F.col("u").alias("node")).agg(F.least("u", F.min("v")).alias("to")), rows=2 * n)
         if roots is None:
-            roots = to.select("node", F.col("to").alias("root"))
+            roots, of = to.select("node", F.col("to").alias("root")), 2 * n
         else:
-            roots = written(roots.join(to.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            roots = written(roots.join(to.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), rows=of)
         u = edges.join(to.select(F.col("node").alias("u"), F.col("to").alias("a")), "u").select("v", "a")
         ends = u.join(to.select(F.col("node").alias("v"), F.col("to").alias("b")), "v").where("a <> b")
-        edges = written(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        edges = written(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), rows=n)
     return roots if roots is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -310,34 +310,35 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     past every part, and what bitmaps can't prove to be less similar is compared by text. So no task holds a large run or
     makes all its pairs, and no link is left out.
     """
-    docs = written(_sketched(df, id_col, text_col), narrow=True)
+    docs = written(_sketched(df, id_col, text_col))
+    total = docs.count()
     pick = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "body"))
     first = docs.groupBy("fp").agg(pick.alias("pick"), *(F.any_value(c).alias(c) for c in ("n", "keys", "sim", "bits")))
-    nodes = written(first.select("fp", F.col("pick.id").alias("least"), "pick.body", "n", "keys", "sim", "bits"))
+    nodes = written(first.select("fp", F.col("pick.id").alias("least"), "pick.body", "n", "keys", "sim", "bits"), rows=total)
     met = written(arrow_map(nodes.select(F.explode("keys").alias("key"), "fp", "n").repartition("key").sortWithinPartitions("key", "fp"), _runs, "key long, u long, v long"))
     sized, pairs = nodes.select("fp", "n", "bits"), met.where("v IS NOT NULL").select("u", "v").union(_by_simhash(nodes))
     members = met.where("v IS NULL").select("key", F.col("u").alias("fp"))
+    some = members.count()
     parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART).alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    long = written(members.join(parts, "key").join(sized, "fp").select("key", "parts", part.alias("part"), "fp", "n", "bits"))
-    some = bool(long.take(1))
+    long = written(members.join(parts, "key").join(sized, "fp").select("key", "parts", part.alias("part"), "fp", "n", "bits"), rows=some)
     if some:
-        stars = written(_by_group(long, F.xxhash64("key", "part"), _stars, "key long, u long, v long"))
+        stars = written(_by_group(long, F.xxhash64("key", "part"), _stars, "key long, u long, v long"), rows=2 * some)
         hubs = stars.select("key", F.col("u").alias("fp")).distinct().join(sized, "fp")
         pairs = pairs.union(stars.select("u", "v")).union(_by_group(hubs, F.col("key"), _stars, "key long, u long, v long").select("u", "v"))
-    pairs = written(pairs.distinct())
+    pairs = written(pairs.distinct(), rows=met.count() + 2 * total + 4 * some)
     edges = _alike(df, id_col, text_col, nodes, pairs)
     roots = components(edges)
     if some:
-        rooted = written(long.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        rooted = written(long.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), rows=some)
         main = rooted.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
         outside = rooted.join(main, "key").where("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         both = rooted.withColumn("asks", F.lit(0)).unionByName(outside.drop("main").withColumn("asks", F.lit(1)))
         rest = written(_by_group(both, F.xxhash64("key", "part"), _across, "u long, v long", ("asks", "root")).distinct().join(pairs, ["u", "v"], "left_anti"))
         if rest.take(1):
-            edges = written(edges.union(_alike(df, id_col, text_col, nodes, rest)))
-            roots = components(edges)
-    return _named(docs, nodes, roots, id_col)
+            edges = edges.union(_alike(df, id_col, text_col, nodes, rest))
+            roots = components(written(edges, rows=edges.count()))
+    return _named(docs, nodes, roots, id_col, total)
 
 
 def _simhash(found: np.ndarray) -> int:
@@ -549,12 +550,13 @@ def _bounded(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose texts share at least 0.8 of the shingles of both."""
-    pairs = written(_bounded(nodes, pairs))
+    pairs = written(_bounded(nodes, pairs), rows=pairs.count())
+    n = pairs.count()
     needed = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    names = written(nodes.join(needed, "fp").select("fp", F.col("least").alias("__least"), F.col("body").alias("__body")))
+    names = written(nodes.join(needed, "fp").select("fp", F.col("least").alias("__least"), F.col("body").alias("__body")), rows=2 * n)
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__body"))
     found = rows.join(names.hint("merge"), (rows["__body"] == names["__body"]) & F.col("__id").eqNullSafe(F.col("__least")))
-    texts = written(found.groupBy("fp").agg(F.any_value("__text").alias("text")))
+    texts = written(found.groupBy("fp").agg(F.any_value("__text").alias("text")), rows=2 * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a = None, np.empty(0, np.uint64)
@@ -570,19 +572,20 @@ def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: D
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     of = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"t{c}")).hint("merge")
-    return written(arrow_map(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "tu", "tv"), run, "u long, v long"))
+    return written(arrow_map(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "tu", "tv"), run, "u long, v long"), rows=n)
 
 
 def _grouped(fps: DataFrame, id_col: str, bits: int) -> DataFrame:
     docs = written(fps, narrow=True)
-    nodes = written(docs.groupBy("fp").agg(F.min(id_col).alias("least")))
-    return _named(docs, nodes, components(links(nodes, bits)), id_col)
+    total = docs.count()
+    nodes = written(docs.groupBy("fp").agg(F.min(id_col).alias("least")), rows=total)
+    return _named(docs, nodes, components(written(links(nodes, bits))), id_col, total)
 
 
-def _named(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
-    rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = written(rooted.join(named, "root").select("fp", "component_id"))
+def _named(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str, total: int) -> DataFrame:
+    rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), rows=total)
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), rows=total)
+    named = written(rooted.join(named, "root").select("fp", "component_id"), rows=total)
     return docs.join(named, "fp").select(id_col, "fp", "component_id")
 
 
@@ -598,7 +601,8 @@ def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), body.alias("body"))
     groups = similar_groups(plain.select(name.alias("__name"), F.col(text).alias("__text")), "__name", "__text")
-    chosen = written(groups.select("component_id").distinct().select(F.col("component_id.id").alias("__id"), F.col("component_id.body").alias("__body")))
+    chosen = groups.select("component_id").distinct().select(F.col("component_id.id").alias("__id"), F.col("component_id.body").alias("__body"))
+    chosen = written(chosen)
     rows = plain.withColumn("__key", body)
     on = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body"))
     found = rows.join(chosen.hint("merge"), on)
