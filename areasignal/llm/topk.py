@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from areasignal.llm.common import arrow_map, written
 
-#: Components of a shard's vectors, queries scored together, quantised impacts.
-SHARD, QUERIES, LEVELS = 1 << 20, 64, 8
+#: Components of a shard's vectors, queries scored together, quantised impacts; of how many vectors one may be left to score.
+SHARD, QUERIES, LEVELS, FEW = 1 << 20, 64, 8, 16
 #: Sums of products below this are exact in doubles; what a score may be.
 EXACT, LONG = float(1 << 53), (1 << 63) - 1
 
@@ -63,12 +63,14 @@ class Index:
         for l in range(len(bounds), -1, -1):
             self.segments.append([(d, at.astype(np.int32), wide[d, at]) for d in range(len(wide)) if len(at := np.flatnonzero(level[d] == l))])
             self.rest.append((np.sqrt(np.where(level.T < l, x**2, 0.0).sum(axis=1)) * (1 + 1e-9) + rounding).astype(np.float32))
+        norms = np.maximum(np.sqrt((x**2).sum(axis=1)), 1e-300)
+        self.tells = [len(r) > 0 and bool(np.median(r / norms) < 0.25) for r in self.rest]
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, list[int]]]:
         """For each query its k best of the shard by exact score, ties to the smaller id: ids and scores.
 
-        Segments are added in falling order of impact. A query is done as soon as the bounds prove all but a few vectors
-        out of its k best, or no segment is left; then its possible members are scored exactly.
+        Segments are added in falling order of impact. A query is done as soon as the bounds prove all but a small part of the
+        vectors out of its k best, or no segment is left; then all its possible members are scored exactly.
         """
         out: list[tuple[np.ndarray, list[int]]] = [(self.ids[:0], [])] * len(queries)
         width = max(queries.shape[1], self.q.shape[1])
@@ -78,22 +80,27 @@ class Index:
         lengths = (np.sqrt((scaled.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-6)).astype(np.float32)
         open_ = np.arange(len(queries))
         score = np.zeros((len(self.ids), len(queries)), np.float32)
-        own = self.ids[:, None] == query_ids[None, :]
+        own = [np.flatnonzero(self.ids == i) for i in query_ids]
+        above = k + max(map(len, own), default=0)  # so many best ones hold k others than a query's own
+        few = max(4 * k, len(self.ids) // FEW)
         for at, (segment, rest) in enumerate(zip(self.segments, self.rest)):
             weights = scaled[open_]
             for d, vectors, impacts in segment:
                 score[vectors] += impacts[:, None] * weights[:, d]
+            last = at == len(self.segments) - 1
+            if not last and not self.tells[at]:
+                continue
             slack = rest[:, None] * lengths[open_]
-            low = np.where(own[:, open_], -np.inf, score - slack)
-            if len(self.ids) > k:
-                least = np.partition(low, len(low) - k, axis=0)[len(low) - k]
+            if len(self.ids) > above:
+                low = score - slack
+                low.partition(len(low) - above, axis=0)
+                member = score + slack >= low[len(low) - above]
             else:
-                least = np.full(len(open_), -np.inf, np.float32)
-            member = (score + slack >= least) & ~own[:, open_]
-            done = np.full(len(open_), True) if at == len(self.segments) - 1 else member.sum(axis=0) <= 4 * k
+                member = np.ones(score.shape, bool)
+            done = np.full(len(open_), True) if last else np.count_nonzero(member, axis=0) <= few
             for j in np.flatnonzero(done):
-                rows = np.flatnonzero(member[:, j])
-                out[open_[j]] = self._best(rows, exact[open_[j]], k)
+                member[own[open_[j]], j] = False
+                out[open_[j]] = self._best(np.flatnonzero(member[:, j]), exact[open_[j]], k)
             if done.all():
                 break
             if done.any():
