@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from areasignal.session import written
+
 #: Metres of the earth's radius, and of a degree where that is taken as constant.
 RADIUS, DEGREE = 6_371_000.0, 111_320.0
 #: What a cross product may be off for a point on an edge.
@@ -121,12 +125,43 @@ def half_step_grid(box: Column, dx: Column, dy: Column) -> Column:
     return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
 
 
-def random_points(rings: Column, key: Column, n: int, tries: int = 400) -> Column:
-    """The first n of hashed points in a polygon's box that lie in it, the same for the same key; fewer if tries run out."""
-    box = box_of(rings[0])
-    at = lambda low, high, i, axis: low + (high - low) * hashed_unit(key, i, F.lit(axis))
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: F.struct(at(box["min_x"], box["max_x"], i, "x").alias("x"), at(box["min_y"], box["max_y"], i, "y").alias("y")))
-    return F.slice(F.filter(drawn, lambda p: in_polygon(p["x"], p["y"], rings)), 1, n)
+def random_points(df: DataFrame, key: str, rings: str, n: int, most: int = 1 << 20) -> DataFrame:
+    """key, place (from 0), x and y: the first n of a polygon's hashed points in its box that lie in it, the same for the same
+    key. Points are drawn in rounds of growing number, each for the polygons that want some yet, until none does; a polygon
+    without area has none, and one that fills less than about a millionth of its box is an error after `most` draws."""
+    box = box_of(F.col(rings)[0])
+    left = df.select(key, F.col(rings).alias("rings"), box.alias("box")).where(F.coalesce(ring_area(F.col(f"{rings}")[0]), F.lit(0.0)) > 0)
+    at = lambda low, high, i, axis: low + (high - low) * hashed_unit(F.col(key), i, F.lit(axis))
+    first, width, found = 1, 32 * n, None
+    while True:
+        drawn = left.select(key, "rings", "box", F.explode(F.sequence(F.lit(first), F.lit(first + width - 1))).alias("i"))
+        drawn = drawn.select(key, "rings", "i", at(F.col("box.min_x"), F.col("box.max_x"), F.col("i"), "x").alias("x"), at(F.col("box.min_y"), F.col("box.max_y"), F.col("i"), "y").alias("y"))
+        inside = drawn.where(in_polygon(F.col("x"), F.col("y"), F.col("rings"))).select(key, "i", "x", "y")
+        found = written(inside if found is None else found.union(inside))
+        full = found.groupBy(key).count().where(F.col("count") >= n)
+        left, first, width = written(left.join(full, key, "left_anti")), first + width, 4 * width
+        if not left.take(1):
+            break
+        if first > most:
+            raise ValueError("polygons too thin for their boxes")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("i")) - 1
+    return found.withColumn("place", place).where(F.col("place") < n).select(key, "place", "x", "y")
+
+
+def bounds(boxes: DataFrame, names: Sequence[str] = ("min_x", "min_y", "max_x", "max_y")) -> DataFrame:
+    """One row: the box of all boxes."""
+    return boxes.agg(*((F.min if c.startswith("min") else F.max)(c).alias(c) for c in names))
+
+
+def meets_any(box: Column, boxes: Column) -> Column:
+    """Whether a box meets one of an array of boxes: their union, kept as it is."""
+    return F.exists(boxes, lambda b: boxes_meet(box, b))
+
+
+def byte_scaled(band: Column) -> Column:
+    """A band's values as bytes: shares of its largest times 255, cut to whole numbers; where none is above 0, zeros."""
+    top = F.array_max(band)
+    return F.transform(band, lambda x: F.when(top > 0, F.greatest(F.lit(0), F.least(F.lit(255), (x / top * 255).cast("int")))).otherwise(0))
 
 
 # The national grid's ellipsoid, scale, origin, and the shift from WGS84 (metres, parts per million, seconds).

@@ -50,7 +50,7 @@ def _first_objects(texts: pd.Series) -> pd.Series:
 
 def extracted(text: Column) -> Column:
     """The first JSON object in each text: what stands whole from the first to the last brace is checked in the JVM, and
-    only the rest is matched brace by brace."""
+    only the rest goes to Python, to be matched brace by brace."""
     plain = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     whole = F.when(F.coalesce(F.try_parse_json(F.nullif(plain, F.lit(""))).isNotNull(), F.lit(False)), plain)
-    return F.coalesce(whole, F.pandas_udf(_first_objects, "string")(text))
+    return F.coalesce(whole, F.pandas_udf(_first_objects, "string")(F.when(whole.isNull(), text)))

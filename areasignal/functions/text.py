@@ -21,6 +21,83 @@ STREET_GROUPS: dict[str, tuple[str, ...]] = {
     "condition": ("crack", "cracks", "worn", "wear", "uneven", "smooth", "clean", "debris", "graffiti", "stain", "stains", "puddle", "repair", "overgrown"),
     "activity": ("shop", "shops", "store", "storefront", "frontage", "commercial", "industrial", "warehouse", "vacant", "sign", "bus shelter"),
 }
+# Place types and their categories.
+CATEGORY_OF = {
+    "restaurant": "food_drink",
+    "cafe": "food_drink",
+    "bar": "food_drink",
+    "bakery": "food_drink",
+    "meal_takeaway": "food_drink",
+    "meal_delivery": "food_drink",
+    "food": "food_drink",
+    "night_club": "food_drink",
+    "supermarket": "retail",
+    "grocery_or_supermarket": "retail",
+    "convenience_store": "retail",
+    "shopping_mall": "retail",
+    "clothing_store": "retail",
+    "book_store": "retail",
+    "home_goods_store": "retail",
+    "hardware_store": "retail",
+    "shoe_store": "retail",
+    "electronics_store": "retail",
+    "department_store": "retail",
+    "bicycle_store": "retail",
+    "florist": "retail",
+    "jewelry_store": "retail",
+    "liquor_store": "retail",
+    "furniture_store": "retail",
+    "pet_store": "retail",
+    "store": "retail",
+    "hospital": "health",
+    "pharmacy": "health",
+    "doctor": "health",
+    "dentist": "health",
+    "physiotherapist": "health",
+    "health": "health",
+    "veterinary_care": "health",
+    "school": "education",
+    "primary_school": "education",
+    "secondary_school": "education",
+    "university": "education",
+    "library": "education",
+    "bank": "finance",
+    "atm": "finance",
+    "insurance_agency": "finance",
+    "accounting": "finance",
+    "bus_station": "transport",
+    "subway_station": "transport",
+    "train_station": "transport",
+    "transit_station": "transport",
+    "taxi_stand": "transport",
+    "light_rail_station": "transport",
+    "park": "leisure",
+    "gym": "leisure",
+    "stadium": "leisure",
+    "sports_complex": "leisure",
+    "movie_theater": "leisure",
+    "casino": "leisure",
+    "amusement_park": "leisure",
+    "bowling_alley": "leisure",
+    "spa": "leisure",
+    "swimming_pool": "leisure",
+    "golf_course": "leisure",
+    "post_office": "services",
+    "police": "services",
+    "local_government_office": "services",
+    "fire_station": "services",
+    "embassy": "services",
+    "courthouse": "services",
+    "city_hall": "services",
+    "place_of_worship": "services",
+    "tourist_attraction": "tourism",
+    "museum": "tourism",
+    "lodging": "tourism",
+    "hotel": "tourism",
+    "art_gallery": "tourism",
+    "zoo": "tourism",
+    "aquarium": "tourism",
+}
 # The order in which a caption takes the groups, the names of counted types, its sentences.
 CAPTION_GROUPS = ("road", "building", "sidewalk", "greenery", "street_furniture", "mobility", "condition", "activity")
 POI_LABELS = {"public_transport": "public transport", "shop": "retail", "amenity": "amenity", "healthcare": "healthcare", "railway": "railway", "office": "office", "tourism": "tourism"}
@@ -101,14 +178,46 @@ def poi_phrases(counts: Column) -> Column:
     return F.when(total == 0, F.array(F.lit("no listed POI entries"))).when(F.size(named) > 0, named).otherwise(F.array(F.concat_ws(" ", total.cast("string"), F.lit("total POI entries"))))
 
 
-def evidence_block(sat: Column, ntl: Column, street: Column, poi: Column, images: int = 6) -> Column:
-    """Evidence as a prompt has it: a line a source, street phrases (an array of arrays) of the first images, a note of
-    how many more there are."""
-    line = lambda name, phrases: F.concat(F.lit(f"{name}: "), F.coalesce(F.nullif(F.array_join(phrases, "; "), F.lit("")), F.lit("none")))
-    shown = F.transform(F.slice(street, 1, images), lambda p, i: F.concat(F.format_string("street view %02d: ", i), F.coalesce(F.nullif(F.array_join(p, "; "), F.lit("")), F.lit("none"))))
+def evidence_block(sat: Column, ntl: Column, street: Column, poi: Column, general: Column | None = None, images: int = 6) -> Column:
+    """Evidence as a prompt has it: a line for each source that says something, joined by "; ".
+
+    street is an array of structs key and phrases, shown in the order of the keys, the first `images` of them; a note says how
+    many more there are. poi may be text or an array. Null and empty phrases are left out.
+    """
+    body = lambda x: F.nullif(F.array_join(F.filter(x, lambda p: F.coalesce(p, F.lit("")) != ""), "; "), F.lit(""))
+    line = lambda name, x: F.array(F.concat(name, F.lit(": "), body(x)))
+    ordered = F.array_sort(street)
+    shown = F.transform(F.slice(ordered, 1, images), lambda s: F.concat(s["key"], F.lit(": "), body(s["phrases"])))
     left = F.size(street) - images
-    note = F.when(left > 0, F.array(F.format_string("(%d more street view images omitted)", left))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(F.array(line("satellite", sat), line("nightlight", ntl)), shown, note, F.array(F.concat(F.lit("POI: "), poi))), "\n")
+    note = F.array(F.when(left > 0, F.format_string("(+%d more streetviews omitted)", left)))
+    said = [line(F.lit("satellite"), sat), line(F.lit("nightlight"), ntl), shown, note, line(F.lit("POI"), poi)]
+    said += [line(F.lit("general"), general)] if general is not None else []
+    return F.array_join(F.filter(F.concat(*said), lambda x: x.isNotNull()), "\n")
+
+
+def poi_block(summary: Column) -> Column:
+    """What a prompt says of counts."""
+    return F.when(F.coalesce(summary, F.lit("")) == "", F.lit("POI data: none available.")).otherwise(F.concat(F.lit("POI data (tabular summary):\n"), summary))
+
+
+def image_order(n: Column) -> Column:
+    """The line of a prompt that names the images in their order, n of them from the street."""
+    keys = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.format_string("streetview_%02d", i))
+    return F.concat(F.lit("Image order (must match JSON keys): "), F.array_join(F.concat(F.array(F.lit("satellite"), F.lit("nightlight")), keys), ", "), F.lit("."))
+
+
+def indicator_prompt(task: str, block: Column, spec: Mapping[str, str], poi: Column | None = None, minimal: bool = False) -> Column:
+    """A prompt that asks for scores from text alone: the task, the evidence (with a line of counts if it has none), and each
+    indicator with what to look at; minimal: the names alone."""
+    evidence = block if poi is None else F.when(block.contains("POI:") | (F.coalesce(poi, F.lit("")) == ""), block).otherwise(F.concat(block, F.lit("\nPOI: "), poi))
+    listed = "\n".join(f"- {k}" if minimal else f"- {k}: {v}" for k, v in spec.items())
+    return F.concat(F.lit(f"{task}\n\nEvidence for this datazone:\n"), evidence, F.lit(f"\n\nIndicators to score (in this order):\n{listed}\n\nReturn one JSON object with all {len(spec)} of them, each with a score from 0 to 4."))
+
+
+def chat(system: str, prompt: Column, images: Column) -> Column:
+    """Messages of a model's call: role, text and images (paths, in their order)."""
+    none = F.array().cast("array<string>")
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("text"), none.alias("images")), F.struct(F.lit("user").alias("role"), prompt.alias("text"), images.alias("images")))
 
 
 def poi_summary(counts: Column) -> Column:
@@ -153,7 +262,7 @@ def code(text: Column) -> Column:
 
 def whole(text: Column) -> Column:
     """An integer from text that may be a decimal; null if it isn't a number."""
-    return text.try_cast("double").cast("bigint")
+    return text.try_cast("double").try_cast("bigint")
 
 
 def sample_key(fmt: str, *parts: Column) -> Column:
@@ -166,5 +275,16 @@ def run_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]+)[/\\][^/\\]*$", 1)
 
 
+def anchored(path: Column, root: str, markers: Sequence[str] = ("dataset/", "outputs/")) -> Column:
+    """A path of another machine from the first marker that it has, under a root of this one; without any as it is."""
+    found = [F.when(F.locate(m, path) > 0, F.concat(F.lit(root.rstrip("/") + "/"), F.substring(path, F.locate(m, path), F.length(path)))) for m in markers]
+    return F.coalesce(*found, path)
+
+
+def iso_utc(time: Column) -> Column:
+    """A time of the session's zone as UTC in ISO 8601."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

@@ -96,12 +96,20 @@ def target_lag(targets: DataFrame, unit: str, fold: str, columns: list[str], edg
     return out.join(near, ["held_out", unit], "left").join(F.broadcast(all_), "held_out").select("held_out", unit, fold, *(F.coalesce(f"_n_{c}", f"_g_{c}").alias(f"{c}_lag") for c in columns))
 
 
-def spaced(points: DataFrame, unit: str, order: str, metres: float, most: int) -> DataFrame:
+def spaced(points: DataFrame, unit: str, order: str, metres: float, most: int, areas: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """unit and accepted: an array of the points (lat, lon) taken in order that are at least so far from those before.
 
-    A unit's candidates are streamed in order, and only the accepted ones are held. Points without a place are left out.
+    areas (unit and rings, x the longitude): points outside their unit's box or polygon don't count; seen (the column order):
+    nor do those seen before. A unit's candidates are streamed in order, and only the accepted ones are held. Points without
+    a place are left out.
     """
     rows = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(unit, order, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    if seen is not None:
+        rows = rows.join(seen.select(order), order, "left_anti").select(unit, order, "lat", "lon")
+    if areas is not None:
+        near = rows.join(areas.select(unit, "rings", geo.box_of(F.col("rings")[0]).alias("_b")), unit)
+        near = near.where(F.col("lon").between(F.col("_b.min_x"), F.col("_b.max_x")) & F.col("lat").between(F.col("_b.min_y"), F.col("_b.max_y")))
+        rows = near.where(geo.in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))).select(unit, order, "lat", "lon")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (unit, order)}
     radius = geo.RADIUS
 
@@ -209,8 +217,9 @@ def placed_boxes(areas: DataFrame, unit: str, existing: DataFrame, size: float,
     """unit, place, x, y of further boxes in areas (rings, cx, cy, ord and the column `most`; below 0: no limit).
 
     Candidates on a half-step grid lie in the area and farther than the margin from its edge. They are made and tested in
-    parallel, and those that meet an existing box (x, y) drop out at grid cells. What then follows is serial by its nature,
-    as each area's boxes block later ones': the candidates left of all areas are gone through in order by one task.
+    parallel, and those that meet an existing box (x, y) drop out at grid cells. What is left goes in by areas in their order,
+    nearest to the centre first, in rounds: a candidate that meets no open one before it goes in (of an area with a limit,
+    only if none before it waits), and those that it meets go out; boxes meet at grid cells alone.
     """
     box = geo.box_of(F.col("rings")[0])
     grid = areas.select(unit, "ord", "cx", "cy", "rings", F.col(most).alias("_most"), F.explode(geo.half_step_grid(box, F.lit(size), F.lit(size))).alias("p"))
@@ -219,26 +228,29 @@ def placed_boxes(areas: DataFrame, unit: str, existing: DataFrame, size: float,
     around = existing.select(F.col("x").alias("ex"), F.col("y").alias("ey")).withColumn("gx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("ex") / size) + d))).withColumn("gy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("ey") / size) + d)))
     meets = (F.abs(F.col("x") - F.col("ex")) <= size) & (F.abs(F.col("y") - F.col("ey")) <= size)
     free = _free(fine, around, size, meets)
-    kind = areas.schema[unit].dataType.simpleString()
-
-    def run(batches):
-        taken: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        count: dict = {}
-        for batch in batches:
-            out = []
-            for u, limit, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if 0 <= limit <= count.get(u, 0):
-                    continue
-                gx, gy = math.floor(x / size), math.floor(y / size)
-                near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in taken.get((gx + i, gy + j), ()))
-                if all(abs(x - a) > size or abs(y - b) > size for a, b in near):
-                    taken.setdefault((gx, gy), []).append((x, y))
-                    count[u] = count.get(u, 0) + 1
-                    out.append((u, count[u], x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.column(0).type), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.float64())], [unit, "place", "x", "y"])
-
-    ordered = free.repartition(1).sortWithinPartitions("ord", "far", "y", "x").select(unit, "_most", "x", "y")
-    return ordered.mapInArrow(run, f"`{unit}` {kind}, place int, x double, y double")
+    around_own = lambda df: df.withColumn("cx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("x") / size) + d))).withColumn("cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("y") / size) + d)))
+    order = Window.partitionBy(unit).orderBy("far", "y", "x")
+    open_ = written(free.select(unit, "ord", "_most", "far", "y", "x", F.struct("ord", "far", "y", "x").alias("rank")))
+    taken = None
+    while open_.take(1):
+        side = around_own(open_.select(F.col("rank").alias("other"), F.col("x"), F.col("y"))).select("other", F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
+        at = open_.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+        near = (F.abs(F.col("x") - F.col("ox")) <= size) & (F.abs(F.col("y") - F.col("oy")) <= size)
+        blocked = at.join(side, ["cx", "cy"]).where(near & (F.col("other") < F.col("rank"))).select("rank").distinct()
+        # of a unit with a limit, one that comes after one that waits may not be among the first: it waits too
+        waits = open_.join(blocked.withColumn("_w", F.lit(True)), "rank", "left").withColumn("_w", F.coalesce("_w", F.lit(False)))
+        first = waits.withColumn("_w", F.col("_w") | ((F.col("_most") >= 0) & F.coalesce(F.max("_w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))))
+        new = written(first.where(~F.col("_w")).select(unit, "ord", "_most", "far", "y", "x", "rank"))
+        taken = new if taken is None else written(taken.union(new))
+        numbered = taken.withColumn("place", F.row_number().over(order))
+        taken = written(numbered.where((F.col("_most") < 0) | (F.col("place") <= F.col("_most"))).drop("place"))
+        full = taken.where("_most >= 0").groupBy(unit, "_most").count().where(F.col("count") >= F.col("_most")).select(unit)
+        hit = around_own(taken.select("x", "y")).select(F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
+        lost = at.join(hit, ["cx", "cy"]).where(near).select("rank").distinct()
+        open_ = written(open_.join(new.select("rank"), "rank", "left_anti").join(lost, "rank", "left_anti").join(full, unit, "left_anti").select(*open_.columns))
+    if taken is None:
+        taken = open_
+    return taken.select(unit, F.row_number().over(order).alias("place"), "x", "y")
 
 
 def _free(fine: DataFrame, around: DataFrame, size: float, meets: Column) -> DataFrame:

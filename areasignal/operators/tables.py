@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from areasignal.functions.text import groups_of, phrase_key, tidy
@@ -32,6 +32,55 @@ def matched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[Dat
     return left.join(right, list(keys)), left.join(right.select(*keys), list(keys), "left_anti")
 
 
+def looked_up(left: DataFrame, right: DataFrame, keys: Sequence[str], defaults: dict[str, object]) -> DataFrame:
+    """left with the columns in defaults from right, which has a row for a key at most; where it has none, the defaults, and
+    missing is 1."""
+    side = right.select(*keys, *(F.col(c).alias(f"_{c}") for c in defaults), F.lit(0).alias("_there"))
+    joined = left.join(side, list(keys), "left")
+    return joined.select(*left.columns, *(F.when(F.col("_there").isNull(), F.lit(d)).otherwise(F.col(f"_{c}")).alias(c) for c, d in defaults.items()), F.coalesce("_there", F.lit(1)).alias("missing"))
+
+
+def aligned(base: DataFrame, blocks: Sequence[DataFrame], key: str) -> DataFrame:
+    """base with the columns of each block in turn, null where a block has no row of the key; a name that is taken gets the
+    block's number before it."""
+    out = base
+    for i, block in enumerate(blocks):
+        names = {c: f"b{i}_{c}" if c in out.columns else c for c in block.columns if c != key}
+        out = out.join(block.withColumnsRenamed(names), key, "left")
+    return out
+
+
+def shared(tables: Sequence[DataFrame], key: str) -> DataFrame:
+    """The keys that all tables have, once each."""
+    out = tables[0].select(key).distinct()
+    for t in tables[1:]:
+        out = out.join(t.select(key), key, "left_semi")
+    return out
+
+
+def union_of(tables: Sequence[DataFrame], key: str) -> DataFrame:
+    """The keys (first columns) of any of the tables, once each."""
+    out = tables[0].select(F.col(tables[0].columns[0]).alias(key))
+    for t in tables[1:]:
+        out = out.union(t.select(t.columns[0]))
+    return out.distinct()
+
+
+def observed(units: DataFrame, observations: DataFrame, key: str) -> DataFrame:
+    """Units that have an observation."""
+    return units.join(observations.select(key), key, "left_semi")
+
+
+def counters(df: DataFrame, **conditions: Column) -> DataFrame:
+    """One row: how many rows there are, and how many meet each condition."""
+    return df.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(n) for n, c in conditions.items()))
+
+
+def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """df with a number from 0 for each row within its key, by order."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
 def resolve(columns: Sequence[str], candidates: Sequence[str], contains: Sequence[str] = ()) -> str:
     """The first candidate among the columns, else the first column that contains one of the words."""
     lower = {c.lower(): c for c in reversed(columns)}
@@ -97,6 +146,20 @@ class CountScaler:
     def transform(self, df: DataFrame, unit: str, kind: str, n: str) -> DataFrame:
         return self._raw(df, unit, kind, n).select(unit, *(((F.col(c) - m) / s).alias(c) for c, (m, s) in self.moments.items()))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The kinds and their moments as a table, a row for each column."""
+        rows = [(i, c, *map(float, self.moments[c])) for i, c in enumerate(self.columns)]
+        spark.createDataFrame(rows, "at int, name string, mean double, sd double").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CountScaler:
+        """What `save` wrote."""
+        rows = spark.read.parquet(path).orderBy("at").collect()
+        out = cls(sum(r.name != "other" for r in rows))
+        out.kinds = [r.name for r in rows if r.name != "other"]
+        out.moments = {r.name: (r.mean, r.sd) for r in rows}
+        return out
+
 
 def top_phrases_by(df: DataFrame, unit: str, phrase: str, order: Sequence[str], most: int) -> DataFrame:
     """unit, place, phrase, n: the most frequent phrases of each unit, ties by key, spelled as first seen."""

@@ -102,8 +102,9 @@ SELECT a, b, round(2 * 6371000 * asin(sqrt(least(1, h))), 3) AS metres FROM h"""
 )
 def haversine_pairs(spark, sf_dir):
     p = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.expr(_LAT).cast("double").alias("lat"), F.expr(_LON).cast("double").alias("lon"))
-    a, b = (p.select("c_nationkey", F.col("c_custkey").alias(n), F.col("lat").alias(f"lat_{n}"), F.col("lon").alias(f"lon_{n}")) for n in "ab")
-    pairs = a.join(b, "c_nationkey").where("a < b AND b - a < 40")
+    a, b = (p.select("c_nationkey", F.col("c_custkey").alias(n), F.col("lat").alias(f"lat_{n}"), F.col("lon").alias(f"lon_{n}"), F.floor(F.col("c_custkey") / 40).alias("block")) for n in "ab")
+    a = a.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))  # ids less than 40 apart lie in one block or the next
+    pairs = a.join(b, ["c_nationkey", "block"]).where("a < b AND b - a < 40")
     return pairs.select("a", "b", F.round(geo.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 3).alias("metres"))
 
 
@@ -117,11 +118,23 @@ def bbox_centre_radius(spark, sf_dir):
     return b.select("id", geo.centre_radius(F.col("c"), F.col("a"), F.col("d"), F.col("b")).alias("r")).select("id", F.round("r.lat", 6).alias("lat"), F.round("r.lon", 6).alias("lon"), "r.radius")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE p AS (SELECT c_nationkey AS unit_id, c_custkey AS at, ({_LAT})::DOUBLE AS lat, ({_LON})::DOUBLE AS lon, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer WHERE c_custkey % 10 <> 3 AND c_custkey % 9 <> 2),
+f AS (SELECT DISTINCT unit_id, 0::BIGINT AS i, []::STRUCT("at" BIGINT, lat DOUBLE, lon DOUBLE)[] AS taken FROM p
+UNION ALL SELECT f.unit_id, p.i, CASE WHEN len(taken) < 15 AND coalesce(list_min(list_transform(taken, lambda a: 2 * 6371000.0 * asin(sqrt(least(1, pow(sin(radians(p.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - a.lon) / 2), 2)))))), 1e9) >= 2000
+    THEN list_append(taken, {{'at': p.at, 'lat': p.lat, 'lon': p.lon}}) ELSE taken END FROM f JOIN p ON p.unit_id = f.unit_id AND p.i = f.i + 1),
+e AS (SELECT unit_id, max_by(taken, i) AS taken FROM f GROUP BY unit_id)
+SELECT unit_id, (g - 1)::INTEGER AS place, taken[g].at AS at, round(taken[g].lat, 9) AS lat, round(taken[g].lon, 9) AS lon FROM e, range(1, 16) AS r(g) WHERE g <= len(taken)"""
+)
 def min_spacing_greedy(spark, sf_dir):
+    """Points at least 2 km apart, taken in order, 15 a unit at most; those seen before or outside the unit's box don't count."""
     p = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("unit_id"), F.col("c_custkey").alias("at"), F.expr(_LAT).cast("double").alias("lat"), F.expr(_LON).cast("double").alias("lon"))
-    found = spatial.spaced(p, "unit_id", "at", 2000.0, 15)
-    return found.select("unit_id", F.posexplode("accepted").alias("place", "p")).select("unit_id", "place", "p.at", "p.lat", "p.lon")
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-9.0, 50.0), (9.0, 50.0), (9.0, 60.0), (-9.0, 60.0))))
+    p = p.withColumn("lat", F.when(F.col("at") % 10 == 3, F.lit(70.0)).otherwise(F.col("lat")))  # outside the areas
+    areas = p.select("unit_id").distinct().withColumn("rings", F.array(ring))
+    seen = p.where("at % 9 = 2").select("at")
+    found = spatial.spaced(p, "unit_id", "at", 2000.0, 15, areas, seen)
+    return found.select("unit_id", F.posexplode("accepted").alias("place", "p")).select("unit_id", "place", "p.at", F.round("p.lat", 9).alias("lat"), F.round("p.lon", 9).alias("lon"))
 
 
 @query(ctes("units") + " SELECT unit_id, round(a, 6) AS area, CASE WHEN a >= 6 THEN -1 WHEN a >= 3.5 THEN 8 ELSE 0 END AS extra FROM (SELECT unit_id, (1 + unit_id % 3) * (1 + unit_id % 4)::DOUBLE AS a FROM units)")

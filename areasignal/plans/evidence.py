@@ -145,31 +145,18 @@ def poi_log1p_zscore(spark, sf_dir):
     return wide.unpivot("unit_id", scaler.columns, "kind", "z").select("unit_id", "kind", F.round("z", 6).alias("z"))
 
 
-# Place types and their categories.
-CATEGORIES = {
-    "food_drink": "restaurant cafe bar bakery meal_takeaway meal_delivery food night_club",
-    "retail": "supermarket grocery_or_supermarket convenience_store shopping_mall clothing_store book_store home_goods_store hardware_store shoe_store electronics_store department_store bicycle_store florist jewelry_store liquor_store furniture_store pet_store store",
-    "health": "hospital pharmacy doctor dentist physiotherapist health veterinary_care",
-    "education": "school primary_school secondary_school university library",
-    "finance": "bank atm insurance_agency accounting",
-    "transport": "bus_station subway_station train_station transit_station taxi_stand light_rail_station",
-    "leisure": "park gym stadium sports_complex movie_theater casino amusement_park bowling_alley spa swimming_pool golf_course",
-    "services": "post_office police local_government_office fire_station embassy courthouse city_hall place_of_worship",
-    "tourism": "tourist_attraction museum lodging hotel art_gallery zoo aquarium",
-}
-CATEGORY_OF = {t: c for c, types in CATEGORIES.items() for t in types.split()}
 _KIND = "CASE {k} % 9 WHEN 0 THEN 'point_of_interest' WHEN 1 THEN 'cafe' WHEN 2 THEN 'bank' WHEN 3 THEN 'park' WHEN 4 THEN 'zoo' WHEN 5 THEN 'school' WHEN 6 THEN 'establishment' WHEN 7 THEN 'store' ELSE 'police' END"
 
 
 @query(
     f"""WITH t AS (SELECT c_nationkey AS unit_id, [{_KIND.format(k='c_custkey')}, {_KIND.format(k='(c_custkey * 7 + 3)')}] AS types FROM customer
-), m(kind, category) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in CATEGORY_OF.items())}),
+), m(kind, category) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in text.CATEGORY_OF.items())}),
 r AS (SELECT unit_id, coalesce((SELECT category FROM m WHERE kind = types[1]), (SELECT category FROM m WHERE kind = types[2]), 'other') AS category FROM t)
 SELECT unit_id, category, count(*) AS n FROM r GROUP BY ALL"""
 )
 def type_category_first_match(spark, sf_dir):
     types = F.array(F.expr(_KIND.format(k="c_custkey")), F.expr(_KIND.format(k="(c_custkey * 7 + 3)")))
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("unit_id"), text.first_known(types, CATEGORY_OF).alias("category")).groupBy("unit_id", "category").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("unit_id"), text.first_known(types, text.CATEGORY_OF).alias("category")).groupBy("unit_id", "category").agg(F.count("*").alias("n"))
 
 
 RATIOS = """WITH p AS (SELECT vec_id, label, [x::DOUBLE * x * x * x * x * x FOR x IN embedding[1:15]] AS v FROM embeddings
@@ -250,14 +237,15 @@ def indicator_validity(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", vec.alias("vec"), missing.alias("missing"))
 
 
-@query(ctes("phrases") + FIRST + """, lists AS (SELECT unit_id, modality, list(r.p ORDER BY r) AS l FROM firsts GROUP BY ALL)
-SELECT unit_id, 'satellite: ' || coalesce(max(CASE modality WHEN 'sat' THEN array_to_string(l[1:5], '; ') END), 'none') || chr(10) || 'nightlight: ' || coalesce(max(CASE modality WHEN 'ntl' THEN array_to_string(l[1:5], '; ') END), 'none')
-    || chr(10)
-    || array_to_string(max(CASE modality WHEN 'sv' THEN ['street view 0' || i || ': ' || array_to_string(l[1 + i * 2 : 2 + i * 2], '; ') FOR i IN range(6)] END), chr(10)) || chr(10) || '(2 more street view images omitted)' || chr(10) || 'POI: (no POI recorded)' AS block
-FROM lists GROUP BY unit_id""")
+@query(ctes("phrases") + FIRST + """, lists AS (SELECT unit_id, modality, list(r.p ORDER BY r) AS l FROM firsts GROUP BY ALL),
+w AS (SELECT unit_id, max(CASE modality WHEN 'sat' THEN l END) AS sat, max(CASE modality WHEN 'ntl' THEN l END) AS ntl, max(CASE modality WHEN 'sv' THEN l END) AS sv FROM lists GROUP BY unit_id)
+SELECT unit_id, array_to_string(list_filter([CASE WHEN unit_id % 5 > 0 THEN 'satellite: ' || array_to_string(sat[1:5], '; ') END, 'nightlight: ' || array_to_string(ntl[1:5], '; ')]
+    || [CASE WHEN len(sv[1 + i * 2 : 2 + i * 2]) > 0 THEN 'streetview_0' || i || ': ' || array_to_string(sv[1 + i * 2 : 2 + i * 2], '; ') END FOR i IN range(6)]
+    || ['(+2 more streetviews omitted)', 'POI: (no POI recorded)', CASE WHEN unit_id % 3 = 0 THEN 'general: quiet; mixed' END], lambda x: x IS NOT NULL), chr(10)) AS block FROM w""")
 def prompt_evidence_block(spark, sf_dir):
     lists = tables.first_phrases(frame(spark, sf_dir, "phrases"), ["unit_id", "modality"], "phrase", ["pos"])
     of = lambda m: F.max(F.when(F.col("modality") == m, F.col("phrases")))
     wide = lists.groupBy("unit_id").agg(*(of(m).alias(m) for m in ("sat", "ntl", "sv")))
-    street = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("sv", 1 + i * 2, F.lit(2)))
-    return wide.select("unit_id", text.evidence_block(F.slice("sat", 1, 5), F.slice("ntl", 1, 5), street, F.lit(text.NO_EVIDENCE["poi"])).alias("block"))
+    street = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(F.format_string("streetview_%02d", i).alias("key"), F.slice("sv", 1 + i * 2, F.lit(2)).alias("phrases")))
+    sat, general = F.when(F.col("unit_id") % 5 > 0, F.slice("sat", 1, 5)), F.when(F.col("unit_id") % 3 == 0, F.array(F.lit("quiet"), F.lit(""), F.lit("mixed")))
+    return wide.select("unit_id", text.evidence_block(sat, F.slice("ntl", 1, 5), street, F.array(F.lit(text.NO_EVIDENCE["poi"])), general).alias("block"))

@@ -91,18 +91,31 @@ def value_summary(spark, sf_dir):
     return rounded(table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.count_if(v.isNotNull()).alias("priced"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("most")), "mean", "median", digits=4)
 
 
-@query()
+@query(
+    """WITH RECURSIVE u AS (SELECT s_suppkey AS unit_id, (s_suppkey % 10)::DOUBLE AS x, ((s_suppkey - s_suppkey % 10) / 10)::DOUBLE AS y, CASE WHEN s_suppkey % 8 >= 6 THEN -1 WHEN s_suppkey % 8 >= 3.5 THEN 8 ELSE 0 END AS most FROM supplier),
+c AS (SELECT unit_id, most, x + i * 0.125::DOUBLE + 0.125 AS cx, y + j * 0.125::DOUBLE + 0.125 AS cy, sqrt((i * 0.125 + 0.125 - 0.5) ** 2 + (j * 0.125 + 0.125 - 0.5) ** 2) AS far FROM u, range(7) AS a(i), range(7) AS b(j) WHERE most <> 0
+    AND (unit_id % 11 <> 0 OR NOT (i * 0.125 + 0.125 BETWEEN 0.25 AND 0.75 AND j * 0.125 + 0.125 BETWEEN 0.25 AND 0.75))),
+e AS (SELECT x + 0.25 AS ex, y + 0.25 AS ey FROM u WHERE unit_id % 5 = 0),
+o AS (SELECT *, row_number() OVER (ORDER BY unit_id, far, cy, cx) AS i FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE abs(cx - ex) <= 0.25 AND abs(cy - ey) <= 0.25)),
+f AS (SELECT 0::BIGINT AS i, []::STRUCT(u BIGINT, x DOUBLE, y DOUBLE)[] AS taken UNION ALL
+    SELECT o.i, CASE WHEN (most < 0 OR len(list_filter(taken, lambda t: t.u = o.unit_id)) < most) AND len(list_filter(taken, lambda t: abs(t.x - cx) <= 0.25 AND abs(t.y - cy) <= 0.25)) = 0 THEN list_append(taken, {'u': o.unit_id, 'x': cx, 'y': cy}) ELSE taken END FROM f JOIN o ON o.i = f.i + 1),
+t AS (SELECT unnest(taken) AS t, unnest(range(len(taken))) AS n FROM (SELECT max_by(taken, i) AS taken FROM f))
+SELECT t.u AS unit_id, row_number() OVER (PARTITION BY t.u ORDER BY n)::INTEGER AS place, t.x AS x, t.y AS y FROM t"""
+)
 def extra_tiles(spark, sf_dir):
     """Half-size boxes in each area, none on another; areas that hold an existing box keep clear of it."""
     areas = polygons(spark, sf_dir).select("unit_id", "ord", "rings", (F.col("x") + 0.5).alias("cx"), (F.col("y") + 0.5).alias("cy"), geo.tier(F.col("unit_id") % 8).alias("most"))
     there = frame(spark, sf_dir, "units").where("unit_id % 5 = 0").select((F.col("x") + 0.25).alias("x"), (F.col("y") + 0.25).alias("y"))
-    return spatial.placed_boxes(areas.where("most <> 0"), "unit_id", there, 0.3)
+    return spatial.placed_boxes(areas.where("most <> 0"), "unit_id", there, 0.25)
 
 
-@query()
+@query(
+    ctes("units") + """, d AS (SELECT unit_id, u.x AS ux, u.y AS uy, i, u.x + ('0x' || substr(md5(unit_id || '_' || i || '_x'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS x, u.y + ('0x' || substr(md5(unit_id || '_' || i || '_y'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS y FROM units AS u, range(1, 161) AS r(i)),
+f AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY i) - 1 AS place FROM d WHERE unit_id % 11 <> 0 OR NOT (x BETWEEN ux + 0.25 AND ux + 0.75 AND y BETWEEN uy + 0.25 AND uy + 0.75))
+SELECT unit_id, place::INTEGER AS place, round(x, 9) AS x, round(y, 9) AS y FROM f WHERE place < 5"""
+)
 def random_points_in_areas(spark, sf_dir):
-    drawn = polygons(spark, sf_dir).select("unit_id", F.posexplode(geo.random_points(F.col("rings"), F.col("unit_id"), 5)).alias("place", "p"))
-    return drawn.select("unit_id", "place", "p.x", "p.y")
+    return rounded(geo.random_points(polygons(spark, sf_dir), "unit_id", "rings", 5), "x", "y", digits=9)
 
 
 @query()
@@ -113,11 +126,15 @@ def modality_embeddings(spark, sf_dir):
     return encode.by_modality(rows, "unit_id", encode.encoder("hashed", width=16), 16)
 
 
-@query()
+@query(
+    "WITH p AS (SELECT label || '_' || lpad(vec_id::VARCHAR, greatest(4, length(vec_id::VARCHAR))::INTEGER, '0') || '.png' AS image FROM embeddings), c AS (SELECT image, floor(('0x' || substr(md5(image || '_' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * "
+    + str(len(tables.PIXEL_CLASSES) + 1) + ")::INTEGER AS k FROM p, range(1, 65) AS r(i)) SELECT image, " + ", ".join(f"round(count(*) FILTER (k = {i}) / 64, 9) AS {c}" for i, c in enumerate([*tables.PIXEL_CLASSES.values(), "other"])) + " FROM c GROUP BY image"
+)
 def segmented_images(spark, sf_dir):
     """Class shares of images by the stand-in segmenter."""
     paths = table(spark, sf_dir, "embeddings").select(F.format_string("%s_%04d.png", F.col("label"), F.col("vec_id")).alias("image"))
-    return tables.class_ratios(paths.select("image", F.explode(perceive.stand_in_classes()(F.col("image"))).alias("channel")), "image", "channel")
+    found = tables.class_ratios(paths.select("image", F.explode(perceive.stand_in_classes()(F.col("image"))).alias("channel")), "image", "channel")
+    return rounded(found.select("image", *tables.RATIOS), *tables.RATIOS, digits=9)
 
 
 def run_tables(spark, sf_dir):

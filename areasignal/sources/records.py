@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areasignal.functions.text import parsed_counts, parsed_total, poi_summary
+from areasignal.functions.text import level, parsed_counts, parsed_total, poi_summary, whole
 from areasignal.functions.vectors import finite
 from areasignal.operators.tables import remaining, resolve
 
@@ -20,10 +21,12 @@ OOF = T.StructType([T.StructField("datazone", T.StringType()), T.StructField("fo
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType, tolerant: bool = True, lines: int | None = None) -> DataFrame:
-    """Blank lines are skipped; broken ones too if tolerant, else they stop the read. lines: only so many physical lines."""
+    """Blank lines are skipped; broken ones too if tolerant, else they stop the read. lines: only so many physical lines, blank
+    ones too, in the order of the files' names and of the lines in them."""
     if lines is not None:
-        rows = spark.read.text(path).limit(lines).where(F.trim("value") != "")
-        found = rows.select(F.from_json("value", schema if isinstance(schema, str) else schema.simpleString(), {"mode": "PERMISSIVE" if tolerant else "FAILFAST"}).alias("r")).where("r is not null")
+        at = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+        first = spark.read.text(path).select("value", *(c.alias(f"_{i}") for i, c in enumerate(at))).orderBy("_0", "_1", "_2").limit(lines).where(F.trim("value") != "")
+        found = first.select(F.from_json("value", schema if isinstance(schema, str) else schema.simpleString(), {"mode": "PERMISSIVE" if tolerant else "FAILFAST"}).alias("r")).where("r is not null")
         return found.select("r.*")
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
 
@@ -80,6 +83,30 @@ def indicator_vector(raw: Column, keys: Sequence[str]) -> tuple[Column, Column]:
     return F.when(fine, F.array(*number)).otherwise(F.array(*[F.lit(0.0)] * len(keys))), (~fine).cast("int")
 
 
+def indicators(raw: Column, keys: Sequence[str]) -> Column:
+    """A map of structs score and cue for all keys, from JSON {key: {score, cue}}: scores cut to whole numbers, cues to 120
+    characters. Null if any key is missing or its score isn't a number from 0 to 4."""
+    number = {k: F.get_json_object(raw, f"$.{k}.score").try_cast("double") for k in keys}
+    whole = {k: n.cast("int") for k, n in number.items()}
+    fine = F.lit(True)
+    for k in keys:
+        fine = fine & F.coalesce(finite(number[k]) & whole[k].between(0, 4), F.lit(False))
+    cue = lambda k: F.substring(F.coalesce(F.get_json_object(raw, f"$.{k}.cue"), F.lit("")), 1, 120)
+    return F.when(fine, F.create_map(*(x for k in keys for x in (F.lit(k), F.struct(whole[k].alias("score"), cue(k).alias("cue"))))))
+
+
+def element(raw: Column, key: str) -> Column:
+    """A place from a map server's JSON element: osm_type, osm_id, poi_name, poi_type (the key), poi_subtype, lat and lon (of the
+    centre where it has none of its own), tags_json (sorted). Null without a type, an id or a place."""
+    of = lambda path: F.get_json_object(raw, path)
+    tags = F.coalesce(F.from_json(of("$.tags"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    both = of("$.lat").isNotNull() & of("$.lon").isNotNull()
+    lat, lon = (F.when(both, of(f"$.{c}")).otherwise(of(f"$.center.{c}")).try_cast("double") for c in ("lat", "lon"))
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(tags)))
+    there = of("$.type").isNotNull() & of("$.id").isNotNull() & lat.isNotNull() & lon.isNotNull()
+    return F.when(there, F.struct(of("$.type").alias("osm_type"), of("$.id").cast("bigint").alias("osm_id"), F.try_element_at(tags, F.lit("name")).alias("poi_name"), F.lit(key).alias("poi_type"), F.try_element_at(tags, F.lit(key)).alias("poi_subtype"), lat.alias("lat"), lon.alias("lon"), F.to_json(ordered).alias("tags_json")))
+
+
 def tiles(df: DataFrame) -> DataFrame:
     """Tile metadata: patch_id falls back to the unit, the flag is text, coordinates that aren't numbers are null."""
     number = lambda c: F.col(c).cast("string").try_cast("double").alias(c)
@@ -92,6 +119,17 @@ def sparse_counts(columns: Sequence[str]) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda e: F.coalesce(e["v"], F.lit(0)) > 0))
 
 
+def truth_lookup(df: DataFrame, unit: str, rank: str, quintile: str) -> DataFrame:
+    """unit_id, rank, quintile and level of each unit, whole numbers from text; an empty table or a missing column is an error."""
+    if unit not in df.columns:
+        raise ValueError(f"missing column {unit}")
+    if df.isEmpty():
+        raise ValueError("no rows")
+    number = lambda c: whole(F.col(c).cast("string")).cast("int") if c in df.columns else F.lit(None).cast("int")
+    out = df.where(F.col(unit).isNotNull()).select(F.col(unit).cast("string").alias("unit_id"), number(rank).alias("rank"), number(quintile).alias("quintile"))
+    return out.withColumn("level", level(F.col("quintile")))
+
+
 def truth(df: DataFrame) -> DataFrame:
     """unit_id and a column for each domain (lower case), from either convention of names."""
     unit = resolve(df.columns, ("unit_id", "datazone", "DataZone", "Data_Zone", "zone"), ("zone", "dz"))
@@ -113,6 +151,12 @@ def images(spark: SparkSession, folder: str, pattern: str = "*.{jpg,jpeg,png}")
     return files.withColumn("tile", F.element_at(parts, -2)).withColumn("pano_index", F.coalesce(stem.try_cast("int"), place))
 
 
+def image_state(content: Column) -> Column:
+    """ok for bytes that begin as a JPEG or PNG file does, corrupt for others, missing for null."""
+    start = F.hex(F.substring(content, 1, 8))
+    return F.when(content.isNull(), "missing").when(start.startswith("FFD8FF") | (start == "89504E470D0A1A0A"), "ok").otherwise("corrupt")
+
+
 def write_csv(df: DataFrame, path: str, digits: int = 4) -> None:
     """Decimals with a fixed number of digits."""
     fixed = [F.format_string(f"%.{digits}f", c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
@@ -128,6 +172,51 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     fresh.write.mode("append").parquet(path)
 
 
+def _moved(spark: SparkSession, source: str, target: str) -> None:
+    """The target gives way to the source, by a rename within one file system."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = of(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(of(target), True)
+    if not system.rename(of(source), of(target)):
+        raise OSError(f"{source} couldn't be moved to {target}")
+
+
+def replace(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """A table written whole beside the old one, which only then gives way: a failed write leaves the old one. df may read the
+    old table."""
+    beside = f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").format(fmt).save(beside)
+    _moved(df.sparkSession, beside, path)
+
+
+def append_aliased(df: DataFrame, path: str, name: str, aliases: Sequence[str]) -> None:
+    """Appends to a CSV table whose older files may name a column otherwise: all is written anew under one header."""
+    old = df.sparkSession.read.option("header", True).csv(path)
+    both = aliased(old, name, aliases).unionByName(df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)), allowMissingColumns=True)
+    beside = f"{path.rstrip('/')}.new"
+    both.write.mode("overwrite").option("header", True).csv(beside)
+    _moved(df.sparkSession, beside, path)
+
+
+def write_summary(spark: SparkSession, path: str, summary: dict) -> None:
+    """A run's summary (plain values, lists, dictionaries) as one JSON object."""
+    spark.createDataFrame([(json.dumps(summary, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def cached(path: str, wanted: DataFrame, unit: str, meta: dict, make: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, bool]:
+    """Vectors of the wanted units from a cache, if it has the same settings and the same units; else they are made and it is
+    written. Second: whether the cache was used."""
+    spark = wanted.sparkSession
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    if of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(of):
+        there = spark.read.parquet(f"{path}/rows")
+        if same_cache(there, json.loads(spark.read.text(f"{path}/meta").first()[0]), wanted, meta, unit):
+            return there, True
+    make(wanted).write.mode("overwrite").parquet(f"{path}/rows")
+    write_summary(spark, f"{path}/meta", meta)
+    return spark.read.parquet(f"{path}/rows"), False
+
+
 def same_cache(cache: DataFrame, meta: dict, wanted: DataFrame, wanted_meta: dict, unit: str) -> bool:
     """Whether an embedding cache can be used: the same settings and the same ids."""
     a, b = cache.select(unit).distinct(), wanted.select(unit).distinct()

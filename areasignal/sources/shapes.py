@@ -71,3 +71,4 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     geometry = _parsed(of("shp"), shapes_in, f"file string, ord long, rings {RINGS}", [pa.string(), pa.int64(), pa.list_(pa.list_(_POINT))], ["file", "ord", "rings"])
     attributes = _parsed(of("dbf"), attributes_in, "file string, ord long, fields map<string,string>", [pa.string(), pa.int64(), pa.map_(pa.string(), pa.string())], ["file", "ord", "fields"])
     return geometry.join(attributes, ["file", "ord"]).select("file", "ord", "fields", "rings")
+

@@ -18,6 +18,12 @@ def resume(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     query.awaitTermination()
 
 
+def failed(attempts: DataFrame, key: str, order: Sequence[str], error: str) -> DataFrame:
+    """key and error of the keys whose last attempt by order had one."""
+    last = attempts.groupBy(key).agg(F.max(F.struct(*order, error)).alias("_r"))
+    return last.select(key, F.col(f"_r.{error}").alias(error)).where(F.col(error).isNotNull())
+
+
 def windowed_counts(rows: DataFrame, time: str, kind: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Counts by window and kind of a stream (or a table), late rows taken up to the watermark."""
     marked = rows.withWatermark(time, late) if rows.isStreaming else rows

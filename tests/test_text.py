@@ -75,5 +75,8 @@ def test_small_ones(spark):
     assert one(spark, "p string", ("3.9",), text.whole(F.col("p"))) == 3 and one(spark, "p string", ("x",), text.whole(F.col("p"))) is None
     assert one(spark, "p array<string>", (["odd", "cafe"],), text.first_known(F.col("p"), {"cafe": "food"})) == "food"
     assert one(spark, "q int", (None,), text.level(F.col("q"))) == "unknown"
-    block = text.evidence_block(F.array(F.lit("a")), F.array().cast("array<string>"), F.array(*(F.array(F.lit(f"s{i}")) for i in range(8))), F.lit("p"))
-    assert one(spark, "q int", (1,), block).split("\n") == ["satellite: a", "nightlight: none", *(f"street view {i:02d}: s{i}" for i in range(6)), "(2 more street view images omitted)", "POI: p"]
+    street = F.array(*(F.struct(F.lit(f"streetview_{i:02d}").alias("key"), F.array(F.lit(f"s{i}"), F.lit("")).alias("phrases")) for i in range(8)))
+    block = text.evidence_block(F.array(F.lit("a")), F.array().cast("array<string>"), street, F.array(F.lit("p")), F.array(F.lit("g"), F.lit(None), F.lit("h")))
+    assert one(spark, "q int", (1,), block).split("\n") == ["satellite: a", *(f"streetview_{i:02d}: s{i}" for i in range(6)), "(+2 more streetviews omitted)", "POI: p", "general: g; h"]
+    assert one(spark, "p string", ("/old/dataset/a/b.png",), text.anchored(F.col("p"), "/new/")) == "/new/dataset/a/b.png"
+    assert one(spark, "p string", ("/old/b.png",), text.anchored(F.col("p"), "/new/")) == "/old/b.png"
