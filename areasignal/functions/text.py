@@ -128,9 +128,9 @@ def distinct_phrases(phrases: Column) -> Column:
     return F.transform(F.filter(kept, lambda p, i: F.array_position(keys, phrase_key(p)) == i + 1), lambda p: F.trim(p))
 
 
-def segment(phrases: Column, marker: str, most: int | None = None) -> Column:
-    """Distinct phrases joined by "; ", at most `most` of them; the marker if there are none."""
-    kept = distinct_phrases(phrases)
+def segment(phrases: Column, marker: str, most: int | None = None, distinct: bool = False) -> Column:
+    """Distinct phrases joined by "; ", at most `most` of them; the marker if there are none. distinct: they are already."""
+    kept = phrases if distinct else distinct_phrases(phrases)
     return F.coalesce(F.nullif(F.array_join(F.slice(kept, 1, most) if most else kept, "; "), F.lit("")), F.lit(marker))
 
 

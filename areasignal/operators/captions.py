@@ -6,29 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areasignal.functions import text
+from areasignal.session import written
 
 
 def templated(df: DataFrame) -> DataFrame:
-    """df (sat, ntl, sv, counts) with caption: sentences on each modality, in steps that each read columns of the last.
+    """df (sat, ntl, sv, counts) with caption: sentences on each modality.
 
     They take the first distinct phrases of the images from above, the most frequent of each group of street phrases, the
-    most frequent of the rest, and the counts.
+    most frequent of the rest, and the counts. Street phrases are matched once each and ranked by aggregates; what the
+    sentences are made of is written before they are, so that nothing is worked out again for each place it stands in.
     """
+    rows = written(df.withColumn("_key", F.monotonically_increasing_id()))
+    one = rows.select("_key", F.posexplode(F.transform(text.split_segment(F.col("sv")), text.tidy)).alias("_i", "_p")).where("_p <> ''")
+    by = one.select("_key", "_i", "_p", F.explode(text.groups_of(F.col("_p"))).alias("_g")).groupBy("_key", "_g", F.lower("_p").alias("_k")).agg(F.count("*").alias("_n"), F.min_by("_p", "_i").alias("_p"))
+    best = by.groupBy("_key", "_g").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "_k", "_p"))), 1, 3), lambda r: r["_p"]).alias("_top"))
+    tops = best.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_g", "_top"))).alias("_tops"))
+    none = F.array().cast("array<string>")
+    top = lambda g: F.coalesce(F.try_element_at("_tops", F.lit(g)), none)
     first = lambda c, n: F.slice(text.distinct_phrases(F.transform(text.split_segment(F.col(c)), text.tidy)), 1, n)
-    names = (*text.CAPTION_GROUPS, "other")
-    out = df.withColumns({"_sat": first("sat", 6), "_ntl": first("ntl", 5), "_street": F.transform(text.split_segment(F.col("sv")), text.tidy), "_poi": text.poi_phrases(F.col("counts"))})
-    out = out.withColumn("_groups", F.transform("_street", lambda p: text.groups_of(p)))
-    in_group = lambda g: lambda p, i: F.array_contains(F.get("_groups", i), g)
-    out = out.withColumns({f"_in_{g}": F.filter("_street", in_group(g)) for g in names})
-    out = out.withColumns({f"_top_{g}": text.top_phrases(F.col(f"_in_{g}"), 3) for g in names})
-    out = out.withColumn("_recurring", F.concat(*(F.slice(f"_top_{g}", 1, 2) for g in text.CAPTION_GROUPS)))
-    out = out.withColumn("_recurring", F.slice(text.distinct_phrases(F.col("_recurring")), 1, 10))
-    said = {"sat": "_sat", "ntl": "_ntl", "sv": "_recurring", "other": "_top_other", "poi": "_poi"}
-    default = lambda k, c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit(text.SENTENCES[k][1])) if text.SENTENCES[k][1] else F.array().cast("array<string>"))
-    out = out.withColumns({f"_say_{k}": default(k, c) for k, c in said.items()})
-    out = out.withColumns({f"_say_{k}": text.sentence(text.SENTENCES[k][0], F.col(f"_say_{k}")) for k in said})
-    parts = F.array(*(F.col(f"_say_{k}") for k in said), F.lit(text.SENTENCES["end"][0]))
-    return out.withColumn("caption", F.array_join(F.filter(parts, lambda p: p != ""), " ")).select(*df.columns, "caption")
+    recurring = F.slice(text.distinct_phrases(F.concat(*(F.slice(top(g), 1, 2) for g in text.CAPTION_GROUPS))), 1, 10)
+    said = {"sat": first("sat", 6), "ntl": first("ntl", 5), "sv": recurring, "other": top("other"), "poi": text.poi_phrases(F.col("counts"))}
+    out = written(rows.join(tops, "_key", "left").select(*df.columns, *(c.alias(f"_say_{k}") for k, c in said.items())))
+    default = lambda k: F.array(F.lit(text.SENTENCES[k][1])) if text.SENTENCES[k][1] else none
+    parts = [text.sentence(text.SENTENCES[k][0], F.when(F.size(f"_say_{k}") > 0, F.col(f"_say_{k}")).otherwise(default(k))) for k in said]
+    return out.withColumn("caption", F.array_join(F.filter(F.array(*parts, F.lit(text.SENTENCES["end"][0])), lambda p: p != ""), " ")).select(*df.columns, "caption")
 
 
 def modality_texts(df: DataFrame) -> Column:

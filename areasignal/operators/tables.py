@@ -170,10 +170,11 @@ def top_phrases_by(df: DataFrame, unit: str, phrase: str, order: Sequence[str],
 
 
 def group_counts(df: DataFrame, unit: str, phrase: str) -> DataFrame:
-    """unit, grp and n: how many phrases of each unit are in each keyword group. Patterns are matched once for each phrase
-    that a unit has, however often."""
-    distinct = df.groupBy(unit, F.col(phrase).alias("_p")).agg(F.count("*").alias("_n"))
-    return distinct.select(unit, F.explode(groups_of(tidy(F.col("_p")))).alias("grp"), "_n").groupBy(unit, "grp").agg(F.sum("_n").alias("n"))
+    """unit, grp and n: how many phrases of each unit are in each keyword group. Patterns are matched once for each phrase,
+    whatever number of units has it."""
+    counts = df.groupBy(unit, F.col(phrase).alias("_p")).agg(F.count("*").alias("_n"))
+    named = counts.select("_p").distinct().select("_p", groups_of(tidy(F.col("_p"))).alias("_g"))
+    return counts.join(named, "_p").select(unit, F.explode("_g").alias("grp"), "_n").groupBy(unit, "grp").agg(F.sum("_n").alias("n"))
 
 
 def first_phrases(df: DataFrame, keys: Sequence[str], phrase: str, order: Sequence[str]) -> DataFrame:

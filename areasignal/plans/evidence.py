@@ -34,7 +34,7 @@ SEGMENTS = FIRST + """, lists AS (
 def segments(spark, sf_dir):
     lists = tables.first_phrases(frame(spark, sf_dir, "phrases"), ["unit_id", "modality"], "phrase", ["pos"])
     of = lambda m: F.max(F.when(F.col("modality") == m, F.col("phrases")))
-    return lists.groupBy("unit_id").agg(*(of(m).alias(m) for m in ("sat", "ntl", "sv"))).select("unit_id", *(text.segment(F.col(m), text.NO_EVIDENCE[m], 60 if m == "sv" else None).alias(m) for m in ("sat", "ntl", "sv")))
+    return lists.groupBy("unit_id").agg(*(of(m).alias(m) for m in ("sat", "ntl", "sv"))).select("unit_id", *(text.segment(F.col(m), text.NO_EVIDENCE[m], 60 if m == "sv" else None, distinct=True).alias(m) for m in ("sat", "ntl", "sv")))
 
 
 @query(ctes("phrases") + SEGMENTS + " SELECT * FROM segments")
