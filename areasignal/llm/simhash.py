@@ -16,7 +16,7 @@ from areasignal.llm.common import arrow_map, kind_of, written
 #: Words of a shingle, differing bits of a link, seed of the hash.
 WORDS, BITS, SEED = 4, 4, 42
 #: Of similar texts: words of a shingle; bands of so many permutations each, of which one must agree for a pair to be compared.
-NEAR_WORDS, BANDS, ROWS = 5, 42, 7
+NEAR_WORDS, BANDS, ROWS = 5, 32, 7
 #: Members of a part of a long run.
 PART = 4096
 #: Runs of fingerprints at one anchor up to this length are compared pair by pair, longer ones by blocks of bits.
@@ -302,7 +302,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     fp is of the set of shingles. Candidates are what `links` finds at the anchors of the texts' SimHash, and, as texts of that
     similarity differ in more bits than the covering reaches, pairs that agree in a band of MinHash: a pair of similarity
-    0.8 is missed by (1 - 0.8 ** ROWS) ** BANDS, 8 in 100,000, whatever was edited, cut off or put on, more alike ones more
+    0.8 is missed by (1 - 0.8 ** ROWS) ** BANDS, 5 in 10,000, whatever was edited, cut off or put on, more alike ones more
     rarely. Only candidates whose texts have that similarity, counted exactly, are links.
 
     Runs of more than SHORT_RUN texts in a band are split into parts of about PART. There, texts are linked with a hub in the
@@ -556,7 +556,9 @@ def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: D
     names = written(nodes.join(needed, "fp").select("fp", F.col("least").alias("__least"), F.col("body").alias("__body")), rows=2 * n)
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__body"))
     found = rows.join(names.hint("merge"), (rows["__body"] == names["__body"]) & F.col("__id").eqNullSafe(F.col("__least")))
-    texts = written(found.groupBy("fp").agg(F.any_value("__text").alias("text")), rows=2 * n)
+    texts = written(found.select("fp", F.col("__text").alias("text")))
+    if texts.count() > names.count():  # rows that are repeated
+        texts = written(texts.groupBy("fp").agg(F.any_value("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a = None, np.empty(0, np.uint64)
@@ -572,7 +574,7 @@ def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: D
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     of = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"t{c}")).hint("merge")
-    return written(arrow_map(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "tu", "tv"), run, "u long, v long"), rows=n)
+    return written(arrow_map(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "tu", "tv"), run, "u long, v long"))
 
 
 def _grouped(fps: DataFrame, id_col: str, bits: int) -> DataFrame:
