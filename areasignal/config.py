@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass, fields, replace
 
 
@@ -39,6 +41,29 @@ class RunConfig:
         return out
 
 
+#: What runs that look at residuals start from: most blocks are on.
+DIAGNOSTICS = {"name": "diagnostics", "use_coordinates": True, "use_indicators": True, "use_neighbour_mean": False}
+
+
+def manifest(path: str, base_dir: str | None = None) -> tuple[list[RunConfig], dict[str, str]]:
+    """The runs of a JSON file, {"defaults": {...}, "runs": [{...}, ...], "paths": {...}}, and its paths, which lie under the
+    base folder (the file's own if none is given) unless they are absolute."""
+    with open(path) as f:
+        found = json.load(f)
+    base = base_dir or os.path.dirname(os.path.abspath(path))
+    runs = [RunConfig.of(found.get("defaults", {}), layer) for layer in found["runs"]]
+    if len({r.name for r in runs}) < len(runs):
+        raise ValueError("runs of one name")
+    return runs, {k: p if os.path.isabs(p) or "://" in p else os.path.join(base, p) for k, p in found.get("paths", {}).items()}
+
+
+def even(size: int) -> int:
+    """A size that must be even and above 0."""
+    if size <= 0 or size % 2:
+        raise ValueError(f"{size} isn't even and above 0")
+    return size
+
+
 def chosen(runs: list[RunConfig], only: list[str] | None) -> list[RunConfig]:
     """The runs named, in the manifest's order."""
     if only and (missing := set(only) - {r.name for r in runs}):

@@ -156,7 +156,7 @@ class CountScaler:
         """What `save` wrote."""
         rows = spark.read.parquet(path).orderBy("at").collect()
         out = cls(sum(r.name != "other" for r in rows))
-        out.kinds = [r.name for r in rows if r.name != "other"]
+        out.names = [r.name for r in rows if r.name != "other"]
         out.moments = {r.name: (r.mean, r.sd) for r in rows}
         return out
 

@@ -71,3 +71,57 @@ def test_stand_ins(spark):
     old = spark.createDataFrame([(1, ["a"]), (2, None), (3, [])], "k int, v array<string>")
     new = spark.createDataFrame([(2, ["b"]), (1, ["z"])], "k int, v array<string>")
     assert sorted((r.k, r.v) for r in perceive.backfilled(old, "k", new, "v").collect()) == [(1, ["a"]), (2, ["b"]), (3, [])]
+
+
+def test_manifests(tmp_path):
+    from areasignal import config
+
+    at = tmp_path / "runs.json"
+    at.write_text('{"defaults": {"folds": 3}, "runs": [{"name": "a"}, {"name": "b", "ablate": ["ntl"], "folds": 4}], "paths": {"oof": "out/oof.jsonl", "far": "s3://x/y"}}')
+    runs, paths = config.manifest(str(at))
+    assert [(r.name, r.folds, r.ablate) for r in runs] == [("a", 3, ()), ("b", 4, ("ntl",))]
+    assert paths == {"oof": str(tmp_path / "out/oof.jsonl"), "far": "s3://x/y"} and config.manifest(str(at), "/b")[1]["oof"] == "/b/out/oof.jsonl"
+    assert [r.name for r in config.chosen(runs, ["b"])] == ["b"] and config.even(4) == 4
+    assert RunConfig.of(config.DIAGNOSTICS).use_coordinates
+    for bad in (0, 3, -2):
+        with pytest.raises(ValueError):
+            config.even(bad)
+
+
+def test_prompts_and_bytes(spark):
+    from areasignal.functions import text
+    from areasignal.sources import records
+
+    spec = {"cracks": "pavement", "bins": "litter"}
+    df = spark.createDataFrame([("satellite: a", "p"), ("POI: x", "p"), ("b", None)], "e string, p string")
+    full = [r[0] for r in df.select(text.indicator_prompt("Score.", F.col("e"), spec, F.col("p"))).collect()]
+    assert "satellite: a\nPOI: p\n" in full[0] and "POI: p" not in full[1] and "- cracks: pavement\n- bins: litter" in full[2]
+    assert "- cracks\n- bins" in df.select(text.indicator_prompt("Score.", F.col("e"), spec, minimal=True)).first()[0]
+    raw = spark.createDataFrame([(b"\xff\xd8\xff\xe0aa",), (b"\x89PNG\r\n\x1a\n1",), (b"GIF",), (b"",), (None,)], "b binary")
+    assert [r[0] for r in raw.select(records.image_state(F.col("b"))).collect()] == ["ok", "ok", "corrupt", "corrupt", "missing"]
+
+
+def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
+    from areasignal import session
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="share"):
+        session.shared_folder(Session())
+
+
+def test_scaler_is_saved(spark, tmp_path):
+    from areasignal.operators import tables
+
+    df = spark.createDataFrame([("a", "x", 3), ("a", "y", 1), ("b", "x", 2), ("b", "z", 5), ("c", "w", 1)], "u string, k string, n int")
+    made = tables.CountScaler(2).fit(df, "u", "k", "n")
+    made.save(spark, str(tmp_path / "s"))
+    again = tables.CountScaler.load(spark, str(tmp_path / "s"))
+    assert again.columns == made.columns and again.moments == made.moments
+    assert sorted(map(tuple, again.transform(df, "u", "k", "n").collect())) == sorted(map(tuple, made.transform(df, "u", "k", "n").collect()))
