@@ -81,3 +81,18 @@ def test_edge_rows(docs, none):
         want[r.id] += r.n
     assert Counter(r.doc_id for r in mix.collect()) == +want
     assert mix.where(F.col("doc_id") == 6).count() == want[6]
+
+
+def test_clashing_names(docs):
+    names = ("__id", "__body", "__n", "__rows", "__key", "__copy", "mass", "node")
+    out = mixing.mixed(docs.select("doc_id", "text", "source", *(F.lit("mine").alias(c) for c in names)))
+    assert out.columns == ["doc_id", "text", "source", *names] and {tuple(r)[3:] for r in out.collect()} == {("mine",) * len(names)}
+
+
+def test_repeated_rows_are_one_item(spark):
+    rows = [(1, "a b c", "s")] * 500 + [(2, "d e", "s"), (3, "f", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.copies(df).collect()
+    check(rows, got)
+    n = [r.n for r in got if r.id == 1]
+    assert len(n) == 500 and max(n) - min(n) <= 1

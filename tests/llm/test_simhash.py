@@ -169,3 +169,49 @@ def test_large_groups_against_brute_force(spark):
                 least = [x if z == y else z for z in least]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == dict(enumerate(least))
+
+
+def test_clashing_names(docs):
+    names = ("__id", "__body", "__key", "__name", "__text", "fp", "keys")
+    out = simhash.without_duplicates(docs.select("doc_id", "text", *(F.lit("mine").alias(c) for c in names)))
+    assert out.columns == ["doc_id", "text", *names] and {tuple(r)[2:] for r in out.collect()} == {("mine",) * len(names)}
+
+
+def test_long_runs_at_an_anchor(spark):
+    """Many fingerprints that share a half, some of which chain within 4 bits in the other one."""
+    rnd = random.Random(6)
+    half, fps = rnd.getrandbits(32) << 32, set()
+    for _ in range(150):
+        x = rnd.getrandbits(32)
+        fps.add(half | x)
+        for _ in range(rnd.randrange(3)):
+            x ^= sum(1 << i for i in rnd.sample(range(32), rnd.randrange(1, 5)))
+            fps.add(half | x)
+    ids = sorted(fps)
+    signed = [int(np.uint64(f).astype(np.int64)) for f in ids]
+    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    named = {}
+    for f, w in zip(signed, reached(ids, ids)):
+        named.setdefault(w, set()).add(roots.get(f, f))
+    assert all(len(x) == 1 for x in named.values()) and len({next(iter(x)) for x in named.values()}) == len(named)
+
+
+def test_parts_of_long_runs(spark, monkeypatch):
+    """A run split into many parts gives the components that all pairs give."""
+    monkeypatch.setattr(simhash, "PART", 16)
+    rnd = random.Random(14)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(120)]
+    texts = []
+    for edits in [1] * 60 + [4] * 60:
+        copy = list(base)
+        for _ in range(edits):
+            copy[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets, least = [shingles5(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if least[i] != least[j] and len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((least[i], least[j]))
+                least = [x if z == y else z for z in least]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == dict(enumerate(least))
