@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from areasignal.session import written
 
 
-def moments(df: DataFrame, value: str) -> dict[str, float]:
-    """n, mean, squares (about the mean) and sd (population) of a column; one row reaches the driver."""
-    r = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("v")).first()
-    return {"n": r.n, "mean": r.mean or 0.0, "squares": (r.v or 0.0) * r.n, "sd": (r.v or 0.0) ** 0.5}
-
-
 def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """df with the average rank of a value within the keys (or over all rows); nulls get none.
 

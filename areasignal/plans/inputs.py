@@ -386,6 +386,15 @@ def lasso_one_feature(spark, sf_dir):
     return one_feature(spark, sf_dir, "lasso")
 
 
+_SHARE = "[0.1, 0.3, 0.5, 0.7, 0.9][i // 100 + 1]::DOUBLE"
+
+
+@query(_one_feature(f"avg(({_LEFT}) ** 2)", f"sign(b) * greatest(0, abs(b) / n - alpha * {_SHARE}) / (a / n + alpha * (1 - {_SHARE}))", f"abs(b) / n / {_SHARE} * 10 ** (-3 * (i % 100) / 99.0)", "round(avg(mark), 12)").replace("SIZE", "range(500) AS r(i)"))
+def elastic_one_feature(spark, sf_dir):
+    """Elastic net of one feature: five shares of the first norm, each with its own path of penalties."""
+    return one_feature(spark, sf_dir, "elastic")
+
+
 @query(
     ctes("units") + """, t AS (SELECT unit_id, fold::INTEGER AS fold, u, v FROM units JOIN (SELECT l_suppkey AS unit_id, avg(l_quantity) AS u, avg(l_extendedprice) / 1000 AS v FROM lineitem GROUP BY 1) USING (unit_id)),
 m AS (SELECT h.fold AS held, avg(u) AS mu, avg(v) AS mv, var_pop(u) AS a, covar_pop(u, v) AS b, var_pop(v) AS c FROM (SELECT DISTINCT fold FROM t) AS h JOIN t ON t.fold <> h.fold GROUP BY h.fold),
