@@ -17,34 +17,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's fingerprint, its edited text's and the likeness of neighbours. A null text is empty; null ids come first."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document. A null text weighs 0; a null source is the last one; repeated rows share their copies evenly."""
     rows = mixing.copies(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.col("n").alias("copies"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of each text as digests. A null or empty text has no ids and the digest of nothing."""
     return bpe.encode_texts(table(spark, sf_dir, "documents"), RANKS, PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of each text. Null and empty texts are scored by statistics of 0; documents without labels are scored too."""
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for each text. Null texts and those without letters are `und` with score 0; null languages teach nothing."""
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in each text. A null text has none; a null source is one unnamed owner."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.spans_text(F.col("base")), 256).alias("base_sha256"), secrets.spans_text(F.col("found")).alias("spans"), "n_live", "n_example")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of each text. A null text has no words, no places and empty labels."""
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     base = F.filter("places", lambda p: p["phrase"].isin(*licenses.BASE))
     words = F.transform(base, lambda p: p["word"])
@@ -52,14 +59,17 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of each page, laid out. A null or empty page has an empty text."""
     return html_layout.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's fingerprint and component. Null and wordless texts have fingerprint 0 and are linked like any other."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op10_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of each query. Vectors that are null or not finite, and null ids, take no part."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 

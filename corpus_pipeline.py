@@ -15,28 +15,31 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on those that labels mark, predicts as label 1."""
+    """Documents that the classifier, trained on those that labels mark, predicts as label 1. Null and empty texts are scored
+    like any other; without labels all score the same."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.kept(docs, model).select(*COLUMNS)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the least doc_id."""
+    """One document of each group of near duplicates: that of the least doc_id (null ids last). Null and wordless texts are one
+    group; of repeated rows one stays."""
     return simhash.without_duplicates(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Owner-specific live-looking credentials are replaced by a mark; copied examples stay."""
+    """Owner-specific live-looking credentials are replaced by a mark; copied examples stay. All rows stay; a null text stays
+    null, with n_chars 0."""
     return secrets.redacted(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, from 0 to 3 times. A null text weighs nothing; null sources are one source."""
     return mixing.mixed(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document of the mix."""
+    """The ids of each document of the mix; of a null or empty text none."""
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids"))
 
 
