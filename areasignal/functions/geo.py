@@ -50,7 +50,7 @@ def centre_radius(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Co
     return F.struct(lat.alias("lat"), ((min_lon + max_lon) / 2).alias("lon"), F.floor(half).cast("int").alias("radius"))
 
 
-def _edges(ring: Column) -> Column:
+def ring_edges(ring: Column) -> Column:
     """Structs x1, y1, x2, y2, each point with the one before it."""
     return F.transform(ring, lambda p, i: F.struct(F.element_at(ring, F.when(i == 0, F.size(ring)).otherwise(i).cast("int"))["x"].alias("x1"), F.element_at(ring, F.when(i == 0, F.size(ring)).otherwise(i).cast("int"))["y"].alias("y1"), p["x"].alias("x2"), p["y"].alias("y2")))
 
@@ -63,7 +63,7 @@ def on_segment(px: Column, py: Column, e: Column) -> Column:
 
 def in_ring(px: Column, py: Column, ring: Column) -> Column:
     """Whether the point is inside or on the ring: on an edge, or an odd number of edges to its right."""
-    edges = _edges(ring)
+    edges = ring_edges(ring)
     at = lambda e: (e["x2"] - e["x1"]) * (py - e["y1"]) / F.when(e["y2"] == e["y1"], 1.0).otherwise(e["y2"] - e["y1"]) + e["x1"]
     crossed = F.size(F.filter(edges, lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (at(e) > px)))
     return (F.size(ring) >= 3) & (F.exists(edges, lambda e: on_segment(px, py, e)) | (crossed % 2 == 1))
@@ -76,7 +76,7 @@ def in_polygon(px: Column, py: Column, rings: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """By the shoelace formula, without sign."""
-    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda a, e: a + (e["x1"] * e["y2"] - e["x2"] * e["y1"]))) / 2
+    return F.abs(F.aggregate(ring_edges(ring), F.lit(0.0), lambda a, e: a + (e["x1"] * e["y2"] - e["x2"] * e["y1"]))) / 2
 
 
 def ring_centroid(ring: Column) -> Column:
@@ -87,7 +87,7 @@ def ring_centroid(ring: Column) -> Column:
         c = e["x1"] * e["y2"] - e["x2"] * e["y1"]
         return F.struct((s["a"] + c).alias("a"), (s["x"] + (e["x1"] + e["x2"]) * c).alias("x"), (s["y"] + (e["y1"] + e["y2"]) * c).alias("y"))
 
-    s = F.aggregate(_edges(ring), z, add)
+    s = F.aggregate(ring_edges(ring), z, add)
     mean = lambda f: F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[f]) / F.size(ring)
     return F.struct(F.when(s["a"] != 0, F.try_divide(s["x"], 3 * s["a"])).otherwise(mean("x")).alias("x"), F.when(s["a"] != 0, F.try_divide(s["y"], 3 * s["a"])).otherwise(mean("y")).alias("y"))
 
@@ -100,7 +100,7 @@ def segment_distance(px: Column, py: Column, e: Column) -> Column:
 
 def boundary_distance(px: Column, py: Column, rings: Column) -> Column:
     """From the point to the nearest edge of any ring."""
-    return F.array_min(F.transform(rings, lambda r: F.array_min(F.transform(_edges(r), lambda e: segment_distance(px, py, e)))))
+    return F.array_min(F.transform(rings, lambda r: F.array_min(F.transform(ring_edges(r), lambda e: segment_distance(px, py, e)))))
 
 
 def box_of(ring: Column) -> Column:

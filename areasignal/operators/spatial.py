@@ -10,52 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areasignal.functions import geo
+from areasignal.operators import outlines
 from areasignal.session import written
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
-
-
-def cells_of_box(df: DataFrame, box: Column, size: float) -> DataFrame:
-    """A row for each grid cell of the size that a box reaches: cx, cy."""
-    return df.withColumn("cx", F.explode(_cells(box["min_x"], box["max_x"], size))).withColumn("cy", F.explode(_cells(box["min_y"], box["max_y"], size)))
-
-
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point: str, polygon: str, size: float, first: bool = True, left: bool = False) -> DataFrame:
     """Joins points (x, y) with polygons (rings, and ord for the order) that hold them: all, or the first by ord.
 
-    Both sides meet at grid cells, boxes are compared before the exact test, and only ids are grouped. left: points that
-    no polygon holds stay, with a null polygon. Points with null coordinates lie nowhere.
+    Points meet polygons at cells of the polygons' covers, of `size` at least; only those in a border's cell are tested with
+    rings. left: points that no polygon holds stay, with a null polygon. Points with null coordinates lie nowhere.
     """
-    boxes = polygons.withColumn("_box", geo.box_of(F.col("rings")[0])).select(polygon, "ord", "rings", "_box")
-    side = cells_of_box(boxes, F.col("_box"), size)
-    at = points.select(point, "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    near = at.join(side, ["cx", "cy"]).where(F.col("x").between(F.col("_box.min_x"), F.col("_box.max_x")) & F.col("y").between(F.col("_box.min_y"), F.col("_box.max_y")))
-    found = near.where(geo.in_polygon(F.col("x"), F.col("y"), F.col("rings"))).select(point, polygon, "ord")
-    found = found.groupBy(point).agg(F.min_by(polygon, "ord").alias(polygon)) if first else found.select(point, polygon)
-    return points.join(found, point, "left" if left else "inner")
+    found = outlines.holding(points, polygons, point, polygon, size)
+    if first:
+        found = found.join(polygons.select(polygon, "ord"), polygon).groupBy(point).agg(F.min_by(polygon, "ord").alias(polygon))
+    return points.join(found.select(point, polygon), point, "left" if left else "inner")
 
 
 def neighbours(polygons: DataFrame, polygon: str, size: float, tolerance: float = 0.0) -> DataFrame:
-    """src and dst, both ways: polygons whose outer rings come within the tolerance of one another (0: touch).
-
-    Pairs are made within grid cells alone; polygons that share several cells are compared once.
-    """
-    boxed = polygons.select(polygon, F.col("rings")[0].alias("ring")).withColumn("b", geo.box_of(F.col("ring")))
-    wide = F.struct((F.col("b.min_x") - tolerance).alias("min_x"), (F.col("b.min_y") - tolerance).alias("min_y"), (F.col("b.max_x") + tolerance).alias("max_x"), (F.col("b.max_y") + tolerance).alias("max_y"))
-    cells = cells_of_box(boxed.withColumn("w", wide), F.col("w"), size)
-    a = cells.select("cx", "cy", F.col(polygon).alias("src"), F.col("w").alias("wa"))
-    b = cells.select("cx", "cy", F.col(polygon).alias("dst"), F.col("b").alias("wb"))
-    meet = (F.col("wa.min_x") <= F.col("wb.max_x")) & (F.col("wb.min_x") <= F.col("wa.max_x")) & (F.col("wa.min_y") <= F.col("wb.max_y")) & (F.col("wb.min_y") <= F.col("wa.max_y"))
-    pairs = a.join(b, ["cx", "cy"]).where((F.col("src") < F.col("dst")) & meet).select("src", "dst").distinct()
-    rings = boxed.select(F.col(polygon).alias("_id"), "ring")
-    both = pairs.join(rings.withColumnsRenamed({"_id": "src", "ring": "ra"}), "src").join(rings.withColumnsRenamed({"_id": "dst", "ring": "rb"}), "dst")
-    apart = lambda p, q: F.array_min(F.transform(p, lambda v: geo.boundary_distance(v["x"], v["y"], F.array(q))))
-    inside = lambda p, q: F.exists(p, lambda v: geo.in_ring(v["x"], v["y"], q))
-    close = (F.least(apart(F.col("ra"), F.col("rb")), apart(F.col("rb"), F.col("ra"))) <= tolerance + 1e-9) | inside(F.col("ra"), F.col("rb")) | inside(F.col("rb"), F.col("ra"))
-    found = both.where(close).select("src", "dst")
-    return found.union(found.select("dst", "src"))
+    """src and dst, both ways: polygons that meet, or come within the tolerance of one another (`outlines.contacts`)."""
+    return outlines.contacts(polygons, polygon, size, tolerance)
 
 
 def neighbour_lists(units: DataFrame, unit: str, edges: DataFrame) -> DataFrame:

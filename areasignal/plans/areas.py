@@ -34,6 +34,41 @@ def grid_neighbours(spark, sf_dir):
     return spatial.neighbour_lists(frame(spark, sf_dir, "units"), "unit_id", edges(spark, sf_dir))
 
 
+#: Customers' outlines: rectangles, every third without its upper right quarter; as parts for SQL, which are rectangles.
+OUTLINES = """WITH o AS (SELECT c_custkey AS id, (c_custkey * 37) % 997 * 0.125::DOUBLE AS x, (c_custkey * 53) % 991 * 0.125::DOUBLE AS y, 0.5 + c_custkey % 7 AS w, 0.5 + c_custkey % 5 AS h FROM customer),
+parts AS (SELECT id, x AS x1, y AS y1, x + w AS x2, y + CASE WHEN id % 3 = 0 THEN h / 2 ELSE h END AS y2 FROM o UNION ALL SELECT id, x, y, x + w / 2, y + h FROM o WHERE id % 3 = 0)"""
+
+
+def customer_outlines(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), ((k * 37) % 997 * 0.125).alias("x"), ((k * 53) % 991 * 0.125).alias("y"), (0.5 + k % 7).alias("w"), (0.5 + k % 5).alias("h"))
+    corner = lambda p, q: F.struct((F.col("x") + F.col("w") * p).alias("x"), (F.col("y") + F.col("h") * q).alias("y"))
+    whole = F.array(*(corner(p, q) for p, q in ((0, 0), (1, 0), (1, 1), (0, 1))))
+    cut = F.array(*(corner(p, q) for p, q in ((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1))))
+    return rows.select("id", F.col("id").alias("ord"), F.array(F.when(F.col("id") % 3 == 0, cut).otherwise(whole)).alias("rings"))
+
+
+@query(OUTLINES + " SELECT DISTINCT a.id AS src, b.id AS dst FROM parts AS a JOIN parts AS b ON a.id <> b.id AND pow(greatest(0, a.x1 - b.x2, b.x1 - a.x2), 2) + pow(greatest(0, a.y1 - b.y2, b.y1 - a.y2), 2) <= 0.01")
+def outline_contacts(spark, sf_dir):
+    """Outlines that cross, touch, hold or come within 0.1 of one another."""
+    return spatial.neighbours(customer_outlines(spark, sf_dir), "id", 1.0, 0.1)
+
+
+@query(
+    OUTLINES + """, p AS (SELECT o_orderkey AS point, (o_orderkey * 71) % 9973 / 80.0::DOUBLE AS x, (o_orderkey * 29) % 9967 / 80.0::DOUBLE AS y FROM orders),
+hit AS (SELECT DISTINCT point, id FROM p JOIN parts ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 UNION ALL SELECT point, -1 FROM p WHERE x BETWEEN 10 AND 110 AND y BETWEEN 10 AND 110 AND NOT (x BETWEEN 40 AND 80 AND y BETWEEN 40 AND 80))
+SELECT id, count(*) AS n, sum(point)::BIGINT AS points FROM hit GROUP BY id"""
+)
+def points_by_outline(spark, sf_dir):
+    """Orders as points in the outlines, and in one large polygon with a hole, whose cells are larger."""
+    square = lambda a, b: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((a, a), (b, a), (b, b), (a, b))))
+    large = spark.range(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit(-1).cast("bigint").alias("ord"), F.array(square(10, 110), square(40, 80)).alias("rings"))
+    k = F.col("o_orderkey")
+    points = table(spark, sf_dir, "orders").select(k.alias("point"), ((k * 71) % 9973 / 80.0).alias("x"), ((k * 29) % 9967 / 80.0).alias("y"))
+    found = spatial.points_in_polygons(points, customer_outlines(spark, sf_dir).union(large), "point", "id", 0.25, first=False)
+    return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("point").alias("points"))
+
+
 MEANS = EDGES + UNIT_VALUES + ", lag AS (SELECT src AS unit_id, avg(quantity) AS q, avg(discount) AS d FROM edges JOIN vals ON vals.unit_id = dst GROUP BY src)"
 
 
