@@ -28,6 +28,8 @@ class RunConfig:
     ratio_columns: tuple[str, ...] = ()
     pca_components: int = 0
     logit_target: bool = False
+    #: Settings of boosted trees that differ from the defaults, as pairs of name and value; a mapping in files.
+    boosting: tuple[tuple[str, float], ...] = ()
 
     @classmethod
     def of(cls, *layers: dict) -> RunConfig:
@@ -37,7 +39,7 @@ class RunConfig:
         for layer in layers:
             if unknown := set(layer) - names:
                 raise ValueError(f"unknown settings {sorted(unknown)}")
-            out = replace(out, **{k: tuple(v) if isinstance(v, list) else v for k, v in layer.items() if v is not None})
+            out = replace(out, **{k: tuple(v) if isinstance(v, list) else tuple(v.items()) if isinstance(v, dict) else v for k, v in layer.items() if v is not None})
         return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from areasignal.config import RunConfig, feature_blocks
 from areasignal.functions.vectors import from_logit, masked, to_logit
-from areasignal.operators import learn, metrics, spatial, tables
+from areasignal.operators import boosting, learn, metrics, spatial, tables
 from areasignal.operators.encode import widened
 from areasignal.session import written
 
@@ -50,7 +50,7 @@ def run(config: RunConfig, units: DataFrame, unit: str, targets: Sequence[str],
     if config.logit_target:
         rows = rows.withColumns({t: to_logit(F.col(t)) for t in targets})
     if config.regressor == "boosted":
-        out = learn.boosted_oof(rows, unit, "fold", features, targets)
+        out = boosting.boosted_oof(rows, unit, "fold", features, targets, boosting.Settings(**dict(config.boosting)))
     elif config.regressor in ("ridge", "lasso", "elastic"):
         out = learn.linear_oof(rows, unit, "fold", features, targets, config.regressor)
     else:

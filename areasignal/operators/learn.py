@@ -7,7 +7,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -358,36 +357,6 @@ def reduced(df: DataFrame, unit: str, fold: str, blocks: dict[str, Features], n:
     return out
 
 
-def boosted_oof(df: DataFrame, unit: str, fold: str, features: Sequence[str], targets: Sequence[str], rounds: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 42, at_once: int = 4) -> DataFrame:
-    """unit, fold and pred_<target> by boosted trees, a seventh of the training rows deciding when to stop (all rounds are
-    made if there are none of them, or no others). Fits run `at_once` side by side."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    plain = df.select(F.col(unit).alias("unit"), F.col(fold).cast("int").alias("fold"), *(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)), *(F.col(c).cast("double").alias(f"y{j}") for j, c in enumerate(targets)))
-    plain = written(plain.withColumn("v", F.floor(hashed_unit(F.lit("early"), F.col("unit")) * 20) < 3))
-    rows = VectorAssembler(inputCols=[f"x{j}" for j in range(len(features))], outputCol="x").transform(plain).select("unit", "fold", "v", "x", *(f"y{j}" for j in range(len(targets))))
-    stops = {r[0]: (r[1], r[2]) for r in plain.groupBy("fold").agg(F.count_if("v"), F.count_if(~F.col("v"))).collect()}
-
-    def fit(at: tuple[int, int]):
-        k, j = at
-        early = all(sum(n[i] for f, n in stops.items() if f != k) for i in (0, 1))
-        trees = GBTRegressor(featuresCol="x", labelCol=f"y{j}", predictionCol=f"p{j}", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-        return (trees.setValidationIndicatorCol("v") if early else trees).fit(rows.where(F.col("fold") != k))
-
-    at = [(k, j) for k in sorted(stops) for j in range(len(targets))]
-    with ThreadPool(at_once) as pool:
-        models = dict(zip(at, pool.map(fit, at)))
-    out = None
-    for k in sorted(stops):
-        part = rows.where(F.col("fold") == k)
-        for j in range(len(targets)):
-            part = models[k, j].transform(part)
-        part = part.select(F.col("unit").alias(unit), F.col("fold").alias(fold), *(F.col(f"p{j}").alias(f"pred_{t}") for j, t in enumerate(targets)))
-        out = part if out is None else out.union(part)
-    return out
-
-
 def residual_oof(df: DataFrame, unit: str, fold: str, first: Features, second: Features, targets: Sequence[str]) -> DataFrame:
     """Two stages: ridge on the first features, ridge of what it leaves on the second, summed: pred_<target>."""
     a = written(linear_oof(df, unit, fold, first, targets))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from areasignal.functions import geo, text, vectors
-from areasignal.operators import crossval, encode, learn, metrics, perceive, tables
+from areasignal.operators import boosting, crossval, encode, learn, metrics, perceive, tables
 from areasignal.plans.areas import polygons
 from areasignal.plans.base import DOMAINS, ctes, frame, query, table
 from areasignal.plans.scores import OOF, X, Y, features, oof, rounded
@@ -412,7 +412,7 @@ def stacking_boosted_oof(spark, sf_dir):
     """Ridge over ridge and boosted trees; units that a model lacks count as 0."""
     rows = written(features(spark, sf_dir))
     a = written(learn.linear_oof(rows, "unit_id", "fold", X, Y))
-    b = written(learn.boosted_oof(rows, "unit_id", "fold", ["x", "y", "balance"], Y, rounds=5))
+    b = written(boosting.boosted_oof(rows, "unit_id", "fold", ["x", "y", "balance"], Y))
     return learn.stacked_oof(rows, "unit_id", "fold", [a.where("unit_id > 1"), b], Y)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from areasignal.functions import vectors
-from areasignal.operators import folds, learn, metrics, resample, spatial, tables
+from areasignal.operators import boosting, folds, learn, metrics, resample, spatial, tables
 from areasignal.plans.areas import EDGES, UNIT_VALUES, edges, unit_values
 from areasignal.plans.base import DOMAINS, ctes, frame, query, table
 from areasignal.session import written
@@ -315,8 +315,9 @@ def lasso_oof(spark, sf_dir):
 
 @query()
 def gbt_oof(spark, sf_dir):
+    """Up to 2,000 rounds of boosted trees in log odds, stopped after 100 without gain."""
     rows = features(spark, sf_dir).withColumns({t: vectors.to_logit(F.col(t)) for t in Y})
-    made = learn.boosted_oof(rows, "unit_id", "fold", X, Y)
+    made = boosting.boosted_oof(rows, "unit_id", "fold", X, Y)
     return made.select("unit_id", "fold", *(vectors.from_logit(F.col(f"pred_{t}")).alias(f"pred_{t}") for t in Y))
 
 
