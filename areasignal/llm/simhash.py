@@ -549,7 +549,8 @@ def _bounded(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose texts share at least 0.8 of the shingles of both."""
+    """Edges between texts that share at least 0.8 of the shingles of both: of the pairs given, as many as connect what all of
+    them would. First each v is compared with one u; pairs within what that connects needn't be compared, all others are."""
     pairs = written(_bounded(nodes, pairs), rows=pairs.count())
     n = pairs.count()
     needed = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
@@ -559,22 +560,42 @@ def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: D
     texts = written(found.select("fp", F.col("__text").alias("text")))
     if texts.count() > names.count():  # rows that are repeated
         texts = written(texts.groupBy("fp").agg(F.any_value("text").alias("text")))
+    first = written(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), rows=n)
+    edges = _verified(texts, first)
+    root = components(edges)
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    left = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
+    left = written(left.select("u", "v").join(first, ["u", "v"], "left_anti"), rows=n)
+    return written(edges.union(_verified(texts, left)), rows=n) if left.take(1) else edges
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose texts (fp, text) share at least 0.8 of the shingles of both.
+
+    Each row that moves has one text: v's goes to u's, whose shingles are held while the texts of its partners stream past; a
+    u of more than PART partners is worked on in so many parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, a = None, np.empty(0, np.uint64)
+        a = np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            for i, u in enumerate(batch.column(0).to_pylist()):
-                if u != last:
-                    last, a = u, shingles(batch.column(2)[i].as_py())
-                b = shingles(batch.column(3)[i].as_py())
+            keep, vs = [], batch.column(1).to_pylist()
+            for i, v in enumerate(vs):
+                b = shingles(batch.column(2)[i].as_py())
+                if v is None:
+                    a = b
+                    continue
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 if 5 * both >= 4 * (len(a) + len(b) - both):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    of = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"t{c}")).hint("merge")
-    return written(arrow_map(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "tu", "tv"), run, "u long, v long"))
+    parts = written(pairs.groupBy("u").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), rows=pairs.count())
+    one = texts.join(parts.withColumnRenamed("u", "fp"), "fp").select(F.col("fp").alias("u"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "text")
+    sent = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    sent = sent.join(texts.select(F.col("fp").alias("v"), "text").hint("merge"), "v").select("u", "part", "v", "text")
+    met = one.union(sent).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    return written(arrow_map(met.select("u", "v", "text"), run, "u long, v long"))
 
 
 def _grouped(fps: DataFrame, id_col: str, bits: int) -> DataFrame:
