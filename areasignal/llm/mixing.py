@@ -96,6 +96,63 @@ def pivot(mass: list[float], size: list[float], draw: list[float]) -> int:
     return i
 
 
+def settled(mass: list[float], size: list[float], draw: list[float]) -> int:
+    """Rounds fractional copies in place, larger documents first; returns the index of the one that may stay fractional, or -1.
+
+    A document is rounded by its own probability, and the words that takes or gives are spread over the next smaller open ones:
+    over as many as are needed, in the same shares either way, so each one's expectation and the sum of size times copies
+    stay, and as far as each can take them, so all masses stay from 0 to 1. Where all smaller ones can't take so many words, it
+    exchanges mass with the next one (`pivot`). So what is left at the end is one of the smallest.
+    """
+    m, b = np.array(mass, float), np.array(size, float)
+    order = np.argsort(-b, kind="stable")
+    left = order[(m[order] > 0) & (m[order] < 1)]
+    while len(left) > 1:
+        k, rest = int(left[0]), left[1:]
+        q, a, p = m[k], b[k], m[rest]
+        room = np.minimum(p / (1 - q), (1 - p) / q)
+        reach = np.cumsum(b[rest] * room)
+        if reach[-1] >= a:
+            few = int(np.searchsorted(reach, a)) + 1
+            rest, p, room, words, up = rest[:few], p[:few], room[:few], reach[few - 1], draw[k] < q
+            m[k] = float(up)
+            m[rest] = np.clip(p + (-(1 - q) if up else q) * a / words * room, 0.0, 1.0)
+        else:
+            two = [float(m[k]), float(m[rest[0]])]
+            pivot(two, [a, float(b[rest[0]])], [draw[k], draw[rest[0]]])
+            m[k], m[rest[0]] = two
+        near = (m[left] > 1e-12) & (m[left] < 1 - 1e-12)
+        m[left[~near]] = np.rint(m[left[~near]])
+        left = left[near]
+    mass[:] = m.tolist()
+    return int(left[0]) if len(left) else -1
+
+
+def ended(mass: list[float], size: list[float], left: int, draw: float) -> None:
+    """Rounds the last fractional copy of a source in place, and makes up for it among those rounded before.
+
+    The words that it takes too many or too few go back by turning other roundings, the largest that fit first. It is rounded
+    by its own draw, unless the words that then can't be made up for are more than the other way: a document may be larger
+    than all that the others could take, and then its expectation gives way to the target.
+    """
+    m, b = np.array(mass), np.array(size, float)
+    order = np.argsort(-b, kind="stable")
+    order = order[order != left]
+    made = []
+    for up in (False, True):
+        missing, turned = (1 - m[left] if up else m[left]) * b[left], []
+        for k in order[(m[order] > 0.5) == up].tolist():
+            if b[k] <= missing * (1 + 1e-12):
+                turned.append(k)
+                missing -= b[k]
+        made.append((missing, turned))
+    drawn = bool(draw < m[left])
+    up = drawn if made[drawn][0] <= max(b.min(), made[not drawn][0]) else not drawn
+    for k in made[up][1]:
+        mass[k] = 0.0 if up else 1.0
+    mass[left] = float(up)
+
+
 def _rounded(seed: int, depth: int, last: bool):
     """One node of the tree: rounds a group's masses; all rows but a residual are closed, and at the root that one too."""
 
@@ -104,9 +161,9 @@ def _rounded(seed: int, depth: int, last: bool):
         key = list(zip(ids, bodies, size))
         order = sorted(range(len(key)), key=lambda k: (uniform(seed, depth, *key[k]), str(key[k])))
         mass, draw = [mass[k] for k in order], [uniform(seed, "draw", depth, *key[k]) for k in order]
-        left = pivot(mass, [size[k] for k in order], draw)
+        left = settled(mass, [size[k] for k in order], draw)
         if last and left >= 0:
-            mass[left] = float(uniform(seed, "last", *key[order[left]]) < mass[left])
+            ended(mass, [size[k] for k in order], left, uniform(seed, "last", *key[order[left]]))
         open_ = (np.arange(len(key)) == left) & (not last)
         mass, out = np.array(mass), table.take(pa.array(order))
         for name, values in (("n", out["n"].to_numpy() + np.where(open_, 0, mass.round()).astype(np.int64)), ("mass", np.where(open_, mass, 0.0))):
@@ -121,8 +178,9 @@ def copies(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
 
     Each document has target / source_size expected copies; the whole ones are given, the fraction is rounded. Documents
     of a source are dealt by hash into groups of about LEAF, each of which leaves at most one residual; residuals of FAN
-    groups meet on each level above, and the last one of a source is rounded by its own draw: a source's words miss the
-    target by less than one document. Draws and groups are hashes of id, text and seed, so reruns agree. Repeated rows (of
+    groups meet on each level above, and the last one of a source is rounded by its own draw, what that misses made up for
+    among those that meet there (`ended`). Larger documents are settled
+    first, against smaller ones at once, so that one is a small one: a source's words miss the target by less than it. Draws and groups are hashes of id, text and seed, so reruns agree. Repeated rows (of
     one id, text and source) are one item of all their copies, dealt to them as evenly as whole copies go; so is what has no
     fraction to round, empty texts among it: it meets in no group. Null sources are one source. An empty table gives no rows.
     """

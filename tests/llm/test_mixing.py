@@ -59,6 +59,51 @@ def test_pivot_keeps_the_weighted_sum():
         assert abs(sum(s * m for s, m in zip(size, mass)) - before) < 1e-6
 
 
+def test_settling_keeps_the_weighted_sum_and_leaves_a_small_one():
+    rnd = random.Random(7)
+    for _ in range(200):
+        n = rnd.randrange(20, 60)
+        size = [rnd.randrange(1, 20) for _ in range(n)] + [rnd.randrange(60, 100)]
+        mass = [rnd.uniform(0.2, 0.8) for _ in size]
+        before = sum(s * m for s, m in zip(size, mass))
+        left = mixing.settled(mass, size, [rnd.random() for _ in size])
+        assert all(m in (0.0, 1.0) or i == left for i, m in enumerate(mass))
+        assert abs(sum(s * m for s, m in zip(size, mass)) - before) < 1e-6 and (left < 0 or size[left] < 20)
+
+
+def test_settling_keeps_expectations():
+    rnd, n = random.Random(5), 4000
+    p, size, sums = [0.2, 0.7, 0.5, 0.9, 0.35, 0.6, 0.4], [3, 8, 1, 5, 19, 2, 2], [0.0] * 7
+    for _ in range(n):
+        mass = list(p)
+        mixing.settled(mass, size, [rnd.random() for _ in p])
+        sums = [a + b for a, b in zip(sums, mass)]
+    assert all(abs(s / n - q) < 0.04 for s, q in zip(sums, p))
+
+
+def test_the_last_one_is_made_up_for():
+    rnd = random.Random(9)
+    for _ in range(300):
+        size = [rnd.randrange(1, 30) for _ in range(30)] + [2000]
+        mass = [0.08] * 31
+        before = sum(s * m for s, m in zip(size, mass))
+        left = mixing.settled(mass, size, [rnd.random() for _ in size])
+        if left >= 0:
+            mixing.ended(mass, size, left, rnd.random())
+        assert set(mass) <= {0.0, 1.0} and abs(sum(s * m for s, m in zip(size, mass)) - before) <= 30
+
+
+def test_sources_come_near_their_targets(spark):
+    """Sizes that differ much: no source misses its target by 2 in 100, though one document may have a third of it."""
+    rnd = random.Random(8)
+    rows = [(i, "w " * int(20 * rnd.paretovariate(1.1)), f"s{i % 7}") for i in range(700)] + [(9000 + k, "w " * 4000, f"s{k}") for k in range(7)]
+    got = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= 0.02 * t for s, t in target.items())
+
+
 def test_pivot_keeps_expectations():
     rnd, n = random.Random(4), 4000
     p, size, sums = [0.2, 0.7, 0.5, 0.9, 0.35], [3, 8, 1, 5, 9], [0.0] * 5
