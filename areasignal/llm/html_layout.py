@@ -31,8 +31,11 @@ ENDS_P = (PARAGRAPH | set("address article aside center details dialog dir div d
 #: What an end tag can't reach out of.
 WALL = {"table", "td", "th", "caption", "body", "html"}
 
-_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+#: An attribute: a name (a quote in it is a character like any other), and after = a quoted value or one up to white space.
+_NAME = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
+_VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>)|\Z)"
+_MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/[^A-Za-z>])[^>]*(?:>|\Z)|</>|</?([A-Za-z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+")
 _WHOLE = re.compile(r"\s*(-?\d+)")
 UNSHOWN_INPUTS = set("hidden checkbox radio password file image".split())
 #: Of svg: what is drawn only where it is referred to, or not at all.
@@ -351,10 +354,12 @@ def _lines(node: Node, seen: bool, list_gap: int = 2) -> Layout:
 
 
 def _list(node: Node, seen: bool) -> Layout:
-    """Items with a dash or a number, what follows in an item indented under it."""
+    """Items with a dash or a number (a list's start and reversed, an item's value), what follows in an item indented under it."""
     out: list[str] = []
-    start = _number(attributes(node.attrs).get("start")) if node.name == "ol" else None
-    number = 1 if start is None else start
+    a = attributes(node.attrs) if node.name == "ol" else {}
+    start, step = _number(a.get("start")), -1 if "reversed" in a else 1
+    items = sum(isinstance(x, Node) and x.name == "li" and _visible(x, seen)[0] for x in node.children) if step < 0 else 1
+    number = items if start is None else start
     for item in node.children:
         holder = item if isinstance(item, Node) and item.name == "li" else None
         if holder is None:
@@ -367,8 +372,10 @@ def _list(node: Node, seen: bool) -> Layout:
         there, shown = _visible(holder, seen)
         lines = (yield _lines(holder, shown, 1)) if there else []
         if holder is item and there:
+            own = _number(attributes(item.attrs).get("value")) if node.name == "ol" and item.attrs else None
+            number = number if own is None else own
             mark = f"{number}. " if node.name == "ol" else "- "
-            number += 1
+            number += step
             out += [(mark if i == 0 else " " * len(mark)) + x if x else "" for i, x in enumerate(lines)]
         else:
             out += lines
@@ -376,10 +383,11 @@ def _list(node: Node, seen: bool) -> Layout:
 
 
 def _table(node: Node, seen: bool) -> Layout:
-    """Rows with cells padded to the width of their column; a cell's lines stay in it. Captions come first. A table in
-    a cell, or one of a single column, is laid out as blocks."""
+    """Rows with cells padded to the width of their column; a cell's lines stay in it, and so do the columns under a cell of
+    several rows. Captions come first. A table in a cell, or one of a single column, is laid out as blocks."""
     captions: list[str] = []
-    rows: list[list[tuple[list[str], int]]] = []
+    rows: list[list[tuple[int, int, list[str]]]] = []  # column, columns and lines of each cell
+    below: dict[int, int] = {}  # columns that a cell above goes on in, and for how many rows
     todo: list[tuple] = [(x, seen) for x in reversed(node.children)]
     loose = Node("span")
     while todo:
@@ -394,42 +402,50 @@ def _table(node: Node, seen: bool) -> Layout:
         if item.name == "caption":
             captions += yield _lines(item, shown)
         elif item.name == "tr":
-            row = []
+            row, column = [], 0
+            below = {c: k - 1 for c, k in below.items() if k > 0}
+            taken = {c for c in below}
             for cell in item.children:
                 if isinstance(cell, Node) and cell.name in CELL:
                     here, cell_shown = _visible(cell, shown)
                     if here:
-                        span = _number(attributes(cell.attrs).get("colspan"))
-                        row.append(((yield _lines(cell, cell_shown)), 1 if span is None else max(1, min(1000, span))))
+                        a = attributes(cell.attrs) if cell.attrs else {}
+                        span, deep = _number(a.get("colspan")), _number(a.get("rowspan"))
+                        span = 1 if span is None else max(1, min(1000, span))
+                        deep = 1 if deep is None or deep < 0 else deep or 65534  # 0: to the end of its group
+                        while column in taken:
+                            column += 1
+                        row.append((column, span, (yield _lines(cell, cell_shown))))
+                        if deep > 1:
+                            below.update(dict.fromkeys(range(column, column + span), min(deep, 65534) - 1))
+                        column += span
                 elif not isinstance(cell, str) or cell.strip():
                     loose.children.append(cell)
             rows.append(row)
         elif item.name in ("tbody", "thead", "tfoot"):
+            below = {}  # what spans rows ends with its group
             todo.extend((x, shown) for x in reversed(item.children))
         else:
             loose.children.append(item)
     out = [*captions, *(yield _lines(loose, seen))]  # text outside cells is shown before the table
-    rows = [r for r in rows if any(c for c, _ in r)]
-    if rows and max(len(r) for r in rows) == 1:
-        for r in rows:
-            out += [*([""] if out and len(r[0][0]) > 1 else []), *r[0][0]]
+    rows = [r for r in rows if any(lines for _, _, lines in r)]
+    if rows and all(len(r) == 1 and r[0][0] == 0 for r in rows):
+        for ((_, _, lines),) in rows:
+            out += [*([""] if out and len(lines) > 1 else []), *lines]
         return out
     widths: dict[int, int] = {}
+    for column, span, lines in (c for r in rows for c in r):
+        if span == 1:
+            widths[column] = max(widths.get(column, 0), *(width(x) for x in lines), 0)
     for r in rows:
-        at = 0
-        for lines, span in r:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), *(width(x) for x in lines), 0)
-            at += span
-    for r in rows:
-        height = max(len(lines) for lines, _ in r)
-        for k in range(height):
+        for k in range(max(len(lines) for _, _, lines in r)):
             at, parts = 0, []
-            for lines, span in r:
-                room = sum(widths.get(at + j, 0) for j in range(span)) + 3 * (span - 1)
+            for column, span, lines in r:
+                parts += [" " * widths.get(c, 0) for c in range(at, column)]
+                room = sum(widths.get(column + j, 0) for j in range(span)) + 3 * (span - 1)
                 x = lines[k] if k < len(lines) else ""
                 parts.append(x + " " * max(0, room - width(x)))
-                at += span
+                at = column + span
             out.append(" | ".join(parts).rstrip())
     return out
 
@@ -455,7 +471,11 @@ def _preformatted(node: Node, seen: bool) -> list[str]:
 
 
 def render(html: str | None) -> str:
-    """All visible text of a page, however deep its elements are nested; of null, an empty text."""
+    """All visible text of a page, however deep its elements are nested; of null, an empty text.
+
+    What a reader can open on the page itself is its text, so closed `details` are shown whole; what only a script opens (a
+    `dialog` that isn't open) is not.
+    """
     return "\n".join(_laid_out(_lines(parse(html), True))) if html else ""
 
 

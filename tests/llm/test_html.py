@@ -1,5 +1,8 @@
+import random
 from html.parser import HTMLParser
 
+import pytest
+
 from areasignal.llm import html_layout as h
 
 
@@ -129,3 +132,55 @@ def test_text_of_forms_and_drawings_is_shown():
     assert h.render("<select><option disabled>a<option>b</select>") == "b"
     assert h.render("<select multiple><optgroup label=G><option>a<option hidden>x<option>b</select>") == "G\na\nb"
     assert h.render("<svg><title>x</title><defs><text>x</text></defs><rect width=1 /><g><text>a<tspan>b</tspan></text></g><text>c</text></svg>d") == "ab c d"
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<p class=it's>Hello</p><p>World</p><p>it's fine</p>", "Hello\n\nWorld\n\nit's fine"),
+    ("<p title=\"a > b\">x</p><p data-'q>y</p>", "x\n\ny"),
+    ("<p a='1'b=\"2\"c>x</p>", "x"),
+    ("<p =x>one</p><p = y>two</p>", "one\n\ntwo"),
+    ("<p x= >one</p><a href=/a/>two</a>", "one\n\ntwo"),
+    ("<p x=\"never closed>one</p>", ""),
+    ("<p \"x\">one</p>", "one"),
+    ("a<!-->b<!--->c<!-- > -->d</>e</3>f", "abcdef"),
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+    ("<ol reversed><li>a<li>b</ol><ol reversed start=9><li>c<li>d</ol>", "2. a\n1. b\n\n9. c\n8. d"),
+    ("<details><summary>more</summary>text</details><dialog>no</dialog><dialog open>yes</dialog>", "more\ntext\nyes"),
+])
+def test_as_browsers_show_it(html, want):
+    assert h.render(html) == want
+
+
+def cells_of(rows):
+    """Columns of the cells of a table by filling a grid row by row: {(row, column): text}, the grid's brute force."""
+    grid = {}
+    for i, row in enumerate(rows):
+        j = 0
+        for text, across, down in row:
+            while (i, j) in grid:
+                j += 1
+            for y in range(i, min(len(rows), i + down)):
+                for x in range(j, j + across):
+                    grid[y, x] = text if (y, x) == (i, j) else ""
+            j += across
+    return grid
+
+
+def test_row_spans_against_a_grid():
+    assert h.render("<table><tr><td rowspan=2>A<td>B</tr><tr><td>C</tr></table>") == "A | B\n  | C"
+    rng = random.Random(3)
+    for _ in range(200):
+        rows = [[(f"{i}.{j}", 1, rng.choice((1, 1, 2, 3))) for j in range(rng.randint(2, 4))] for i in range(rng.randint(2, 5))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td rowspan={d}>{t}</td>" for t, _, d in row) + "</tr>" for row in rows) + "</table>"
+        grid = cells_of(rows)
+        for i, line in enumerate(h.render(html).split("\n")):
+            shown = [x.strip() for x in line.split("|")]
+            want = [grid.get((i, j), "") for j in range(1 + max(x for y, x in grid if y == i))]
+            while want and not want[-1]:
+                want.pop()
+            assert shown[: len(want)] == want and not any(shown[len(want) :])
+
+
+def test_markup_takes_time_in_step():
+    for html in ("<p " + "a='" * 100_000, "<p " + "a=" * 200_000, "<" * 300_000, "<a/" * 100_000, "<!--" * 100_000, "<p x" + " " * 300_000):
+        h.render(html)
