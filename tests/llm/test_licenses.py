@@ -62,6 +62,55 @@ def test_expressions_against_recursion():
     assert lic.evaluate(lic.to_postfix("a WITH (b OR c)")) is None
 
 
+def tags(text):
+    """Labels of identifier tags by splitting at operators: of expressions without parentheses, on one line."""
+    out = set()
+    for line in re.split(r"[\r\n]", text or ""):
+        for part in re.split(r"spdx-license-identifier[ \t]*:?", line, flags=re.I)[1:]:
+            for name in re.split(r"\s+(?:or|and)\s+", part.strip(), flags=re.I):
+                first = re.match(r"[A-Za-z0-9][A-Za-z0-9.+:-]*", name)
+                if first is None:
+                    break
+                name_ = first[0].lower().rstrip(".:").rstrip("+")
+                out |= {name_} if lic.known(name_) else set()
+                if first[0] != name:
+                    break
+    return out
+
+
+def test_query_against_brute_force(spark):
+    rng = random.Random(6)
+    names = ["MIT", "Apache-2.0", "GPL-2.0-only", "see", "LICENSE", "BSD-3-Clause", "x", "LicenseRef-mine", "CC-BY-SA-4.0", "foo-1.0"]
+    rows = []
+    for i in range(300):
+        tail = f" {rng.choice(['OR', 'and'])} ".join(rng.choices(names, k=rng.randint(0, 4))) + rng.choice(["", " */", " see file", "; more", " (c) me"])
+        rows.append((i, rng.choice(["", "some words\n", "// "]) + f"SPDX-License-Identifier: {tail}\n" + rng.choice(["", "MIT License and more words", "code();"])))
+    got = {r.doc_id: r for r in lic.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        n, places = base(text)
+        assert got[i].n_words == n and set(got[i].labels) == tags(text) | {lic.BASE[p] for _, p in places}, text
+        assert (got[i].score > 0) == bool(got[i].labels) and 0 <= got[i].score <= 1
+
+
+def test_tags_of_more_lines_and_junk():
+    of = lambda t: lic.scan(t, A)
+    assert of("SPDX-License-Identifier: see LICENSE file")["labels"] == [] and of("SPDX-License-Identifier: see LICENSE file")["score"] == 0
+    assert of("// SPDX-License-Identifier: MIT OR\n//   Apache-2.0\nint x;")["labels"] == ["apache-2.0", "mit"]
+    assert of(" * SPDX-License-Identifier: (MIT\r\n *   AND ISC)\r\n * more")["expressions"] == ["mit isc and"]
+    assert of("# SPDX-License-Identifier: MIT\n# OR ISC\nimport x")["labels"] == ["isc", "mit"]
+    assert of("# SPDX-License-Identifier: MIT\nISC here")["labels"] == ["mit"]
+    assert of("SPDX-License-Identifier: MIT OR\nSPDX-License-Identifier: ISC")["labels"] == ["isc", "mit"]
+    cut, whole = of("SPDX-License-Identifier: MIT OR"), of("SPDX-License-Identifier: MIT")
+    assert cut["labels"] == ["mit"] and 0 < cut["score"] < whole["score"] == 1.0
+    assert lic.parsed("(MIT OR (ISC AND") == (["mit", "isc", "or"], False)
+    assert lic.known("gpl-2.0-only with classpath-exception-2.0") and not lic.known("gpl-2.0 with mit") and not lic.known("the")
+
+
+def test_long_tags_take_time_in_step():
+    for tail in ("(" * 200_000, "MIT OR " * 50_000, "MIT\n" * 50_000, "MIT OR\n" * 50_000, "SPDX-License-Identifier: MIT OR\n" * 10_000, "#" * 200_000, "\n" * 200_000):
+        lic.scan("SPDX-License-Identifier: " + tail, A)
+
+
 def test_edge_rows(docs, none):
     got = lic.scan_licenses(docs).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
