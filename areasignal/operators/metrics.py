@@ -126,29 +126,6 @@ def within_one(df: DataFrame, y: str, p: str, keys: Sequence[str] = (), low: int
     return df.where(a.isNotNull() & b.isNotNull()).groupBy(*keys).agg(F.avg((ordinal(a, low, high) == ordinal(b, low, high)).cast("double")).alias("accuracy"), F.avg((F.abs(a - b) <= 1).cast("double")).alias("within_one"))
 
 
-def weighted_scores(df: DataFrame, y: str, p: str, weight: str, keys: Sequence[str]) -> DataFrame:
-    """keys, n (the sum of weights), rho, r2, pearson, mae, rmse, accuracy (of rounded and clipped values) and within_one of
-    pairs without nulls that count as often as their weight says. Each of many keys' rows are ranked by sorting; a task sorts
-    one key's rows, outside its memory if need be."""
-    from areasignal.functions.vectors import ordinal
-
-    a, b, w = F.col(y), F.col(p), F.col(weight)
-
-    def ranked(rows: DataFrame, value: str, name: str) -> DataFrame:
-        upto = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return rows.withColumn(name, F.sum(weight).over(upto) - (F.sum(weight).over(Window.partitionBy(*keys, value)) - 1) / 2.0)
-
-    rows = ranked(ranked(df.where(a.isNotNull() & b.isNotNull()), y, "_ry"), p, "_rp")
-    mean = lambda x: F.sum(w * x) / F.sum(w)
-    var = lambda x: mean(x * x) - mean(x) * mean(x)
-    line = lambda x, z: F.when((var(x) > 1e-12) & (var(z) > 1e-12), F.try_divide(mean(x * z) - mean(x) * mean(z), F.sqrt(var(x) * var(z))))
-    ry, rp = F.col("_ry"), F.col("_rp")
-    return rows.groupBy(*keys).agg(
-        F.sum(w).alias("n"), line(ry, rp).alias("rho"), (1 - F.try_divide(mean((a - b) * (a - b)), F.when(var(a) > 1e-12, var(a)))).alias("r2"), line(a, b).alias("pearson"), mean(F.abs(a - b)).alias("mae"), F.sqrt(mean((a - b) * (a - b))).alias("rmse"),
-        mean((ordinal(a) == ordinal(b)).cast("double")).alias("accuracy"), mean((F.abs(a - b) <= 1).cast("double")).alias("within_one"),
-    )
-
-
 def deltas(df: DataFrame, run: str, order: str, columns: Sequence[str], first: str | None = None) -> DataFrame:
     """df with delta_<column>: less the value of the first run by order (or of the run named)."""
     base = df.where(F.col(run) == first) if first else df.orderBy(order).limit(1)

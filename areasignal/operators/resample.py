@@ -1,4 +1,4 @@
-"""Bootstrap over units: resamples are drawn by hash, so any engine draws the same, and all are scored in one plan."""
+"""Bootstrap over units: resamples are drawn by hash, so any engine draws the same, and all are scored at once from arrays of weights."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areasignal.operators import metrics
+from areasignal.operators import replicates
 from areasignal.session import written
 
 
@@ -17,29 +17,16 @@ def drawn(seed: int, b: Column, i: Column, n: Column) -> Column:
     return F.pmod(h, n)
 
 
-def resamples(units: DataFrame, unit: str, times: int, seed: int = 42) -> DataFrame:
-    """b (from 0) and unit: as many draws with replacement as there are units, for each resample.
-
-    Units are numbered by order; they are areas, and their ids alone are numbered in one task.
-    """
-    from pyspark.sql import Window
-
-    numbered = units.select(unit).distinct().withColumn("i", F.row_number().over(Window.orderBy(unit)) - 1)
-    numbered = written(numbered)
-    n = numbered.count()
-    draws = numbered.select("i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).select("b", drawn(seed, F.col("b"), F.col("i"), F.lit(n)).alias("i"))
-    return draws.join(numbered, "i").select("b", unit)
-
-
-def drawn_rows(long: DataFrame, draws: DataFrame, unit: str) -> DataFrame:
-    """b, the columns of long and w: each row of a unit once for each resample that draws it, with how often."""
-    return draws.groupBy("b", unit).agg(F.count("*").alias("w")).join(long, unit)
+def weighted(long: DataFrame, units: DataFrame, unit: str, times: int, seed: int = 42) -> DataFrame:
+    """The columns of long and w: how often each resample of the units draws its unit, packed in one array."""
+    weights = replicates.draw_weights(units, unit, times, lambda b, i, n: drawn(seed, b, i, n))
+    return written(long.join(weights, unit))
 
 
 def bootstrap(long: DataFrame, unit: str, times: int, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """b, keys, pooled_rho and pooled_r2 of each resample of the units of long (unit, domain, y, p)."""
-    rows = drawn_rows(long, resamples(long, unit, times, seed), unit)
-    return metrics.weighted_scores(rows, "y", "p", "w", ["b", *keys]).select("b", *keys, F.col("rho").alias("pooled_rho"), F.col("r2").alias("pooled_r2"))
+    rows = weighted(long, long, unit, times, seed)
+    return replicates.scores(rows, times, keys).select("b", *keys, F.col("rho").alias("pooled_rho"), F.col("r2").alias("pooled_r2"))
 
 
 #: Columns of a report in their order.
@@ -49,14 +36,10 @@ SCORES = ("rmse", "mae", "accuracy", "within_one", "pearson", "rho", "r2", "qwk"
 def report(long: DataFrame, unit: str, times: int = 500, seed: int = 42, by: str = "domain", source: str = "model") -> DataFrame:
     """by, source, n and, for each of SCORES, its value and the ends of its interval over resamples of the units; a last row
     `macro` has the means of the values over all rows of `by`."""
-    from areasignal.functions.vectors import ordinal
-
-    rows = written(long.select(unit, by, "y", "p"))
-    real = rows.select(F.lit(-1).alias("b"), unit, F.lit(1).cast("bigint").alias("w"), by, "y", "p")
-    again = drawn_rows(rows, resamples(rows, unit, times, seed), unit).select("b", unit, "w", by, "y", "p")
-    both = real.union(again).withColumns({"t": ordinal(F.col("y")), "q": ordinal(F.col("p"))})
-    found = metrics.weighted_scores(both, "y", "p", "w", ["b", by]).join(metrics.kappa_of_labels(both, "t", "q", ["b", by], "w"), ["b", by])
-    found = written(found.select("b", by, "n", *SCORES))
+    rows = weighted(written(long.select(unit, by, "y", "p")), long, unit, times, seed)
+    as_it_is = rows.withColumn("w", F.lit((1).to_bytes(2, "little")))
+    scored = lambda of, n: replicates.scores(of, n, [by]).join(replicates.kappas(of, n, [by]), ["b", by]).select("b", by, "n", *SCORES)
+    found = written(scored(rows, times).union(scored(as_it_is, 1).withColumn("b", F.lit(-1))))
     point = found.where("b = -1").drop("b")
     wide = point.join(interval(found.where("b >= 0"), SCORES, [by]), by)
     columns = [x for c in SCORES for x in (c, f"{c}_lo", f"{c}_hi")]
@@ -66,8 +49,8 @@ def report(long: DataFrame, unit: str, times: int = 500, seed: int = 42, by: str
 
 def bars(long: DataFrame, unit: str, times: int = 500, seed: int = 42, by: str = "domain") -> DataFrame:
     """by, rmse, mae and for each how far its bar reaches either way: 1.96 deviations over resamples of the units."""
-    rows = written(long.select(unit, by, "y", "p"))
-    again = metrics.weighted_scores(drawn_rows(rows, resamples(rows, unit, times, seed), unit), "y", "p", "w", ["b", by])
+    rows = weighted(long.select(unit, by, "y", "p"), long, unit, times, seed)
+    again = replicates.scores(rows, times, [by], ranks=False)
     spread = again.groupBy(by).agg(*((1.96 * F.stddev_pop(c)).alias(f"{c}_bar") for c in ("rmse", "mae")))
     e = F.col("y") - F.col("p")
     return rows.groupBy(by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")).join(spread, by)
@@ -82,8 +65,7 @@ def interval(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), le
 def paired(a: DataFrame, b: DataFrame, unit: str, times: int, seed: int = 42) -> DataFrame:
     """b, delta_rho and delta_r2 of b over a, over the units of both and the same draws."""
     shared = a.select(unit).distinct().join(b.select(unit).distinct(), unit)
-    draws = resamples(shared, unit, times, seed)
     both = a.select(unit, "y", "p", F.lit(0).alias("run")).union(b.select(unit, "y", "p", F.lit(1)))
-    found = metrics.weighted_scores(drawn_rows(both, draws, unit), "y", "p", "w", ["b", "run"])
+    found = replicates.scores(weighted(both, shared, unit, times, seed), times, ["run"])
     of = lambda c, run: F.max(F.when(F.col("run") == run, F.col(c)))
     return found.groupBy("b").agg(*((of(c, 1) - of(c, 0)).alias(f"delta_{c}") for c in ("rho", "r2")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areasignal.functions import geo
-from areasignal.operators import outlines
+from areasignal.operators import outlines, replicates
 from areasignal.session import written
 
 
@@ -141,12 +141,9 @@ def lisa(values: DataFrame, unit: str, value: str, edges: DataFrame, by: Sequenc
     return out.withColumn("quadrant", _quadrant(F.col("z"), F.col("lag")))
 
 
-def _dealt(z: DataFrame, unit: str, by: Sequence[str], times: int, seed: int) -> DataFrame:
-    """by, b (1 to times), unit, z, sd, n and at (from 0): the units in `times` orders by hash. An order's units are numbered in
-    one task; they are areas, and the task sorts them outside its memory if need be."""
-    again = z.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    key = geo.hashed_unit(F.lit(seed), F.col("b"), F.col(unit))
-    return again.withColumn("at", F.row_number().over(Window.partitionBy(*by, "b").orderBy(key, unit)) - 1)
+def _order(seed: int):
+    """The hash that units are put in order b by."""
+    return lambda b, unit: geo.hashed_unit(F.lit(seed), b, unit)
 
 
 def lisa_significance(values: DataFrame, unit: str, value: str, edges: DataFrame, by: Sequence[str] = (), times: int = 999, seed: int = 42, level: float = 0.05) -> DataFrame:
@@ -158,28 +155,23 @@ def lisa_significance(values: DataFrame, unit: str, value: str, edges: DataFrame
     """
     found = written(_lagged(_centred(values, unit, value, by), unit, edges, by).withColumn("w", F.greatest(F.col("sd") * F.col("sd"), F.lit(1e-300))))
     centred = found.select(*by, unit, "k", "w", F.round(F.col("z") * F.col("lag") / F.col("w"), 9).alias("local_i"), _quadrant(F.col("z"), F.col("lag")).alias("quadrant"))
-    order = _dealt(_centred(values, unit, value, by), unit, by, times, seed)
-    upto = Window.partitionBy(*by, "b").orderBy("at")
-    sums = order.withColumn("upto", F.sum("z").over(upto)).select(*by, "b", "at", unit, "z", "n", "upto")
-    last = F.pmod(F.col("at") + F.col("k"), F.col("n"))
-    ends = sums.select(*by, "b", F.col("at").alias("end"), F.col("upto").alias("to"))
-    drawn = sums.join(centred, [*by, unit]).withColumn("end", last).join(ends, [*by, "b", "end"])
-    mean = (F.col("to") - F.col("upto")) / F.col("k")  # round the end too, as all z add up to nothing
-    above = F.count_if(F.round(F.col("z") * mean / F.col("w"), 9) >= F.col("local_i"))
-    p = (F.least(above, F.count("*") - above) + 1) / (F.count("*") + 1)
-    out = drawn.groupBy(*by, unit, "local_i", "quadrant").agg(p.alias("p_sim"))
+    most = found.agg(F.max("k")).first()[0] or 0
+    asked = _centred(values, unit, value, by).join(centred.select(*by, unit, "k", "w", "local_i"), [*by, unit], "left")
+    above = replicates.share_above(asked, unit, "z", by, times, _order(seed), int(most))
+    p = (F.least("above", F.lit(times) - F.col("above")) + 1) / (times + 1)
+    out = centred.join(above, [*by, unit]).select(*by, unit, "local_i", "quadrant", p.alias("p_sim"))
     return out.withColumn("cluster", F.when(F.col("p_sim") < level, F.col("quadrant")).otherwise(0))
 
 
 def moran_p(values: DataFrame, unit: str, value: str, edges: DataFrame, times: int = 999, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
-    """by, moran_i, p and z_sim: values are dealt anew by hashed order `times` times, in one plan. p is the share of deals whose
-    I is at least (or at most) the real one, to nine digits."""
+    """by, moran_i, p and z_sim: values are dealt anew by hashed order `times` times, as one array a unit. p is the share of
+    deals whose I is at least (or at most) the real one, to nine digits."""
     z = _centred(values, unit, value, by)
     real = moran(values, unit, value, edges, by).select(*by, "moran_i")
-    own = z.select(*by, unit, (F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1).alias("at"))
-    dealt = written(_dealt(z, unit, by, times, seed).select(*by, "b", "at", "z", "sd").join(own, [*by, "at"]).select(*by, "b", unit, "z", "sd"))
-    lag = edges.join(dealt.select(*by, "b", F.col(unit).alias("dst"), F.col("z").alias("zn")), "dst").groupBy(*by, "b", F.col("src").alias(unit)).agg(F.avg("zn").alias("lag"))
-    sums = dealt.join(lag, [*by, "b", unit]).groupBy(*by, "b").agg(F.sum(F.col("z") * F.col("lag")).alias("up"), F.count("*").alias("s0"), F.first("sd").alias("sd"))
+    dealt = written(replicates.permuted(z, unit, "z", by, times, _order(seed)))
+    sds = z.groupBy(*by).agg(F.first("sd").alias("sd"))
+    sums = replicates.lag_products(dealt, unit, edges, by, times)
+    sums = sums.join(sds, list(by)) if by else sums.crossJoin(F.broadcast(sds))  # without keys one row
     i = sums.select(*by, "b", F.try_divide(F.col("up"), F.col("s0") * F.col("sd") * F.col("sd")).alias("i"))
     both = i.join(real, list(by)) if by else i.crossJoin(F.broadcast(real))  # without keys one row
     above = F.count_if(F.round("i", 9) >= F.round("moran_i", 9))

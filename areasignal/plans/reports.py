@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from areasignal.config import RunConfig
 from areasignal.functions import geo
-from areasignal.operators import crossval, encode, metrics, perceive, resample, spatial, tables
+from areasignal.operators import crossval, encode, metrics, perceive, replicates, resample, spatial, tables
 from areasignal.plans.areas import EDGES, edges, polygons
 from areasignal.plans.base import DOMAINS, ctes, frame, query, table
 from areasignal.plans.scores import BANDS, LISA, LONG, OOF, REPORT_TIMES, X, Y, cross_domain_corr, draws, features, long, oof, rho, rounded, significant
@@ -74,7 +74,7 @@ def rmse_bars(spark, sf_dir):
 @query(ctes("obs") + LONG + draws(REPORT_TIMES) + ", x AS (SELECT domain || '/' || b AS db, y, p FROM drawn JOIN long USING (unit_id))" + rho("db", "x") + " SELECT string_split(db, '/')[1] AS domain, round(quantile_cont(r2, 0.025), 6) AS r2_lo, round(quantile_cont(r2, 0.975), 6) AS r2_hi, round(quantile_cont(mae, 0.025), 6) AS mae_lo, round(quantile_cont(mae, 0.975), 6) AS mae_hi FROM rho GROUP BY 1")
 def domain_report_ci(spark, sf_dir):
     rows = long(spark, sf_dir)
-    by = metrics.weighted_scores(resample.drawn_rows(rows, resample.resamples(rows, "unit_id", REPORT_TIMES), "unit_id"), "y", "p", "w", ["domain", "b"])
+    by = replicates.scores(resample.weighted(rows, rows, "unit_id", REPORT_TIMES), REPORT_TIMES, ["domain"], ranks=False)
     found = resample.interval(by, ["r2", "mae"], ["domain"])
     return rounded(found, "r2_lo", "r2_hi", "mae_lo", "mae_hi")
 
