@@ -281,9 +281,9 @@ def components(edges: DataFrame) -> DataFrame:
         if roots is None:
             roots, of = to.select("node", F.col("to").alias("root")), 2 * n
         else:
-            roots = written(roots.join(to.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), rows=of)
-        u = edges.join(to.select(F.col("node").alias("u"), F.col("to").alias("a")), "u").select("v", "a")
-        ends = u.join(to.select(F.col("node").alias("v"), F.col("to").alias("b")), "v").where("a <> b")
+            roots = written(roots.join(to.withColumnRenamed("node", "root").hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), rows=of)
+        u = edges.join(to.select(F.col("node").alias("u"), F.col("to").alias("a")).hint("merge"), "u").select("v", "a")
+        ends = u.join(to.select(F.col("node").alias("v"), F.col("to").alias("b")).hint("merge"), "v").where("a <> b")
         edges = written(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), rows=n)
     return roots if roots is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
@@ -554,7 +554,7 @@ def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: D
     pairs = written(_bounded(nodes, pairs), rows=pairs.count())
     n = pairs.count()
     needed = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    names = written(nodes.join(needed, "fp").select("fp", F.col("least").alias("__least"), F.col("body").alias("__body")), rows=2 * n)
+    names = written(nodes.join(needed.hint("merge"), "fp").select("fp", F.col("least").alias("__least"), F.col("body").alias("__body")), rows=2 * n)
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__body"))
     found = rows.join(names.hint("merge"), (rows["__body"] == names["__body"]) & F.col("__id").eqNullSafe(F.col("__least")))
     texts = written(found.select("fp", F.col("__text").alias("text")))
@@ -563,9 +563,9 @@ def _alike(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: D
     first = written(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), rows=n)
     edges = _verified(texts, first)
     root = components(edges)
-    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")).hint("merge")
     left = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
-    left = written(left.select("u", "v").join(first, ["u", "v"], "left_anti"), rows=n)
+    left = written(left.select("u", "v").join(first.hint("merge"), ["u", "v"], "left_anti"), rows=n)
     return written(edges.union(_verified(texts, left)), rows=n) if left.take(1) else edges
 
 
@@ -591,6 +591,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     parts = written(pairs.groupBy("u").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), rows=pairs.count())
+    parts = parts.hint("merge")  # tables that grow with the texts are dealt by key at every size: plans are those of large inputs
     one = texts.join(parts.withColumnRenamed("u", "fp"), "fp").select(F.col("fp").alias("u"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "text")
     sent = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     sent = sent.join(texts.select(F.col("fp").alias("v"), "text").hint("merge"), "v").select("u", "part", "v", "text")
@@ -606,10 +607,10 @@ def _grouped(fps: DataFrame, id_col: str, bits: int) -> DataFrame:
 
 
 def _named(docs: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str, total: int) -> DataFrame:
-    rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), rows=total)
+    rooted = written(nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), rows=total)
     named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), rows=total)
-    named = written(rooted.join(named, "root").select("fp", "component_id"), rows=total)
-    return docs.join(named, "fp").select(id_col, "fp", "component_id")
+    named = written(rooted.join(named.hint("merge"), "root").select("fp", "component_id"), rows=total)
+    return docs.join(named.hint("merge"), "fp").select(id_col, "fp", "component_id")
 
 
 def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
