@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ NEAR_WORDS, BANDS, ROWS = 5, 32, 7
 PART = 4096
 #: Runs of fingerprints at one anchor up to this length are compared pair by pair, longer ones by blocks of bits.
 SHORT_RUN = 32
+#: Fingerprints of one anchor that a task holds; more are dealt anew.
+LONG_RUN = 1 << 16
 _BIT = np.array([[v >> (7 - b) & 1 for b in range(8)] for v in range(256)], np.int64)
 
 
@@ -225,46 +227,85 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs (u < v) of the distinct nodes.fp that connect fingerprints which differ in at most `bits` bits.
 
     All links of up to 4 differing bits are found. Each fingerprint goes to at most 17 anchors a half whatever its group's
-    size; what meets at an anchor is streamed in order and compared there, so no task emits all pairs of a large group.
+    size; what meets at an anchor is streamed in order and compared there, so no task emits all pairs of a large group. A run
+    of more than LONG_RUN at one anchor isn't held: its members pass on and meet again by blocks of their other half.
     """
     if bits > BITS:
         raise ValueError("the covering is of 4 differing bits")
-    parts = compared = ["fp"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(parts))], axis=1)
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(fps), 2048):
                 keys, owner = anchors(part := fps[at : at + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(part[owner, i]) for i in range(len(compared)))], ["anchor", *compared])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[owner])], ["anchor", "fp"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def found(a: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = _links(a, f.view(np.uint64), bits)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "u", "v"])
 
-        def out(a: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = _links(a, f.view(np.uint64), bits)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+    def passed(a: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 4096):
+            keys, owner = _dealt(a[at : at + 4096], f[at : at + 4096, 0].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(f[at : at + 4096, 0][owner]), pa.nulls(len(keys), pa.int64())], ["key", "u", "v"])
 
-        for batch in batches:
-            a = batch.column(0).to_numpy(zero_copy_only=False)
-            f = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(compared))], axis=1)
-            if not len(a):
-                continue
-            cut = np.searchsorted(a, a[-1])
-            if cut:  # what is held and comes before the batch's last anchor is whole
-                held.append((a[:cut], f[:cut]))
-                yield from out(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-            elif held and held[-1][0][-1] != a[-1]:
-                yield from out(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-            held.append((a[cut:], f[cut:]))
-        if held:
-            yield from out(*(np.concatenate(x) for x in zip(*held)))
-
-    spread_out = arrow_map(nodes.select(*parts), spread, ", ".join(f"{c} long" for c in ("anchor", *compared)))
-    return arrow_map(spread_out.repartition("anchor").sortWithinPartitions("anchor"), meet, "u long, v long").distinct()
+    def meet(most: int | None):
+        """Compares runs of equal keys, held until the next key comes; of one of more than `most` members, all are passed on."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n, long = [], 0, None  # rows of the last key; the key that is known as long
+            for batch in batches:
+                a, f = batch.column(0).to_numpy(zero_copy_only=False), np.stack([batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
+                if not len(a):
+                    continue
+                if long is not None:
+                    k = int(np.searchsorted(a, long, "right"))
+                    yield from passed(a[:k], f[:k])
+                    a, f = a[k:], f[k:]
+                    if not len(a):
+                        continue
+                    long = None
+                cut = np.searchsorted(a, a[-1])
+                if cut or held and held[-1][0][-1] != a[-1]:  # what is held and comes before the batch's last key is whole
+                    held.append((a[:cut], f[:cut]))
+                    yield from found(*(np.concatenate(x) for x in zip(*held)))
+                    held, n = [], 0
+                held.append((a[cut:], f[cut:]))
+                n += len(a) - cut
+                if most is not None and n > most:
+                    same = [np.concatenate(x) for x in zip(*held)]
+                    k = int(np.searchsorted(same[0], a[-1]))  # rows of other keys before it are none: they went with the cut
+                    yield from passed(same[0][k:], same[1][k:])
+                    held, n, long = [], 0, a[-1]
+            if held:
+                yield from found(*(np.concatenate(x) for x in zip(*held)))
+
+        return run
+
+    schema = "key long, u long, v long"
+    spread_out = arrow_map(nodes.select("fp"), spread, "anchor long, fp long")
+    met = written(arrow_map(spread_out.repartition("anchor").sortWithinPartitions("anchor"), meet(LONG_RUN), schema))
+    again = met.where("key IS NOT NULL").select("key", "u")
+    more = arrow_map(again.repartition("key").sortWithinPartitions("key"), meet(None), schema)
+    return met.where("key IS NULL").union(more).select("u", "v").distinct()
+
+
+def _dealt(anchor: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which members of a long run at an anchor meet again, and the member of each.
+
+    The half that isn't the anchor's is cut into six blocks; of two members that differ in at most 4 bits at least two blocks
+    agree. So each member has a key for each two of them: about 11 bits, by which the run is split into some 1,500 parts.
+    """
+    half = (fps >> np.where(anchor >> 33 == 0, 32, 0).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+    cuts = [32 * i // 6 for i in range(7)]
+    blocks = [half >> np.uint64(a) & np.uint64((1 << b - a) - 1) for a, b in zip(cuts, cuts[1:])]
+    keys = []
+    for n, (i, j) in enumerate(combinations(range(6), 2)):
+        made = anchor.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (blocks[i] << np.uint64(10) | blocks[j] << np.uint64(4) | np.uint64(n))
+        made = (made ^ made >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        keys.append((made ^ made >> np.uint64(29)).view(np.int64))
+    return np.concatenate(keys), np.tile(np.arange(len(fps)), len(keys))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -177,8 +178,10 @@ def test_clashing_names(docs):
     assert out.columns == ["doc_id", "text", *names] and {tuple(r)[2:] for r in out.collect()} == {("mine",) * len(names)}
 
 
-def test_long_runs_at_an_anchor(spark):
-    """Many fingerprints that share a half, some of which chain within 4 bits in the other one."""
+@pytest.mark.parametrize("most", [1 << 16, 40])
+def test_long_runs_at_an_anchor(spark, monkeypatch, most):
+    """Held in one task or dealt anew: many fingerprints that share a half, some of which chain within 4 bits in the other one."""
+    monkeypatch.setattr(simhash, "LONG_RUN", most)
     rnd = random.Random(6)
     half, fps = rnd.getrandbits(32) << 32, set()
     for _ in range(150):
