@@ -153,11 +153,6 @@ def bounds(boxes: DataFrame, names: Sequence[str] = ("min_x", "min_y", "max_x",
     return boxes.agg(*((F.min if c.startswith("min") else F.max)(c).alias(c) for c in names))
 
 
-def meets_any(box: Column, boxes: Column) -> Column:
-    """Whether a box meets one of an array of boxes: their union, kept as it is."""
-    return F.exists(boxes, lambda b: boxes_meet(box, b))
-
-
 def byte_scaled(band: Column) -> Column:
     """A band's values as bytes: shares of its largest times 255, cut to whole numbers; where none is above 0, zeros."""
     top = F.array_max(band)

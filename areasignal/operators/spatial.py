@@ -31,6 +31,17 @@ def neighbours(polygons: DataFrame, polygon: str, size: float, tolerance: float
     return outlines.contacts(polygons, polygon, size, tolerance)
 
 
+def meeting(rows: DataFrame, boxes: DataFrame, key: str, size: float) -> DataFrame:
+    """key and met: whether a row's box meets any of the boxes (both of min_x, min_y, max_x, max_y; the union of boxes, kept as it
+    is). They meet at grid cells of the size, edges included; repeated boxes are one."""
+    cells = lambda df: df.withColumn("cx", F.explode(F.sequence(F.floor(F.col("box.min_x") / size), F.floor(F.col("box.max_x") / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("box.min_y") / size), F.floor(F.col("box.max_y") / size))))
+    a, b = F.col("box"), F.col("other")
+    meet = (a["min_x"] <= b["max_x"]) & (b["min_x"] <= a["max_x"]) & (a["min_y"] <= b["max_y"]) & (b["min_y"] <= a["max_y"])
+    others = cells(boxes.select("box").distinct()).withColumnRenamed("box", "other")
+    hit = cells(rows.select(key, "box")).join(others, ["cx", "cy"]).where(meet).select(key).distinct().withColumn("_met", F.lit(True))
+    return rows.select(key).join(hit, key, "left").select(key, F.coalesce("_met", F.lit(False)).alias("met"))
+
+
 def neighbour_lists(units: DataFrame, unit: str, edges: DataFrame) -> DataFrame:
     """unit and its sorted neighbours; an empty list for a unit alone."""
     lists = edges.groupBy(F.col("src").alias(unit)).agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from areasignal.functions.text import groups_of, phrase_key, tidy
+from areasignal.session import written
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -230,10 +233,38 @@ def unit_ratios(df: DataFrame, unit: str, tile: str | None = None, columns: Sequ
     return df.groupBy(unit).agg(*counts, *(x for c in columns for x in (of(F.avg, c).alias(f"{c}_mean"), of(F.stddev_pop, c).alias(f"{c}_std"))))
 
 
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """keys and a column for each name: the value at that share of the ordered values, by linear interpolation; nulls and NaN are
+    left out.
+
+    Equal values are counted first and the counts dealt by range. Sums by range tell which ranges hold the wanted places; only
+    those are looked into. So no task has all distinct values, of one key either, and the driver none.
+    """
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    dealt = written(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_p").agg(F.sum("_n").alias("_s"))
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row for each range
+    ranges = sums.withColumns({"_before": F.sum("_s").over(by.orderBy("_p")) - F.col("_s"), "_all": F.sum("_s").over(by)})
+    at = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("share"), F.lit(up).alias("up")) for n, q in shares.items() for up in (False, True)))
+    exact = F.col("w.share") * (F.col("_all") - 1)
+    wanted = ranges.withColumn("w", F.explode(at)).withColumn("_place", F.when(F.col("w.up"), F.ceil(exact)).otherwise(F.floor(exact)))
+    wanted = wanted.where((F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_s")))
+    wanted = written(wanted.select(*keys, "_p", "w.name", "w.up", (F.col("_place") - F.col("_before")).alias("_local"), (exact - F.floor(exact)).alias("_part")))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_p").orderBy("_v"))
+    same = lambda a, b, *more: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*keys, *more)]
+    all_of = lambda conditions: functools.reduce(operator.and_, conditions)
+    near = dealt.alias("d").join(wanted.select(*keys, "_p").distinct().alias("r"), all_of(same("d", "r", "_p")), "left_semi").withColumn("_upto", upto)
+    hit = near.alias("d").join(wanted.alias("w"), all_of([*same("d", "w", "_p"), F.col("_local") >= F.col("_upto") - F.col("_n"), F.col("_local") < F.col("_upto")]))
+    hit = hit.select(*(F.col(f"d.{c}").alias(c) for c in keys), "name", "up", "_part", "_v")
+    of = lambda n, up: F.max(F.when((F.col("name") == n) & (F.col("up") == up), F.col("_v")))
+    part = lambda n: F.max(F.when(F.col("name") == n, F.col("_part")))
+    return hit.groupBy(*keys).agg(*((of(n, False) + part(n) * (of(n, True) - of(n, False))).alias(n) for n in shares))
+
+
 def quantile_bounds(df: DataFrame, column: str, n: int = 5) -> list[float]:
     """Distinct bounds of n bins of equal numbers, by linear interpolation."""
-    found = df.select(F.percentile(column, F.array(*(F.lit(i / n) for i in range(n + 1))))).first()[0] or []
-    return sorted({float(x) for x in found})
+    found = quantiles(df, column, {f"q{i}": i / n for i in range(n + 1)}).first() or ()
+    return sorted({float(x) for x in found if x is not None})
 
 
 def binned(column: Column, bounds: Sequence[float]) -> Column:

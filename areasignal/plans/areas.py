@@ -132,15 +132,19 @@ def square_bbox_m(spark, sf_dir):
 
 @query(
     f"""WITH p AS (SELECT c_custkey AS id, c_nationkey AS n, ({_LAT})::DOUBLE AS lat, ({_LON})::DOUBLE AS lon FROM customer),
-h AS (SELECT a.id AS a, b.id AS b, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM p AS a JOIN p AS b ON a.n = b.n AND a.id < b.id AND b.id - a.id < 40)
-SELECT a, b, round(2 * 6371000 * asin(sqrt(least(1, h))), 3) AS metres FROM h"""
+h AS (SELECT a.id AS a, b.id AS b, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM p AS a JOIN p AS b ON a.n = b.n AND abs(a.lat - b.lat) <= 0.0055 AND abs(a.lon - b.lon) <= 0.009 AND a.id < b.id)
+SELECT a, b, round(2 * 6371000 * asin(sqrt(least(1, h))), 3) AS metres FROM h WHERE round(2 * 6371000 * asin(sqrt(least(1, h))), 3) <= 500"""
 )
 def haversine_pairs(spark, sf_dir):
+    """All pairs of a nation within 500 m."""
     p = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.expr(_LAT).cast("double").alias("lat"), F.expr(_LON).cast("double").alias("lon"))
-    a, b = (p.select("c_nationkey", F.col("c_custkey").alias(n), F.col("lat").alias(f"lat_{n}"), F.col("lon").alias(f"lon_{n}"), F.floor(F.col("c_custkey") / 40).alias("block")) for n in "ab")
-    a = a.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))  # ids less than 40 apart lie in one block or the next
-    pairs = a.join(b, ["c_nationkey", "block"]).where("a < b AND b - a < 40")
-    return pairs.select("a", "b", F.round(geo.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 3).alias("metres"))
+    dlat, dlon = 0.0055, 0.009  # degrees: more than 500 m here, so pairs lie in one cell or the next
+    a, b = (p.select("c_nationkey", F.col("c_custkey").alias(n), F.col("lat").alias(f"lat_{n}"), F.col("lon").alias(f"lon_{n}"), F.floor(F.col("lat") / dlat).alias("i"), F.floor(F.col("lon") / dlon).alias("j")) for n in "ab")
+    around = F.array(*map(F.lit, (-1, 0, 1)))
+    a = a.withColumn("i", F.explode(F.transform(around, lambda d: F.col("i") + d))).withColumn("j", F.explode(F.transform(around, lambda d: F.col("j") + d)))
+    pairs = a.join(b, ["c_nationkey", "i", "j"]).where("a < b")
+    found = pairs.select("a", "b", F.round(geo.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 3).alias("metres"))
+    return found.where("metres <= 500")
 
 
 @query(
@@ -180,9 +184,9 @@ def area_tiers(spark, sf_dir):
     return frame(spark, sf_dir, "units").select("unit_id", F.round(area, 6).alias("area")).withColumn("extra", geo.tier(F.col("area")))
 
 
-@query(ctes("units") + " SELECT u.unit_id, count(o_orderkey) > 0 AS covered, count(o_orderkey) AS n, coalesce(round(avg(o_totalprice), 4), 0) AS centre FROM units AS u LEFT JOIN orders ON o_custkey = u.unit_id * 13 GROUP BY u.unit_id")
+@query(ctes("units") + " SELECT u.unit_id, count(o_orderkey) > 0 AS covered, count(o_orderkey) AS n, coalesce(round(avg(o_totalprice), 4), 0) AS centre FROM units AS u LEFT JOIN orders ON o_custkey % 1000 = u.unit_id GROUP BY u.unit_id")
 def coverage_flags(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") / 13).alias("unit_id"), "o_totalprice").where("unit_id = floor(unit_id)").withColumn("unit_id", F.col("unit_id").cast("bigint"))
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 1000).alias("unit_id"), "o_totalprice")
     n = orders.groupBy("unit_id").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("centre"))
     return frame(spark, sf_dir, "units").select("unit_id").join(n, "unit_id", "left").select("unit_id", F.col("n").isNotNull().alias("covered"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("centre", F.lit(0.0)).alias("centre"))
 
@@ -223,7 +227,7 @@ def dedupe_first_across_sources(spark, sf_dir):
 @query(ctes("obs") + ", e AS (SELECT unit_id, pred_income - target_income AS e FROM obs), q AS (SELECT quantile_cont(e, 0.02) AS lo, quantile_cont(e, 0.98) AS hi FROM e) SELECT unit_id, sum(CASE WHEN e > 1 THEN 1.0 ELSE 0 END)::DOUBLE AS over, sum(CASE WHEN e < -1 THEN 1.0 ELSE 0 END)::DOUBLE AS under, round(avg(greatest(lo, least(hi, e))), 6) AS clipped FROM e CROSS JOIN q GROUP BY unit_id")
 def residual_flags_clip(spark, sf_dir):
     rows = frame(spark, sf_dir, "obs").select("unit_id", (F.col("pred_income") - F.col("target_income")).alias("e"))
-    lo, hi = rows.select(F.percentile("e", F.array(F.lit(0.02), F.lit(0.98)))).first()[0]
+    lo, hi = tables.quantiles(rows, "e", {"lo": 0.02, "hi": 0.98}).first()
     e = F.col("e")
     return rows.groupBy("unit_id").agg(F.sum((e > 1).cast("double")).alias("over"), F.sum((e < -1).cast("double")).alias("under"), F.round(F.avg(vectors.clipped(e, lo, hi)), 6).alias("clipped"))
 

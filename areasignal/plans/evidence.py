@@ -192,9 +192,10 @@ def vector_mean_pool(spark, sf_dir):
     return tables.mean_pool(table(spark, sf_dir, "embeddings"), ["label"], "embedding").select("label", "pos", F.round("value", 6).alias("value"))
 
 
-@query("SELECT vec_id % 25 AS unit_id, (i - 33)::INTEGER AS pos, round(avg(embedding[i]::DOUBLE), 6) AS value FROM embeddings, range(33, 49) AS r(i) WHERE vec_id % 3 <> 0 GROUP BY ALL")
+@query("SELECT (vec_id * vec_id % 97 % 25) AS unit_id, (i - 33)::INTEGER AS pos, round(avg(embedding[i]::DOUBLE), 6) AS value FROM embeddings, range(33, 49) AS r(i) GROUP BY ALL")
 def ragged_mean_pool(spark, sf_dir):
-    phrases = table(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select((F.col("vec_id") % 25).alias("unit_id"), F.slice("embedding", 33, 16).alias("v"))
+    """Units have from few to many vectors, as the squares of the ids fall."""
+    phrases = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * F.col("vec_id") % 97 % 25).alias("unit_id"), F.slice("embedding", 33, 16).alias("v"))
     return tables.mean_pool(phrases, ["unit_id"], "v").select("unit_id", "pos", F.round("value", 6).alias("value"))
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from areasignal.functions import geo, text, vectors
-from areasignal.operators import boosting, crossval, encode, learn, metrics, perceive, tables
+from areasignal.operators import boosting, crossval, encode, learn, metrics, perceive, spatial, tables
 from areasignal.plans.areas import polygons
 from areasignal.plans.base import DOMAINS, ctes, frame, query, table
 from areasignal.plans.scores import OOF, X, Y, features, oof, rounded
@@ -78,13 +78,14 @@ def tile_poi_counts(spark, sf_dir):
     return wide.select("id", F.explode(records.sparse_counts(["shop", "park", "bank"])).alias("kind", "n"))
 
 
-@query("SELECT vec_id, TRUE AS reused FROM embeddings")
+@query("SELECT vec_id, TRUE AS reused, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, round(embedding[1]::DOUBLE * 2, 6) AS first FROM embeddings")
 def embedding_cache_reuse(spark, sf_dir):
     """Vectors made once, then found again; other settings or ids make them anew."""
     rows, at = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scratch(spark)
     calls = [records.cached(at, rows.where(w).select("vec_id"), "vec_id", {"mode": m}, lambda wanted: wanted.join(rows, "vec_id"))[1] for w, m in (("vec_id % 2 = 0", "a"), ("vec_id % 2 = 0", "b"), ("TRUE", "b"))]
     found, used = records.cached(at, rows.select("vec_id"), "vec_id", {"mode": "b"}, lambda wanted: wanted.join(rows, "vec_id"))
-    return found.select("vec_id", F.lit(used and not any(calls)).alias("reused"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return found.select("vec_id", F.lit(used and not any(calls)).alias("reused"), F.round(total, 6).alias("total"), F.round(F.col("embedding")[0].cast("double") * 2, 6).alias("first"))
 
 
 @query("SELECT s_suppkey::VARCHAR AS id, s_nationkey::VARCHAR AS datazone FROM supplier")
@@ -156,10 +157,14 @@ def finite_pairs(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").withColumns({"y": y, "q": q}).where(vectors.finite(F.col("y"), F.col("q"))).select(k.alias("id"), F.col("l_linenumber").alias("line"), "y")
 
 
-@query("SELECT unnest(range(4))::INTEGER AS at, unnest(['building_mean', 'sky_mean', 'sky_std', 'n']) AS name")
+@query("SELECT l_suppkey AS unit_id, round(avg(l_discount), 6) AS price_mean, round(avg(l_quantity), 6) AS quantity_mean, round(stddev_pop(l_quantity), 6) AS quantity_std, count(*) AS n FROM lineitem GROUP BY l_suppkey")
 def chosen_columns(spark, sf_dir):
-    names = tables.select_columns(["sky_std", "sky_mean", "building_mean", "n"], ["mean", "sky_std", "n", "sky_mean"])
-    return spark.createDataFrame(list(enumerate(names)), "at int, name string")
+    """The columns of a table that specs choose, each once: kinds by suffix in order of names, then names as given."""
+    wide = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit_id")).agg(
+        F.stddev_pop("l_quantity").alias("quantity_std"), F.avg("l_quantity").alias("quantity_mean"), F.avg("l_discount").alias("price_mean"), F.max("l_tax").alias("tax_max"), F.count("*").alias("n"),
+    )
+    names = tables.select_columns(wide.columns, ["mean", "quantity_std", "n", "quantity_mean"])
+    return wide.select("unit_id", *(F.round(c, 6).alias(c) if c != "n" else c for c in names))
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -187,10 +192,10 @@ def shared_units(spark, sf_dir):
     return tables.shared([of("documents", "doc_id"), of("labels", "doc_id"), of("customer", "c_custkey")], "id")
 
 
-@query("SELECT doc_id AS id FROM labels UNION SELECT conv_id FROM conversations UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0")
+@query("SELECT doc_id AS id FROM labels UNION SELECT conv_id FROM conversations UNION SELECT c_custkey FROM customer")
 def union_of_done(spark, sf_dir):
     """Ids done by any of several runs."""
-    return tables.union_of([table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "conversations").select("conv_id"), table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select("c_custkey")], "id")
+    return tables.union_of([table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "conversations").select("conv_id"), table(spark, sf_dir, "customer").select("c_custkey")], "id")
 
 
 @query("SELECT c_nationkey AS nation, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) - 1 AS place FROM customer")
@@ -221,13 +226,13 @@ def total_bounds(spark, sf_dir):
     return geo.bounds(boxes)
 
 
-@query(ctes("points") + ", b AS (SELECT nation, min(x) AS x, min(y) AS y FROM points WHERE point_id % 50 = 0 GROUP BY nation) SELECT p.point_id, max((abs(p.x - b.x) <= 1 AND abs(p.y - b.y) <= 1)::INTEGER) = 1 AS met FROM points AS p CROSS JOIN b GROUP BY p.point_id")
+@query(ctes("points") + ", b AS (SELECT nation, min(x) AS x, min(y) AS y FROM points GROUP BY nation) SELECT p.point_id, max((abs(p.x - b.x) <= 1 AND abs(p.y - b.y) <= 1)::INTEGER) = 1 AS met FROM points AS p CROSS JOIN b GROUP BY p.point_id")
 def meets_any_box(spark, sf_dir):
-    """Whether a unit box meets one of a nation's first boxes; a row for each nation is kept as one array."""
+    """Whether a unit box meets one of the nations' first boxes; boxes meet at grid cells."""
     points = frame(spark, sf_dir, "points")
-    box = lambda x, y: F.struct(x.alias("min_lon"), y.alias("min_lat"), (x + 1).alias("max_lon"), (y + 1).alias("max_lat"))
-    some = points.where("point_id % 50 = 0").groupBy("nation").agg(F.min("x").alias("x"), F.min("y").alias("y")).agg(F.collect_list(box(F.col("x"), F.col("y"))).alias("boxes"))
-    return points.crossJoin(F.broadcast(some)).select("point_id", geo.meets_any(box(F.col("x"), F.col("y")), F.col("boxes")).alias("met"))  # one row
+    box = lambda x, y: F.struct(x.alias("min_x"), y.alias("min_y"), (x + 1).alias("max_x"), (y + 1).alias("max_y"))
+    first = points.groupBy("nation").agg(F.min("x").alias("x"), F.min("y").alias("y")).select(box(F.col("x"), F.col("y")).alias("box"))
+    return spatial.meeting(points.select("point_id", box(F.col("x"), F.col("y")).alias("box")), first, "point_id", 1.0)
 
 
 @query(ctes("units") + " SELECT unit_id, x + 0.25 + i * 0.25::DOUBLE AS px, y + 0.25 + j * 0.25::DOUBLE AS py FROM units, range(3) AS a(i), range(3) AS b(j)")
@@ -283,14 +288,14 @@ def indicator_cues(spark, sf_dir):
     return found.select("event_id", "i.score", "i.cue")
 
 
-@query("SELECT s_suppkey::VARCHAR AS datazone, ['roof ' || s_suppkey] AS sat, ['s1', 's2', 'z' || s_nationkey] AS sv, CASE WHEN s_suppkey % 2 = 0 THEN (3 + s_suppkey) || ' POIs total: shop ×' || s_suppkey || ', bar ×3' ELSE '(no POI recorded)' END AS poi_text, CASE WHEN s_suppkey % 2 = 0 THEN 3 + s_suppkey ELSE 0 END AS total FROM supplier WHERE s_suppkey > 3")
+@query("SELECT s_suppkey::VARCHAR AS datazone, ['roof ' || s_suppkey] AS sat, ['s1', 's2', 'z' || s_nationkey] AS sv, CASE WHEN s_suppkey % 2 = 0 THEN (7 + s_suppkey) || ' POIs total: shop ×' || (s_suppkey + 4) || ', bar ×3' ELSE '(no POI recorded)' END AS poi_text, CASE WHEN s_suppkey % 2 = 0 THEN 7 + s_suppkey ELSE 0 END AS total FROM supplier")
 def evidence_records(spark, sf_dir):
     """Records of perception, some wrapped once more, with counts as a map or as text."""
     k = F.col("s_suppkey")
-    poi = F.when(k % 2 == 0, F.to_json(F.create_map(F.lit("shop"), k, F.lit("bar"), F.lit(3).cast("bigint")))).otherwise(F.to_json(F.array(F.lit("(no POI recorded)"))))
+    poi = F.when(k % 2 == 0, F.to_json(F.create_map(F.lit("shop"), k + 4, F.lit("bar"), F.lit(3).cast("bigint")))).otherwise(F.to_json(F.array(F.lit("(no POI recorded)"))))
     body = F.concat(F.lit('{"evidence": {"satellite": ["roof '), k, F.lit('"], "streetview_02": ["z'), F.col("s_nationkey"), F.lit('"], "streetview_01": ["s1", "s2"], "POI": '), poi, F.lit("}}"))
     raw = F.when(k % 3 == 0, F.concat(F.lit('{"reasoning_json": '), body, F.lit("}"))).otherwise(body)
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey > 3").select(k.cast("string").alias("datazone"), raw.alias("reasoning_json"))
+    rows = table(spark, sf_dir, "supplier").select(k.cast("string").alias("datazone"), raw.alias("reasoning_json"))
     return records.parsed_evidence(rows).select("datazone", "sat", "sv", "poi_text", "total")
 
 

@@ -18,7 +18,9 @@ def error_by_band(spark, sf_dir):
     rows = oof(spark, sf_dir)
     banded = metrics.unpivoted(rows.withColumn("band", tables.binned(F.col("target_income"), tables.quantile_bounds(rows, "target_income"))), ["unit_id", "band"], DOMAINS)
     e = F.col("p") - F.col("y")
-    return rounded(banded.groupBy("domain", "band").agg(F.count("*").alias("n"), *(F.percentile(e, F.lit(q)).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))), "q1", "median", "q3")
+    errors = written(banded.select("domain", "band", e.alias("e")))
+    quartiles = tables.quantiles(errors, "e", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["domain", "band"])
+    return rounded(errors.groupBy("domain", "band").agg(F.count("*").alias("n")).join(quartiles, ["domain", "band"]), "q1", "median", "q3")
 
 
 #: Every pair of a prediction's and a target's, and of two targets.

@@ -172,30 +172,55 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     fresh.write.mode("append").parquet(path)
 
 
-def _moved(spark: SparkSession, source: str, target: str) -> None:
-    """The target gives way to the source, by a rename within one file system."""
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and what makes its paths."""
     of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = of(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(of(target), True)
-    if not system.rename(of(source), of(target)):
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
+def _renamed(spark: SparkSession, source: str, target: str) -> None:
+    files, of = _files(spark, target)
+    if not files.rename(of(source), of(target)):
         raise OSError(f"{source} couldn't be moved to {target}")
 
 
+def recovered(spark: SparkSession, path: str) -> None:
+    """Ends a replacement of the table at a path that was stopped between its steps: the new table goes to its place if it was
+    written whole, else the old one back. Called before each replacement, and by who reads a table that others replace."""
+    files, of = _files(spark, path)
+    there = lambda p: files.exists(of(p))
+    old, new = f"{path.rstrip('/')}.old", f"{path.rstrip('/')}.new"
+    if there(old) and not there(path):
+        _renamed(spark, new if there(f"{new}/_SUCCESS") else old, path)
+    if there(old) and there(path):
+        files.delete(of(old), True)
+
+
+def _replaced(df: DataFrame, path: str, fmt: str, **options: object) -> None:
+    """Written beside the old table, which then moves aside, gives its place to the new one and goes. At every step a whole table
+    is there under one of three names, and `recovered` tells which counts."""
+    spark, old, new = df.sparkSession, f"{path.rstrip('/')}.old", f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").format(fmt).options(**options).save(new)
+    files, of = _files(spark, path)
+    if files.exists(of(path)):
+        _renamed(spark, path, old)
+    _renamed(spark, new, path)
+    files.delete(of(old), True)
+
+
 def replace(df: DataFrame, path: str, fmt: str = "json") -> None:
     """A table written whole beside the old one, which only then gives way: a failed write leaves the old one. df may read the
-    old table."""
-    beside = f"{path.rstrip('/')}.new"
-    df.write.mode("overwrite").format(fmt).save(beside)
-    _moved(df.sparkSession, beside, path)
+    old table, if nothing was left undone there (`recovered`)."""
+    recovered(df.sparkSession, path)
+    _replaced(df, path, fmt)
 
 
 def append_aliased(df: DataFrame, path: str, name: str, aliases: Sequence[str]) -> None:
     """Appends to a CSV table whose older files may name a column otherwise: all is written anew under one header."""
+    recovered(df.sparkSession, path)
     old = df.sparkSession.read.option("header", True).csv(path)
     both = aliased(old, name, aliases).unionByName(df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)), allowMissingColumns=True)
-    beside = f"{path.rstrip('/')}.new"
-    both.write.mode("overwrite").option("header", True).csv(beside)
-    _moved(df.sparkSession, beside, path)
+    _replaced(both, path, "csv", header=True)
 
 
 def write_summary(spark: SparkSession, path: str, summary: dict) -> None:
@@ -212,6 +237,7 @@ def cached(path: str, wanted: DataFrame, unit: str, meta: dict, make: Callable[[
         there = spark.read.parquet(f"{path}/rows")
         if same_cache(there, json.loads(spark.read.text(f"{path}/meta").first()[0]), wanted, meta, unit):
             return there, True
+    of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(of, True)  # rows without settings count for nothing
     make(wanted).write.mode("overwrite").parquet(f"{path}/rows")
     write_summary(spark, f"{path}/meta", meta)
     return spark.read.parquet(f"{path}/rows"), False
