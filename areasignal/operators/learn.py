@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areasignal.functions.geo import hashed_unit
+from areasignal.operators import kernel
 from areasignal.session import written
 
 # Penalties tried for ridge and for its stacked form, shares of the first norm, bound of scaled values; parts
@@ -259,7 +260,7 @@ def fitted(df: DataFrame, unit: str, fold: str, features: Features, targets: Seq
 
     The training rows of a fold are scaled by their own moments (deviation 0: 1), unless scale is off. Each target has a penalty of its own, chosen
     over INNER parts of the training rows: of RIDGE, or of a path of PATH from the least that leaves no weight down to LEAST
-    of it, for each of L1_SHARES. Rows with nulls must have been imputed or dropped. Fold numbers are small integers. Without
+    of it, for each of L1_SHARES. Ridge of fewer rows than features goes by the rows' kernel (`kernel`). Rows with nulls must have been imputed or dropped. Fold numbers are small integers. Without
     rows there are no models.
     """
     if kind not in ("ridge", "lasso", "elastic"):
@@ -273,6 +274,9 @@ def fitted(df: DataFrame, unit: str, fold: str, features: Features, targets: Seq
     if not scale:
         scaling = {k: (np.zeros(d), np.ones(d)) for k in scaling}
     grid, shares = None if alphas is None else np.asarray(alphas, float), (1.0,) if kind == "lasso" else L1_SHARES
+    if kind == "ridge" and kernel.use(rows.count(), d):
+        made = kernel.dual_ridge(rows, scaling, bound, RIDGE if grid is None else grid)
+        return {k: Fold(*scaling[k], w, alpha, np.full(len(targets), np.nan), bound) for k, (w, alpha) in made.items()}
     found = _solved(rows, scaling, bound, lambda parts: _chosen(parts, d, kind, grid, shares), "weights array<double>, alpha array<double>, share array<double>")
     return {r.held: Fold(*scaling[r.held], np.array(r.weights).reshape(1 + d, len(targets)), np.array(r.alpha), np.array(r.share), bound) for r in found}
 
