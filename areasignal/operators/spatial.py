@@ -14,6 +14,10 @@ from areasignal.operators import outlines, replicates
 from areasignal.session import written
 
 
+#: Candidates of a unit that the first round of spacing looks at; later rounds look at four times as many each.
+HEAD = 256
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point: str, polygon: str, size: float, first: bool = True, left: bool = False) -> DataFrame:
     """Joins points (x, y) with polygons (rings, and ord for the order) that hold them: all, or the first by ord.
 
@@ -84,8 +88,10 @@ def spaced(points: DataFrame, unit: str, order: str, metres: float, most: int, a
     """unit and accepted: an array of the points (lat, lon) taken in order that are at least so far from those before.
 
     areas (unit and rings, x the longitude): points outside their unit's box or polygon don't count; seen (the column order):
-    nor do those seen before. A unit's candidates are streamed in order, and only the accepted ones are held. Points without
-    a place are left out.
+    nor do those seen before. Points without a place are left out.
+
+    Units go on in rounds: the first HEAD candidates of each in order (the limit holds before the shuffle, so no task gets a
+    whole unit) are taken one after the other; then what comes near an accepted one, and units that are full, drop out.
     """
     rows = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(unit, order, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     if seen is not None:
@@ -95,7 +101,7 @@ def spaced(points: DataFrame, unit: str, order: str, metres: float, most: int, a
         near = near.where(F.col("lon").between(F.col("_b.min_x"), F.col("_b.max_x")) & F.col("lat").between(F.col("_b.min_y"), F.col("_b.max_y")))
         rows = near.where(geo.in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))).select(unit, order, "lat", "lon")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (unit, order)}
-    radius = geo.RADIUS
+    names, radius = [unit, order, "lat", "lon", "_id"], geo.RADIUS
 
     def far(a: tuple, p: tuple) -> bool:
         h = math.sin(math.radians(p[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(p[1])) * math.sin(math.radians(p[2] - a[2]) / 2) ** 2
@@ -104,19 +110,36 @@ def spaced(points: DataFrame, unit: str, order: str, metres: float, most: int, a
     def run(batches):
         now, taken, none = None, [], True
         for batch in batches:
-            us, orders, lats, lons = (c.to_pylist() for c in batch.columns)
+            us, orders, lats, lons, _, before = (c.to_pylist() for c in batch.columns)
             keep = []
             for i, u in enumerate(us):
                 if none or u != now:
                     now, taken, none = u, [], False
-                if len(taken) < most:
-                    p = (orders[i], lats[i], lons[i])
-                    if all(far(a, p) for a in taken):
-                        taken.append(p)
-                        keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    found = rows.repartition(unit).sortWithinPartitions(unit, order, "lat", "lon").mapInArrow(run, f"`{unit}` {kinds[unit]}, `{order}` {kinds[order]}, lat double, lon double")
+                p = (orders[i], lats[i], lons[i])
+                if before[i]:
+                    taken.append(p)
+                elif len(taken) < most and all(far(a, p) for a in taken):
+                    taken.append(p)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).select(list(range(5)))
+
+    open_ = written(rows.withColumn("_id", F.monotonically_increasing_id()).select(*names))
+    taken, first, place = None, max(HEAD, 4 * most), F.struct(order, "lat", "lon", "_id")
+    while open_.take(1):
+        ranked = open_.withColumn("_n", F.row_number().over(Window.partitionBy(unit).orderBy(order, "lat", "lon", "_id")))
+        head = written(ranked.where(F.col("_n") <= first).select(*names))
+        seeds = head.select(*names, F.lit(False).alias("_before"))
+        seeds = seeds if taken is None else seeds.union(taken.join(head.select(unit).distinct(), unit, "left_semi").select(*names, F.lit(True)))
+        sorted_ = seeds.repartition(unit).sortWithinPartitions(unit, F.col("_before").desc(), order, "lat", "lon", "_id")
+        new = sorted_.mapInArrow(run, f"`{unit}` {kinds[unit]}, `{order}` {kinds[order]}, lat double, lon double, _id bigint")
+        taken = written(new if taken is None else taken.union(new))
+        upto = head.groupBy(F.col(unit).alias("_u")).agg(F.max(place).alias("_upto"))
+        full = taken.groupBy(F.col(unit).alias("_u")).count().where(F.col("count") >= most).select("_u")
+        left = open_.join(upto, F.col(unit) == F.col("_u"), "left").where(F.col("_upto").isNull() | (place > F.col("_upto"))).select(*names).join(full, F.col(unit) == F.col("_u"), "left_anti")
+        near = taken.select(F.col(unit).alias("_u"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+        meets = (F.col(unit) == F.col("_u")) & (geo.haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) < metres)
+        open_, first = written(left.join(near, meets, "left_anti")), 4 * first
+    found = (open_ if taken is None else taken).select(unit, order, "lat", "lon")
     return found.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(order, "lat", "lon"))).alias("accepted"))
 
 

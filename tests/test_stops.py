@@ -77,3 +77,27 @@ def test_boxes_that_meet(spark):
     frame = lambda xs: spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id int, box struct<min_x double, min_y double, max_x double, max_y double>")
     got = {r.id: r.met for r in spatial.meeting(frame(a), frame(b + b[:3]), "id", 2.0).collect()}
     assert got == {i: any(p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3] for q in b) for i, p in enumerate(a)}
+
+
+def test_spacing_in_rounds_is_the_sequential_rule(spark, monkeypatch):
+    """One unit has nearly all points; rounds of few candidates give what one pass gives."""
+    import math
+
+    monkeypatch.setattr(spatial, "HEAD", 3)
+    rng = np.random.default_rng(5)
+    rows = [(0 if i % 40 else 1 + i % 3, int(k), 55.8 + float(a), -4.3 + float(b)) for i, (k, a, b) in enumerate(zip(rng.permutation(900), rng.random(900) / 10, rng.random(900) / 10))]
+    rows += [(0, 5000, 55.85, -4.25), (0, 5000, 55.85, -4.25), (9, 1, None, 1.0)]
+
+    def metres(p, q):
+        h = math.sin(math.radians(q[2] - p[2]) / 2) ** 2 + math.cos(math.radians(p[2])) * math.cos(math.radians(q[2])) * math.sin(math.radians(q[3] - p[3]) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(min(1, h)))
+
+    for most, apart in ((5, 900.0), (60, 700.0), (1000, 400.0)):
+        want = {}
+        for p in sorted(r for r in rows if r[2] is not None):
+            mine = want.setdefault(p[0], [])
+            if len(mine) < most and all(metres(a, p) >= apart for a in mine):
+                mine.append(p)
+        df = spark.createDataFrame(rows, "u int, k int, lat double, lon double").repartition(5)
+        got = {r.u: [x.k for x in r.accepted] for r in spatial.spaced(df, "u", "k", apart, most).collect()}
+        assert got == {u: [p[1] for p in ps] for u, ps in want.items()}
