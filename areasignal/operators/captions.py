@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areasignal.functions import text
+from areasignal.operators import tables
 from areasignal.session import written
 
 
@@ -13,12 +14,14 @@ def templated(df: DataFrame) -> DataFrame:
     """df (sat, ntl, sv, counts) with caption: sentences on each modality.
 
     They take the first distinct phrases of the images from above, the most frequent of each group of street phrases, the
-    most frequent of the rest, and the counts. Street phrases are matched once each and ranked by aggregates; what the
+    most frequent of the rest, and the counts. Patterns are matched once for each phrase that there is, however many areas
+    have it, and phrases ranked by aggregates; what the
     sentences are made of is written before they are, so that nothing is worked out again for each place it stands in.
     """
     rows = written(df.withColumn("_key", F.monotonically_increasing_id()))
     one = rows.select("_key", F.posexplode(F.transform(text.split_segment(F.col("sv")), text.tidy)).alias("_i", "_p")).where("_p <> ''")
-    by = one.select("_key", "_i", "_p", F.explode(text.groups_of(F.col("_p"))).alias("_g")).groupBy("_key", "_g", F.lower("_p").alias("_k")).agg(F.count("*").alias("_n"), F.min_by("_p", "_i").alias("_p"))
+    each = written(one.groupBy("_key", F.lower("_p").alias("_k")).agg(F.count("*").alias("_n"), F.min_by("_p", "_i").alias("_p")))
+    by = each.join(tables.phrase_groups(each, "_k"), "_k").withColumn("_g", F.explode("_gs"))
     best = by.groupBy("_key", "_g").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "_k", "_p"))), 1, 3), lambda r: r["_p"]).alias("_top"))
     tops = best.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_g", "_top"))).alias("_tops"))
     none = F.array().cast("array<string>")

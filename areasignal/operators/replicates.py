@@ -26,7 +26,7 @@ def numbered(units: DataFrame, unit: str, keys: Sequence[str] = ()) -> DataFrame
     dealt = written(units.repartitionByRange(*keys, unit).withColumn("_p", F.spark_partition_id()))
     counts = dealt.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = written(counts.withColumns({"_before": F.sum("_c").over(by.orderBy("_p")) - F.col("_c"), "n": F.sum("_c").over(by)}))  # a row for each range
+    before = counts.withColumns({"_before": F.sum("_c").over(by.orderBy("_p")) - F.col("_c"), "n": F.sum("_c").over(by)})  # a row for each range
     own = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(unit)) - 1
     return written(dealt.withColumn("_own", own).join(before, [*keys, "_p"]).withColumn("i", F.col("_before") + F.col("_own")).drop("_p", "_own", "_c", "_before"))
 
@@ -190,7 +190,7 @@ def _ranked(rows: DataFrame, keys: Sequence[str], value: str, times: int, wide)
         on = on & s
     joined = dealt.alias("a").join(starts.alias("b"), on).select(*(F.col(f"a.{c}").alias(c) for c in keys), F.col("a._p").alias("_p"), F.col(f"a.{value}").alias(value), F.col("a.w").alias("w"), F.col("b.before").alias("before"))
     sorted_ = joined.repartition(*keys, "_p").sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in keys), "_p", value)
-    return written(sorted_.mapInArrow(ranks, ", ".join([*kinds, f"`{value}` double", "r binary"])))
+    return sorted_.mapInArrow(ranks, ", ".join([*kinds, f"`{value}` double", "r binary"]))
 
 
 #: What is added up of each replicate, beside its weight.
@@ -306,17 +306,16 @@ def kappas(rows: DataFrame, times: int, keys: Sequence[str] = ()) -> DataFrame:
     return by_task.groupBy(*(keys or [F.lit(0).alias("_all")])).applyInArrow(total if keys else (lambda key, t: total((), t)), ", ".join([*kinds, "b int", "qwk double"]))
 
 
-def orders(units: DataFrame, unit: str, value: str, keys: Sequence[str], times: int, hashed: Callable[[Column, Column], Column], take: Callable, shape: pa.Schema, ddl: str, ahead: int = 0, more: Sequence[str] = ()) -> DataFrame:
-    """Units (keys, unit, value) in `times` orders by hashed(b, unit), ties by unit, within the keys: the rows that take makes of each
-    block of BLOCK places. take(keys, first place, n, entries): entries have b (from 0), place, i (the unit's own place by
+def orders(rows: DataFrame, unit: str, keys: Sequence[str], times: int, hashed: Callable[[Column, Column], Column], take: Callable, shape: pa.Schema, ddl: str, ahead: int = 0, more: Sequence[str] = ()) -> DataFrame:
+    """Units (keys, unit, i, n, value and more: numbered) in `times` orders by hashed(b, unit), ties by unit, within the keys: the
+    rows that take makes of each block of BLOCK places. take(keys, first place, n, entries): entries have b (from 0), place, i (the unit's own place by
     unit), value and more (doubles), of the block's places and of the `ahead` that follow them, round the end.
 
     Hashes come in buckets of about BLOCK units of all orders; a bucket's entries are sorted together, its places start after
     those of the buckets before it, whose sizes alone are added up by key. No order is ever in one task.
     """
-    ship(units.sparkSession)
+    ship(rows.sparkSession)
     k, extra = len(keys), list(more)
-    rows = numbered(units.select(*keys, unit, F.col(value).cast("double").alias("value"), *(F.col(c).cast("double").alias(c) for c in extra)), unit, keys)
     ready = rows.select(*keys, "i", "n", "value", *extra, F.transform(F.sequence(F.lit(1), F.lit(times)), lambda b: hashed(b, F.col(unit))).alias("h"))
     entry = np.dtype([("h", np.float64), ("b", np.int32), ("i", np.int64), ("n", np.int64), ("value", np.float64), *((c, np.float64) for c in extra)])
     placed = np.dtype([("place", np.int64), *entry.descr[1:]])
@@ -399,8 +398,8 @@ def permuted(units: DataFrame, unit: str, value: str, keys: Sequence[str], times
         return pa.table([*(pa.array([x.as_py()] * size, t) for x, t in zip(key, arrow)), pa.array(np.arange(first, first + size)), pa.array([r.tobytes() for r in v], pa.binary())], names=[*keys, "i", "v"])
 
     shape = pa.schema([*zip(keys, arrow), ("i", pa.int64()), ("v", pa.binary())])
-    dealt = orders(units, unit, value, keys, times, hashed, take, shape, ", ".join([*kinds, "i bigint, v binary"]))
-    places = numbered(units.select(*keys, unit), unit, keys).drop("n")
+    places = numbered(units.select(*keys, unit, F.col(value).cast("double").alias("value")), unit, keys)
+    dealt = orders(places, unit, keys, times, hashed, take, shape, ", ".join([*kinds, "i bigint, v binary"]))
     return places.join(dealt, [*keys, "i"]).select(*keys, unit, "v")
 
 
@@ -477,7 +476,8 @@ def share_above(units: DataFrame, unit: str, value: str, keys: Sequence[str], ti
         return pa.table([*(pa.array([x.as_py()] * len(found), t) for x, t in zip(key, arrow)), pa.array(found), pa.array(above)], names=[*keys, "i", "above"])
 
     shape = pa.schema([*zip(keys, arrow), ("i", pa.int64()), ("above", pa.int64())])
-    plain = units.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("k", "w", "local_i")})
-    counts = orders(plain, unit, value, keys, times, hashed, take, shape, ", ".join([*kinds, "i bigint, above bigint"]), most, ("k", "w", "local_i"))
-    places = numbered(units.select(*keys, unit), unit, keys).drop("n")
+    more = ("k", "w", "local_i")
+    plain = units.select(*keys, unit, F.col(value).cast("double").alias("value"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in more))
+    places = numbered(plain, unit, keys)
+    counts = orders(places, unit, keys, times, hashed, take, shape, ", ".join([*kinds, "i bigint, above bigint"]), most, more)
     return places.join(counts.groupBy(*keys, "i").agg(F.sum("above").alias("above")), [*keys, "i"]).select(*keys, unit, "above")

@@ -20,7 +20,7 @@ def drawn(seed: int, b: Column, i: Column, n: Column) -> Column:
 def weighted(long: DataFrame, units: DataFrame, unit: str, times: int, seed: int = 42) -> DataFrame:
     """The columns of long and w: how often each resample of the units draws its unit, packed in one array."""
     weights = replicates.draw_weights(units, unit, times, lambda b, i, n: drawn(seed, b, i, n))
-    return written(long.join(weights, unit))
+    return long.join(weights, unit)
 
 
 def bootstrap(long: DataFrame, unit: str, times: int, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
@@ -36,7 +36,7 @@ SCORES = ("rmse", "mae", "accuracy", "within_one", "pearson", "rho", "r2", "qwk"
 def report(long: DataFrame, unit: str, times: int = 500, seed: int = 42, by: str = "domain", source: str = "model") -> DataFrame:
     """by, source, n and, for each of SCORES, its value and the ends of its interval over resamples of the units; a last row
     `macro` has the means of the values over all rows of `by`."""
-    rows = weighted(written(long.select(unit, by, "y", "p")), long, unit, times, seed)
+    rows = written(weighted(long.select(unit, by, "y", "p"), long, unit, times, seed))
     as_it_is = rows.withColumn("w", F.lit((1).to_bytes(2, "little")))
     scored = lambda of, n: replicates.scores(of, n, [by]).join(replicates.kappas(of, n, [by]), ["b", by]).select("b", by, "n", *SCORES)
     found = written(scored(rows, times).union(scored(as_it_is, 1).withColumn("b", F.lit(-1))))

@@ -159,7 +159,11 @@ def _lagged(z: DataFrame, unit: str, edges: DataFrame, by: Sequence[str]) -> Dat
 
 def moran(values: DataFrame, unit: str, value: str, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by, n, moran_i and expected of a value on the neighbour graph, weights of each unit adding up to 1; null for a constant."""
-    r = _lagged(_centred(values, unit, value, by), unit, edges, by).groupBy(*by).agg(F.first("n").alias("n"), F.first("sd").alias("sd"), F.sum(F.col("z") * F.col("lag")).alias("up"), F.count("*").alias("s0"))
+    return _moran(_centred(values, unit, value, by), unit, edges, by)
+
+
+def _moran(z: DataFrame, unit: str, edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    r = _lagged(z, unit, edges, by).groupBy(*by).agg(F.first("n").alias("n"), F.first("sd").alias("sd"), F.sum(F.col("z") * F.col("lag")).alias("up"), F.count("*").alias("s0"))
     i = F.when(F.col("sd") > 0, F.try_divide(F.col("up"), F.col("s0") * F.col("sd") * F.col("sd")))
     return r.select(*by, "n", i.alias("moran_i"), F.try_divide(F.lit(-1.0), F.col("n") - 1.0).alias("expected"))
 
@@ -187,10 +191,11 @@ def lisa_significance(values: DataFrame, unit: str, value: str, edges: DataFrame
     the end: others than itself, each at most once. p_sim is the share of orders whose local I is at least (or at most, if
     those are fewer) the unit's own. Values are compared to nine digits, so equal neighbourhoods count as equal.
     """
-    found = written(_lagged(_centred(values, unit, value, by), unit, edges, by).withColumn("w", F.greatest(F.col("sd") * F.col("sd"), F.lit(1e-300))))
+    z = _centred(values, unit, value, by)
+    found = written(_lagged(z, unit, edges, by).withColumn("w", F.greatest(F.col("sd") * F.col("sd"), F.lit(1e-300))))
     centred = found.select(*by, unit, "k", "w", F.round(F.col("z") * F.col("lag") / F.col("w"), 9).alias("local_i"), _quadrant(F.col("z"), F.col("lag")).alias("quadrant"))
     most = found.agg(F.max("k")).first()[0] or 0
-    asked = _centred(values, unit, value, by).join(centred.select(*by, unit, "k", "w", "local_i"), [*by, unit], "left")
+    asked = z.join(centred.select(*by, unit, "k", "w", "local_i"), [*by, unit], "left")
     above = replicates.share_above(asked, unit, "z", by, times, _order(seed), int(most))
     p = (F.least("above", F.lit(times) - F.col("above")) + 1) / (times + 1)
     out = centred.join(above, [*by, unit]).select(*by, unit, "local_i", "quadrant", p.alias("p_sim"))
@@ -201,7 +206,7 @@ def moran_p(values: DataFrame, unit: str, value: str, edges: DataFrame, times: i
     """by, moran_i, p and z_sim: values are dealt anew by hashed order `times` times, as one array a unit. p is the share of
     deals whose I is at least (or at most) the real one, to nine digits."""
     z = _centred(values, unit, value, by)
-    real = moran(values, unit, value, edges, by).select(*by, "moran_i")
+    real = _moran(z, unit, edges, by).select(*by, "moran_i")
     dealt = written(replicates.permuted(z, unit, "z", by, times, _order(seed)))
     sds = z.groupBy(*by).agg(F.first("sd").alias("sd"))
     sums = replicates.lag_products(dealt, unit, edges, by, times)

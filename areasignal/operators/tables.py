@@ -174,9 +174,15 @@ def top_phrases_by(df: DataFrame, unit: str, phrase: str, order: Sequence[str],
 
 def group_counts(df: DataFrame, unit: str, phrase: str) -> DataFrame:
     """unit, grp and n: how many phrases of each unit are in each keyword group. Patterns are matched once for each phrase
-    that a unit has, however often."""
-    distinct = df.groupBy(unit, F.col(phrase).alias("_p")).agg(F.count("*").alias("_n"))
-    return distinct.select(unit, F.explode(groups_of(tidy(F.col("_p")))).alias("grp"), "_n").groupBy(unit, "grp").agg(F.sum("_n").alias("n"))
+    that there is, however many units have it."""
+    distinct = written(df.groupBy(unit, tidy(F.col(phrase)).alias("_p")).agg(F.count("*").alias("_n")))
+    groups = phrase_groups(distinct, "_p").withColumnRenamed("_p", "_of")
+    return distinct.join(groups, F.col("_p").eqNullSafe(F.col("_of"))).select(unit, F.explode("_gs").alias("grp"), "_n").groupBy(unit, "grp").agg(F.sum("_n").alias("n"))
+
+
+def phrase_groups(df: DataFrame, phrase: str) -> DataFrame:
+    """phrase and _gs: the keyword groups of each distinct phrase."""
+    return df.select(phrase).distinct().withColumn("_gs", groups_of(F.col(phrase)))
 
 
 def first_phrases(df: DataFrame, keys: Sequence[str], phrase: str, order: Sequence[str]) -> DataFrame:
