@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,14 @@ def kept(vector: Column) -> Column:
     return F.coalesce(~F.exists(vector, bad), F.lit(False))
 
 
-def scaled(rows: Sequence[np.ndarray | list], width: int) -> np.ndarray:
+def scaled(rows: pa.Array | Sequence[list], width: int) -> np.ndarray:
     """floor(SCALE * x) of each row, put to the width by zeros: doubles where exact, else Python's whole numbers."""
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    if isinstance(rows, pa.Array) and len(rows) and (pc.list_value_length(rows).to_numpy() == width).all():
+        out = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+    else:
+        out = np.zeros((len(rows), width))
+        for i, r in enumerate(rows.to_pylist() if isinstance(rows, pa.Array) else rows):
+            out[i, : len(r)] = r
     with np.errstate(over="ignore"):
         floor = np.floor(out * SCALE)
     if len(out) and np.abs(floor).max(initial=0) >= 1 << 24:
@@ -133,14 +137,14 @@ def updated(entries: np.ndarray, counts: dict[int, int], sums: dict[int, list[in
 
 
 def _sums(code: np.ndarray, points: np.ndarray, into: dict, part: int) -> None:
-    for e in np.unique(code):
-        mine = points[code == e]
-        n, s = into.get((part, int(e)), (0, None))
-        add = [int(x) for x in mine.sum(0)]
-        into[(part, int(e))] = (n + len(mine), add if s is None else [a + b for a, b in zip(s, add)])
-
-
-_STATE = "codes array<smallint>, errors array<string>, low array<float>"
+    """Adds the points of each entry (sorted by entry, each run as one sum)."""
+    order = np.argsort(code, kind="stable")
+    starts = np.r_[0, np.flatnonzero(np.diff(code[order])) + 1] if len(code) else np.zeros(0, int)
+    sums = np.add.reduceat(points[order], starts) if len(code) else ()
+    for e, n, s in zip(code[order][starts].tolist(), np.diff(np.r_[starts, len(code)]).tolist(), sums):
+        add = [int(x) for x in s]
+        old = into.get((part, e))
+        into[(part, e)] = (n, add) if old is None else (old[0] + n, [a + b for a, b in zip(old[1], add)])
 
 
 def _pass(books: list[np.ndarray], groups: list[np.ndarray], before: list[np.ndarray] | None, width: int, id_kind: str, label_kind: str, end: bool):
@@ -151,9 +155,9 @@ def _pass(books: list[np.ndarray], groups: list[np.ndarray], before: list[np.nda
         makers = [Assigner(b, g, None if before is None else p) for b, g, p in zip(books, groups, before or books)]
         size = width // PARTS
         for batch in batches:
-            points = scaled(batch.column(2).to_pylist(), width)
+            points = scaled(batch.column(2), width)
             n, spans, at = len(points), [], 0
-            old = None if before is None else np.array(batch.column(3).to_pylist(), np.int64).reshape(n, PARTS)
+            old = None if before is None else batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, PARTS)
             bounds = None if before is None else np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float32).reshape(n, -1).astype(float)
             codes, errors = np.zeros((n, PARTS), np.int16), []
             for p, a in enumerate(makers):
@@ -171,7 +175,7 @@ def _pass(books: list[np.ndarray], groups: list[np.ndarray], before: list[np.nda
                 small = low.astype(np.float32)
                 small = np.where(small > low, np.nextafter(small, np.float32(-np.inf)), small)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i) for i in range(3)), pa.array(codes.tolist(), pa.list_(pa.int16())), pa.array([r.tobytes() for r in small], pa.binary())], ["id", "label", "vector", "codes", "low"]
+                    [*(batch.column(i) for i in range(3)), pa.ListArray.from_arrays(pa.array(np.arange(0, PARTS * n + 1, PARTS, dtype=np.int32)), pa.array(codes.ravel())), pa.array([r.tobytes() for r in small], pa.binary())], ["id", "label", "vector", "codes", "low"]
                 )
 
     return run
@@ -185,7 +189,7 @@ def _sums_of(rows: DataFrame, width: int) -> dict[tuple[int, int], tuple[int, li
     def add(batches):
         into: dict = {}
         for batch in batches:
-            points, codes = scaled(batch.column(0).to_pylist(), width), np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, PARTS)
+            points, codes = scaled(batch.column(0), width), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, PARTS)
             for p in range(PARTS):
                 _sums(codes[:, p], points[:, p * size : (p + 1) * size], into, p)
         if into:
