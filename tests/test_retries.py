@@ -31,9 +31,10 @@ def test_waits():
     assert [retries.wait(n) for n in (1, 2, 3, 20, 90)] == [60_000, 120_000, 240_000, 3_600_000, 3_600_000]
 
 
-def test_two_runs_and_a_failure_equal_one_batch(spark, tmp_path):
+def test_two_runs_and_a_failure_equal_one_batch(spark, tmp_path, request):
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", retries.STORE)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.streaming.stateStore.providerClass"))
     rows, source = attempts(60), tmp_path / "in"
 
     def add(part):
