@@ -61,10 +61,9 @@ def run(config: RunConfig, units: DataFrame, unit: str, targets: Sequence[str],
 def summary(oof: DataFrame, units: DataFrame, unit: str, targets: Sequence[str]) -> DataFrame:
     """domain (each target, pooled and macro), n, rho and r2 of predictions against the units' targets."""
     wide = oof.join(units.select(unit, *(F.col(t).alias(f"target_{t}") for t in targets)), unit)
-    long = metrics.unpivoted(wide, [unit], targets)
-    one = metrics.scores(long, "y", "p", ["domain"]).select("domain", "n", "rho", "r2")
-    macro = one.agg(F.lit("macro").alias("domain"), F.sum("n").alias("n"), F.avg("rho").alias("rho"), F.avg("r2").alias("r2"))
-    return one.union(metrics.scores(long, "y", "p").select(F.lit("pooled"), "n", "rho", "r2")).union(macro)
+    long = metrics.also_pooled(metrics.unpivoted(wide, [unit], targets))
+    one = written(metrics.scores(long, "y", "p", ["domain"]).select("domain", "n", "rho", "r2"))
+    return one.union(one.where("domain <> 'pooled'").agg(F.lit("macro"), F.sum("n"), F.avg("rho"), F.avg("r2")))
 
 
 def compared(runs: dict[str, DataFrame], units: DataFrame, unit: str, targets: Sequence[str]) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from areasignal.session import written
 
 
-def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """df with the average rank of a value within the keys (or over all rows); nulls get none.
+def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """keys, each value seen within them (or over all rows) and its average rank; nulls are left out.
 
     Equal values are counted first; the counts are dealt by range, and what lies before a range within a key comes from
-    sums by range, so no task holds a key's rows. The ranks are joined back by key and value.
+    sums by range, so no task holds a key's rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     dealt = written(counts.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id()))
@@ -22,8 +22,12 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
     before = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_s"))
     joined = dealt.join(before, [*keys, "_p"])
     upto = F.sum("_n").over(Window.partitionBy(*keys, "_p").orderBy(value))
-    ranks = joined.select(*keys, value, (F.col("_before") + upto - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(ranks, [*keys, value], "left")
+    return joined.select(*keys, value, (F.col("_before") + upto - (F.col("_n") - 1) / 2.0).alias(name))
+
+
+def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """df with the average rank of a value within the keys (or over all rows); nulls get none. Ranks are joined by key and value."""
+    return df.join(value_ranks(df, value, keys, name), [*keys, value], "left")
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -40,12 +44,17 @@ def r_squared(y: Column, p: Column) -> Column:
 
 
 def _pairs(df: DataFrame, y: str, p: str, keys: Sequence[str]) -> DataFrame:
-    """keys, _y and _p2 of the pairs without nulls, written once: what is ranked and scored is read several times."""
-    return written(df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p2")))
+    """keys, _y and _p2 of the pairs without nulls, of one type, written once: what is ranked and scored is read several times."""
+    kind = df.schema[y].dataType.simpleString() if df.schema[y].dataType == df.schema[p].dataType else "double"
+    return written(df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*keys, F.col(y).cast(kind).alias("_y"), F.col(p).cast(kind).alias("_p2")))
 
 
 def _rho(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    ranked = average_rank(average_rank(pairs, "_y", keys, "_ry"), "_p2", keys, "_rp")
+    """keys, n and rho. Both sides of the pairs are ranked in one pass, as values of one dealt table."""
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("_side"), F.col(c).alias("_v")) for i, c in enumerate(("_y", "_p2")))))
+    ranks = value_ranks(pairs.select(*keys, sides.alias("_x")).select(*keys, "_x.*"), "_v", [*keys, "_side"], "_r")
+    of = lambda i, c, r: ranks.where(F.col("_side") == i).select(*keys, F.col("_v").alias(c), F.col("_r").alias(r))
+    ranked = pairs.join(of(0, "_y", "_ry"), [*keys, "_y"]).join(of(1, "_p2", "_rp"), [*keys, "_p2"])
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("_ry"), F.col("_rp")).alias("rho"))
 
 
@@ -68,6 +77,11 @@ def unpivoted(df: DataFrame, ids: Sequence[str], domains: Sequence[str], pred: s
     return df.select(*ids, pairs.alias("_d")).select(*ids, "_d.*")
 
 
+def also_pooled(long: DataFrame, name: str = "pooled", domain: str = "domain") -> DataFrame:
+    """long with each row once more under one name for all domains, so that scores by domain and pooled come from one pass."""
+    return long.withColumn(domain, F.explode(F.array(domain, F.lit(name))))
+
+
 def pooled(long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, n, pooled_rho and pooled_r2 over all domains stacked."""
     return scores(long, "y", "p", keys).select(*keys, "n", F.col("rho").alias("pooled_rho"), F.col("r2").alias("pooled_r2"))

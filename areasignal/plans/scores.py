@@ -354,6 +354,5 @@ def leak_safe_lag_quality(spark, sf_dir):
     scale = held.groupBy(F.col("held_out").alias("fold")).agg(*(x for c in names for x in (mean[c].alias(f"mean_{c}"), F.sqrt(F.sum(F.col("n") * (F.col(f"v_{c}") + F.col(f"m_{c}") * F.col(f"m_{c}"))) / total - mean[c] * mean[c]).alias(f"sd_{c}"))))
     z = lambda x, c: (F.col(x) - F.col(f"mean_{c}")) / F.col(f"sd_{c}")
     wide = rows.join(lag, "unit_id").join(F.broadcast(scale), "fold").select("unit_id", *(x for c in names for x in (z(c, c).alias(f"target_{c}"), z(f"{c}_lag", c).alias(f"pred_{c}"))))
-    stacked = written(metrics.unpivoted(wide, ["unit_id"], names))
-    one = metrics.scores(stacked, "y", "p", ["domain"]).select("domain", "n", "rho", "r2")
-    return rounded(one.union(metrics.scores(stacked, "y", "p").select(F.lit("pooled"), "n", "rho", "r2")), "rho", "r2", digits=5)
+    by_domain = metrics.scores(metrics.also_pooled(metrics.unpivoted(wide, ["unit_id"], names)), "y", "p", ["domain"])
+    return rounded(by_domain.select("domain", "n", "rho", "r2"), "rho", "r2", digits=5)
