@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,29 +11,37 @@ from areasignal.functions.text import NO_EVIDENCE, split_segment
 from areasignal.functions.vectors import MODALITIES
 from areasignal.operators.tables import mean_vector
 
-_WORD = re.compile(r"\W+")
 #: An encoder takes a column of texts and gives a column of vectors of one width.
 Encoder = Callable[[Column], Column]
 
 
-def hashed_vector(text: str | None, width: int, seed: int) -> list[float]:
-    """Words and pairs of words counted with a sign at hashed places, scaled to length 1."""
-    words = [w for w in _WORD.split((text or "").lower()) if w]
-    out = np.zeros(width)
-    for w in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
-        h = zlib.crc32(w.encode(), seed)
-        out[(h >> 1) % width] += 1.0 if h & 1 else -1.0
-    norm = np.sqrt((out**2).sum())
-    return (out / norm if norm else out).tolist()
+def _named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def hashed(width: int = 64, seed: int = 42) -> Encoder:
-    """hashed_vector in batches: it stands where a language model would, which runs in batches of texts too."""
+    """Words and pairs of words counted with a sign at places by MD5, scaled to length 1; zeros of a null text or one
+    without words. Built-ins alone: it stands where a language model would."""
 
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hashed_vector(t, width, seed))
+    def code(gram: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(str(seed)), gram)), 1, 8), 16, 10).cast("long")
 
-    return F.pandas_udf(encode, "array<double>")
+    def counted(grams: Column) -> Column:
+        sign = lambda h: F.when(h % 2 == 1, 1.0).otherwise(-1.0)
+        put = lambda sums, h: F.transform(sums, lambda v, i: F.when(i == F.floor(h / 2) % width, v + sign(h)).otherwise(v))
+        return F.aggregate(F.transform(grams, code), F.array_repeat(F.lit(0.0), width), put)
+
+    def scaled(sums: Column) -> Column:
+        length = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
+        return _named(length, lambda n: F.transform(sums, lambda x: F.when(n > 0, x / n).otherwise(x)))
+
+    def encode(text: Column) -> Column:
+        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+        pairs = lambda w: F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+        return _named(_named(words, lambda w: counted(F.concat(w, pairs(w)))), scaled)
+
+    return encode
 
 
 ENCODERS: dict[str, Callable[..., Encoder]] = {"hashed": hashed}

@@ -9,6 +9,7 @@ from areasignal.functions import geo
 from areasignal.operators import crossval, encode, metrics, perceive, replicates, resample, spatial, tables
 from areasignal.plans.areas import EDGES, edges, polygons
 from areasignal.plans.base import DOMAINS, ctes, frame, query, table
+from areasignal.plans.evidence import SEGMENTS, segments
 from areasignal.plans.scores import BANDS, LISA, LONG, OOF, REPORT_TIMES, X, Y, cross_domain_corr, draws, features, long, oof, rho, rounded, significant
 from areasignal.session import written
 
@@ -120,12 +121,22 @@ def random_points_in_areas(spark, sf_dir):
     return rounded(geo.random_points(polygons(spark, sf_dir), "unit_id", "rings", 5), "x", "y", digits=9)
 
 
-@query()
+@query(
+    ctes("phrases") + SEGMENTS + r""", texts AS (
+    SELECT unit_id, 0 AS block, 0 AS k, sat AS t FROM segments UNION ALL SELECT unit_id, 1, 0, ntl FROM segments UNION ALL SELECT unit_id, 3, 0, '(no POI recorded)' FROM segments
+    UNION ALL SELECT unit_id, 2, k, list_filter(list_transform(string_split(sv, ';'), lambda p: trim(p)), lambda p: p <> '')[k] FROM segments, range(1, 61) AS r(k) WHERE k <= len(string_split(sv, ';'))
+), words AS (SELECT unit_id, block, k, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM texts),
+grams AS (SELECT unit_id, block, k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM words),
+codes AS (SELECT unit_id, block, k, ('0x' || substr(md5('42_' || g), 1, 8))::BIGINT AS h FROM grams),
+places AS (SELECT unit_id, block, k, (h // 2) % 16 AS place, sum(CASE WHEN h % 2 = 1 THEN 1.0::DOUBLE ELSE -1 END) AS v FROM codes GROUP BY ALL),
+lengths AS (SELECT unit_id, block, k, sqrt(sum(v * v)) AS n FROM places GROUP BY ALL), counts AS (SELECT unit_id, block, count(*) AS c FROM texts GROUP BY ALL),
+sums AS (SELECT unit_id, block, place, sum(CASE WHEN n > 0 THEN v / n ELSE 0 END) AS s FROM places JOIN lengths USING (unit_id, block, k) GROUP BY ALL)
+SELECT unit_id, list(round(coalesce(s, 0) / c, 8) + 0.0 ORDER BY block, place) AS embedding FROM counts CROSS JOIN range(16) AS r(place) LEFT JOIN sums USING (unit_id, block, place) GROUP BY unit_id"""
+)
 def modality_embeddings(spark, sf_dir):
-    from areasignal.plans.evidence import segments
-
     rows = segments(spark, sf_dir).withColumn("poi_text", F.lit(None).cast("string"))
-    return encode.by_modality(rows, "unit_id", encode.encoder("hashed", width=16), 16)
+    made = encode.by_modality(rows, "unit_id", encode.encoder("hashed", width=16), 16)
+    return made.select("unit_id", F.transform("embedding", lambda x: F.round(x, 8) + 0.0).alias("embedding"))
 
 
 @query(

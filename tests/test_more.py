@@ -1,5 +1,8 @@
 """Placement, projection, encoders and whole runs."""
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,13 +40,26 @@ def test_random_points_are_inside_and_repeat(spark):
     assert draw() == draw() and len(draw()) == 9 and all(0 <= x <= 4 and 0 <= y <= 4 for _, _, x, y in draw())
 
 
+def hashed_vector(text, width, seed=42):
+    """Words and pairs of words one by one, as a check on the expression of columns."""
+    words = re.findall(r"\w+", text.lower())
+    out = np.zeros(width)
+    for gram in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
+        h = int(hashlib.md5(f"{seed}_{gram}".encode()).hexdigest()[:8], 16)
+        out[h // 2 % width] += 1 if h % 2 else -1
+    return out / (np.linalg.norm(out) or 1)
+
+
 def test_encoders(spark):
     df = spark.createDataFrame([("u", "old road", "dim", "road; wide road", "t"), ("v", None, None, None, None)], "u string, sat string, ntl string, sv string, poi_text string")
     got = {r.u: np.array(r.embedding) for r in encode.by_modality(df, "u", encode.encoder("hashed", width=8), 8).collect()}
     assert len(got["u"]) == 32 and abs(np.linalg.norm(got["u"][:8]) - 1) < 1e-9
-    want = (np.array(encode.hashed_vector("road", 8, 42)) + np.array(encode.hashed_vector("wide road", 8, 42))) / 2
+    want = (np.array(hashed_vector("road", 8)) + np.array(hashed_vector("wide road", 8))) / 2
     assert np.allclose(got["u"][16:24], want)
-    assert np.allclose(got["v"][:8], encode.hashed_vector("[no satellite evidence]", 8, 42))
+    assert np.allclose(got["v"][:8], hashed_vector("[no satellite evidence]", 8))
+    odd = ["", " ; ", "one", "Ünïcode wörter, ßcharf", "a b a b a b", "x " * 3000, None]
+    df = spark.createDataFrame(list(enumerate(odd)), "k int, t string").select("k", encode.hashed(5)(F.col("t")).alias("v"))
+    assert all(np.allclose(r.v, hashed_vector(odd[r.k] or "", 5)) for r in df.collect())
     with pytest.raises(ValueError):
         encode.encoder("none")
     m = spark.range(1).select(encode.masked_mean(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))), F.array(F.lit(0), F.lit(1)))).first()[0]
