@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass, fields, replace
 
@@ -48,15 +47,16 @@ DIAGNOSTICS = {"name": "diagnostics", "use_coordinates": True, "use_indicators":
 
 
 def manifest(path: str, base_dir: str | None = None) -> tuple[list[RunConfig], dict[str, str]]:
-    """The runs of a JSON file, {"defaults": {...}, "runs": [{...}, ...], "paths": {...}}, and its paths, which lie under the
-    base folder (the file's own if none is given) unless they are absolute."""
-    with open(path) as f:
-        found = json.load(f)
+    """The runs of a file of JSON or YAML, {"defaults": {...}, "runs": [{...}, ...], "paths": {...}}, and its paths, which lie
+    under the base folder (the file's own if none is given) unless they are absolute."""
+    from areasignal import settings_files
+
+    found = settings_files.read(path)
     base = base_dir or os.path.dirname(os.path.abspath(path))
-    runs = [RunConfig.of(found.get("defaults", {}), layer) for layer in found["runs"]]
+    runs = [RunConfig.of(found.get("defaults") or {}, layer) for layer in found["runs"]]
     if len({r.name for r in runs}) < len(runs):
         raise ValueError("runs of one name")
-    return runs, {k: p if os.path.isabs(p) or "://" in p else os.path.join(base, p) for k, p in found.get("paths", {}).items()}
+    return runs, {k: p if os.path.isabs(p) or "://" in p else os.path.join(base, p) for k, p in (found.get("paths") or {}).items()}
 
 
 def even(size: int) -> int:
