@@ -8,17 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areasignal.functions.geo import hashed_unit
+from areasignal.session import written
 
 
-def group_folds(df: DataFrame, group: str, stratum: str, n: int = 5) -> DataFrame:
+#: Groups that are dealt one by one, and bundles that all further ones are put into.
+GROUPS, BUNDLES = 100_000, 10_000
+
+
+def group_folds(df: DataFrame, group: str, stratum: str, n: int = 5, most: int = GROUPS, bundles: int = BUNDLES) -> DataFrame:
     """group and fold: every group in one fold, strata as even over folds as greedy assignment makes them.
 
-    What reaches the driver is a count for each group and stratum (groups are areas: hundreds to some hundred thousands).
     Groups go in falling order of their spread over strata to the fold whose strata then differ least; ties go by the size
-    and the name of a group, and to the fold that has least.
+    and the name of a group, and to the fold that has least. What reaches the driver is a count for each stratum of at most
+    `most` groups and `bundles` bundles: of more groups, those of the least spread are put together by hash of their name,
+    and each bundle is dealt like a group.
     """
+    counted = written(df.groupBy(group, stratum).agg(F.count("*").alias("_n")))
+    if counted.select(group).distinct().count() <= most:
+        return _dealt(counted, group, stratum, n)
+    kinds, each = counted.select(stratum).distinct().count(), F.col("_n").cast("double")
+    sizes = counted.groupBy(group).agg(F.round(F.sum(each * each) - F.sum(each) ** 2 / kinds, 6).alias("_spread"), F.sum("_n").alias("_size"))
+    alone = sizes.orderBy(F.desc("_spread"), F.desc("_size"), F.col(group).cast("string")).limit(most).select(group, F.lit(True).alias("_alone"))
+    bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64(group), F.lit(bundles)))
+    items = written(counted.join(alone, group, "left").withColumn("_item", F.when(F.col("_alone"), F.concat(F.lit("group "), group)).otherwise(bundle)))
+    dealt = _dealt(items.groupBy("_item", stratum).agg(F.sum("_n").alias("_n")), "_item", stratum, n)
+    return items.select(group, "_item").distinct().join(dealt, "_item").select(group, "fold")
+
+
+def _dealt(counted: DataFrame, group: str, stratum: str, n: int) -> DataFrame:
+    """group and fold by the greedy rule, from _n by group and stratum of a bounded number of groups."""
     counts: dict[object, dict[object, int]] = defaultdict(dict)
-    for r in df.groupBy(group, stratum).agg(F.count("*").alias("n")).collect():
+    for r in counted.select(group, stratum, "_n").collect():
         counts[r[0]][r[1]] = r[2]
     strata = sorted({s for c in counts.values() for s in c}, key=str)
     total = {s: sum(c.get(s, 0) for c in counts.values()) for s in strata}
@@ -34,8 +54,8 @@ def group_folds(df: DataFrame, group: str, stratum: str, n: int = 5) -> DataFram
         for s, c in counts[g].items():
             filled[k][s] += c
         out.append((g, k))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(out, f"`{group}` {kind}, fold int")
+    kind = counted.schema[group].dataType.simpleString()
+    return counted.sparkSession.createDataFrame(out, f"`{group}` {kind}, fold int")
 
 
 def stratified_split(df: DataFrame, unit: str, label: str, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42, group: str | None = None) -> DataFrame:

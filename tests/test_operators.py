@@ -92,6 +92,14 @@ def test_images_units_and_folds(spark):
     made = units.join(folds.group_folds(units, "g", "s", 4), "g")
     assert made.groupBy("g").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
     assert sorted(r["count"] for r in made.groupBy("fold").count().collect()) == [30] * 4
+    # One group of a third of all rows, 2,000 small ones: most of them are dealt in bundles.
+    rows = spark.range(9000).select(F.when(F.col("id") < 3000, -1).otherwise(F.col("id") % 2000).alias("g"), (F.col("id") % 3).alias("s"))
+    dealt = folds.group_folds(rows, "g", "s", 4, most=50, bundles=100)
+    again = folds.group_folds(rows.repartition(7), "g", "s", 4, most=50, bundles=100)
+    assert sorted(dealt.collect()) == sorted(again.collect()) and dealt.count() == dealt.select("g").distinct().count() == 2001
+    by = {(r.fold, r.s): r["count"] for r in rows.where("g >= 0").join(dealt, "g").groupBy("fold", "s").count().collect()}
+    alone = dealt.where("g = -1").first().fold
+    assert all(abs(by[k, s] - 2000 / 3) < 70 for k in range(4) if k != alone for s in range(3)) and not any(by.get((alone, s), 0) > 200 for s in range(3))
 
 
 def test_imputing_vectors_and_bins(spark):
