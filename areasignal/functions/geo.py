@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,6 +113,11 @@ def tier(ratio: Column, free: float = 6.0, some: float = 3.5, most: int = 8) ->
     return F.when(ratio >= free, -1).when(ratio >= some, most).otherwise(0)
 
 
+def named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def hashed_unit(*parts: Column) -> Column:
     """A number in [0, 1) from the MD5 of the parts: the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("_", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -165,35 +170,46 @@ SHIFT = {"tx": -446.448, "ty": 125.157, "tz": -542.060, "s": 20.4894e-6, "rx": -
 
 
 def national_grid(lat: Column, lon: Column) -> Column:
-    """Easting x and northing y in metres (EPSG:27700, within some metres) of WGS84 degrees."""
+    """Easting x and northing y in metres (EPSG:27700, within some metres) of WGS84 degrees; null if either is.
+
+    Each step's values are named, so the expression stays small however often the next step uses them.
+    """
     sin, cos, lit = F.sin, F.cos, F.lit
-    a, e2 = 6378137.0, 0.00669437999014
-    la, lo = F.radians(lat), F.radians(lon)
-    nu = lit(a) / F.sqrt(1 - e2 * sin(la) * sin(la))
-    x, y, z = nu * cos(la) * cos(lo), nu * cos(la) * sin(lo), nu * (1 - e2) * sin(la)
-    turn = lambda s: SHIFT[s] / 3600 * 3.141592653589793 / 180
-    k = 1 + SHIFT["s"]
-    x2 = SHIFT["tx"] + x * k - y * turn("rz") + z * turn("ry")
-    y2 = SHIFT["ty"] + x * turn("rz") + y * k - z * turn("rx")
-    z2 = SHIFT["tz"] - x * turn("ry") + y * turn("rx") + z * k
-    b2 = GRID["b"] ** 2
-    e = 1 - b2 / GRID["a"] ** 2
-    p = F.sqrt(x2 * x2 + y2 * y2)
-    phi = F.atan2(z2, p * (1 - e))
-    for _ in range(3):
-        v = GRID["a"] / F.sqrt(1 - e * sin(phi) * sin(phi))
-        phi = F.atan2(z2 + e * v * sin(phi), p)
-    lam, n = F.atan2(y2, x2), (GRID["a"] - GRID["b"]) / (GRID["a"] + GRID["b"])
-    p0 = GRID["lat0"] * 3.141592653589793 / 180
-    d, s = phi - p0, phi + p0
-    arc = GRID["b"] * GRID["f0"] * ((1 + n + 1.25 * n**2 + 1.25 * n**3) * d - (3 * n + 3 * n**2 + 21 / 8 * n**3) * sin(d) * cos(s) + (15 / 8 * n**2 + 15 / 8 * n**3) * sin(2 * d) * cos(2 * s) - 35 / 24 * n**3 * sin(3 * d) * cos(3 * s))
-    v = GRID["a"] * GRID["f0"] / F.sqrt(1 - e * sin(phi) * sin(phi))
-    rho = GRID["a"] * GRID["f0"] * (1 - e) / F.pow(1 - e * sin(phi) * sin(phi), 1.5)
-    eta, t, c = v / rho - 1, F.tan(phi), cos(phi)
-    w = lam - GRID["lon0"] * 3.141592653589793 / 180
-    north = arc + GRID["n0"] + v / 2 * sin(phi) * c * F.pow(w, 2) + v / 24 * sin(phi) * F.pow(c, 3) * (5 - t * t + 9 * eta) * F.pow(w, 4) + v / 720 * sin(phi) * F.pow(c, 5) * (61 - 58 * t * t + F.pow(t, 4)) * F.pow(w, 6)
-    east = GRID["e0"] + v * c * w + v / 6 * F.pow(c, 3) * (v / rho - t * t) * F.pow(w, 3) + v / 120 * F.pow(c, 5) * (5 - 18 * t * t + F.pow(t, 4) + 14 * eta - 58 * t * t * eta) * F.pow(w, 5)
-    return F.struct(east.alias("x"), north.alias("y"))
+    pair = lambda **parts: F.struct(*(c.alias(k) for k, c in parts.items()))
+    e = 1 - GRID["b"] ** 2 / GRID["a"] ** 2
+    n, p0 = (GRID["a"] - GRID["b"]) / (GRID["a"] + GRID["b"]), GRID["lat0"] * 3.141592653589793 / 180
+
+    def earth_centred(g: Column) -> Column:
+        a, e2 = 6378137.0, 0.00669437999014
+        nu = lit(a) / F.sqrt(1 - e2 * sin(g["la"]) * sin(g["la"]))
+        return pair(x=nu * cos(g["la"]) * cos(g["lo"]), y=nu * cos(g["la"]) * sin(g["lo"]), z=nu * (1 - e2) * sin(g["la"]))
+
+    def shifted(c: Column) -> Column:
+        turn = lambda s: SHIFT[s] / 3600 * 3.141592653589793 / 180
+        k, x, y, z = 1 + SHIFT["s"], c["x"], c["y"], c["z"]
+        return pair(x=SHIFT["tx"] + x * k - y * turn("rz") + z * turn("ry"), y=SHIFT["ty"] + x * turn("rz") + y * k - z * turn("rx"), z=SHIFT["tz"] - x * turn("ry") + y * turn("rx") + z * k)
+
+    def latitude(c: Column) -> Column:
+        p = F.sqrt(c["x"] * c["x"] + c["y"] * c["y"])
+        nearer = lambda f: F.atan2(c["z"] + e * GRID["a"] / F.sqrt(1 - e * sin(f) * sin(f)) * sin(f), p)
+        start = F.atan2(c["z"], p * (1 - e))
+        return pair(phi=F.aggregate(F.sequence(lit(1), lit(3)), start, lambda f, _: nearer(f)), w=F.atan2(c["y"], c["x"]) - GRID["lon0"] * 3.141592653589793 / 180)
+
+    def projected(g: Column) -> Column:
+        phi, w = g["phi"], g["w"]
+        d, s = phi - p0, phi + p0
+        arc = GRID["b"] * GRID["f0"] * ((1 + n + 1.25 * n**2 + 1.25 * n**3) * d - (3 * n + 3 * n**2 + 21 / 8 * n**3) * sin(d) * cos(s) + (15 / 8 * n**2 + 15 / 8 * n**3) * sin(2 * d) * cos(2 * s) - 35 / 24 * n**3 * sin(3 * d) * cos(3 * s))
+        v = GRID["a"] * GRID["f0"] / F.sqrt(1 - e * sin(phi) * sin(phi))
+        ratio = (1 - e * sin(phi) * sin(phi)) / (1 - e)
+        eta, t, c = ratio - 1, F.tan(phi), cos(phi)
+        north = arc + GRID["n0"] + v / 2 * sin(phi) * c * F.pow(w, 2) + v / 24 * sin(phi) * F.pow(c, 3) * (5 - t * t + 9 * eta) * F.pow(w, 4) + v / 720 * sin(phi) * F.pow(c, 5) * (61 - 58 * t * t + F.pow(t, 4)) * F.pow(w, 6)
+        east = GRID["e0"] + v * c * w + v / 6 * F.pow(c, 3) * (ratio - t * t) * F.pow(w, 3) + v / 120 * F.pow(c, 5) * (5 - 18 * t * t + F.pow(t, 4) + 14 * eta - 58 * t * t * eta) * F.pow(w, 5)
+        return pair(x=east, y=north)
+
+    at = pair(la=F.radians(lat), lo=F.radians(lon))
+    for step in (earth_centred, shifted, latitude, projected):
+        at = named(at, step)
+    return F.when(lat.isNotNull() & lon.isNotNull(), at)
 
 
 def pixel(x: Column, y: Column, left: float, top: float, size_x: float, size_y: float, width: int, height: int) -> Column:

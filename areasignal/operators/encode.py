@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from areasignal.functions.geo import named
 from areasignal.functions.text import NO_EVIDENCE, split_segment
 from areasignal.functions.vectors import MODALITIES
 from areasignal.operators.tables import mean_vector
@@ -15,11 +16,6 @@ from areasignal.operators.tables import mean_vector
 Encoder = Callable[[Column], Column]
 
 
-def _named(value: Column, then: Callable[[Column], Column]) -> Column:
-    """An expression of a value that is worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def hashed(width: int = 64, seed: int = 42) -> Encoder:
     """Words and pairs of words counted with a sign at places by MD5, scaled to length 1; zeros of a null text or one
     without words. Built-ins alone: it stands where a language model would."""
@@ -34,12 +30,12 @@ def hashed(width: int = 64, seed: int = 42) -> Encoder:
 
     def scaled(sums: Column) -> Column:
         length = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-        return _named(length, lambda n: F.transform(sums, lambda x: F.when(n > 0, x / n).otherwise(x)))
+        return named(length, lambda n: F.transform(sums, lambda x: F.when(n > 0, x / n).otherwise(x)))
 
     def encode(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
         pairs = lambda w: F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
-        return _named(_named(words, lambda w: counted(F.concat(w, pairs(w)))), scaled)
+        return named(named(words, lambda w: counted(F.concat(w, pairs(w)))), scaled)
 
     return encode
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from areasignal.functions import geo, text, vectors
@@ -69,6 +71,32 @@ def points_by_outline(spark, sf_dir):
     return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("point").alias("points"))
 
 
+def _grid_sql() -> str:
+    """Places to the national grid in SQL: one step of the projection in each common table."""
+    a, b, s, g = 6378137.0, geo.GRID["b"], geo.SHIFT, geo.GRID
+    e2, e, n, p0 = 0.00669437999014, 1 - (b / g["a"]) ** 2, (g["a"] - b) / (g["a"] + b), math.radians(g["lat0"])
+    c = lambda x: f"({x!r})::DOUBLE"
+    turn = {k: c(math.radians(s[k] / 3600)) for k in ("rx", "ry", "rz")}
+    k = c(1 + s["s"])
+    back = lambda i: f", f{i} AS (SELECT id, x, y, z, r, atan2(z + {c(e * g['a'])} / sqrt(1 - {c(e)} * sin(phi) * sin(phi)) * sin(phi), r) AS phi FROM f{i - 1})"
+    arc = f"{c(b * g['f0'])} * ({c(1 + n + 1.25 * n**2 + 1.25 * n**3)} * d - {c(3 * n + 3 * n**2 + 2.625 * n**3)} * sin(d) * cos(s) + {c(1.875 * (n**2 + n**3))} * sin(2 * d) * cos(2 * s) - {c(35 / 24 * n**3)} * sin(3 * d) * cos(3 * s))"
+    return f"""WITH p AS (SELECT c_custkey AS id, radians(50 + c_custkey * 37 % 1000 / 125.0::DOUBLE) AS la, radians(c_custkey * 53 % 997 / 150.0::DOUBLE - 5) AS lo FROM customer),
+q AS (SELECT *, {c(a)} / sqrt(1 - {c(e2)} * sin(la) * sin(la)) AS nu FROM p), o AS (SELECT id, nu * cos(la) * cos(lo) AS x, nu * cos(la) * sin(lo) AS y, nu * {c(1 - e2)} * sin(la) AS z FROM q),
+h AS (SELECT id, {c(s['tx'])} + x * {k} - y * {turn['rz']} + z * {turn['ry']} AS x, {c(s['ty'])} + x * {turn['rz']} + y * {k} - z * {turn['rx']} AS y, {c(s['tz'])} - x * {turn['ry']} + y * {turn['rx']} + z * {k} AS z FROM o),
+f0 AS (SELECT *, sqrt(x * x + y * y) AS r, atan2(z, sqrt(x * x + y * y) * {c(1 - e)}) AS phi FROM h){back(1)}{back(2)}{back(3)},
+t AS (SELECT id, sin(phi) AS si, cos(phi) AS co, tan(phi) ** 2 AS t2, phi - {c(p0)} AS d, phi + {c(p0)} AS s, atan2(y, x) - {c(math.radians(g['lon0']))} AS w, {c(g['a'] * g['f0'])} / sqrt(1 - {c(e)} * sin(phi) * sin(phi)) AS v, {c(1 - e)} / (1 - {c(e)} * sin(phi) * sin(phi)) AS ratio FROM f3)
+SELECT id, round({c(g['e0'])} + v * co * w + v / 6 * co ** 3 * (1 / ratio - t2) * w ** 3 + v / 120 * co ** 5 * (5 - 18 * t2 + t2 * t2 + 14 * (1 / ratio - 1) - 58 * t2 * (1 / ratio - 1)) * w ** 5, 3) AS easting,
+round({arc} + {c(g['n0'])} + v / 2 * si * co * w ** 2 + v / 24 * si * co ** 3 * (5 - t2 + 9 * (1 / ratio - 1)) * w ** 4 + v / 720 * si * co ** 5 * (61 - 58 * t2 + t2 * t2) * w ** 6, 3) AS northing FROM t"""
+
+
+@query(_grid_sql())
+def places_on_grid(spark, sf_dir):
+    """Customers' places (degrees) as easting and northing in metres."""
+    k = F.col("c_custkey")
+    at = table(spark, sf_dir, "customer").select(k.alias("id"), geo.national_grid(50 + k * 37 % 1000 / 125.0, k * 53 % 997 / 150.0 - 5).alias("at"))
+    return at.select("id", F.round("at.x", 3).alias("easting"), F.round("at.y", 3).alias("northing"))
+
+
 MEANS = EDGES + UNIT_VALUES + ", lag AS (SELECT src AS unit_id, avg(quantity) AS q, avg(discount) AS d FROM edges JOIN vals ON vals.unit_id = dst GROUP BY src)"
 
 
