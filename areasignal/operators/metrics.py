@@ -58,17 +58,27 @@ def _rho(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("_ry"), F.col("_rp")).alias("rho"))
 
 
-def spearman(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, n and rho of pairs without nulls."""
-    return _rho(_pairs(df, y, p, keys), keys)
+def _with_few(found: DataFrame, df: DataFrame, keys: Sequence[str], few: float | None) -> DataFrame:
+    """found with a row for each of df's keys: rho is `few` of fewer than two pairs, mae and rmse are of none."""
+    if few is None:
+        return found
+    found = (df.select(*keys).distinct().join(found, list(keys), "left") if keys else found).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    least = {"rho": 2, "mae": 1, "rmse": 1}
+    return found.withColumns({c: F.when(F.col("n") < k, F.lit(few)).otherwise(F.col(c)) for c, k in least.items() if c in found.columns})
 
 
-def scores(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, n, rho, r2, pearson, mae and rmse."""
+def spearman(df: DataFrame, y: str, p: str, keys: Sequence[str] = (), few: float | None = None) -> DataFrame:
+    """keys, n and rho of pairs without nulls. few: rho of keys with fewer than two (none at all included); else these are null,
+    and keys without pairs left out. Constants have no rho."""
+    return _with_few(_rho(_pairs(df, y, p, keys), keys), df, keys, few)
+
+
+def scores(df: DataFrame, y: str, p: str, keys: Sequence[str] = (), few: float | None = None) -> DataFrame:
+    """keys, n, rho, r2, pearson, mae and rmse. few: as of spearman, and mae and rmse of keys without pairs."""
     pairs, a, b = _pairs(df, y, p, keys), F.col("_y"), F.col("_p2")
     plain = pairs.groupBy(*keys).agg(r_squared(a, b).alias("r2"), correlation(a, b).alias("pearson"), F.avg(F.abs(a - b)).alias("mae"), F.sqrt(F.avg((a - b) ** 2)).alias("rmse"))
     rho = _rho(pairs, keys)
-    return rho.join(plain, list(keys)) if keys else rho.crossJoin(plain)  # one row each
+    return _with_few(rho.join(plain, list(keys)) if keys else rho.crossJoin(plain), df, keys, few)  # one row each
 
 
 def unpivoted(df: DataFrame, ids: Sequence[str], domains: Sequence[str], pred: str = "pred_", target: str = "target_") -> DataFrame:

@@ -59,6 +59,16 @@ def macro_metrics(spark, sf_dir):
     return rounded(metrics.macro(long(spark, sf_dir)), "macro_rho", "macro_r2")
 
 
+@query(
+    "WITH pairs AS (SELECT l_orderkey AS id, l_quantity AS y, l_tax * 100 AS p FROM lineitem WHERE l_linenumber > 1)" + rho("id", "pairs")
+    + " SELECT id, coalesce(n, 0) AS n, round(CASE WHEN coalesce(n, 0) < 2 THEN 0 ELSE rho END, 6) AS rho, round(coalesce(mae, 0), 6) AS mae, round(coalesce(rmse, 0), 6) AS rmse FROM (SELECT DISTINCT l_orderkey AS id FROM lineitem) LEFT JOIN rho USING (id)"
+)
+def scores_of_few_pairs(spark, sf_dir):
+    """Scores within each order, of which the first lines have no prediction: 0 where there are too few pairs."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("y"), F.when(F.col("l_linenumber") > 1, F.col("l_tax") * 100).alias("p"))
+    return rounded(metrics.scores(rows, "y", "p", ["id"], few=0.0).select("id", "n", "rho", "mae", "rmse"), "rho", "mae", "rmse")
+
+
 @query(ctes("obs") + LONG + rho("domain", "long") + " SELECT domain, n, round(rho, 6) AS rho, round(r2, 6) AS r2, round(pearson, 6) AS pearson, round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM rho")
 def regression_report(spark, sf_dir):
     return rounded(metrics.scores(long(spark, sf_dir), "y", "p", ["domain"]), "rho", "r2", "pearson", "mae", "rmse")

@@ -59,6 +59,18 @@ def test_target_lag_never_reads_its_own_fold(spark):
     assert lag(rows)[0, 0] == 1.0 and lag(rows)[0, 1] == 3.0  # no neighbour outside: the mean of all outside
 
 
+def test_scores_of_few_pairs(spark):
+    rows = [("none", None, 1.0), ("one", 2.0, 5.0), ("two", 1.0, 2.0), ("two", 3.0, 4.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, y double, p double")
+    got = {r.k: (r.n, r.rho, r.mae, r.rmse) for r in metrics.scores(df, "y", "p", ["k"], few=0.0).collect()}
+    assert got == {"none": (0, 0.0, 0.0, 0.0), "one": (1, 0.0, 3.0, 3.0), "two": (2, 1.0, 1.0, 1.0), "flat": (2, None, 1.5, 2.5**0.5)}
+    assert {r.k: r.rho for r in metrics.spearman(df, "y", "p", ["k"]).collect()} == {"one": None, "two": 1.0, "flat": None}
+    r = metrics.scores(df.where("false"), "y", "p", few=0.0).first()
+    assert (r.n, r.rho, r.rmse, r.r2) == (0, 0.0, 0.0, None)
+    whole = spark.createDataFrame([(1, 0.5), (2, 0.5), (2, 3.0)], "y int, p double")  # of two types
+    assert abs(metrics.spearman(whole, "y", "p").first().rho - 0.5) < 1e-12
+
+
 def test_ranks_and_scores(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 2.0), ("a", 2.0, 5.0), ("a", None, 1.0), ("b", 1.0, 1.0), ("b", 1.0, 3.0)], "k string, y double, p double")
     ranks = metrics.average_rank(df, "y", ["k"]).where("k = 'a'").orderBy("y", "p").select("rank").collect()
