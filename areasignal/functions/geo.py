@@ -212,6 +212,27 @@ def national_grid(lat: Column, lon: Column) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull(), at)
 
 
+#: Half of the width of the web Mercator plane (EPSG:3857) over 180 degrees, in metres a degree; the latitude where it ends.
+MERCATOR, MERCATOR_END = 20037508.342789244 / 180, 85.0511287798066
+
+
+def web_mercator(lat: Column, lon: Column) -> Column:
+    """x and y in metres (EPSG:3857) of degrees; latitudes beyond the plane's ends are put on them, a null stays null."""
+    within = F.when(lat.isNotNull(), F.greatest(F.least(lat, F.lit(MERCATOR_END)), F.lit(-MERCATOR_END)))
+    return F.struct((lon * MERCATOR).alias("x"), (F.degrees(F.log(F.tan(F.radians(45 + within / 2)))) * MERCATOR).alias("y"))
+
+
+def from_web_mercator(x: Column, y: Column) -> Column:
+    """lat and lon in degrees of metres (EPSG:3857)."""
+    return F.struct((F.degrees(F.atan(F.exp(F.radians(y / MERCATOR)))) * 2 - 90).alias("lat"), (x / MERCATOR).alias("lon"))
+
+
+def in_plane(rings: Column, projected: bool) -> Column:
+    """Rings to draw places from: as they are if their coordinates are projected ones, else (degrees, x the longitude) in web
+    Mercator. Places drawn there go back by `from_web_mercator`."""
+    return rings if projected else F.transform(rings, lambda ring: F.transform(ring, lambda p: web_mercator(p["y"], p["x"])))
+
+
 def pixel(x: Column, y: Column, left: float, top: float, size_x: float, size_y: float, width: int, height: int) -> Column:
     """col, row and whether they are inside a raster."""
     col, row = F.floor((x - left) / size_x).cast("int"), F.floor((top - y) / size_y).cast("int")

@@ -97,6 +97,17 @@ def places_on_grid(spark, sf_dir):
     return at.select("id", F.round("at.x", 3).alias("easting"), F.round("at.y", 3).alias("northing"))
 
 
+@query("""WITH p AS (SELECT c_custkey AS id, c_custkey * 37 % 1800 / 10.0::DOUBLE - 90 AS lat, c_custkey * 53 % 3600 / 10.0::DOUBLE - 180 AS lon FROM customer),
+m AS (SELECT id, 6378137 * radians(lon) AS x, 6378137 * ln(tan(pi() / 4 + radians(greatest(-85.0511287798066::DOUBLE, least(85.0511287798066::DOUBLE, lat))) / 2)) AS y, greatest(-85.0511287798066::DOUBLE, least(85.0511287798066::DOUBLE, lat)) AS lat, lon FROM p)
+SELECT id, round(x, 3) AS x, round(y, 3) AS y, round(lat, 6) AS lat, round(lon, 6) AS lon FROM m""")
+def places_in_plane(spark, sf_dir):
+    """Customers' places in the plane that points are drawn in where coordinates are degrees, and back in degrees."""
+    k = F.col("c_custkey")
+    at = table(spark, sf_dir, "customer").select(k.alias("id"), geo.web_mercator(k * 37 % 1800 / 10.0 - 90, k * 53 % 3600 / 10.0 - 180).alias("at"))
+    back = at.withColumn("back", geo.from_web_mercator(F.col("at.x"), F.col("at.y")))
+    return back.select("id", *(F.round(f"at.{c}", 3).alias(c) for c in "xy"), *(F.round(f"back.{c}", 6).alias(c) for c in ("lat", "lon")))
+
+
 MEANS = EDGES + UNIT_VALUES + ", lag AS (SELECT src AS unit_id, avg(quantity) AS q, avg(discount) AS d FROM edges JOIN vals ON vals.unit_id = dst GROUP BY src)"
 
 

@@ -40,6 +40,17 @@ def test_random_points_are_inside_and_repeat(spark):
     assert draw() == draw() and len(draw()) == 9 and all(0 <= x <= 4 and 0 <= y <= 4 for _, _, x, y in draw())
 
 
+def test_points_drawn_in_a_plane(spark):
+    degrees = [[{"x": x, "y": y} for x, y in ((-4.5, 55.8), (-4.0, 55.8), (-4.0, 56.0), (-4.5, 56.0))]]
+    df = spark.createDataFrame([("a", degrees)], f"u string, rings {shapes.RINGS}")
+    flat = df.select("u", geo.in_plane(F.col("rings"), False).alias("rings"))
+    back = geo.from_web_mercator(F.col("x"), F.col("y"))
+    got = [r.p for r in geo.random_points(flat, "u", "rings", 40).select(back.alias("p")).collect()]
+    assert len(got) == 40 and all(55.8 <= p.lat <= 56.0 and -4.5 <= p.lon <= -4.0 for p in got)
+    assert df.select(geo.in_plane(F.col("rings"), True).alias("r")).first().r[0][0].x == -4.5
+    assert spark.range(1).select(geo.web_mercator(F.lit(None).cast("double"), F.lit(1.0)).alias("m")).first().m.y is None
+
+
 def hashed_vector(text, width, seed=42):
     """Words and pairs of words one by one, as a check on the expression of columns."""
     words = re.findall(r"\w+", text.lower())
