@@ -14,12 +14,12 @@ from areasignal.operators.encode import widened
 from areasignal.session import written
 
 
-def run(config: RunConfig, units: DataFrame, unit: str, targets: Sequence[str], edges: DataFrame, blocks: dict[str, list[str]], embedding: tuple[str, int] | None = None) -> DataFrame:
-    """unit, fold and pred_<target> of one run.
+def assembled(config: RunConfig, units: DataFrame, unit: str, targets: Sequence[str], edges: DataFrame, blocks: dict[str, list[str]], embedding: tuple[str, int] | None = None) -> tuple[DataFrame, list[str], list[tuple[str, int, int]]]:
+    """The rows of a run with all its features, their columns in order, and where each block starts and ends among them.
 
     units has a row for each unit with fold, targets, the columns of the blocks (poi, coordinates, indicators, ratios) and an
     embedding (column and width of a modality). Lags of features read all units, lags of targets only other folds, means for
-    nulls only other folds; each model is fitted without the fold it predicts.
+    nulls only other folds.
     """
     folds = list(range(config.folds))
     rows, blocks = written(units), dict(blocks)
@@ -45,7 +45,12 @@ def run(config: RunConfig, units: DataFrame, unit: str, targets: Sequence[str],
         names = tables.select_columns(rows.columns, config.ratio_columns)
         full = tables.impute_by_fold(rows.select(unit, "fold", *names), "fold", names, folds).where("held_out = fold").drop("held_out", "fold")
         rows, blocks["ratios"] = rows.drop(*names).join(full, unit), names
-    features, _ = feature_blocks(config, blocks)
+    return rows, *feature_blocks(config, blocks)
+
+
+def run(config: RunConfig, units: DataFrame, unit: str, targets: Sequence[str], edges: DataFrame, blocks: dict[str, list[str]], embedding: tuple[str, int] | None = None) -> DataFrame:
+    """unit, fold and pred_<target> of one run (`assembled` says what it reads); each model is fitted without the fold it predicts."""
+    rows, features, _ = assembled(config, units, unit, targets, edges, blocks, embedding)
     rows = written(rows)  # fits read them several times
     if config.logit_target:
         rows = rows.withColumns({t: to_logit(F.col(t)) for t in targets})

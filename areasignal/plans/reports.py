@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from areasignal.config import RunConfig
 from areasignal.functions import geo
 from areasignal.operators import crossval, encode, metrics, perceive, replicates, resample, spatial, tables
-from areasignal.plans.areas import EDGES, edges, polygons
+from areasignal.plans.areas import EDGES, UNIT_VALUES, edges, polygons, unit_values
 from areasignal.plans.base import DOMAINS, ctes, frame, query, table
 from areasignal.plans.evidence import SEGMENTS, segments
 from areasignal.plans.scores import BANDS, LISA, LONG, OOF, REPORT_TIMES, X, Y, cross_domain_corr, draws, features, long, oof, rho, rounded, significant
@@ -155,6 +155,22 @@ def run_tables(spark, sf_dir):
     return rows, {"poi": X, "coordinates": ["x", "y"]}
 
 
+@query(
+    ctes("units") + EDGES + UNIT_VALUES + """, lag AS (SELECT src AS unit_id, avg(quantity) AS q, avg(discount) AS d FROM edges JOIN vals ON vals.unit_id = dst GROUP BY src),
+w AS (SELECT unit_id, fold, quantity + discount AS poi, quantity - coalesce(q, quantity) + discount - coalesce(d, discount) AS gap, (x + y)::DOUBLE AS place, CASE WHEN unit_id % 7 > 0 THEN balance END AS b FROM units JOIN vals USING (unit_id) LEFT JOIN lag USING (unit_id)),
+m AS (SELECT f AS fold, avg(b) AS other FROM w, range(5) AS r(f) WHERE fold <> f GROUP BY f)
+SELECT unit_id, unnest(['poi', 'ego_gap', 'coordinates', 'ratios']) AS block, unnest([0, 2, 4, 6]) AS first, unnest([2, 4, 6, 7]) AS past, unnest([round(poi, 6), round(gap, 6), round(place, 6), round(coalesce(b, other, 0), 6)]) + 0.0 AS total FROM w LEFT JOIN m USING (fold)"""
+)
+def feature_layout(spark, sf_dir):
+    """The features that a run's settings put together: where each block starts and ends, and what it adds up to for a unit."""
+    units = frame(spark, sf_dir, "units").select("unit_id", F.col("fold").cast("int").alias("fold"), "x", "y", F.when(F.col("unit_id") % 7 > 0, F.col("balance")).alias("balance_mean"))
+    rows = units.join(unit_values(spark, sf_dir), "unit_id")
+    config = RunConfig.of({"use_target_lag": False, "use_coordinates": True, "ratio_columns": ["mean"]})
+    made, columns, slices = crossval.assembled(config, rows, "unit_id", [], written(edges(spark, sf_dir)), {"poi": ["quantity", "discount"], "coordinates": ["x", "y"]})
+    parts = [F.struct(F.lit(n).alias("block"), F.lit(a).alias("first"), F.lit(b).alias("past"), (F.round(sum((F.col(c).cast("double") for c in columns[a:b]), F.lit(0.0)), 6) + 0.0).alias("total")) for n, a, b in slices]
+    return made.select("unit_id", F.explode(F.array(*parts)).alias("p")).select("unit_id", "p.*")
+
+
 @query()
 def run_from_settings(spark, sf_dir):
     """Summaries of a run that its settings describe: embedding of four blocks, one ablated, lags, ridge in log odds."""
