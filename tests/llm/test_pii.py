@@ -71,3 +71,9 @@ def test_masked(spark, docs, none):
 def test_long_texts_take_time_in_step():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "one " * 60_000, "@" * 200_000):
         pii.identifiers(text)
+
+
+@pytest.mark.parametrize("text", ["one two three four sİx", "uno sİx, nueve, cinq", "TRİPLE one two three four", "zwei trİple sıx sept one"])
+def test_letters_that_patterns_take_for_ascii_ones(text):
+    base, found = pii.identifiers(text + " a@b.co")
+    assert base == brute(text + " a@b.co") and set(base) <= set(found)
