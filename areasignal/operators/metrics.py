@@ -30,17 +30,23 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
     return df.join(value_ranks(df, value, keys, name), [*keys, value], "left")
 
 
+def varies(x: Column) -> Column:
+    """Whether there are two different values, as an aggregate."""
+    return F.min(x) < F.max(x)
+
+
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson's, as an aggregate; null if either is constant or there are fewer than two pairs."""
+    """Pearson's, as an aggregate; null if either is constant or there are fewer than two pairs. Constants are known by their ends:
+    the deviation of equal values isn't always 0 where it comes from several tasks."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    return F.when((F.count(x) > 1) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+    return F.when((F.count(x) > 1) & varies(x) & varies(y) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def r_squared(y: Column, p: Column) -> Column:
     """1 less the squared errors over the squares about the mean; null if y is constant."""
     both = y.isNotNull() & p.isNotNull()
-    return 1 - F.try_divide(F.sum((y - p) * (y - p)), F.nullif(F.var_pop(F.when(both, y)) * F.count_if(both), F.lit(0.0)))
+    return 1 - F.try_divide(F.sum((y - p) * (y - p)), F.when(varies(F.when(both, y)), F.nullif(F.var_pop(F.when(both, y)) * F.count_if(both), F.lit(0.0))))
 
 
 def _pairs(df: DataFrame, y: str, p: str, keys: Sequence[str]) -> DataFrame:

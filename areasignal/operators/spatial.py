@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areasignal.functions import geo
-from areasignal.operators import outlines, replicates
+from areasignal.operators import metrics, outlines, replicates
 from areasignal.session import written
 
 
@@ -146,7 +146,7 @@ def spaced(points: DataFrame, unit: str, order: str, metres: float, most: int, a
 def _centred(values: DataFrame, unit: str, value: str, by: Sequence[str]) -> DataFrame:
     """by, unit, z (the value less its mean), sd and n (of all units of a `by`), written once. Nulls are left out."""
     v = written(values.where(F.col(value).isNotNull()).select(*by, unit, F.col(value).cast("double").alias("z")))
-    m = v.groupBy(*by).agg(F.avg("z").alias("mean"), F.stddev_pop("z").alias("sd"), F.count("*").alias("n"))
+    m = v.groupBy(*by).agg(F.avg("z").alias("mean"), F.when(metrics.varies(F.col("z")), F.stddev_pop("z")).otherwise(0.0).alias("sd"), F.count("*").alias("n"))
     joined = v.join(m, list(by)) if by else v.crossJoin(F.broadcast(m))  # without keys one row
     return written(joined.select(*by, unit, (F.col("z") - F.col("mean")).alias("z"), "sd", "n"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from areasignal.config import RunConfig
 from areasignal.functions import geo
-from areasignal.operators import crossval, encode, perceive, spatial
+from areasignal.operators import crossval, encode, metrics, perceive, spatial
 from areasignal.sources import shapes
 
 
@@ -152,3 +152,10 @@ def test_scaler_is_saved(spark, tmp_path):
     again = tables.CountScaler.load(spark, str(tmp_path / "s"))
     assert again.columns == made.columns and again.moments == made.moments
     assert sorted(map(tuple, again.transform(df, "u", "k", "n").collect())) == sorted(map(tuple, made.transform(df, "u", "k", "n").collect()))
+
+
+def test_equal_values_of_several_tasks_are_constant(spark):
+    """The deviation of equal values isn't 0 where means are merged from tasks of such sizes."""
+    rows = spark.range(0, 2000, 1, 7).select((F.col("id") % 5).cast("double").alias("y"), (F.lit(5.457391304347826) + 0 * F.col("id")).alias("p"))
+    assert rows.agg(F.stddev_pop("p")).first()[0] > 0
+    assert tuple(rows.agg(metrics.correlation(F.col("y"), F.col("p")), metrics.r_squared(F.col("p"), F.col("y"))).first()) == (None, None)
