@@ -170,7 +170,9 @@ def cross_correlation(a: DataFrame, b: DataFrame, unit: str, left: Sequence[str]
 
 
 def signed(x: Column, digits: int = 4) -> Column:
-    return F.format_string(f"%+.{digits}f", x)
+    """A number as text with its sign, rounded as C's printf does: by its exact binary value, exact ties to even (Java's formatter
+    rounds the shortest decimal half up)."""
+    return F.udf(lambda v: None if v is None else f"{v:+.{digits}f}", "string")(x.cast("double"))
 
 
 def markdown(rows: list[dict], columns: Sequence[str]) -> str:

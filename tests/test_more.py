@@ -159,3 +159,10 @@ def test_equal_values_of_several_tasks_are_constant(spark):
     rows = spark.range(0, 2000, 1, 7).select((F.col("id") % 5).cast("double").alias("y"), (F.lit(5.457391304347826) + 0 * F.col("id")).alias("p"))
     assert rows.agg(F.stddev_pop("p")).first()[0] > 0
     assert tuple(rows.agg(metrics.correlation(F.col("y"), F.col("p")), metrics.r_squared(F.col("p"), F.col("y"))).first()) == (None, None)
+
+
+def test_signs_round_the_exact_binary_value(spark, con):
+    values = [0.03125, -0.03125, 0.09375, 1.00005, 2.00015, 0.00005, -0.00001, 123456.78905, 1e-9, 0.0]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select("v", metrics.signed(F.col("v")).alias("s"))
+    want = {v: con.execute("SELECT printf('%+.4f', ?::DOUBLE)", [v]).fetchall()[0][0] for v in values}
+    assert dict(rows.collect()) == {**want, None: None}
