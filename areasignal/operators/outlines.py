@@ -6,11 +6,11 @@ has more than a bounded number of them, and what is small looks at the cells of
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ from areasignal.session import ship, written
 
 #: How often a cover's border cells are split, and how far apart a point and an edge that count as touching may be.
 DEPTH, NEAR = 4, 1e-9
+#: Edges of the polygons that a task splits together.
+EDGES = 1 << 12
 
 
 def segments(polygons: DataFrame, polygon: str) -> DataFrame:
@@ -82,71 +84,139 @@ def contacts(polygons: DataFrame, polygon: str, size: float, tolerance: float =
     return pairs.union(pairs.select("dst", "src"))
 
 
+def _corners(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's rings the corners (a row each) that have both coordinates, and the number of their polygon and their ring."""
+    size = lambda a: pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+    rings = column.flatten()
+    points = rings.flatten()
+    x, y = (pc.struct_field(points, c) for c in "xy")
+    there = pc.and_(x.is_valid(), y.is_valid()).to_numpy(zero_copy_only=False)
+    ring = np.repeat(np.arange(len(rings)), size(rings))[there]
+    polygon = np.repeat(np.arange(len(column)), size(column))
+    return np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False)[there] for c in (x, y)], 1), polygon[ring], ring
+
+
 class _Rings:
-    """Edges of a polygon's rings for its cover."""
-
-    def __init__(self, rings: list):
-        ends, of = [], []
-        for i, ring in enumerate(rings or ()):
-            points = [(p["x"], p["y"]) for p in ring or () if p and p["x"] is not None and p["y"] is not None]
-            if len(points) >= 3:
-                ends.append(np.concatenate([np.roll(np.array(points), 1, 0), np.array(points)], 1))
-                of.append(np.full(len(points), i))
-        self.ends, self.of = (np.concatenate(ends), np.concatenate(of)) if ends else (np.zeros((0, 4)), np.zeros(0, int))
-
-    def crossing(self, at: np.ndarray, x: float, y: float, side: float) -> np.ndarray:
-        """Those of the edges that may come into a cell: their box meets it, and its corners aren't all on one side of them."""
-        e = self.ends[at]
-        slack = 1e-9 * (side + abs(x) + abs(y))
+    """Edges of the rings of many polygons, by polygon, for their covers. Rings of fewer than three corners have none."""
+
+    def __init__(self, column: pa.Array | list):
+        if not isinstance(column, pa.Array):  # the rings of one polygon
+            column = pa.array([column], pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+        at, polygon, ring = _corners(column)
+        _, first, back, n = np.unique(ring, return_index=True, return_inverse=True, return_counts=True)
+        before = np.arange(len(ring)) - 1
+        before[first] = first + n - 1  # the first corner's edge starts at the last one
+        kept = n[back] >= 3 if len(ring) else np.zeros(0, bool)
+        self.ends, self.of = np.concatenate([at[before], at], 1)[kept], polygon[kept]
+        self.count = np.bincount(self.of, minlength=len(column))
+        self.first = np.cumsum(self.count) - self.count
+
+    def crossing(self, edges: np.ndarray, x: np.ndarray, y: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Which of the edges may come into their cell: their box meets it, and its corners aren't all on one side of them."""
+        x1, y1, x2, y2 = self.ends[edges].T
+        slack = 1e-9 * (side + np.abs(x) + np.abs(y))
         left, low, right, high = x - slack, y - slack, x + side + slack, y + side + slack
-        meets = (np.minimum(e[:, 0], e[:, 2]) <= right) & (np.maximum(e[:, 0], e[:, 2]) >= left) & (np.minimum(e[:, 1], e[:, 3]) <= high) & (np.maximum(e[:, 1], e[:, 3]) >= low)
-        at, e = at[meets], e[meets]
-        cross = np.stack([(e[:, 2] - e[:, 0]) * (cy - e[:, 1]) - (e[:, 3] - e[:, 1]) * (cx - e[:, 0]) for cx in (left, right) for cy in (low, high)], 1)
-        return at[~((cross > 0).all(1) | (cross < 0).all(1))]
-
-    def holds(self, x: float, y: float) -> bool:
-        """Whether a point that is on no edge is in an odd number of rings: to the right of it lies an odd number of edges."""
-        e = self.ends
-        up = (e[:, 1] > y) != (e[:, 3] > y)
-        e = e[up]
-        return bool((e[:, 0] + (y - e[:, 1]) / (e[:, 3] - e[:, 1]) * (e[:, 2] - e[:, 0]) > x).sum() % 2)
-
-    def cover(self, size: float, depth: int = DEPTH) -> Iterator[tuple[int, int, int, bool]]:
-        """level, cx, cy and whether the cell lies inside; others are borders. At most 9 * 4^depth cells, mostly far fewer: cells that
-        no edge comes into aren't split, and those outside are left out."""
-        if not len(self.ends):
-            return
-        low, high = np.minimum(self.ends[:, :2], self.ends[:, 2:]).min(0), np.maximum(self.ends[:, :2], self.ends[:, 2:]).max(0)
-        if not (np.isfinite(low).all() and np.isfinite(high).all()):
+        meets = (np.minimum(x1, x2) <= right) & (np.maximum(x1, x2) >= left) & (np.minimum(y1, y2) <= high) & (np.maximum(y1, y2) >= low)
+        cross = np.stack([(x2 - x1) * (cy - y1) - (y2 - y1) * (cx - x1) for cx in (left, right) for cy in (low, high)])
+        return meets & ~((cross > 0).all(0) | (cross < 0).all(0))
+
+    def pairs(self, polygon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each of the polygons with each edge of it."""
+        n = self.count[polygon]
+        place = np.repeat(np.arange(len(polygon)), n)
+        return place, np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + self.first[polygon][place]
+
+    def holds(self, polygon: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which points that are on no edge are in an odd number of their polygon's rings: an odd number of edges lies to the right."""
+        out = np.zeros(len(polygon), bool)
+        for at in _parts(self.count[polygon]):
+            place, edge = self.pairs(polygon[at])
+            x1, y1, x2, y2 = self.ends[edge].T
+            px, py = x[at][place], y[at][place]
+            up = (y1 > py) != (y2 > py)
+            place, x1, y1, x2, y2, px, py = (v[up] for v in (place, x1, y1, x2, y2, px, py))
+            right = x1 + (py - y1) / (y2 - y1) * (x2 - x1) > px
+            out[at] = np.bincount(place[right], minlength=at.stop - at.start) % 2 == 1
+        return out
+
+    def covers(self, size: float, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, ...]]:
+        """polygon, level, cx, cy and whether the cell lies inside, as arrays; other cells are borders. At most 9 * 4^depth cells a
+        polygon, mostly far fewer: cells that no edge comes into aren't split, and those outside are left out. All polygons of a
+        part are split together, level by level."""
+        some = np.flatnonzero(self.count)
+        if not len(some):
             return
-        top = max(0, math.ceil(math.log2(max((high - low).max() / size, 1.0))))
+        ends, first = self.ends, self.first[some]
+        low = np.minimum.reduceat(np.minimum(ends[:, :2], ends[:, 2:]), first)
+        high = np.maximum.reduceat(np.maximum(ends[:, :2], ends[:, 2:]), first)
+        finite = np.isfinite(low).all(1) & np.isfinite(high).all(1)
+        some, low, high = some[finite], low[finite], high[finite]
+        for part in _parts(self.count[some], EDGES):
+            yield from self._split(some[part], low[part], high[part], size, depth)
+
+    def _split(self, polygon: np.ndarray, low: np.ndarray, high: np.ndarray, size: float, depth: int) -> Iterator[tuple[np.ndarray, ...]]:
+        top = np.maximum(0, np.ceil(np.log2(np.maximum((high - low).max(1) / size, 1.0)))).astype(np.int64)
         side = size * 2.0**top
-        cells = [(top, int(cx), int(cy), np.arange(len(self.ends))) for cx in range(math.floor(low[0] / side), math.floor(high[0] / side) + 1) for cy in range(math.floor(low[1] / side), math.floor(high[1] / side) + 1)]
-        while cells:
-            level, cx, cy, near = cells.pop()
+        a, b = (np.floor(v / side[:, None]).astype(np.int64) for v in (low, high))
+        wide = b - a + 1  # cells to either side
+        n = wide[:, 0] * wide[:, 1]
+        own = np.repeat(np.arange(len(polygon)), n)
+        i = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        of, level, last = polygon[own], top[own], np.maximum(0, top - depth)[own]
+        cx, cy = a[own, 0] + i // wide[own, 1], a[own, 1] + i % wide[own, 1]
+        cell, edge = self.pairs(of)
+        while len(of):
             side = size * 2.0**level
-            near = self.crossing(near, cx * side, cy * side, side)
-            if not len(near):
-                if self.holds((cx + 0.5) * side, (cy + 0.5) * side):
-                    yield level, cx, cy, True
-            elif level > max(0, top - depth):
-                cells += [(level - 1, 2 * cx + i, 2 * cy + j, near) for i in (0, 1) for j in (0, 1)]
-            else:
-                yield level, cx, cy, False
+            near = self.crossing(edge, (cx * side)[cell], (cy * side)[cell], side[cell])
+            cell, edge = cell[near], edge[near]
+            met = np.bincount(cell, minlength=len(of)) > 0
+            free = np.flatnonzero(~met)
+            free = free[self.holds(of[free], (cx[free] + 0.5) * side[free], (cy[free] + 0.5) * side[free])]
+            border = np.flatnonzero(met & (level <= last))
+            for at, inside in ((free, True), (border, False)):
+                yield of[at], level[at], cx[at], cy[at], np.full(len(at), inside)
+            split = met & (level > last)
+            place = np.cumsum(split) - 1
+            on = split[cell]
+            cell, edge = place[cell[on]], edge[on]
+            of, level, last, cx, cy = (v[split] for v in (of, level, last, cx, cy))
+            cell, edge = (cell[:, None] * 4 + np.arange(4)).ravel(), np.repeat(edge, 4)
+            of, level, last = (np.repeat(v, 4) for v in (of, level - 1, last))
+            quarter = np.tile(np.arange(4), len(cx))
+            cx, cy = 2 * np.repeat(cx, 4) + quarter // 2, 2 * np.repeat(cy, 4) + quarter % 2
+
+    def cover(self, size: float, depth: int = DEPTH) -> Iterator[tuple[int, int, int, bool]]:
+        """level, cx, cy and inside of each cell of the first polygon."""
+        for _, *cells in self.covers(size, depth):
+            yield from zip(*(c.tolist() for c in cells))
+
+
+def _parts(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[slice]:
+    """Consecutive slices whose sizes add up to about as much at most; what is larger stands alone."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def dealt(polygons: DataFrame, polygon: str) -> DataFrame:
+    """polygons dealt by id over the cores: a file of small outlines is few tasks, but what is worked out of each is much."""
+    return polygons.repartition(4 * polygons.sparkSession.sparkContext.defaultParallelism, polygon)
 
 
 def covers(polygons: DataFrame, polygon: str, size: float) -> DataFrame:
     """A row for each cell of each polygon's cover: polygon, level, cx, cy, inside. Inside cells hold no point of an edge."""
     ship(polygons.sparkSession)
     kind = polygons.schema[polygon].dataType.simpleString()
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_())
 
     def run(batches):
         for batch in batches:
-            rows = [(i, *cell) for i, rings in enumerate(batch.column(1).to_pylist()) for cell in _Rings(rings).cover(size)]
-            at, *cells = zip(*rows) if rows else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int64(), pa.int64(), pa.bool_())))], [polygon, "level", "cx", "cy", "inside"])
+            for of, *cells in _Rings(batch.column(1)).covers(size):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *(pa.array(c, t) for c, t in zip(cells, types))], [polygon, "level", "cx", "cy", "inside"])
 
-    return polygons.select(polygon, "rings").mapInArrow(run, f"`{polygon}` {kind}, level int, cx bigint, cy bigint, inside boolean")
+    return dealt(polygons.select(polygon, "rings"), polygon).mapInArrow(run, f"`{polygon}` {kind}, level int, cx bigint, cy bigint, inside boolean")
 
 
 def holding(points: DataFrame, polygons: DataFrame, point: str, polygon: str, size: float) -> DataFrame:

@@ -103,3 +103,12 @@ def test_cells_of_a_cover_are_bounded():
         area = sum((1e-3 * 2.0 ** c[0]) ** 2 for c in cells)
         shoelace = abs(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
         assert area >= shoelace
+
+
+def test_many_outlines_are_covered_together_and_by_many_tasks(spark):
+    rng = random.Random(7)
+    polygons = [(i, [star(rng, rng.uniform(0, 50), rng.uniform(0, 50), rng.choice((0.1, 1, 30)), rng.randint(3, 20)) for _ in range(rng.randint(1, 2))]) for i in range(200)] + [(900, None), (901, [[]]), (902, [[(None, 1.0), (2.0, 2.0), (1.0, 1.0)]])]
+    rows = outlines.covers(frame(spark, polygons).coalesce(1), "id", 0.25)
+    assert rows.rdd.getNumPartitions() >= 4
+    alone = {(i, *map(int, c)) for i, rings in polygons for c in outlines._Rings([[{"x": x, "y": y} for x, y in r] for r in rings or ()]).cover(0.25)}
+    assert {tuple(map(int, r)) for r in rows.collect()} == alone
