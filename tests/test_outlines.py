@@ -112,3 +112,14 @@ def test_many_outlines_are_covered_together_and_by_many_tasks(spark):
     assert rows.rdd.getNumPartitions() >= 4
     alone = {(i, *map(int, c)) for i, rings in polygons for c in outlines._Rings([[{"x": x, "y": y} for x, y in r] for r in rings or ()]).cover(0.25)}
     assert {tuple(map(int, r)) for r in rows.collect()} == alone
+
+
+def test_outlines_of_few_edges_meet_once(spark):
+    """Boxes that share many cells, and outlines of few edges with ones of many."""
+    rng = random.Random(8)
+    polygons = [(i, [box(x, y, x + rng.uniform(0.2, 9), y + rng.uniform(0.2, 9))]) for i in range(60) for x, y in [(rng.uniform(-9, 9), rng.uniform(-9, 9))]]
+    shape = frame(spark, polygons)
+    once = [tuple(sorted(r)) for r in outlines._near_outlines(outlines._boxes(shape, "id", 0.0, 1.0), "id", 0.0, 1.0).collect()]
+    assert len(once) == len(set(once)) and set(once) <= {tuple(sorted(p)) for p in brute(polygons, 0.0)}
+    polygons += [(200 + i, [star(rng, rng.uniform(-9, 9), rng.uniform(-9, 9), 4, 30)]) for i in range(6)]
+    assert {(r.src, r.dst) for r in outlines.contacts(frame(spark, polygons), "id", 1.0).collect()} == brute(polygons, 0.0)
