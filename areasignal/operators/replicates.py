@@ -6,7 +6,7 @@ Entries that change their unit (who draws whom, who stands where) move packed, a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from areasignal.session import ship, written
 
 #: Units whose entries one group holds; rows worked on at once.
 BLOCK, ROWS = 1024, 512
+#: Orders whose sorted entries one row has.
+AT_ONCE = 16
 
 
 def numbered(units: DataFrame, unit: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -306,68 +308,77 @@ def kappas(rows: DataFrame, times: int, keys: Sequence[str] = ()) -> DataFrame:
     return by_task.groupBy(*(keys or [F.lit(0).alias("_all")])).applyInArrow(total if keys else (lambda key, t: total((), t)), ", ".join([*kinds, "b int", "qwk double"]))
 
 
-def orders(rows: DataFrame, unit: str, keys: Sequence[str], times: int, hashed: Callable[[Column, Column], Column], take: Callable, shape: pa.Schema, ddl: str, ahead: int = 0, more: Sequence[str] = ()) -> DataFrame:
-    """Units (keys, unit, i, n, value and more: numbered) in `times` orders by hashed(b, unit), ties by unit, within the keys: the
-    rows that take makes of each block of BLOCK places. take(keys, first place, n, entries): entries have b (from 0), place, i (the unit's own place by
-    unit), value and more (doubles), of the block's places and of the `ahead` that follow them, round the end.
+def orders(rows: DataFrame, unit: str, keys: Sequence[str], times: int, hashed: Callable[[Column, Column], Column], take: Callable, shape: pa.Schema, ddl: str, ahead: int = 0, more: Mapping[str, type] | None = None, same: Sequence[str] = ()) -> DataFrame:
+    """Units (keys, unit, i, n, value, more and same: numbered) in `times` orders by hashed(b, unit), ties by unit, within the keys: the
+    rows that take makes of each block of BLOCK places. take(keys, first place, n, entries, *same): entries have b (from 0), place, i
+    (the unit's own place by unit), value and more (columns to their types), of the block's places and of the `ahead` that follow
+    them, round the end. same: doubles that don't vary within the keys, so they don't move with each entry.
 
     Hashes come in buckets of about BLOCK units of all orders; a bucket's entries are sorted together, its places start after
-    those of the buckets before it, whose sizes alone are added up by key. No order is ever in one task.
+    those of the buckets before it, whose sizes alone are added up by key. No order is ever in one task. Sorted entries are
+    written as a row for each AT_ONCE orders of a bucket: writers and readers of Parquet hold a hundred rows and more.
     """
     ship(rows.sparkSession)
-    k, extra = len(keys), list(more)
-    ready = rows.select(*keys, "i", "n", "value", *extra, F.transform(F.sequence(F.lit(1), F.lit(times)), lambda b: hashed(b, F.col(unit))).alias("h"))
-    entry = np.dtype([("h", np.float64), ("b", np.int32), ("i", np.int64), ("n", np.int64), ("value", np.float64), *((c, np.float64) for c in extra)])
+    more, whole = dict(more or {}), list(keys)
+    keys = [*keys, "n", *same]  # n and same go with the keys
+    k = len(keys)
+    ready = rows.select(*keys, "i", "value", *more, F.transform(F.sequence(F.lit(1), F.lit(times)), lambda b: hashed(b, F.col(unit))).alias("h"))
+    entry = np.dtype([("h", np.float64), ("b", np.int16), ("i", np.int64), ("value", np.float64), *more.items()])
     placed = np.dtype([("place", np.int64), *entry.descr[1:]])
-    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys]
+    kinds = [f"`{c}` {ready.schema[c].dataType.simpleString()}" for c in keys]
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow = [to_arrow_type(rows.schema[c].dataType) for c in keys]
+    arrow = [to_arrow_type(ready.schema[c].dataType) for c in keys]
+    at_n = len(whole)
 
     def make(batch):
-        h = _matrix(batch.column(k + 3 + len(extra)), batch.num_rows)
+        h = _matrix(batch.column(k + 2 + len(more)), batch.num_rows)
         for key, at in _grouped_keys(batch, k):
             out = np.empty((len(at), times), entry)
             out["h"], out["b"] = h[at], np.arange(times)
-            for name, j in (("i", k), ("n", k + 1), ("value", k + 2), *((c, k + 3 + x) for x, c in enumerate(extra))):
-                out[name] = batch.column(j).to_numpy(zero_copy_only=False)[at, None]
-            buckets = -(-out["n"] // BLOCK)
+            for j, name in enumerate(("i", "value", *more)):
+                out[name] = batch.column(k + j).to_numpy(zero_copy_only=False)[at, None]
+            buckets = -(-key[at_n] // BLOCK)
             yield key, np.minimum(np.floor(out["h"] * buckets), buckets - 1).astype(np.int64).ravel(), out.ravel()
 
     def sort(key, bucket, packed):
         e = np.frombuffer(packed, entry)
         e = e[np.lexsort((e["i"], e["h"], e["b"]))]
         counts = np.bincount(e["b"], minlength=times).astype(np.int64)
-        return pa.table([*(pa.array([x.as_py()], t) for x, t in zip(key, arrow)), pa.array([bucket], pa.int64()), pa.array([counts.tobytes()], pa.binary()), pa.array([e.tobytes()], pa.binary())], names=[*keys, "bucket", "counts", "entries"])
+        upto, firsts = np.r_[0, np.cumsum(counts)], range(0, times, AT_ONCE)
+        parts = [e[upto[f] : upto[min(f + AT_ONCE, times)]].tobytes() for f in firsts]
+        sizes = [counts[f : f + AT_ONCE].tobytes() for f in firsts]
+        return pa.table([*(pa.array([x.as_py()] * len(parts), t) for x, t in zip(key, arrow)), pa.array([bucket] * len(parts), pa.int64()), pa.array(list(firsts), pa.int32()), pa.array(sizes, pa.binary()), pa.array(parts, pa.binary())], names=[*keys, "bucket", "first", "counts", "entries"])
 
-    sorted_ddl = ", ".join([*kinds, "bucket bigint, counts binary, entries binary"])
-    sorted_shape = pa.schema([*zip(keys, arrow), ("bucket", pa.int64()), ("counts", pa.binary()), ("entries", pa.binary())])
+    sorted_ddl = ", ".join([*kinds, "bucket bigint, first int, counts binary, entries binary"])
+    sorted_shape = pa.schema([*zip(keys, arrow), ("bucket", pa.int64()), ("first", pa.int32()), ("counts", pa.binary()), ("entries", pa.binary())])
     buckets = written(_moved(ready, keys, make, sort, sorted_shape, sorted_ddl))
 
     def start(key, table):
-        at, out = np.zeros(times, np.int64), {}
+        at, out = 0, {}
         for b, c in sorted(zip(table["bucket"].to_pylist(), table["counts"].to_pylist())):
-            out[b] = at.tobytes()
-            at = at + np.frombuffer(c, np.int64)
-        return pa.table([*(pa.array([x.as_py()] * len(out), t) for x, t in zip(key, arrow)), pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=[*keys, "bucket", "before"])
+            c = np.frombuffer(c, np.int64)
+            out[b] = (np.zeros_like(c) + at).tobytes()
+            at = at + c
+        return pa.table([*(pa.array([x.as_py()] * len(out), t) for x, t in zip(key, [*arrow, pa.int32()])), pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=[*keys, "first", "bucket", "before"])
 
-    starts = buckets.select(*keys, "bucket", "counts").groupBy(*(keys or [F.lit(0).alias("_all")])).applyInArrow(start if keys else (lambda key, t: start((), t)), ", ".join([*kinds, "bucket bigint, before binary"]))
-    on = F.col("a.bucket") == F.col("b.bucket")
+    starts = buckets.select(*keys, "first", "bucket", "counts").groupBy(*keys, "first").applyInArrow(start, ", ".join([*kinds, "first int, bucket bigint, before binary"]))
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.first") == F.col("b.first"))
     for c in keys:
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    both = buckets.alias("a").join(starts.alias("b"), on).select(*(F.col(f"a.{c}").alias(c) for c in keys), "a.counts", "b.before", "a.entries")
+    both = buckets.alias("a").join(starts.alias("b"), on).select(*(F.col(f"a.{c}").alias(c) for c in keys), "a.first", "a.counts", "b.before", "a.entries")
 
     def deal(batch):
         for r in range(batch.num_rows):
             key = tuple(batch.column(j)[r].as_py() for j in range(k))
-            counts, before = (np.frombuffer(batch.column(k + j)[r].as_py(), np.int64) for j in (0, 1))
-            e = np.frombuffer(batch.column(k + 2)[r].as_py(), entry)
+            counts, before = (np.frombuffer(batch.column(k + j)[r].as_py(), np.int64) for j in (1, 2))
+            e = np.frombuffer(batch.column(k + 3)[r].as_py(), entry)
             own = np.arange(len(e)) - np.repeat(np.cumsum(counts) - counts, counts)
             out = np.empty(len(e), placed)
             for c in placed.names[1:]:
                 out[c] = e[c]
-            out["place"] = before[e["b"]] + own
-            n = int(e["n"][0]) if len(e) else 0
+            out["place"] = before[e["b"] - batch.column(k)[r].as_py()] + own
+            n = key[at_n]
             blocks = max(1, -(-n // BLOCK))
             to = out["place"] // BLOCK
             yield key, to, out
@@ -378,8 +389,7 @@ def orders(rows: DataFrame, unit: str, keys: Sequence[str], times: int, hashed:
                     yield key, other[near], out[near]
 
     def took(key, block, packed):
-        e = np.frombuffer(packed, placed)
-        return take(key, block * BLOCK, int(e["n"][0]), e)
+        return take(key[:at_n], block * BLOCK, key[at_n].as_py(), np.frombuffer(packed, placed), *(x.as_py() for x in key[at_n + 1 :]))
 
     return _moved(both, keys, deal, took, shape, ddl)
 
@@ -452,14 +462,15 @@ def lag_products(vectors: DataFrame, unit: str, edges: DataFrame, keys: Sequence
 
 def share_above(units: DataFrame, unit: str, value: str, keys: Sequence[str], times: int, hashed: Callable[[Column, Column], Column], most: int) -> DataFrame:
     """keys, unit and above: in how many orders the unit's value times the mean of the k units that follow it, round the end, over w,
-    is at least local_i, to nine digits. units: keys, unit, value, k (at most `most`; 0 or null: not asked), w, local_i."""
+    is at least local_i, to nine digits. units: keys, unit, value, k (at most `most`; 0 or null: not asked), local_i, w (the same within
+    the keys)."""
     kinds = [f"`{c}` {units.schema[c].dataType.simpleString()}" for c in keys]
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = [to_arrow_type(units.schema[c].dataType) for c in keys]
     nine = lambda x: np.floor(np.abs(x) * 1e9 + 0.5) * np.sign(x)
 
-    def take(key, first, n, e):
+    def take(key, first, n, e, w):
         size = min(BLOCK, n - first)
         wide = size + min(most, n)
         z, at = np.zeros((wide, times)), (e["place"] - first) % n
@@ -470,14 +481,14 @@ def share_above(units: DataFrame, unit: str, value: str, keys: Sequence[str], ti
         mine = e[(e["place"] >= first) & (e["place"] < first + size) & (e["k"] > 0)]
         p, k = mine["place"] - first, mine["k"].astype(np.int64)
         mean = (upto[p + 1 + k, mine["b"]] - upto[p + 1, mine["b"]]) / mine["k"]
-        hit = nine(mine["value"] * mean / mine["w"]) >= nine(mine["local_i"])
+        hit = nine(mine["value"] * mean / w) >= nine(mine["local_i"])
         found, back = np.unique(mine["i"], return_inverse=True)
         above = np.bincount(back, hit, len(found)).astype(np.int64)
         return pa.table([*(pa.array([x.as_py()] * len(found), t) for x, t in zip(key, arrow)), pa.array(found), pa.array(above)], names=[*keys, "i", "above"])
 
     shape = pa.schema([*zip(keys, arrow), ("i", pa.int64()), ("above", pa.int64())])
-    more = ("k", "w", "local_i")
-    plain = units.select(*keys, unit, F.col(value).cast("double").alias("value"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in more))
+    more = {"k": np.int32, "local_i": np.float64}
+    plain = units.select(*keys, unit, "w", F.col(value).cast("double").alias("value"), *(F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)).alias(c) for c, t in (("k", "int"), ("local_i", "double"))))
     places = numbered(plain, unit, keys)
-    counts = orders(places, unit, keys, times, hashed, take, shape, ", ".join([*kinds, "i bigint, above bigint"]), most, more)
+    counts = orders(places, unit, keys, times, hashed, take, shape, ", ".join([*kinds, "i bigint, above bigint"]), most, more, ["w"])
     return places.join(counts.groupBy(*keys, "i").agg(F.sum("above").alias("above")), [*keys, "i"]).select(*keys, unit, "above")

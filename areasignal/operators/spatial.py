@@ -192,10 +192,11 @@ def lisa_significance(values: DataFrame, unit: str, value: str, edges: DataFrame
     those are fewer) the unit's own. Values are compared to nine digits, so equal neighbourhoods count as equal.
     """
     z = _centred(values, unit, value, by)
-    found = written(_lagged(z, unit, edges, by).withColumn("w", F.greatest(F.col("sd") * F.col("sd"), F.lit(1e-300))))
+    z = z.withColumn("w", F.greatest(F.col("sd") * F.col("sd"), F.lit(1e-300)))  # the same within the keys
+    found = written(_lagged(z, unit, edges, by))
     centred = found.select(*by, unit, "k", "w", F.round(F.col("z") * F.col("lag") / F.col("w"), 9).alias("local_i"), _quadrant(F.col("z"), F.col("lag")).alias("quadrant"))
     most = found.agg(F.max("k")).first()[0] or 0
-    asked = z.join(centred.select(*by, unit, "k", "w", "local_i"), [*by, unit], "left")
+    asked = z.join(centred.select(*by, unit, "k", "local_i"), [*by, unit], "left")
     above = replicates.share_above(asked, unit, "z", by, times, _order(seed), int(most))
     p = (F.least("above", F.lit(times) - F.col("above")) + 1) / (times + 1)
     out = centred.join(above, [*by, unit]).select(*by, unit, "local_i", "quadrant", p.alias("p_sim"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from areasignal.config import RunConfig
 from areasignal.functions import geo
-from areasignal.operators import crossval, encode, metrics, perceive, spatial
+from areasignal.operators import crossval, encode, metrics, perceive, replicates, spatial
 from areasignal.sources import shapes
 
 
@@ -166,3 +166,14 @@ def test_signs_round_the_exact_binary_value(spark, con):
     rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select("v", metrics.signed(F.col("v")).alias("s"))
     want = {v: con.execute("SELECT printf('%+.4f', ?::DOUBLE)", [v]).fetchall()[0][0] for v in values}
     assert dict(rows.collect()) == {**want, None: None}
+
+
+def test_sorted_entries_are_written_in_small_rows(spark, monkeypatch):
+    seen, written = [], replicates.written
+    monkeypatch.setattr(replicates, "written", lambda df: seen.append(written(df)) or seen[-1])
+    units = spark.range(1500).select(F.col("id").alias("u"), (F.col("id") % 7).cast("double").alias("v"))
+    made = replicates.permuted(units, "u", "v", [], 200, spatial._order(1))
+    rows = made.limit(3).collect()
+    assert len(rows) == 3 and all(len(r.v) == 8 * 200 for r in rows)
+    largest = [df.agg(F.max(F.length("entries"))).first()[0] for df in seen if "entries" in df.columns]
+    assert largest and max(largest) < 1 << 20
