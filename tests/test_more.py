@@ -177,3 +177,12 @@ def test_sorted_entries_are_written_in_small_rows(spark, monkeypatch):
     assert len(rows) == 3 and all(len(r.v) == 8 * 200 for r in rows)
     largest = [df.agg(F.max(F.length("entries"))).first()[0] for df in seen if "entries" in df.columns]
     assert largest and max(largest) < 1 << 20
+
+
+def test_random_points_are_drawn_by_many_tasks(spark, monkeypatch):
+    seen, written = [], geo.written
+    monkeypatch.setattr(geo, "written", lambda df: seen.append(df.rdd.getNumPartitions()) or written(df))
+    shapes_ = spark.createDataFrame([(i, box(float(i), 0.0, 1.0)) for i in range(40)], f"u long, rings {shapes.RINGS}").coalesce(1)
+    made = geo.random_points(shapes_, "u", "rings", 3).collect()
+    assert seen[0] >= 4 and {(r.u, r.place) for r in made} == {(i, j) for i in range(40) for j in range(3)}
+    assert all(r.u <= r.x <= r.u + 1 and 0 <= r.y <= 1 for r in made)
