@@ -53,20 +53,26 @@ def segments_near(a: Column, b: Column, tolerance: float) -> Column:
 
 
 def _boxes(polygons: DataFrame, polygon: str, tolerance: float, size: float) -> DataFrame:
-    """A row for each polygon with edges: polygon, e (the ends of all edges of its rings, x1, y1, x2, y2 one after the other),
-    its box and level. Edges with null or undefined ends are left out."""
+    """A row for each polygon: polygon, e (the ends of all edges of its rings, x1, y1, x2, y2 one after the other),
+    its box and level, and whether it is plain: few edges, of rings of three finite corners and more. Edges with null or undefined
+    ends are left out."""
     ends = lambda e: [e[c] for c in ("x1", "y1", "x2", "y2")]
     whole = lambda e: F.forall(F.array(*ends(e)), lambda v: v.isNotNull() & ~F.isnan(v))
     edges = F.filter(F.flatten(F.transform("rings", geo.ring_edges)), whole)
-    rows = polygons.select(polygon, F.flatten(F.transform(edges, lambda e: F.array(*ends(e)))).alias("e")).where(F.size("e") > 0)
+    finite = lambda p: F.coalesce(F.abs(p["x"]) < float("inf"), F.lit(False)) & F.coalesce(F.abs(p["y"]) < float("inf"), F.lit(False))
+    whole_rings = F.forall("rings", lambda r: F.coalesce((F.size(r) >= 3) & F.forall(r, finite), F.lit(False)))
+    rows = polygons.select(polygon, F.flatten(F.transform(edges, lambda e: F.array(*ends(e)))).alias("e"), whole_rings.alias("plain"))
+    rows = rows.withColumn("plain", F.col("plain") & (F.size("e") <= 4 * FEW))
     side = lambda i, pick: pick(F.filter("e", lambda v, k: k % 2 == i))
     rows = rows.withColumns({"low_x": side(0, F.array_min), "high_x": side(0, F.array_max), "low_y": side(1, F.array_min), "high_y": side(1, F.array_max)})
     return rows.withColumn("level", _level(F.greatest(F.col("high_x") - F.col("low_x"), F.col("high_y") - F.col("low_y")) + 2 * (tolerance + NEAR), size))
 
 
 def _near_edges(batch: pa.RecordBatch, wide: float) -> np.ndarray:
-    """Which rows have, of their third and fourth columns (ends of edges), two edges that cross or come within a distance."""
+    """Which rows have, of their third and fourth columns (ends of edges), two edges that cross or come within a distance; where
+    the fifth says so, also those of which one outline lies in the other."""
     out = np.zeros(batch.num_rows, bool)
+    plain = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
     count = [pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) // 4 for c in (2, 3)]
     ends = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, 4) for c in (2, 3)]
     first = [np.cumsum(n) - n for n in count]
@@ -91,26 +97,39 @@ def _near_edges(batch: pa.RecordBatch, wide: float) -> np.ndarray:
         cross = (turn(a[0], a[1], b) * turn(a[2], a[3], b) < 0) & (turn(b[0], b[1], a) * turn(b[2], b[3], a) < 0)
         far = np.minimum.reduce([distance(p[k], p[k + 1], q) for p, q in ((a, b), (b, a)) for k in (0, 2)]) if len(at) else np.zeros(0)
         out[at[cross | (far <= wide)]] = True
+    for p, q in ((0, 1), (1, 0)):  # outlines that don't come near hold all corners of a ring or none
+        apart = np.flatnonzero(plain & ~out)
+        for part in _parts((count[0] * count[1])[apart], 1 << 17):
+            rows = apart[part]
+            corner = np.repeat(rows, count[p][rows])
+            k = np.arange(len(corner)) - np.repeat(np.cumsum(count[p][rows]) - count[p][rows], count[p][rows])
+            x, y = ends[p][first[p][corner] + k, :2].T
+            n = count[q][corner]
+            own = np.repeat(np.arange(len(corner)), n)
+            x1, y1, x2, y2 = ends[q][first[q][corner][own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)].T
+            up = (y1 > y[own]) != (y2 > y[own])
+            own, x1, y1, x2, y2 = (v[up] for v in (own, x1, y1, x2, y2))
+            right = x1 + (y[own] - y1) / (y2 - y1) * (x2 - x1) > x[own]
+            out[corner[np.bincount(own[right], minlength=len(corner)) % 2 == 1]] = True
     return out
 
 
 def _near_outlines(boxes: DataFrame, polygon: str, tolerance: float, size: float) -> DataFrame:
-    """a and b, each pair once: polygons of `_boxes` of which two edges come near. Boxes meet at cells of the larger one's size, a
-    pair in the one cell that has the lower left corner of what they share."""
+    """a and b, each pair once: polygons of `_boxes` (written) of which two edges come near, or, if both are plain, one lies in the
+    other. Boxes meet at cells of the larger one's size, a pair in the one cell that has the lower left corner of what they share."""
     ship(boxes.sparkSession)
     wide, kind = tolerance + NEAR, boxes.schema[polygon].dataType.simpleString()
-    boxes = written(boxes)
     levels = sorted(r[0] for r in boxes.select("level").distinct().collect())
     box = ("low_x", "low_y", "high_x", "high_y")
     wider = boxes.withColumns({c: F.col(c) + (wide if c.startswith("high") else -wide) for c in box})
-    own = _with_cells(wider, F.col("level"), *map(F.col, box), size).select("level", "cx", "cy", F.col(polygon).alias("a"), F.col("e").alias("ea"), *(F.col(c).alias(f"a_{c}") for c in box))
+    own = _with_cells(wider, F.col("level"), *map(F.col, box), size).select("level", "cx", "cy", F.col(polygon).alias("a"), F.col("e").alias("ea"), F.col("plain").alias("pa"), *(F.col(c).alias(f"a_{c}") for c in box))
     probe = boxes.withColumn("at", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda l: l >= F.col("level")))) if levels else boxes.withColumn("at", F.col("level"))
-    probe = _with_cells(probe, F.col("at"), *map(F.col, box), size).select(F.col("at").alias("level"), "cx", "cy", F.col(polygon).alias("b"), F.col("e").alias("eb"), (F.col("level") == F.col("at")).alias("same"), *(F.col(c).alias(f"b_{c}") for c in box))
+    probe = _with_cells(probe, F.col("at"), *map(F.col, box), size).select(F.col("at").alias("level"), "cx", "cy", F.col(polygon).alias("b"), F.col("e").alias("eb"), F.col("plain").alias("pb"), (F.col("level") == F.col("at")).alias("same"), *(F.col(c).alias(f"b_{c}") for c in box))
     side = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
     meet = (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))
     for c in "xy":
         meet = meet & (F.col(f"a_low_{c}") <= F.col(f"b_high_{c}")) & (F.col(f"b_low_{c}") <= F.col(f"a_high_{c}")) & (F.floor(F.greatest(f"a_low_{c}", f"b_low_{c}") / side).cast("long") == F.col(f"c{c}"))
-    met = own.join(probe, ["level", "cx", "cy"]).where(meet).select("a", "b", "ea", "eb")
+    met = own.join(probe, ["level", "cx", "cy"]).where(meet).select("a", "b", "ea", "eb", (F.col("pa") & F.col("pb")).alias("plain"))
 
     def run(batches):
         for batch in batches:
@@ -123,13 +142,23 @@ def contacts(polygons: DataFrame, polygon: str, size: float, tolerance: float =
     """src and dst, both ways: polygons (rings) that meet, or come within the tolerance of one another.
 
     Two polygons do if a segment of one comes near a segment of the other, or if none does and one lies in the other (not in
-    its holes): then a point of each of its rings is in it. Outlines of at most FEW edges meet by their boxes, each pair once.
-    Where one has more, segments meet at cells of their own size, each having four cells a level at most; so the work grows with
+    its holes): then a point of each of its rings is in it. Outlines of at most FEW edges meet by their boxes, each pair once, and
+    are told from one another there, unless corners lack. Where one has more, segments meet at cells of their own size, each having four cells a level at most; so the work grows with
     segments near each other, not with rings. size: of the smallest cells, about a short segment's length. Polygons without
     rings meet nothing; repeated ids are one polygon.
     """
-    boxes = _boxes(polygons, polygon, tolerance, size)
-    outlined = _near_outlines(boxes.where(F.size("e") <= 4 * FEW), polygon, tolerance, size)
+    polygons = dealt(polygons.select(polygon, "rings"), polygon)
+    boxes = written(_boxes(polygons, polygon, tolerance, size))
+    near = _near_outlines(boxes.where(F.size("e").between(1, 4 * FEW)), polygon, tolerance, size)
+    if boxes.where("not plain").take(1):
+        polygons = written(polygons)
+        near = near.union(_near_segments(polygons, boxes, polygon, size, tolerance)).union(_holding_odd(polygons, boxes, polygon, size))
+    pairs = written(near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+    return pairs.union(pairs.select("dst", "src"))
+
+
+def _near_segments(polygons: DataFrame, boxes: DataFrame, polygon: str, size: float, tolerance: float) -> DataFrame:
+    """a and b: polygons of which a segment comes near one of the other, one of them with more than FEW edges."""
     edges = segments(polygons.select(polygon, "rings"), polygon)
     many = boxes.where(F.size("e") > 4 * FEW).select(polygon).distinct().withColumn("many", F.lit(True))
     edges = edges.join(many, polygon, "left").withColumns({
@@ -148,14 +177,19 @@ def contacts(polygons: DataFrame, polygon: str, size: float, tolerance: float =
     close = [box(F.col(p), i, F.least) <= box(F.col(q), i, F.greatest) + wide for p, q in (("ea", "eb"), ("eb", "ea")) for i in "xy"]
     met = lambda a, b: a.drop("many").join(b.drop("many"), ["level", "cx", "cy"])
     near = met(at.where("many"), probe).union(met(at.where("not many"), probe.where("many")))
-    near = near.where((F.col("a") != F.col("b")) & close[0] & close[1] & close[2] & close[3] & segments_near(F.col("ea"), F.col("eb"), tolerance)).select("a", "b").union(outlined)
-    inner = polygons.select(F.col(polygon).alias("a"), F.explode("rings").alias("r")).select("a", F.get("r", F.lit(0)).alias("p")).where("p.x IS NOT NULL AND p.y IS NOT NULL")
-    inner = inner.select("a", F.col("p.x").alias("x"), F.col("p.y").alias("y")).withColumn("point", F.monotonically_increasing_id())
-    inner = written(inner)
-    held = holding(inner, polygons, "point", polygon, size).join(inner.select("point", "a"), "point").select("a", F.col(polygon).alias("b")).where("a <> b")
-    pairs = near.select("a", "b").union(held).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-    pairs = written(pairs)
-    return pairs.union(pairs.select("dst", "src"))
+    return near.where((F.col("a") != F.col("b")) & close[0] & close[1] & close[2] & close[3] & segments_near(F.col("ea"), F.col("eb"), tolerance)).select("a", "b")
+
+
+def _holding_odd(polygons: DataFrame, boxes: DataFrame, polygon: str, size: float) -> DataFrame:
+    """a and b: a point of a ring of a lies in b, one of them at least not plain."""
+    odd = boxes.where("not plain").select(polygon).distinct()
+    some = polygons.join(odd, polygon, "left_semi")
+    inner = lambda of: written(of.select(F.col(polygon).alias("a"), F.explode("rings").alias("r")).select("a", F.get("r", F.lit(0)).alias("p")).where("p.x IS NOT NULL AND p.y IS NOT NULL").select("a", F.col("p.x").alias("x"), F.col("p.y").alias("y")).withColumn("point", F.monotonically_increasing_id()))
+    out = None
+    for points, holders in ((inner(some), polygons), (inner(polygons), some)):
+        held = holding(points, holders, "point", polygon, size).join(points.select("point", "a"), "point").select("a", F.col(polygon).alias("b")).where("a <> b")
+        out = held if out is None else out.union(held)
+    return out
 
 
 def _corners(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -123,3 +123,20 @@ def test_outlines_of_few_edges_meet_once(spark):
     assert len(once) == len(set(once)) and set(once) <= {tuple(sorted(p)) for p in brute(polygons, 0.0)}
     polygons += [(200 + i, [star(rng, rng.uniform(-9, 9), rng.uniform(-9, 9), 4, 30)]) for i in range(6)]
     assert {(r.src, r.dst) for r in outlines.contacts(frame(spark, polygons), "id", 1.0).collect()} == brute(polygons, 0.0)
+
+
+def test_plain_outlines_meet_without_covers(spark, monkeypatch):
+    """Outlines of few whole edges, some in others and some in holes, need no segments and no covers; odd ones still do."""
+    rng = random.Random(9)
+    polygons = [(i, [star(rng, rng.uniform(0, 40), rng.uniform(0, 40), rng.choice((0.4, 2, 9)), rng.randint(3, 9))]) for i in range(60)]
+    polygons += [(100, [box(0, 0, 40, 40), box(10, 10, 30, 30)]), (101, [box(14, 14, 16, 16)]), (102, [box(1, 1, 2, 2), box(35, 35, 36, 36)])]
+    with monkeypatch.context() as m:
+        m.setattr(outlines, "holding", None)
+        m.setattr(outlines, "segments", None)
+        rows = outlines.contacts(frame(spark, polygons).coalesce(1), "id", 1.0)
+        assert {(r.src, r.dst) for r in rows.collect()} == brute(polygons, 0.0)
+    odd = [(200, [[(5.0, 5.0)]]), (201, [[(20.0, 20.0), (None, 1.0)]]), (202, [star(rng, 20, 20, 15, 40)])]
+    got = {(r.src, r.dst) for r in outlines.contacts(frame(spark, polygons + odd), "id", 1.0).collect()}
+    assert got >= brute(polygons, 0.0) and (200, 100) in got and ((201, 100) in got) is False
+    whole = [p for p in polygons + odd if p[0] != 201]
+    assert {p for p in got if 201 not in p} == brute(whole, 0.0)
