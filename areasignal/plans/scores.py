@@ -308,9 +308,9 @@ def ridge_oof(spark, sf_dir):
 
 @query()
 def ridge_target_lag_oof(spark, sf_dir):
-    rows = features(spark, sf_dir)
+    rows = written(features(spark, sf_dir))  # lags, fits and predictions read them
     lag = spatial.target_lag(rows, "unit_id", "fold", Y, edges(spark, sf_dir), list(range(5))).where("held_out = fold").drop("held_out", "fold")
-    return learn.residual_oof(rows.join(lag, "unit_id"), "unit_id", "fold", [f"{t}_lag" for t in Y], X, Y)
+    return learn.residual_oof(written(rows.join(lag, "unit_id")), "unit_id", "fold", [f"{t}_lag" for t in Y], X, Y)
 
 
 @query()
