@@ -80,3 +80,53 @@ def test_small_ones(spark):
     assert one(spark, "q int", (1,), block).split("\n") == ["satellite: a", *(f"streetview_{i:02d}: s{i}" for i in range(6)), "(+2 more streetviews omitted)", "POI: p", "general: g; h"]
     assert one(spark, "p string", ("/old/dataset/a/b.png",), text.anchored(F.col("p"), "/new/")) == "/new/dataset/a/b.png"
     assert one(spark, "p string", ("/old/b.png",), text.anchored(F.col("p"), "/new/")) == "/old/b.png"
+
+
+def test_lists_of_phrases_are_made_once(spark):
+    def texts(df, c):
+        return df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count("split(")
+
+    df = spark.createDataFrame([("b; A ;a;; B;c",), (None,)], "t string")
+    parts = F.split("t", ";")
+    assert [r.x for r in df.select(text.distinct_phrases(parts).alias("x")).collect()] == [["b", "A", "c"], None]
+    assert texts(df, text.distinct_phrases(parts)) == 1 and texts(df, text.sentence("Of ", parts)) == 1
+    assert [r.x for r in df.select(text.sentence("Of ", parts).alias("x")).collect()][0] == "Of b, a, and c."
+
+
+def test_first_phrases_sort_no_rows(spark):
+    from areasignal.operators import tables
+
+    rows = spark.createDataFrame([(1, 3, " b "), (1, 2, "B"), (1, 1, "a"), (1, 3, "c"), (2, 1, None), (2, 5, "d"), (2, 5, "D")], "u int, pos long, p string")
+    found = tables.first_phrases(rows, ["u"], "p", ["pos"])
+    assert {r.u: r.phrases for r in found.collect()} == {1: ["a", "B", "c"], 2: ["D"]}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.split("Aggregate")[-2].endswith("Hash")  # the one on rows
+
+
+def test_each_distinct_phrase_is_encoded_once(spark):
+    from areasignal.operators import encode
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def length(t):
+        asked.add(1)
+        return [float(len(t)), 1.0]
+
+    rows = spark.createDataFrame([(i, "s", "n", None, "a; bbb; a" if i % 2 else "bbb") for i in range(40)], "u int, sat string, ntl string, poi_text string, sv string")
+    found = {r.u: r.embedding for r in encode.by_modality(rows, "u", F.udf(length, "array<double>"), 2).collect()}
+    assert found[1][4:6] == [pytest.approx(5 / 3), 1.0] and found[2][4:6] == [3.0, 1.0]
+    assert asked.value <= 40 * 3 + 2  # three texts of each unit, and two phrases
+
+
+def test_hashed_places_and_signs(spark):
+    import hashlib
+
+    from areasignal.operators import encode
+
+    want = [0.0] * 8
+    for g in ("a", "b", "a", "a b", "b a"):
+        h = int(hashlib.md5(f"42_{g}".encode()).hexdigest()[:8], 16)
+        want[h // 2 % 8] += 1 if h % 2 else -1
+    n = sum(v * v for v in want) ** 0.5
+    got = spark.range(1).select(encode.hashed(8)(F.lit("A, b a")).alias("v"), encode.hashed(8)(F.lit(None).cast("string")).alias("none")).first()
+    assert got.v == pytest.approx([v / n for v in want]) and got.none == [0.0] * 8
