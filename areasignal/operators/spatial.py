@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -227,39 +228,30 @@ def placed_boxes(areas: DataFrame, unit: str, existing: DataFrame, size: float,
     only if none before it waits), and those that it meets go out; boxes meet at grid cells alone.
     """
     box = geo.box_of(F.col("rings")[0])
-    grid = areas.select(unit, "ord", "cx", "cy", "rings", F.col(most).alias("_most"), F.explode(geo.half_step_grid(box, F.lit(size), F.lit(size))).alias("p"))
+    grid = outlines.dealt(areas, unit).select(unit, "ord", "cx", "cy", "rings", F.col(most).alias("_most"), F.explode(geo.half_step_grid(box, F.lit(size), F.lit(size))).alias("p"))
     inside = geo.in_polygon(F.col("p.x"), F.col("p.y"), F.col("rings")) & (geo.boundary_distance(F.col("p.x"), F.col("p.y"), F.col("rings")) > margin)
     fine = grid.where(inside).select(unit, "ord", "_most", "p.x", "p.y", F.hypot(F.col("p.x") - F.col("cx"), F.col("p.y") - F.col("cy")).alias("far"))
-    around = existing.select(F.col("x").alias("ex"), F.col("y").alias("ey")).withColumn("gx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("ex") / size) + d))).withColumn("gy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("ey") / size) + d)))
-    meets = (F.abs(F.col("x") - F.col("ex")) <= size) & (F.abs(F.col("y") - F.col("ey")) <= size)
-    free = _free(fine, around, size, meets)
-    around_own = lambda df: df.withColumn("cx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("x") / size) + d))).withColumn("cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("y") / size) + d)))
-    order = Window.partitionBy(unit).orderBy("far", "y", "x")
-    open_ = written(free.select(unit, "ord", "_most", "far", "y", "x", F.struct("ord", "far", "y", "x").alias("rank")))
-    taken = None
+    steps = lambda c: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col(c) / size) + d)
+    around = lambda df: df.withColumn("ocx", F.explode(steps("ox"))).withColumn("ocy", F.explode(steps("oy")))
+    own = lambda df: df.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+    near = (F.col("cx") == F.col("ocx")) & (F.col("cy") == F.col("ocy")) & (F.abs(F.col("x") - F.col("ox")) <= size) & (F.abs(F.col("y") - F.col("oy")) <= size)
+    clear = lambda df, boxes: own(df).join(around(boxes), near, "left_anti").drop("cx", "cy")
+    place, order = F.struct("far", "y", "x"), Window.partitionBy(unit).orderBy("far", "y", "x")
+    rank = F.struct("ord", "far", "y", "x")
+    open_ = written(clear(fine, existing.select(F.col("x").alias("ox"), F.col("y").alias("oy"))).select(unit, "ord", "_most", "far", "y", "x").withColumn("_id", F.monotonically_increasing_id()))
+    taken = []
     while open_.take(1):
-        side = around_own(open_.select(F.col("rank").alias("other"), F.col("x"), F.col("y"))).select("other", F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
-        at = open_.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
-        near = (F.abs(F.col("x") - F.col("ox")) <= size) & (F.abs(F.col("y") - F.col("oy")) <= size)
-        blocked = at.join(side, ["cx", "cy"]).where(near & (F.col("other") < F.col("rank"))).select("rank").distinct()
+        others = around(open_.select(rank.alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")))
+        free = written(own(open_).join(others, near & (F.col("other") < rank), "left_anti").drop("cx", "cy"))
         # of a unit with a limit, one that comes after one that waits may not be among the first: it waits too
-        waits = open_.join(blocked.withColumn("_w", F.lit(True)), "rank", "left").withColumn("_w", F.coalesce("_w", F.lit(False)))
-        first = waits.withColumn("_w", F.col("_w") | ((F.col("_most") >= 0) & F.coalesce(F.max("_w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))))
-        new = written(first.where(~F.col("_w")).select(unit, "ord", "_most", "far", "y", "x", "rank"))
-        taken = new if taken is None else written(taken.union(new))
-        numbered = taken.withColumn("place", F.row_number().over(order))
-        taken = written(numbered.where((F.col("_most") < 0) | (F.col("place") <= F.col("_most"))).drop("place"))
-        full = taken.where("_most >= 0").groupBy(unit, "_most").count().where(F.col("count") >= F.col("_most")).select(unit)
-        hit = around_own(taken.select("x", "y")).select(F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
-        lost = at.join(hit, ["cx", "cy"]).where(near).select("rank").distinct()
-        open_ = written(open_.join(new.select("rank"), "rank", "left_anti").join(lost, "rank", "left_anti").join(full, unit, "left_anti").select(*open_.columns))
-    if taken is None:
-        taken = open_
-    return taken.select(unit, F.row_number().over(order).alias("place"), "x", "y")
-
-
-def _free(fine: DataFrame, around: DataFrame, size: float, meets: Column) -> DataFrame:
-    """Candidates that meet none of the boxes around their cell."""
-    at = fine.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
-    hit = at.join(around, ["gx", "gy"]).where(meets).select("ord", "x", "y").distinct()
-    return fine.join(hit, ["ord", "x", "y"], "left_anti")
+        waits = open_.where("_most >= 0").join(free.select("_id"), "_id", "left_anti").groupBy(unit).agg(F.min(place).alias("_from"))
+        first = free.join(waits, unit, "left").where(F.col("_from").isNull() | (place < F.col("_from")))
+        numbered = first.withColumn("place", F.row_number().over(order))
+        taken.append(written(numbered.where((F.col("_most") < 0) | (F.col("place") <= F.col("_most"))).select(unit, "_most", "far", "y", "x")))
+        # open ones that meet none just taken (which meet themselves), of units that are not full
+        n = taken[-1].where("_most >= 0").groupBy(unit).agg(F.count("*").alias("_n"))
+        left = clear(open_, taken[-1].select(F.col("x").alias("ox"), F.col("y").alias("oy"))).join(n, unit, "left")
+        left = left.withColumn("_most", F.when(F.col("_most") < 0, F.col("_most")).otherwise(F.col("_most") - F.coalesce("_n", F.lit(0))).cast(open_.schema["_most"].dataType))
+        open_ = written(left.where("_most <> 0").select(*open_.columns))
+    found = functools.reduce(DataFrame.union, [t.select(unit, "far", "y", "x") for t in taken] or [open_.select(unit, "far", "y", "x")])
+    return found.select(unit, F.row_number().over(order).alias("place"), "x", "y")

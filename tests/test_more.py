@@ -27,6 +27,17 @@ def test_placed_boxes_do_not_meet(spark):
     assert all(max(abs(p[0] - q[0]), abs(p[1] - q[1])) > 1 for i, p in enumerate(points) for q in points[:i])
 
 
+def test_boxes_taken_are_written_once(spark, monkeypatch):
+    areas = spark.createDataFrame([(i, i, box(3.0 * (i % 4), 3.0 * (i // 4)), 3.0 * (i % 4) + 2, 3.0 * (i // 4) + 2, (-1, 2, 3)[i % 3]) for i in range(12)], f"u int, ord int, rings {shapes.RINGS}, cx double, cy double, most int").coalesce(1)
+    made = []
+    monkeypatch.setattr(spatial, "written", lambda df, real=spatial.written: made.append(real(df)) or made[-1])
+    got = spatial.placed_boxes(areas, "u", spark.createDataFrame([(2.0, 2.0)], "x double, y double"), 1.0).collect()
+    points = [(r.x, r.y) for r in got]
+    assert all(max(abs(p[0] - q[0]), abs(p[1] - q[1])) > 1 for i, p in enumerate(points) for q in points[:i])
+    assert all(sum(r.u == i for r in got) <= 2 + i % 3 - 1 for i in range(12) if i % 3)
+    assert sum(t.count() for t in made if "_id" not in t.columns) == len(got)
+
+
 def test_projection_and_pixels(spark):
     at = geo.national_grid(F.lit(52 + 39 / 60 + 28.8282 / 3600), F.lit(1 + 42 / 60 + 57.8663 / 3600))
     r = spark.range(1).select(at.alias("p"), geo.pixel(F.lit(5.5), F.lit(7.5), 0.0, 10.0, 1.0, 1.0, 5, 5).alias("q")).first()
