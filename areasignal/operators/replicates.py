@@ -33,6 +33,11 @@ def numbered(units: DataFrame, unit: str, keys: Sequence[str] = ()) -> DataFrame
     return written(dealt.withColumn("_own", own).join(before, [*keys, "_p"]).withColumn("i", F.col("_before") + F.col("_own")).drop("_p", "_own", "_c", "_before"))
 
 
+def spread(rows: DataFrame, unit: str) -> DataFrame:
+    """rows dealt by unit over the cores: a file of units is one task, but what is worked out of each of them is much."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, unit)
+
+
 def _moved(df: DataFrame, keys: Sequence[str], make: Callable[[pa.RecordBatch], Iterator[tuple[tuple, np.ndarray, np.ndarray]]], take: Callable, schema: pa.Schema, ddl: str) -> DataFrame:
     """Sends entries to blocks. make(batch) yields (keys, blocks, entries) with entries a structured array; take(keys, block,
     entries) gives the rows of a block as a table."""
@@ -75,7 +80,7 @@ def draw_weights(units: DataFrame, unit: str, times: int, drawn: Callable[[Colum
     """unit and w: how often each resample draws it (16-bit numbers, packed). drawn(b, i, n): the place that place i of resample b
     draws."""
     places = numbered(units.select(unit).distinct(), unit)
-    rows = places.select("i", F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda b: drawn(b, F.col("i"), F.col("n"))).alias("js"))
+    rows = spread(places.select("i", "n"), "i").select("i", F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda b: drawn(b, F.col("i"), F.col("n"))).alias("js"))
     entry = np.dtype([("b", np.uint16), ("at", np.uint16)])
 
     def make(batch):
@@ -126,6 +131,10 @@ def _ranked(rows: DataFrame, keys: Sequence[str], value: str, times: int, wide)
                     w = _unpacked(part.column(k + 1), kind)
                     for i, key in enumerate(zip(*(part.column(j).to_pylist() for j in range(k + 1)))):
                         out[key] = out[key] + w[i] if key in out else w[i].astype(wide)
+                    if len(out) > ROWS:  # few rows at once: each has all replicates
+                        last = dict([out.popitem()]) if streamed else {}
+                        yield from table(out)
+                        out = last
                 if streamed and out:  # rows come in order: the last value may go on in the next batch
                     held_key = next(reversed(out))
                     held = out.pop(held_key)
@@ -151,7 +160,7 @@ def _ranked(rows: DataFrame, keys: Sequence[str], value: str, times: int, wide)
 
     def totals(batches):
         out: dict[tuple, np.ndarray] = {}
-        for batch in batches:
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             w = _unpacked(batch.column(k + 1), wide)
             for key, at in _grouped_keys(pa.RecordBatch.from_arrays(batch.columns[: k + 1], [*keys, "_p"]), k + 1):
                 s = w[at].sum(0, dtype=wide)
@@ -175,7 +184,7 @@ def _ranked(rows: DataFrame, keys: Sequence[str], value: str, times: int, wide)
 
     def ranks(batches):
         last, at = object(), None
-        for batch in batches:
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             w, b = _unpacked(batch.column(k + 2), wide), batch.column(k + 3)
             out = []
             for i, key in enumerate(zip(*(batch.column(j).to_pylist() for j in (*range(k), k)))):
@@ -322,7 +331,7 @@ def orders(rows: DataFrame, unit: str, keys: Sequence[str], times: int, hashed:
     more, whole = dict(more or {}), list(keys)
     keys = [*keys, "n", *same]  # n and same go with the keys
     k = len(keys)
-    ready = rows.select(*keys, "i", "value", *more, F.transform(F.sequence(F.lit(1), F.lit(times)), lambda b: hashed(b, F.col(unit))).alias("h"))
+    ready = spread(rows, unit).select(*keys, "i", "value", *more, F.transform(F.sequence(F.lit(1), F.lit(times)), lambda b: hashed(b, F.col(unit))).alias("h"))
     entry = np.dtype([("h", np.float64), ("b", np.int16), ("i", np.int64), ("value", np.float64), *more.items()])
     placed = np.dtype([("place", np.int64), *entry.descr[1:]])
     kinds = [f"`{c}` {ready.schema[c].dataType.simpleString()}" for c in keys]

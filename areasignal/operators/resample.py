@@ -20,11 +20,12 @@ def drawn(seed: int, b: Column, i: Column, n: Column) -> Column:
 def weighted(long: DataFrame, units: DataFrame, unit: str, times: int, seed: int = 42) -> DataFrame:
     """The columns of long and w: how often each resample of the units draws its unit, packed in one array."""
     weights = replicates.draw_weights(units, unit, times, lambda b, i, n: drawn(seed, b, i, n))
-    return long.join(weights, unit)
+    return replicates.spread(long.join(weights, unit), unit)
 
 
 def bootstrap(long: DataFrame, unit: str, times: int, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """b, keys, pooled_rho and pooled_r2 of each resample of the units of long (unit, domain, y, p)."""
+    long = written(long)  # units and values both read it
     rows = weighted(long, long, unit, times, seed)
     return replicates.scores(rows, times, keys).select("b", *keys, F.col("rho").alias("pooled_rho"), F.col("r2").alias("pooled_r2"))
 
@@ -36,7 +37,8 @@ SCORES = ("rmse", "mae", "accuracy", "within_one", "pearson", "rho", "r2", "qwk"
 def report(long: DataFrame, unit: str, times: int = 500, seed: int = 42, by: str = "domain", source: str = "model") -> DataFrame:
     """by, source, n and, for each of SCORES, its value and the ends of its interval over resamples of the units; a last row
     `macro` has the means of the values over all rows of `by`."""
-    rows = written(weighted(long.select(unit, by, "y", "p"), long, unit, times, seed))
+    long = written(long.select(unit, by, "y", "p"))  # units and values both read it
+    rows = written(weighted(long, long, unit, times, seed))
     as_it_is = rows.withColumn("w", F.lit((1).to_bytes(2, "little")))
     scored = lambda of, n: replicates.scores(of, n, [by]).join(replicates.kappas(of, n, [by]), ["b", by]).select("b", by, "n", *SCORES)
     found = written(scored(rows, times).union(scored(as_it_is, 1).withColumn("b", F.lit(-1))))
@@ -49,7 +51,8 @@ def report(long: DataFrame, unit: str, times: int = 500, seed: int = 42, by: str
 
 def bars(long: DataFrame, unit: str, times: int = 500, seed: int = 42, by: str = "domain") -> DataFrame:
     """by, rmse, mae and for each how far its bar reaches either way: 1.96 deviations over resamples of the units."""
-    rows = weighted(long.select(unit, by, "y", "p"), long, unit, times, seed)
+    long = written(long.select(unit, by, "y", "p"))
+    rows = weighted(long, long, unit, times, seed)
     again = replicates.scores(rows, times, [by], ranks=False)
     spread = again.groupBy(by).agg(*((1.96 * F.stddev_pop(c)).alias(f"{c}_bar") for c in ("rmse", "mae")))
     e = F.col("y") - F.col("p")

@@ -188,7 +188,7 @@ def bootstrap_ci(spark, sf_dir):
     + " SELECT (b.rb % 10000)::BIGINT AS b, round(b.rho - a.rho, 6) AS delta_rho, round(b.r2 - a.r2, 6) AS delta_r2 FROM rho AS a JOIN rho AS b ON a.rb + 10000 = b.rb"
 )
 def paired_bootstrap_delta(spark, sf_dir):
-    rows = runs(spark, sf_dir)
+    rows = written(runs(spark, sf_dir))  # both runs and the units they share are read from it
     found = resample.paired(rows.where("run = 0").drop("run"), rows.where("run = 1").drop("run"), "unit_id", TIMES)
     return rounded(found.withColumn("b", F.col("b").cast("bigint")), "delta_rho", "delta_r2")
 

@@ -197,3 +197,14 @@ def test_random_points_are_drawn_by_many_tasks(spark, monkeypatch):
     made = geo.random_points(shapes_, "u", "rings", 3).collect()
     assert seen[0] >= 4 and {(r.u, r.place) for r in made} == {(i, j) for i in range(40) for j in range(3)}
     assert all(r.u <= r.x <= r.u + 1 and 0 <= r.y <= 1 for r in made)
+
+
+def test_draws_and_orders_are_hashed_by_many_tasks(spark, monkeypatch):
+    moved = []
+    monkeypatch.setattr(replicates, "_moved", lambda df, *a, real=replicates._moved: moved.append(df.rdd.getNumPartitions()) or real(df, *a))
+    units = spark.range(50).select(F.col("id").alias("u"), F.col("id").cast("double").alias("z")).coalesce(1)
+    drawn = lambda b, i, n: (b * 7 + i * 3) % n
+    w = {r.u: np.frombuffer(r.w, np.int16) for r in replicates.draw_weights(units, "u", 5, drawn).collect()}
+    assert all(sum(w[u][b] for u in w) == 50 and w[u][b] == sum((b * 7 + i * 3) % 50 == u for i in range(50)) for u in w for b in range(5))
+    replicates.permuted(units, "u", "z", [], 3, lambda b, u: geo.hashed_unit(F.lit(1), b, u)).count()
+    assert min(moved[:2]) >= 4 * spark.sparkContext.defaultParallelism
