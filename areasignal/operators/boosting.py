@@ -320,31 +320,94 @@ def _models(data: Binned, targets: int, s: Settings) -> list[Model]:
     return [Model(k, t, data.means[k, t] if not math.isnan(data.means[k, t]) else 0.0, 2.0**-bits) for k in data.folds for t in range(targets)]
 
 
-def _fitted_in_tasks(data: Binned, models: list[Model], s: Settings) -> list[Model]:
-    """Each model in a task of its own, over all rows: only for tables of a checked size."""
-    d, clip = data.d, 4 * data.span
+class _Growing:
+    """A model's training rows in one task. A tree's rows are parted node by node: histograms of the lesser child come of its rows,
+    those of the other are its parent's less them."""
+
+    def __init__(self, m: Model, s: Settings, clip: float, folds: np.ndarray, hashes: np.ndarray, aside: np.ndarray, bins: np.ndarray, y: np.ndarray):
+        mine = (folds != m.fold) & ~np.isnan(y[:, m.target])
+        self.m, self.s, self.clip, self.bins, self.y = m, s, clip, np.ascontiguousarray(bins[mine].T), y[mine, m.target]
+        self.aside, self.late = np.flatnonzero(aside[mine]), np.flatnonzero(~aside[mine])
+        self.hashes, self.score = hashes[mine][self.late], np.full(len(self.y), m.base)
+        self.bag, self.dealt = self.late, -1
+        # rows whose gradients add up to whole numbers of doubles, however large each is
+        self.exact = max(1, int(2.0**53 * m.unit / clip))
+
+    def evaluate(self, wanted: list[tuple[int, list[int]]], first: bool) -> tuple[dict, dict]:
+        m, splits, totals = self.m, {}, {}
+        if first:
+            totals[0] = self._begin()
+        nodes = wanted[0][1]
+        if 0 not in nodes:
+            asked = set(nodes)
+            for i, x in enumerate(m.nodes):
+                if x.left >= 0 and i in self.parts and asked & {x.left, x.right}:
+                    self._part(i, x)
+        for i in nodes:
+            splits[0, i] = best_split(*self.sums[i], self.use, self.s, m.unit)
+        return splits, totals
 
-    def one(key: tuple, table: pa.Table) -> pa.Table:
-        m = models[key[0].as_py()]
-        batch = table.drop(["model"]).sort_by("hash").combine_chunks().to_batches()[0]
-        folds, hashes, aside, bins, y = _parts(batch, d)
-        score = np.full(len(bins), m.base)
+    def _begin(self) -> tuple[int, int, int, int]:
+        m, s, tree = self.m, self.s, len(self.m.trees)
+        error = np.clip(self.score - self.y, -self.clip, self.clip)
+        if tree // s.every != self.dealt:
+            self.bag, self.dealt = self.late[in_bag(s, tree, self.hashes)], tree // s.every
+        self.use = chosen_features(s, tree, len(self.bins))
+        g, squared = np.rint(error[self.bag] / m.unit), np.rint(error[self.aside] ** 2 / m.unit)
+        self.parts = {0: (g, self.bins[self.use][:, self.bag])}
+        self.sums = {0: self._sums(*self.parts[0])}
+        return int(g.astype(np.int64).sum()), len(g), int(squared.astype(np.int64).sum()), len(squared)
+
+    def _sums(self, g: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients and rows by feature and bin."""
+        width = self.s.bins + 2
+        total, rows = np.zeros((len(bins), width), np.int64), np.zeros((len(bins), width), np.int64)
+        for at in range(0, len(g), self.exact):
+            part = slice(at, at + self.exact)
+            for j, b in enumerate(bins):
+                total[j] += np.bincount(b[part], g[part], width).astype(np.int64)
+                rows[j] += np.bincount(b[part], None, width)
+        return total, rows
+
+    def _part(self, i: int, x: Node) -> None:
+        (g, bins), whole = self.parts.pop(i), self.sums.pop(i)
+        left = bins[np.searchsorted(self.use, x.best[1])] <= x.best[2]
+        for c, here in ((x.left, left), (x.right, ~left)):
+            self.parts[c] = g[here], bins.compress(here, 1)
+        less, other = sorted((x.left, x.right), key=lambda c: len(self.parts[c][0]))
+        self.sums[less] = self._sums(*self.parts[less])
+        self.sums[other] = tuple(a - b for a, b in zip(whole, self.sums[less]))
+
+    def finished(self, _: int) -> None:
+        """Adds the last tree to the scores of all rows."""
+        t, open_ = self.m.trees[-1], [(0, np.arange(len(self.y)))]
+        while open_:
+            i, rows = open_.pop()
+            if t.feature[i] < 0:
+                self.score[rows] += t.value[i]
+                continue
+            left = self.bins[t.feature[i]][rows] <= t.bin[i]
+            open_ += [(t.left[i], rows[left]), (t.right[i], rows[~left])]
 
-        def evaluate(wanted, first):
-            splits, totals = {}, {}
-            for _, i, g, n, t in _histograms(bins, hashes, aside, folds, y, lambda _: score, [m], wanted, s, len(m.trees), clip):
-                splits[0, i], totals[0] = best_split(g, n, chosen_features(s, len(m.trees), d), s, m.unit), t
-            return splits, totals
 
-        def finished(_):
-            t = m.trees[-1]
-            score[:] += t.value[t.leaf(bins)]
+def _fitted_in_tasks(data: Binned, models: list[Model], s: Settings) -> list[Model]:
+    """Each model in a task of its own, over all rows: only for tables of a checked size."""
+    d, clip = data.d, 4 * data.span
 
-        fit([m], s, evaluate, finished)
-        return pa.Table.from_pylist([_packed(key[0].as_py(), m)], _MODEL)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, k = [], None
+        for batch in batches:
+            if batch.num_rows:
+                k = batch.column(6)[0].as_py()
+                parts.append(_parts(batch, d))
+        if parts:
+            growing = _Growing(models[k], s, clip, *(np.concatenate(c) for c in zip(*parts)))
+            del parts
+            fit([models[k]], s, growing.evaluate, growing.finished)
+            yield pa.RecordBatch.from_pylist([_packed(k, models[k])], _MODEL)
 
     one_row = data.rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))))
-    found = one_row.groupBy("model").applyInArrow(one, _MODEL_DDL).collect()
+    found = one_row.repartitionById(len(models), F.col("model")).mapInArrow(run, _MODEL_DDL).collect()
     return _unpacked(found)
 
 

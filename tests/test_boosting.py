@@ -84,6 +84,31 @@ def test_jobs_and_tasks_grow_the_same_trees(spark, monkeypatch):
     assert [B._packed(0, m) for m in a.models] == [B._packed(0, m) for m in b.models] and any(m.trees for m in a.models)
 
 
+def test_each_model_has_a_task_of_its_own(spark):
+    df, _ = frame(spark, 200)
+    s = B.Settings(rounds=2, least=8)
+    data = B.binned(df, "id", "fold", ["x0", "x1"], ["a", "b"], s)
+    spark.sparkContext.setJobGroup("own tasks", "")
+    assert len(B._fitted_in_tasks(data, B._models(data, 2, s), s)) == 6
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(i) for j in status.getJobIdsForGroup("own tasks") for i in status.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 6 in [x.numTasks for x in stages if x]
+
+
+def test_sums_of_large_gradients_are_whole(spark):
+    """Two gradients of 2**52 and many of 1 add up to more than doubles count one by one."""
+    n, big = 4000, 2.0**52
+    y = np.concatenate([[-big, -big], np.full(n - 2, -1.0)])[:, None]
+    m = B.Model(1, 0, 0.0, 1.0)
+    rows = np.zeros(n, int), np.arange(n), np.zeros(n, bool), np.ones((n, 1), np.int16), y
+    _, totals = B._Growing(m, B.Settings(rows=1.0), big, *rows).evaluate([(0, [0])], True)
+    assert totals[0][0] == 2**53 + n - 2
+    growing = B._Growing(m, B.Settings(rows=1.0), big, *rows)
+    growing.evaluate([(0, [0])], True)
+    assert int(growing.sums[0][0][0, 1]) == 2**53 + n - 2
+
+
 def test_saved_and_loaded(spark, tmp_path):
     df, _ = frame(spark, 120)
     a = B.fitted(df, "id", "fold", ["x0", "x1"], ["a"], B.Settings(rounds=4, least=5))
