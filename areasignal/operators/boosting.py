@@ -373,21 +373,21 @@ class _Growing:
         (g, bins), whole = self.parts.pop(i), self.sums.pop(i)
         left = bins[np.searchsorted(self.use, x.best[1])] <= x.best[2]
         for c, here in ((x.left, left), (x.right, ~left)):
-            self.parts[c] = g[here], bins.compress(here, 1)
+            self.parts[c] = g.compress(here), bins.compress(here, 1)
         less, other = sorted((x.left, x.right), key=lambda c: len(self.parts[c][0]))
         self.sums[less] = self._sums(*self.parts[less])
         self.sums[other] = tuple(a - b for a, b in zip(whole, self.sums[less]))
 
     def finished(self, _: int) -> None:
         """Adds the last tree to the scores of all rows."""
-        t, open_ = self.m.trees[-1], [(0, np.arange(len(self.y)))]
+        t, open_ = self.m.trees[-1], [(0, np.arange(len(self.y), dtype=np.int32))]
         while open_:
             i, rows = open_.pop()
             if t.feature[i] < 0:
                 self.score[rows] += t.value[i]
                 continue
             left = self.bins[t.feature[i]][rows] <= t.bin[i]
-            open_ += [(t.left[i], rows[left]), (t.right[i], rows[~left])]
+            open_ += [(t.left[i], rows.compress(left)), (t.right[i], rows.compress(~left))]
 
 
 def _fitted_in_tasks(data: Binned, models: list[Model], s: Settings) -> list[Model]:
