@@ -6,21 +6,23 @@ has more than a bounded number of them, and what is small looks at the cells of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from areasignal.functions import geo
 from areasignal.session import ship, written
 
 #: How often a cover's border cells are split, and how far apart a point and an edge that count as touching may be.
 DEPTH, NEAR = 4, 1e-9
-#: Edges of the polygons that a task splits together; edges that an outline may have to be compared as a whole.
-EDGES, FEW = 1 << 12, 16
+#: Edges of the polygons that a task splits together; edges that an outline may have to be compared as a whole; edges that a
+#: border cell may carry.
+EDGES, FEW, CARRIED = 1 << 12, 16, 64
 
 
 def segments(polygons: DataFrame, polygon: str) -> DataFrame:
@@ -215,7 +217,7 @@ class _Rings:
         before = np.arange(len(ring)) - 1
         before[first] = first + n - 1  # the first corner's edge starts at the last one
         kept = n[back] >= 3 if len(ring) else np.zeros(0, bool)
-        self.ends, self.of = np.concatenate([at[before], at], 1)[kept], polygon[kept]
+        self.ends, self.of, self.ring = np.concatenate([at[before], at], 1)[kept], polygon[kept], ring[kept]
         self.count = np.bincount(self.of, minlength=len(column))
         self.first = np.cumsum(self.count) - self.count
 
@@ -293,6 +295,22 @@ class _Rings:
             quarter = np.tile(np.arange(4), len(cx))
             cx, cy = 2 * np.repeat(cx, 4) + quarter // 2, 2 * np.repeat(cy, 4) + quarter % 2
 
+    def beside(self, polygon: np.ndarray, x: np.ndarray, y: np.ndarray, side: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each cell the edges that decide whether a point in it lies in its polygon (x1, y1, x2, y2 and the ring), one cell's
+        after the other's, and how many those are; more than `most` are left out and count as -1."""
+        found, count = [], np.zeros(len(polygon), np.int64)
+        for at in _parts(self.count[polygon]):
+            place, edge = self.pairs(polygon[at])
+            x1, y1, x2, y2 = self.ends[edge].T
+            slack = (1e-6 + 1e-9 * (side[at] + np.abs(x[at]) + np.abs(y[at])))[place]
+            left, low, high = x[at][place] - slack, y[at][place] - slack, (y + side)[at][place] + slack
+            near = (np.maximum(x1, x2) >= left) & (np.maximum(y1, y2) >= low) & (np.minimum(y1, y2) <= high)
+            n = np.bincount(place[near], minlength=at.stop - at.start)
+            count[at] = np.where(n <= most, n, -1)
+            near &= (n <= most)[place]
+            found.append(np.concatenate([self.ends[edge[near]], self.ring[edge[near], None]], 1))
+        return np.concatenate([np.zeros((0, 5)), *found]), count
+
     def cover(self, size: float, depth: int = DEPTH) -> Iterator[tuple[int, int, int, bool]]:
         """level, cx, cy and inside of each cell of the first polygon."""
         for _, *cells in self.covers(size, depth):
@@ -313,34 +331,84 @@ def dealt(polygons: DataFrame, polygon: str) -> DataFrame:
     return polygons.repartition(4 * polygons.sparkSession.sparkContext.defaultParallelism, polygon)
 
 
-def covers(polygons: DataFrame, polygon: str, size: float) -> DataFrame:
-    """A row for each cell of each polygon's cover: polygon, level, cx, cy, inside. Inside cells hold no point of an edge."""
+def covers(polygons: DataFrame, polygon: str, size: float, edges: bool = False) -> DataFrame:
+    """A row for each cell of each polygon's cover: polygon, level, cx, cy, inside. Inside cells hold no point of an edge.
+
+    edges: also e, for border cells the edges that decide about points in them (`_Rings.beside`), one after the other; null where
+    those are more than CARRIED, or where a corner of the polygon lacks a coordinate.
+    """
     ship(polygons.sparkSession)
     kind = polygons.schema[polygon].dataType.simpleString()
     types = (pa.int32(), pa.int64(), pa.int64(), pa.bool_())
 
+    def carried(rings, whole, of, level, cx, cy, inside):
+        side, border = size * 2.0**level, ~inside & whole[of]
+        ends, n = rings.beside(of[border], (cx * side)[border], (cy * side)[border], side[border], CARRIED)
+        count = np.full(len(of), -1)
+        count[border] = n
+        first = np.cumsum(np.maximum(count, 0)) - np.maximum(count, 0)
+        offsets = pa.array(np.append(first, len(ends)) * 5, pa.int32(), mask=np.append(count < 0, False))
+        return pa.ListArray.from_arrays(offsets, pa.array(ends.ravel()))
+
     def run(batches):
         for batch in batches:
-            for of, *cells in _Rings(batch.column(1)).covers(size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *(pa.array(c, t) for c, t in zip(cells, types))], [polygon, "level", "cx", "cy", "inside"])
-
-    return dealt(polygons.select(polygon, "rings"), polygon).mapInArrow(run, f"`{polygon}` {kind}, level int, cx bigint, cy bigint, inside boolean")
-
-
-def holding(points: DataFrame, polygons: DataFrame, point: str, polygon: str, size: float) -> DataFrame:
-    """point and polygon for each point (x, y) in each polygon (rings) that holds it, by the even-odd rule over rings.
+            rings = _Rings(batch.column(1))
+            whole = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) if edges else None
+            for of, *cells in rings.covers(size):
+                e = [carried(rings, whole, of, *cells)] if edges else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *(pa.array(c, t) for c, t in zip(cells, types)), *e], [polygon, "level", "cx", "cy", "inside", *(["e"] if edges else [])])
+
+    lacks = lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull()
+    whole = [F.coalesce(~F.exists(F.flatten("rings"), lacks), F.lit(False)).alias("whole")] if edges else []
+    rows = dealt(polygons.select(polygon, "rings", *whole), polygon)
+    return rows.mapInArrow(run, f"`{polygon}` {kind}, level int, cx bigint, cy bigint, inside boolean" + (", e array<double>" if edges else ""))
+
+
+def _within(x: np.ndarray, y: np.ndarray, e: pa.Array) -> np.ndarray:
+    """`geo.in_polygon` of many points, each with its edges as `covers` has them."""
+    n = pc.list_value_length(e).to_numpy(zero_copy_only=False).astype(np.int64) // 5
+    x1, y1, x2, y2, ring = e.flatten().to_numpy(zero_copy_only=False).reshape(-1, 5).T
+    out = np.zeros(len(x), np.int64)
+    row = np.repeat(np.arange(len(x)), n)
+    if len(row):
+        px, py = x[row], y[row]
+        cross, dot = (px - x1) * (y2 - y1) - (py - y1) * (x2 - x1), (px - x1) * (px - x2) + (py - y1) * (py - y2)
+        on = (np.abs(cross) <= geo.ON_EDGE) & (dot <= geo.ON_EDGE)
+        at = (x2 - x1) * (py - y1) / np.where(y2 == y1, 1.0, y2 - y1) + x1
+        crossed = ((y1 > py) != (y2 > py)) & (at > px)
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (ring[1:] != ring[:-1])))
+        held = np.logical_or.reduceat(on, first) | np.logical_xor.reduceat(crossed, first)
+        np.add.at(out, row[first], held)
+    return out % 2 == 1
+
+
+def holding(points: DataFrame, polygons: DataFrame, point: str, polygon: str, size: float, keep: Sequence[str] = ()) -> DataFrame:
+    """point, polygon and `keep` for each point (x, y) in each polygon (rings) that holds it, by the even-odd rule over rings.
 
     Points meet polygons at the cells of their covers, on every level in use. In inside cells that is all; points in border
-    cells are then joined with the rings of their polygon and tested exactly. Points with null coordinates lie nowhere.
+    cells are tested exactly with the few edges that their cell carries, or with the rings of their polygon where those are many
+    or odd. Points with null coordinates lie nowhere. Files of cells are far smaller than their rows, so joins are by merging:
+    the planner would take them for small and send them all to the driver.
     """
-    cells = written(covers(polygons, polygon, size))
-    levels = sorted(r[0] for r in cells.select("level").distinct().collect())
+    cells = written(covers(polygons, polygon, size, edges=True)).toDF(polygon, "_level", "_cx", "_cy", "_inside", "_e")
+    levels = sorted(r[0] for r in cells.select("_level").distinct().collect())
     side = lambda l: F.lit(size) * F.pow(F.lit(2.0), l)
-    placed = points.where("x IS NOT NULL AND y IS NOT NULL").select(F.col(point), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    at = placed.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    at = at.withColumns({"cx": F.floor(F.col("x") / side(F.col("level"))).cast("long"), "cy": F.floor(F.col("y") / side(F.col("level"))).cast("long")})
-    met = at.join(cells, ["level", "cx", "cy"]).select(point, polygon, "x", "y", "inside")
-    sure = met.where("inside").select(point, polygon)
-    rings = polygons.select(polygon, "rings")
-    tested = met.where("not inside").join(rings, polygon).where(geo.in_polygon(F.col("x"), F.col("y"), F.col("rings"))).select(point, polygon)
-    return sure.union(tested)
+    names = [point, *(c for c in keep if c != point)]
+    placed = points.where("x IS NOT NULL AND y IS NOT NULL").select(*names, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    at = placed.withColumn("_level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    at = at.withColumns({"_cx": F.floor(F.col("_x") / side(F.col("_level"))).cast("long"), "_cy": F.floor(F.col("_y") / side(F.col("_level"))).cast("long")})
+    met = lambda kind: at.join(cells.where(kind).hint("merge"), ["_level", "_cx", "_cy"])
+    sure = met("_inside").select(*names, polygon)
+    near = met("not _inside AND _e IS NOT NULL").select(*names, polygon, "_x", "_y", "_e")
+    width = len(names) + 1
+
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(width + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield batch.select(list(range(width))).filter(pa.array(_within(x, y, batch.column(width + 2))))
+
+    found = sure.union(near.mapInArrow(run, StructType(sure.schema.fields)))
+    if not cells.where("not _inside AND _e IS NULL").take(1):
+        return found
+    tested = met("not _inside AND _e IS NULL").select(*names, polygon, "_x", "_y").join(polygons.select(polygon, "rings").hint("merge"), polygon)
+    return found.union(tested.where(geo.in_polygon(F.col("_x"), F.col("_y"), F.col("rings"))).select(*names, polygon))

@@ -25,10 +25,12 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point: str, polyg
     Points meet polygons at cells of the polygons' covers, of `size` at least; only those in a border's cell are tested with
     rings. left: points that no polygon holds stay, with a null polygon. Points with null coordinates lie nowhere.
     """
+    if not first and not left:
+        return outlines.holding(points, polygons, point, polygon, size, keep=points.columns)
     found = outlines.holding(points, polygons, point, polygon, size)
     if first:
-        found = found.join(polygons.select(polygon, "ord"), polygon).groupBy(point).agg(F.min_by(polygon, "ord").alias(polygon))
-    return points.join(found.select(point, polygon), point, "left" if left else "inner")
+        found = found.join(polygons.select(polygon, "ord").hint("merge"), polygon).groupBy(point).agg(F.min_by(polygon, "ord").alias(polygon))
+    return points.join(found.select(point, polygon).hint("merge"), point, "left" if left else "inner")
 
 
 def neighbours(polygons: DataFrame, polygon: str, size: float, tolerance: float = 0.0) -> DataFrame:

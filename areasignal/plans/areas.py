@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from areasignal.functions import geo, text, vectors
-from areasignal.operators import spatial, tables
+from areasignal.operators import outlines, spatial, tables
 from areasignal.plans.base import ctes, frame, query, table
 
 
@@ -67,7 +67,7 @@ def points_by_outline(spark, sf_dir):
     large = spark.range(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit(-1).cast("bigint").alias("ord"), F.array(square(10, 110), square(40, 80)).alias("rings"))
     k = F.col("o_orderkey")
     points = table(spark, sf_dir, "orders").select(k.alias("point"), ((k * 71) % 9973 / 80.0).alias("x"), ((k * 29) % 9967 / 80.0).alias("y"))
-    found = spatial.points_in_polygons(points, customer_outlines(spark, sf_dir).union(large), "point", "id", 0.25, first=False)
+    found = outlines.holding(points, customer_outlines(spark, sf_dir).union(large), "point", "id", 0.25)
     return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("point").alias("points"))
 
 

@@ -140,3 +140,18 @@ def test_plain_outlines_meet_without_covers(spark, monkeypatch):
     assert got >= brute(polygons, 0.0) and (200, 100) in got and ((201, 100) in got) is False
     whole = [p for p in polygons + odd if p[0] != 201]
     assert {p for p in got if 201 not in p} == brute(whole, 0.0)
+
+
+def test_cells_and_points_are_never_sent_to_the_driver(spark):
+    """Files of cells are small for the rows that they hold, so the planner took them for small tables."""
+    rng = random.Random(10)
+    polygons = [(i, [star(rng, rng.uniform(0, 20), rng.uniform(0, 20), rng.choice((0.5, 4)), rng.randint(3, 9))]) for i in range(40)]
+    polygons += [(500, [star(rng, 10, 10, 9, 2000)]), (501, [box(2, 2, 18, 18), box(5, 5, 9, 9)]), (502, [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0)], [(None, 1.0), (2.0, 2.0), (1.0, 1.0)]])]
+    at = [(i, rng.uniform(-1, 21), rng.uniform(-1, 21), f"n{i}") for i in range(800)] + [(9000 + i, float(x), float(y), "edge") for i, (x, y) in enumerate([(2, 2), (5, 5), (5, 7), (9, 9), (18, 3), (4.5, 0)])]
+    points = spark.createDataFrame(at, "p long, x double, y double, level string")
+    found = spatial.points_in_polygons(points, frame(spark, polygons), "p", "id", 0.5, first=False)
+    assert found.columns == ["p", "x", "y", "level", "id"]
+    want = {(p, x, y, n, i) for p, x, y, n in at for i, rings in polygons if i != 502 and holds(rings, (x, y))}
+    assert {tuple(r) for r in found.where("id <> 502").collect()} == want
+    for made in (found, spatial.points_in_polygons(points, frame(spark, polygons), "p", "id", 0.5), spatial.points_in_polygons(points, frame(spark, polygons), "p", "id", 0.5, first=False, left=True)):
+        assert "Broadcast" not in made._jdf.queryExecution().sparkPlan().toString()
