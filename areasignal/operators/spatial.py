@@ -45,7 +45,7 @@ def meeting(rows: DataFrame, boxes: DataFrame, key: str, size: float) -> DataFra
     a, b = F.col("box"), F.col("other")
     meet = (a["min_x"] <= b["max_x"]) & (b["min_x"] <= a["max_x"]) & (a["min_y"] <= b["max_y"]) & (b["min_y"] <= a["max_y"])
     others = cells(boxes.select("box").distinct()).withColumnRenamed("box", "other")
-    hit = cells(rows.select(key, "box")).join(others, ["cx", "cy"]).where(meet).select(key).distinct().withColumn("_met", F.lit(True))
+    hit = cells(rows.select(key, "box")).join(others.hint("merge"), ["cx", "cy"]).where(meet).select(key).distinct().withColumn("_met", F.lit(True))
     return rows.select(key).join(hit, key, "left").select(key, F.coalesce("_met", F.lit(False)).alias("met"))
 
 
@@ -227,7 +227,8 @@ def placed_boxes(areas: DataFrame, unit: str, existing: DataFrame, size: float,
     Candidates on a half-step grid lie in the area and farther than the margin from its edge. They are made and tested in
     parallel, and those that meet an existing box (x, y) drop out at grid cells. What is left goes in by areas in their order,
     nearest to the centre first, in rounds: a candidate that meets no open one before it goes in (of an area with a limit,
-    only if none before it waits), and those that it meets go out; boxes meet at grid cells alone.
+    only if none before it waits), and those that it meets go out; boxes meet at grid cells alone. Files of candidates are far
+    smaller than their rows in all cells around, so joins are by merging and nothing is sent to the driver.
     """
     box = geo.box_of(F.col("rings")[0])
     grid = outlines.dealt(areas, unit).select(unit, "ord", "cx", "cy", "rings", F.col(most).alias("_most"), F.explode(geo.half_step_grid(box, F.lit(size), F.lit(size))).alias("p"))
@@ -237,22 +238,22 @@ def placed_boxes(areas: DataFrame, unit: str, existing: DataFrame, size: float,
     around = lambda df: df.withColumn("ocx", F.explode(steps("ox"))).withColumn("ocy", F.explode(steps("oy")))
     own = lambda df: df.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
     near = (F.col("cx") == F.col("ocx")) & (F.col("cy") == F.col("ocy")) & (F.abs(F.col("x") - F.col("ox")) <= size) & (F.abs(F.col("y") - F.col("oy")) <= size)
-    clear = lambda df, boxes: own(df).join(around(boxes), near, "left_anti").drop("cx", "cy")
+    clear = lambda df, boxes: own(df).join(around(boxes).hint("merge"), near, "left_anti").drop("cx", "cy")
     place, order = F.struct("far", "y", "x"), Window.partitionBy(unit).orderBy("far", "y", "x")
     rank = F.struct("ord", "far", "y", "x")
     open_ = written(clear(fine, existing.select(F.col("x").alias("ox"), F.col("y").alias("oy"))).select(unit, "ord", "_most", "far", "y", "x").withColumn("_id", F.monotonically_increasing_id()))
     taken = []
     while open_.take(1):
         others = around(open_.select(rank.alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")))
-        free = written(own(open_).join(others, near & (F.col("other") < rank), "left_anti").drop("cx", "cy"))
+        free = written(own(open_).join(others.hint("merge"), near & (F.col("other") < rank), "left_anti").drop("cx", "cy"))
         # of a unit with a limit, one that comes after one that waits may not be among the first: it waits too
-        waits = open_.where("_most >= 0").join(free.select("_id"), "_id", "left_anti").groupBy(unit).agg(F.min(place).alias("_from"))
-        first = free.join(waits, unit, "left").where(F.col("_from").isNull() | (place < F.col("_from")))
+        waits = open_.where("_most >= 0").join(free.select("_id").hint("merge"), "_id", "left_anti").groupBy(unit).agg(F.min(place).alias("_from"))
+        first = free.join(waits.hint("merge"), unit, "left").where(F.col("_from").isNull() | (place < F.col("_from")))
         numbered = first.withColumn("place", F.row_number().over(order))
         taken.append(written(numbered.where((F.col("_most") < 0) | (F.col("place") <= F.col("_most"))).select(unit, "_most", "far", "y", "x")))
         # open ones that meet none just taken (which meet themselves), of units that are not full
         n = taken[-1].where("_most >= 0").groupBy(unit).agg(F.count("*").alias("_n"))
-        left = clear(open_, taken[-1].select(F.col("x").alias("ox"), F.col("y").alias("oy"))).join(n, unit, "left")
+        left = clear(open_, taken[-1].select(F.col("x").alias("ox"), F.col("y").alias("oy"))).join(n.hint("merge"), unit, "left")
         left = left.withColumn("_most", F.when(F.col("_most") < 0, F.col("_most")).otherwise(F.col("_most") - F.coalesce("_n", F.lit(0))).cast(open_.schema["_most"].dataType))
         open_ = written(left.where("_most <> 0").select(*open_.columns))
     found = functools.reduce(DataFrame.union, [t.select(unit, "far", "y", "x") for t in taken] or [open_.select(unit, "far", "y", "x")])

@@ -38,6 +38,15 @@ def test_boxes_taken_are_written_once(spark, monkeypatch):
     assert sum(t.count() for t in made if "_id" not in t.columns) == len(got)
 
 
+def test_boxes_are_never_sent_to_the_driver(spark, monkeypatch):
+    """Files of candidates are small, but their rows in all cells around are many."""
+    areas = spark.createDataFrame([(i, i, box(3.0 * (i % 4), 3.0 * (i // 4)), 3.0 * (i % 4) + 2, 3.0 * (i // 4) + 2, (-1, 2)[i % 2]) for i in range(8)], f"u int, ord int, rings {shapes.RINGS}, cx double, cy double, most int")
+    plans = []
+    monkeypatch.setattr(spatial, "written", lambda df, real=spatial.written: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or real(df))
+    assert spatial.placed_boxes(areas, "u", spark.createDataFrame([(2.0, 2.0)], "x double, y double"), 1.0).count() > 8
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_projection_and_pixels(spark):
     at = geo.national_grid(F.lit(52 + 39 / 60 + 28.8282 / 3600), F.lit(1 + 42 / 60 + 57.8663 / 3600))
     r = spark.range(1).select(at.alias("p"), geo.pixel(F.lit(5.5), F.lit(7.5), 0.0, 10.0, 1.0, 1.0, 5, 5).alias("q")).first()
