@@ -155,3 +155,33 @@ def test_cells_and_points_are_never_sent_to_the_driver(spark):
     assert {tuple(r) for r in found.where("id <> 502").collect()} == want
     for made in (found, spatial.points_in_polygons(points, frame(spark, polygons), "p", "id", 0.5), spatial.points_in_polygons(points, frame(spark, polygons), "p", "id", 0.5, first=False, left=True)):
         assert "Broadcast" not in made._jdf.queryExecution().sparkPlan().toString()
+
+
+def cut(x, y, w, h, turn):
+    """A rectangle without one of its corners."""
+    at = [(0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1)]
+    for _ in range(turn):
+        at = [(1 - q, p) for p, q in at]
+    return [(x + w * p, y + h * q) for p, q in at[turn:] + at[:turn]]
+
+
+@pytest.mark.parametrize(("held", "few", "pairs"), [(1 << 13, 1 << 10, 1 << 17), (8, 4, 64), (1 << 13, 0, 50)])
+def test_crowded_cells_are_parted_and_pairs_made_once(spark, monkeypatch, held, few, pairs):
+    """Rectangles, such without a corner, and others, some alike, in few cells; pairs aren't moved or written where they are read once."""
+    for name, value in (("HELD", held), ("FEW_PAIRS", few), ("PAIRS", pairs)):
+        monkeypatch.setattr(outlines, name, value)
+    rng = random.Random(11)
+    place = lambda n: rng.randint(0, n) * 0.25
+    polygons = [(i, [box(x, y, x + 0.5 + place(20), y + 0.5 + place(8))]) for i in range(60) for x, y in [(place(60), place(60))]]
+    polygons += [(100 + i, [cut(place(60), place(60), 0.5 + place(20), 0.5 + place(8), i % 4)]) for i in range(60)]
+    polygons += [(200 + i, [star(rng, place(60), place(60), rng.choice((0.5, 4)), rng.randint(3, 9))]) for i in range(12)]
+    polygons += [(300, [box(0, 0, 15, 15), box(5, 5, 12, 12)]), (301, polygons[0][1]), (302, [[(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (2.0, 2.0), (2.0, -1.0), (0.0, -1.0)]]), (303, [[(3.0, 3.0), (5.0, 3.0), (3.0, 3.0), (3.0, 4.0)]])]
+    for tolerance in (0.0, 0.25, 0.3):
+        rows = [tuple(r) for r in outlines.contacts(frame(spark, polygons), "id", 1.0, tolerance, once=True).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == brute(polygons, tolerance)
+    made = []
+    monkeypatch.setattr(outlines, "written", lambda df, real=outlines.written: made.append(df) or real(df))
+    pairs = outlines.contacts(frame(spark, polygons), "id", 1.0, once=True)
+    assert len(made) == 1 and "Aggregate" not in pairs._jdf.queryExecution().sparkPlan().toString().split("MapInArrow")[0]
+    twice = [tuple(r) for r in outlines.contacts(frame(spark, polygons + polygons[:80]), "id", 1.0, once=True).collect()]
+    assert len(twice) == len(set(twice)) and set(twice) == brute(polygons, 0.0)
